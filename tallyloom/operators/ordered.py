@@ -102,7 +102,7 @@ def _chains(gap: int, span: int):
 
 def _walk(gap: int, span: int, first_at: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, last, at, taken = None, None, None, True
+        key, last, at, taken = object(), None, None, True
         threshold = 0
         for batch in batches:
             out: dict[str, list] = {"_key": [], "_slice": [], "_from": []}
@@ -139,11 +139,12 @@ def _mark(gap: int):
 
 def keep_spaced(
     df: DataFrame, key: str, position: Column, gap: int, cells: int = 256, first_at: int | None = None,
-    hot_rows: int = HOT_ROWS, slice_keys_only: bool = False,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Distinct (key, position) with ``kept``: greedy selection of positions at least ``gap`` apart per key.
 
-    ``position`` is a long. ``first_at`` is the smallest position that may be kept first (any when None). Equal positions of
+    ``position`` is a long. ``first_at`` is the smallest position that may be kept first (any when None); with it,
+    positions must not be negative and ``first_at`` must not exceed ``gap``. Equal positions of
     a key are merged before the shuffle, since at most one of them can be kept. Keys below ``hot_rows`` are one slice.
     Every pass reads its rows as sorted batches with constant state, so no group is ever held in memory.
     """
