@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tallyloom.operators import ordered
 
@@ -27,16 +27,20 @@ def parse_range(text: str) -> tuple[int, int, int | None, bool]:
     return int(back or 0), lo, hi, False
 
 
-def history(lines: DataFrame, session: str, order: str, text: str, hot_rows: int = ordered.HOT_ROWS) -> DataFrame:
-    """Lines of one range. Only the wanted session is numbered; it is found without ordering all sessions in one task."""
-    back, lo, hi, drop_last = parse_range(text)
-    chosen = lines.select(session).distinct().orderBy(F.desc(session)).offset(back).limit(1)
-    mine = lines.join(F.broadcast(chosen), session, "left_semi")  # one row
+def history(lines: DataFrame, session: str, order: str, ranges: list[str], hot_rows: int = ordered.HOT_ROWS) -> DataFrame:
+    """Lines of every range, labelled ``span``. Only the sessions the ranges reach are read on and numbered."""
+    parsed = {text: parse_range(text) for text in ranges}
+    deepest = max(back for back, *_ in parsed.values())
+    newest = lines.select(session).distinct().orderBy(F.desc(session)).limit(deepest + 1)
+    back = F.row_number().over(W.orderBy(F.desc(session))) - 1  # over deepest + 1 rows only
+    mine = lines.join(F.broadcast(newest.select(session, back.alias("back"))), session)
     numbered = ordered.ordinal(mine, [session], [order], "line_no", F.col(order), 1_000_000, hot_rows)
-    picked = numbered.where(F.col("line_no") >= lo)
-    if hi is not None:
-        picked = picked.where(F.col("line_no") <= hi)
-    if drop_last:
-        end = mine.agg(F.max(order).alias("_end"))
-        picked = picked.join(F.broadcast(end), F.col(order) < F.col("_end")).drop("_end")  # one row
-    return picked
+    ends = mine.groupBy(session).agg(F.max(order).alias("_end"))
+    numbered = numbered.join(F.broadcast(ends), session)  # deepest + 1 rows
+    wanted = F.array(*[
+        F.when(
+            (F.col("back") == b) & (F.col("line_no") >= lo) & (F.lit(hi is None) | (F.col("line_no") <= F.lit(hi)))
+            & (F.lit(not drop_last) | (F.col(order) < F.col("_end"))), F.lit(text))
+        for text, (b, lo, hi, drop_last) in parsed.items()
+    ])
+    return numbered.select("*", F.explode(F.array_compact(wanted)).alias("span")).drop("back", "_end")

@@ -5,7 +5,7 @@ import importlib
 from tallyloom.plans.base import ORACLES, QUERIES
 
 for _name in (
-    "texts", "records", "payloads", "sessions",
+    "texts", "records", "payloads", "sessions", "jobs",
 ):
     importlib.import_module(f"tallyloom.plans.{_name}")
 

@@ -1,10 +1,7 @@
 """Session registry and ordered-per-key queries over events, orders, customer and conversations."""
 
-from functools import reduce
-
 from pyspark.sql import Window as W, functions as F
 
-from tallyloom.functions import numbers as N, text as X
 from tallyloom.operators import history as H, registry as R
 from tallyloom.plans.base import Tables, query
 from tallyloom.plans.payloads import broken_props
@@ -91,8 +88,7 @@ def history_sql() -> str:
 @query("w9_history_slice", history_sql())
 def w9(t: Tables):
     lines = t.conversations.select("conv_id", "turn", "role")
-    parts = [H.history(lines, "conv_id", "turn", k).select(F.lit(k).alias("span"), "conv_id", "line_no", "role") for k in [*RANGES, ""]]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    return H.history(lines, "conv_id", "turn", [*RANGES, ""]).select("span", "conv_id", "line_no", "role")
 
 
 @query("l2_active_order", "SELECT user_id, max(ts) AS last_active FROM events GROUP BY user_id")
