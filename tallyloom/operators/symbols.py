@@ -185,9 +185,11 @@ def brace_symbols(files: DataFrame) -> DataFrame:
         is_it = F.col("language") == language
         c, m, x = _declared(language, F.col("text"), F.col("around"), F.col("stop"))
         names, methods, beyond = names.when(is_it, c), methods.when(is_it, m), beyond.when(is_it, x)
-    df = df.where("first IS NOT NULL AND text <> ''").select("*", names.alias("class_name"), methods.alias("method_name"), beyond.alias("is_extension"))
+    # held in one struct, so that the patterns are not repeated for every use of a name
+    declared = F.array(F.struct(names.alias("class_name"), methods.alias("method_name"), beyond.alias("is_extension")))
+    kept = F.get(F.filter(declared, lambda d: (d["class_name"] != "") | (d["method_name"] != "")), F.lit(0))
+    df = df.where("first IS NOT NULL AND text <> ''").withColumn("d", kept).where("d IS NOT NULL").select("*", "d.*")
     is_class = F.col("class_name") != ""
-    df = df.where(is_class | (F.col("method_name") != ""))
     begin = F.when(is_class & F.col("class_word").isNotNull(), F.col("class_word")).otherwise(F.col("first"))
     with_mark = (F.col("stop") == ";") & ~F.col("language").isin("typescript", "javascript", "kotlin") & ~(is_class & (F.col("language") == "cpp"))
     end = F.when(F.col("stop") == "{", F.col("close.start") + 1).when(with_mark, F.col("stop_at.start") + 1).otherwise(F.col("last.end"))
@@ -234,13 +236,18 @@ def python_symbols(files: DataFrame) -> DataFrame:
 
 
 def extract(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(symbols, parse errors) of files (path, language, content text). ``source`` is the symbol's own text."""
+    """(symbols, parse errors) of files (path, language, content text)."""
     python = python_symbols(files)
     errors = python.where("error IS NOT NULL").select("path", "error")
     found = brace_symbols(files).unionByName(python.where("error IS NULL").drop("error"))
+    return found, errors
+
+
+def with_source(symbols: DataFrame, files: DataFrame) -> DataFrame:
+    """Adds ``source``, the symbol's own text. Filter symbols first: only files that still have any are read on."""
     texts = files.select("path", F.encode("content", "UTF-8").alias("content"))
     cut = F.substring(F.col("content"), (F.col("start_byte") + 1).cast("int"), (F.col("end_byte") - F.col("start_byte")).cast("int"))
-    return found.join(texts, "path").withColumn("source", cut.cast("string")).drop("content"), errors
+    return symbols.join(texts, "path").withColumn("source", cut.cast("string")).drop("content")
 
 
 def with_owner(symbols: DataFrame) -> DataFrame:

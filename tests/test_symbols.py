@@ -106,7 +106,7 @@ def free():
 def rows(spark):
     df = spark.createDataFrame([(p, l, c) for p, (l, c) in FILES.items()], "path string, language string, content string")
     found, errors = S.extract(df)
-    out = S.with_owner(found).orderBy("path", "start_byte").collect()
+    out = S.with_source(S.with_owner(found), df).orderBy("path", "start_byte").collect()
     return out, errors.collect()
 
 
