@@ -7,11 +7,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyloom.functions import numbers as N, text as X
 
+UNREADABLE = (PySparkException, Py4JJavaError)  # a damaged file surfaces as the JVM's own error
 HIDDEN = {"In", "Out", "exit", "quit", "get_ipython"}  # fixed names that are never saved
 SAVE_STATUS = "success boolean, message string, command string, saved_as string"
 
@@ -68,7 +70,7 @@ def restore(spark: SparkSession, folder: str) -> tuple[dict[str, DataFrame], lis
     """(tables, names that could not be read). Without a readable list the workspace starts fresh."""
     try:
         manifest = spark.read.parquet(f"{folder}/_manifest").collect()  # one row per named table
-    except PySparkException:
+    except UNREADABLE:
         return {}, []
     tables, lost = {}, []
     for row in manifest:
@@ -76,7 +78,7 @@ def restore(spark: SparkSession, folder: str) -> tuple[dict[str, DataFrame], lis
             df = spark.read.parquet(row.path)
             df.createOrReplaceTempView(row.name)
             tables[row.name] = df
-        except PySparkException:
+        except UNREADABLE:
             lost.append(row.name)
     return tables, lost
 

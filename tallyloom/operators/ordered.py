@@ -54,6 +54,37 @@ def ordinal(df: DataFrame, keys: list[str], order: list[str], out: str, position
     return running_total(df, keys, order, F.lit(1).cast("long"), out, position, width, hot_rows)
 
 
+def carry_forward(
+    df: DataFrame, keys: list[str], order: list[str], value: Column, out: str, position: Column, width: int, hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """Last non-null ``value`` at or before each row of its key: an as-of lookup once two tables are laid over each other."""
+    sliced = with_slices(df, keys, position, width, hot_rows).withColumn("_value", value)
+    upto = W.partitionBy(*keys, SLICE).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    local = sliced.withColumn("_local", F.last("_value", ignorenulls=True).over(upto))
+    spans = sliced.where(F.col(SLICE).isNotNull()).groupBy(*keys, SLICE).agg(
+        F.max_by("_value", F.when(F.col("_value").isNotNull(), F.struct(*order))).alias("_end"))
+    before = F.last("_end", ignorenulls=True).over(W.partitionBy(*keys).orderBy(SLICE).rowsBetween(W.unboundedPreceding, -1))
+    carried = spans.select(*[F.col(k).alias(f"_o_{k}") for k in keys], F.col(SLICE).alias("_o_slice"), before.alias("_before"))
+    match = [F.col(k).eqNullSafe(F.col(f"_o_{k}")) for k in keys] + [F.col(SLICE) == F.col("_o_slice")]
+    joined = local.join(carried, match, "left")
+    return joined.withColumn(out, F.coalesce("_local", "_before")).drop("_local", "_value", "_before", "_o_slice", SLICE, *[f"_o_{k}" for k in keys])
+
+
+def previous(
+    df: DataFrame, keys: list[str], order: list[str], value: Column, out: str, position: Column, width: int, hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """``value`` of the row before, per key: within a slice by a window, at the start of a slice from the slice before."""
+    sliced = with_slices(df, keys, position, width, hot_rows).withColumn("_value", value)
+    here = W.partitionBy(*keys, SLICE).orderBy(*order)
+    local = sliced.withColumn("_local", F.lag("_value").over(here)).withColumn("_first", F.row_number().over(here) == 1)
+    ends = sliced.where(F.col(SLICE).isNotNull()).groupBy(*keys, SLICE).agg(F.max_by("_value", F.struct(*order)).alias("_end"))
+    before = F.lag("_end").over(W.partitionBy(*keys).orderBy(SLICE))
+    carried = ends.select(*[F.col(k).alias(f"_o_{k}") for k in keys], F.col(SLICE).alias("_o_slice"), before.alias("_before"))
+    match = [F.col(k).eqNullSafe(F.col(f"_o_{k}")) for k in keys] + [F.col(SLICE) == F.col("_o_slice")]
+    joined = local.join(carried, match, "left").withColumn(out, F.when(F.col("_first"), F.col("_before")).otherwise(F.col("_local")))
+    return joined.drop("_local", "_first", "_value", "_before", "_o_slice", SLICE, *[f"_o_{k}" for k in keys])
+
+
 # --- spaced selection -------------------------------------------------------------------------------------------------
 # Walk the positions of a key upwards and keep one whenever it lies at least ``gap`` beyond the last one kept. What is kept
 # in a slice depends on the last position kept before it. That position lies before the slice, so it matters only through

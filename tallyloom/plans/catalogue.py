@@ -5,7 +5,7 @@ import importlib
 from tallyloom.plans.base import ORACLES, QUERIES
 
 for _name in (
-    "texts", "records", "payloads", "sessions", "jobs", "corpus", "packages", "workspace",
+    "texts", "records", "payloads", "sessions", "jobs", "corpus", "packages", "workspace", "streams", "relational",
 ):
     importlib.import_module(f"tallyloom.plans.{_name}")
 
