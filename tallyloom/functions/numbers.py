@@ -55,13 +55,14 @@ def clean_array(values: Column) -> Column:
     return F.transform(values, lambda x: clean_double(x.cast("double")))
 
 
-def clean_columns(df: DataFrame) -> list[Column]:
-    """Every column in the form it takes in a JSON record."""
+def clean_columns(df: DataFrame, finite: bool = False) -> list[Column]:
+    """Every column in the form it takes in a JSON record. ``finite``: no double is infinite, so doubles stay doubles."""
     out = []
     for field in df.schema.fields:
         c = F.col(f"`{field.name}`")
         if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
-            c = clean_variant(c.cast("double"))
+            c = c.cast("double")
+            c = F.round(F.when(~F.isnan(c), c), 10) if finite else clean_variant(c)
         elif isinstance(field.dataType, (T.TimestampType, T.TimestampNTZType)):
             c = iso_text(c)
         out.append(c.alias(field.name))
@@ -69,7 +70,17 @@ def clean_columns(df: DataFrame) -> list[Column]:
 
 
 def json_records(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """One JSON object text per row in column ``record``, nulls kept; ``keep`` columns stay beside it."""
+    """One JSON object text per row in column ``record``, nulls kept; ``keep`` columns stay beside it.
+
+    Only rows with an infinity go through VARIANT values; all others are written from their own types.
+    """
     kept = [F.col(k) for k in keep or []]
-    record = F.to_json(F.struct(*clean_columns(df)), {"ignoreNullFields": "false"}).alias("record")
-    return df.select(*kept, record)
+    doubles = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
+    text = lambda finite: F.to_json(F.struct(*clean_columns(df, finite)), {"ignoreNullFields": "false"})
+    record = text(True)
+    if doubles:
+        infinite = F.lit(False)
+        for name in doubles:
+            infinite = infinite | F.coalesce(F.abs(F.col(f"`{name}`")) == INFINITY, F.lit(False))
+        record = F.when(infinite, text(False)).otherwise(record)
+    return df.select(*kept, record.alias("record"))

@@ -70,7 +70,8 @@ def output_or_null(text: Column) -> Column:
 
 def lines(text: Column) -> Column:
     """Array of lines without their ends; a final line end opens no further line, and empty text has no line."""
-    parts = F.split(text, r"\r\n|\r|\n")
+    plain = F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    parts = F.split(F.when(text.contains("\r"), plain).otherwise(text), "\n")
     whole = F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
     return F.when(text == "", F.array().cast("array<string>")).otherwise(whole)
 

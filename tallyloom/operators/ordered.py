@@ -3,6 +3,9 @@
 A window partitioned by key puts a whole key into one task. Here keys with more than ``hot_rows`` rows are cut into slices
 along the order (a deterministic function of the position, so a recomputed task cuts the same way); all other keys form
 one slice. Work inside slices runs in parallel, and only one small summary row per slice is processed per key.
+
+Whether there are hot keys at all is asked once, by a count per key that reads only the key columns and answers yes or no.
+Without any, the plan is a single window. The answer decides about speed only; results are the same either way.
 """
 
 from __future__ import annotations
@@ -16,37 +19,50 @@ HOT_ROWS = 2_000_000  # rows of one key that a single task may handle in order
 SLICE = "_slice"
 
 
-def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Keys above ``hot_rows``. There can be at most total_rows / hot_rows of them, so the result is safe to broadcast."""
-    return df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_rows).select(*keys, F.lit(True).alias("_hot"))
+def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
+    """Keys above ``hot_rows``, or None. There are at most total_rows / hot_rows of them, so they are safe to broadcast."""
+    found = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_rows).select(*keys, F.lit(True).alias("_hot"))
+    return None if found.isEmpty() else found
 
 
-def with_slices(df: DataFrame, keys: list[str], position: Column, width: int, hot_rows: int = HOT_ROWS) -> DataFrame:
+def with_slices(df: DataFrame, keys: list[str], position: Column, width: int, hot: DataFrame) -> DataFrame:
     """Adds the slice number: null for ordinary keys, floor(position / width) for hot ones. Null keys are kept."""
-    hot = hot_keys(df, keys, hot_rows).select(*[F.col(k).alias(f"_h_{k}") for k in keys], "_hot")
+    renamed = hot.select(*[F.col(k).alias(f"_h_{k}") for k in keys], "_hot")
     same = [F.col(k).eqNullSafe(F.col(f"_h_{k}")) for k in keys]
-    joined = df.join(F.broadcast(hot), same, "left")
+    joined = df.join(F.broadcast(renamed), same, "left")
     cut = F.when(F.col("_hot"), F.floor(position / F.lit(width)).cast("long"))
     return joined.withColumn(SLICE, cut).drop("_hot", *[f"_h_{k}" for k in keys])
 
 
+def _join_slices(local: DataFrame, per_slice: DataFrame, keys: list[str], carried: Column) -> DataFrame:
+    """Adds ``_before`` of the row's slice. Both sides are partitioned by keys and slice, so the large one is not moved again
+    unless the small one is broadcast."""
+    small = per_slice.select(*[F.col(k).alias(f"_o_{k}") for k in keys], F.col(SLICE).alias("_o_slice"), carried.alias("_before"))
+    match = [F.col(k).eqNullSafe(F.col(f"_o_{k}")) for k in keys] + [F.col(SLICE) == F.col("_o_slice")]
+    return local.join(small, match, "left").drop("_o_slice", *[f"_o_{k}" for k in keys])
+
+
+def _earlier(keys: list[str]):
+    return W.partitionBy(*keys).orderBy(SLICE).rowsBetween(W.unboundedPreceding, -1)
+
+
 def running_total(
     df: DataFrame, keys: list[str], order: list[str], value: Column, out: str, position: Column, width: int,
     hot_rows: int = HOT_ROWS, inclusive: bool = True,
 ) -> DataFrame:
     """Running sum of ``value`` per key along ``order``; ``position`` is a number that never falls along ``order``."""
-    sliced = with_slices(df, keys, position, width, hot_rows).withColumn("_value", value)
-    frame = W.partitionBy(*keys, SLICE).orderBy(*order)
-    local = sliced.withColumn("_local", F.sum("_value").over(frame.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    hot = hot_keys(df, keys, hot_rows)
+    valued = df.withColumn("_value", value)
+    rows = (W.unboundedPreceding, W.currentRow)
+    if hot is None:
+        total = F.sum("_value").over(W.partitionBy(*keys).orderBy(*order).rowsBetween(*rows))
+        return valued.withColumn(out, total if inclusive else total - F.col("_value")).drop("_value")
+    sliced = with_slices(valued, keys, position, width, hot)
+    local = sliced.withColumn("_local", F.sum("_value").over(W.partitionBy(*keys, SLICE).orderBy(*order).rowsBetween(*rows)))
     totals = sliced.where(F.col(SLICE).isNotNull()).groupBy(*keys, SLICE).agg(F.sum("_value").alias("_sum"))
-    before = F.sum("_sum").over(W.partitionBy(*keys).orderBy(SLICE).rowsBetween(W.unboundedPreceding, -1))
-    offsets = totals.select(*[F.col(k).alias(f"_o_{k}") for k in keys], F.col(SLICE).alias("_o_slice"), before.alias("_before"))
-    match = [F.col(k).eqNullSafe(F.col(f"_o_{k}")) for k in keys] + [F.col(SLICE) == F.col("_o_slice")]
-    joined = local.join(offsets, match, "left")
+    joined = _join_slices(local, totals, keys, F.sum("_sum").over(_earlier(keys)))
     total = F.col("_local") + F.coalesce("_before", F.lit(0))
-    if not inclusive:
-        total = total - F.col("_value")
-    return joined.withColumn(out, total).drop("_local", "_value", "_before", "_o_slice", SLICE, *[f"_o_{k}" for k in keys])
+    return joined.withColumn(out, total if inclusive else total - F.col("_value")).drop("_local", "_value", "_before", SLICE)
 
 
 def ordinal(df: DataFrame, keys: list[str], order: list[str], out: str, position: Column, width: int, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -58,31 +74,33 @@ def carry_forward(
     df: DataFrame, keys: list[str], order: list[str], value: Column, out: str, position: Column, width: int, hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Last non-null ``value`` at or before each row of its key: an as-of lookup once two tables are laid over each other."""
-    sliced = with_slices(df, keys, position, width, hot_rows).withColumn("_value", value)
-    upto = W.partitionBy(*keys, SLICE).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    local = sliced.withColumn("_local", F.last("_value", ignorenulls=True).over(upto))
-    spans = sliced.where(F.col(SLICE).isNotNull()).groupBy(*keys, SLICE).agg(
+    hot = hot_keys(df, keys, hot_rows)
+    rows = (W.unboundedPreceding, W.currentRow)
+    if hot is None:
+        return df.withColumn(out, F.last(value, ignorenulls=True).over(W.partitionBy(*keys).orderBy(*order).rowsBetween(*rows)))
+    sliced = with_slices(df, keys, position, width, hot).withColumn("_value", value)
+    local = sliced.withColumn("_local", F.last("_value", ignorenulls=True).over(W.partitionBy(*keys, SLICE).orderBy(*order).rowsBetween(*rows)))
+    # a slice without a value still needs what came before it
+    ends = sliced.where(F.col(SLICE).isNotNull()).groupBy(*keys, SLICE).agg(
         F.max_by("_value", F.when(F.col("_value").isNotNull(), F.struct(*order))).alias("_end"))
-    before = F.last("_end", ignorenulls=True).over(W.partitionBy(*keys).orderBy(SLICE).rowsBetween(W.unboundedPreceding, -1))
-    carried = spans.select(*[F.col(k).alias(f"_o_{k}") for k in keys], F.col(SLICE).alias("_o_slice"), before.alias("_before"))
-    match = [F.col(k).eqNullSafe(F.col(f"_o_{k}")) for k in keys] + [F.col(SLICE) == F.col("_o_slice")]
-    joined = local.join(carried, match, "left")
-    return joined.withColumn(out, F.coalesce("_local", "_before")).drop("_local", "_value", "_before", "_o_slice", SLICE, *[f"_o_{k}" for k in keys])
+    joined = _join_slices(local, ends, keys, F.last("_end", ignorenulls=True).over(_earlier(keys)))
+    return joined.withColumn(out, F.coalesce("_local", "_before")).drop("_local", "_value", "_before", SLICE)
 
 
 def previous(
     df: DataFrame, keys: list[str], order: list[str], value: Column, out: str, position: Column, width: int, hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """``value`` of the row before, per key: within a slice by a window, at the start of a slice from the slice before."""
-    sliced = with_slices(df, keys, position, width, hot_rows).withColumn("_value", value)
+    hot = hot_keys(df, keys, hot_rows)
+    if hot is None:
+        return df.withColumn(out, F.lag(value).over(W.partitionBy(*keys).orderBy(*order)))
+    sliced = with_slices(df, keys, position, width, hot).withColumn("_value", value)
     here = W.partitionBy(*keys, SLICE).orderBy(*order)
     local = sliced.withColumn("_local", F.lag("_value").over(here)).withColumn("_first", F.row_number().over(here) == 1)
     ends = sliced.where(F.col(SLICE).isNotNull()).groupBy(*keys, SLICE).agg(F.max_by("_value", F.struct(*order)).alias("_end"))
-    before = F.lag("_end").over(W.partitionBy(*keys).orderBy(SLICE))
-    carried = ends.select(*[F.col(k).alias(f"_o_{k}") for k in keys], F.col(SLICE).alias("_o_slice"), before.alias("_before"))
-    match = [F.col(k).eqNullSafe(F.col(f"_o_{k}")) for k in keys] + [F.col(SLICE) == F.col("_o_slice")]
-    joined = local.join(carried, match, "left").withColumn(out, F.when(F.col("_first"), F.col("_before")).otherwise(F.col("_local")))
-    return joined.drop("_local", "_first", "_value", "_before", "_o_slice", SLICE, *[f"_o_{k}" for k in keys])
+    joined = _join_slices(local, ends, keys, F.lag("_end").over(W.partitionBy(*keys).orderBy(SLICE)))
+    found = F.when(F.col("_first"), F.col("_before")).otherwise(F.col("_local"))
+    return joined.withColumn(out, found).drop("_local", "_first", "_value", "_before", SLICE)
 
 
 # --- spaced selection -------------------------------------------------------------------------------------------------
@@ -169,27 +187,31 @@ def _mark(gap: int):
 
 
 def keep_spaced(
-    df: DataFrame, key: str, position: Column, gap: int, cells: int = 256, first_at: int | None = None,
-    hot_rows: int = HOT_ROWS,
+    df: DataFrame, key: str, position: Column, gap: int, cells: int = 256, first_at: int | None = None, hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Distinct (key, position) with ``kept``: greedy selection of positions at least ``gap`` apart per key.
 
     ``position`` is a long. ``first_at`` is the smallest position that may be kept first (any when None); with it,
-    positions must not be negative and ``first_at`` must not exceed ``gap``. Equal positions of
-    a key are merged before the shuffle, since at most one of them can be kept. Keys below ``hot_rows`` are one slice.
-    Every pass reads its rows as sorted batches with constant state, so no group is ever held in memory.
+    positions must not be negative and ``first_at`` must not exceed ``gap``. Equal positions of a key are merged before the
+    shuffle, since at most one of them can be kept. Every pass reads its rows as sorted batches with constant state, so no
+    group is ever held in memory.
     """
     span = gap * cells
     points = df.select(F.col(key).alias("_key"), position.cast("long").alias("_pos")).where("_pos IS NOT NULL").distinct()
-    sliced = with_slices(points, ["_key"], F.col("_pos"), span, hot_rows)
     key_type = points.schema["_key"].dataType.simpleString()
-    ordered = sliced.repartition("_key", SLICE).sortWithinPartitions("_key", SLICE, "_pos")
-    chains = ordered.where(F.col(SLICE).isNotNull()).mapInArrow(_chains(gap, span), f"_key {key_type}, _slice bigint, _upto bigint, _last bigint")
-    walk = chains.repartition("_key").sortWithinPartitions("_key", SLICE, "_upto")
-    entries = walk.mapInArrow(_walk(gap, span, first_at), f"_key {key_type}, _slice bigint, _from bigint")
-    e = entries.select(F.col("_key").alias("_e_key"), F.col(SLICE).alias("_e_slice"), "_from")
-    joined = sliced.join(e, F.col("_key").eqNullSafe(F.col("_e_key")) & (F.col(SLICE) == F.col("_e_slice")), "left")
-    start = F.coalesce("_from", F.lit(first_at).cast("long"))
-    ready = joined.select("_key", SLICE, "_pos", start.alias("_from")).repartition("_key", SLICE).sortWithinPartitions("_key", SLICE, "_pos")
+    hot = hot_keys(df.select(F.col(key).alias("_key")), ["_key"], hot_rows)
+    start = F.lit(first_at).cast("long")
+    if hot is None:
+        ready = points.select("_key", F.lit(None).cast("long").alias(SLICE), "_pos", start.alias("_from"))
+        # partitioned by key alone, like the merge of equal positions needs anyway
+        ready = ready.repartition("_key").sortWithinPartitions("_key", "_pos")
+    else:
+        sliced = with_slices(points, ["_key"], F.col("_pos"), span, hot)
+        by_slice = sliced.where(F.col(SLICE).isNotNull()).repartition("_key", SLICE).sortWithinPartitions("_key", SLICE, "_pos")
+        chains = by_slice.mapInArrow(_chains(gap, span), f"_key {key_type}, _slice bigint, _upto bigint, _last bigint")
+        walk = chains.repartition("_key").sortWithinPartitions("_key", SLICE, "_upto")
+        entries = walk.mapInArrow(_walk(gap, span, first_at), f"_key {key_type}, _slice bigint, _from bigint")
+        joined = _join_slices(sliced, entries, ["_key"], F.col("_from")).withColumn("_from", F.coalesce("_before", start))
+        ready = joined.select("_key", SLICE, "_pos", "_from").repartition("_key", SLICE).sortWithinPartitions("_key", SLICE, "_pos")
     marked = ready.mapInArrow(_mark(gap), f"_key {key_type}, _slice bigint, _pos bigint, _from bigint, _kept boolean")
     return marked.select(F.col("_key").alias(key), F.col("_pos").alias("position"), F.col("_kept").alias("kept"))

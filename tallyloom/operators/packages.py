@@ -55,18 +55,16 @@ def format_packages(parsed: DataFrame, keep: list[str]) -> DataFrame:
         F.size(release_keys(p)).alias("total_versions"), last_versions(release_keys(p)).alias("available_versions"), download.alias("download_info"))
 
 
-def lookup(requested: DataFrame, packages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Requested names (package_name) against packages (name_key, ...): (found rows, error rows)."""
+def lookup(requested: DataFrame, packages: DataFrame) -> DataFrame:
+    """Requested names (package_name) joined to packages (name_key, ...), with ``error`` and ``error_type`` where none is found."""
     name = F.col("package_name")
     keyed = requested.withColumn("name_key", X.normal_package_name(name))
-    found = keyed.join(packages, "name_key")
-    missing = keyed.join(packages, "name_key", "left_anti")
-    invalid = F.col("name_key").isNull()
-    errors = missing.select(
-        F.when(invalid, F.concat(F.lit("Invalid package name: '"), F.coalesce(name, F.lit("None")), F.lit("'")))
-        .otherwise(F.concat(F.lit("Package '"), F.col("name_key"), F.lit("' not found on PyPI"))).alias("error"),
-        F.when(invalid, "InvalidPackageNameError").otherwise("PackageNotFoundError").alias("error_type"), "package_name")
-    return found, errors
+    joined = keyed.join(packages.withColumn("_found", F.lit(True)), "name_key", "left")
+    invalid, lost = F.col("name_key").isNull(), F.col("_found").isNull()
+    error = F.when(invalid, F.concat(F.lit("Invalid package name: '"), F.coalesce(name, F.lit("None")), F.lit("'"))).when(
+        lost, F.concat(F.lit("Package '"), F.col("name_key"), F.lit("' not found on PyPI")))
+    kind = F.when(invalid, "InvalidPackageNameError").when(lost, "PackageNotFoundError")
+    return joined.withColumn("error", error).withColumn("error_type", kind).drop("_found", "name_key")
 
 
 def presence(requested: DataFrame, installed: DataFrame, upgrade_lines: DataFrame, available: DataFrame) -> DataFrame:

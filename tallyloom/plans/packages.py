@@ -108,10 +108,7 @@ SELECT n.package_name, kk.name, kk.version, CASE WHEN kk.nk IS NOT NULL THEN NUL
 FROM n LEFT JOIN kk ON n.nk = kk.nk""")
 def k7(t: Tables):
     packages = table(t).select(X.normal_package_name(F.col("name")).alias("name_key"), "name", "version")
-    found, errors = P.lookup(t.part.select(F.expr(REQUEST).alias("package_name")), packages)
-    none = F.lit(None).cast("string")
-    return found.select("package_name", "name", "version", none.alias("error"), none.alias("error_type")).unionByName(
-        errors.select("package_name", none.alias("name"), none.alias("version"), "error", "error_type"))
+    return P.lookup(t.part.select(F.expr(REQUEST).alias("package_name")), packages)
 
 
 @query("j4_presence_status", """
