@@ -19,29 +19,35 @@ BRACE_LANGUAGES = ["java", "kotlin", "javascript", "typescript", "cpp", "rust"]
 LINE_ENDED = ["kotlin", "javascript", "typescript"]  # a line end may end a declaration
 COLUMNS = "path string, language string, kind string, name string, start_byte bigint, end_byte bigint, line_start bigint, line_end bigint, doc_comment string, is_extension boolean"
 
-# Token patterns. Possessive quantifiers keep long tokens from backtracking.
+# Token patterns. Possessive quantifiers keep long tokens from backtracking. Everything between the tokens that matter is
+# one run, so that a file gives few rows.
 COMMENT = r"/\*(?s:.*?)\*/|//[^\n]*+"
 PLAIN_STRING = r'"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"'
 CHAR = r"'(?:\\[^\n'][^\n']{0,8}|\\'|[^'\\\n])'"
-REST = r"[{};]|\n|[ \t\r\f]++|[^\s{};\"'`/#@A-Za-z0-9_]++|[A-Za-z0-9_]++|(?s:.)"
 STRINGS = {
     "java": rf'"""(?s:.*?)"""|{PLAIN_STRING}|{CHAR}',
     "kotlin": rf'"""(?s:.*?)"""|{PLAIN_STRING}|{CHAR}',
     "javascript": rf"{PLAIN_STRING}|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'|`[^`\\]*+(?:\\(?s:.)[^`\\]*+)*+`"
     r"|(?<=[=(,:\[!&|?;{}][ \t]{0,4})/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/",
-    "cpp": rf'R"(\w*)\((?s:.*?)\)\1"|{PLAIN_STRING}|{CHAR}',
-    "rust": rf'r(#*)"(?s:.*?)"\1|"[^"\\]*+(?:\\(?s:.)[^"\\]*+)*+"|{CHAR}',
+    "cpp": rf'(?<=R)"(\w*)\((?s:.*?)\)\1"|{PLAIN_STRING}|{CHAR}|#[^\n\\]*+(?:\\(?s:.)[^\n\\]*+)*+',
+    "rust": rf'(?<=\br)(#*)"(?s:.*?)"\1|"[^"\\]*+(?:\\(?s:.)[^"\\]*+)*+"|{CHAR}|#!?\[(?:[^\[\]]|\[[^\[\]]*\])*\]',
 }
 STRINGS["typescript"] = STRINGS["javascript"]
-BREAKS = {  # text that ends what stood before without being part of the next declaration
-    "cpp": r"(?m:^[ \t]*+#[^\n]*?(?:\\\n[^\n]*?)*$)|\b(?:public|private|protected)\s*:(?!:)",
-    "rust": r"#!?\[(?:[^\[\]]|\[[^\[\]]*\])*\]",
+LABEL = r"(?:public|private|protected)\s*:(?!:)\s*"
+OUTSIDE = {  # what stands before a declaration without being part of it
+    "javascript": r"^\s*(?:export\s+)?(?:default\s+)?", "typescript": r"^\s*(?:export\s+)?(?:default\s+)?", "cpp": rf"^\s*(?:{LABEL})*",
 }
+OUTSIDE_CLASS = rf"^\s*(?:{LABEL})*(?:template\s*<[^{{}};]*>\s*)?(?:(?:typedef|static|extern|friend|inline)\s+)*(?=(?:class|struct)\b)"
 
 
 def token_pattern(language: str) -> str:
-    parts = [COMMENT, STRINGS[language], BREAKS.get(language), REST]
-    return "|".join(p for p in parts if p)
+    own_line = r"\n|" if language in LINE_ENDED else ""
+    run = r"[^{};\"'`/#\n]++" if language in LINE_ENDED else r"[^{};\"'`/#]++"
+    return rf"{COMMENT}|{STRINGS[language]}|[{{}};]|{own_line}{run}|(?s:.)"
+
+
+def _newlines(text: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
 
 
 def _tokens(files: DataFrame) -> DataFrame:
@@ -49,63 +55,57 @@ def _tokens(files: DataFrame) -> DataFrame:
     for language in BRACE_LANGUAGES:
         arrays = arrays.when(F.col("language") == language, F.regexp_extract_all("content", F.lit(token_pattern(language)), F.lit(0)))
     df = files.where(F.col("language").isin(BRACE_LANGUAGES)).select("path", "language", F.posexplode(arrays).alias("pos", "tok"))
-    t = F.col("tok")
-    in_break = F.when(F.col("language") == "cpp", t.rlike(r"^[ \t]*#|^(?:public|private|protected)\s*:$")).when(
-        F.col("language") == "rust", t.rlike(r"^#!?\[")).otherwise(False)
+    t, head = F.col("tok"), F.substring("tok", 1, 1)
+    ends_what_stood = F.when(F.col("language") == "cpp", (head == "#") | t.rlike(rf"^\s*{LABEL}$")).when(
+        F.col("language") == "rust", t.startswith("#[") | t.startswith("#!["))
     kind = (
-        F.when(t.rlike(r"^/[/*]"), "comment")
-        .when(t.isin("{", "}", ";"), t)
-        .when(t == "\n", "line")
-        .when(t.rlike(r"^[ \t\r\f]+$"), "space")
-        .when(in_break, "break")
-        .when(t.rlike(r"""^(?:"|'|`|r#*"|R"|/.)"""), "string")
+        F.when(t.isin("{", "}", ";"), t)
+        .when(t.startswith("//") | t.startswith("/*"), "comment")
+        .when(t == "\n", F.when(F.col("language").isin(LINE_ENDED), "line").otherwise("space"))
+        .when(F.coalesce(ends_what_stood, F.lit(False)), "break")
+        .when(head.isin('"', "'", "`", "/", "#") & (F.length(t) > 1), "string")
+        .when(t.rlike(r"^\s+$"), "space")
         .otherwise("code")
     )
-    df = df.withColumn("kind", kind).withColumn("bytes", F.octet_length("tok")).withColumn("ends", F.length("tok") - F.length(F.replace("tok", F.lit("\n"), F.lit(""))))
-    before = W.partitionBy("path").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
-    df = df.withColumn("start", F.coalesce(F.sum("bytes").over(before), F.lit(0)))
-    df = df.withColumn("row", F.coalesce(F.sum("ends").over(before), F.lit(0)) + 1)
-    return df.where("kind <> 'space'")
+    return df.select("*", kind.alias("kind"), F.octet_length("tok").alias("bytes"), _newlines(t).alias("ends"))
 
 
 def _heads(tokens: DataFrame) -> DataFrame:
     """One row per declaration head or statement."""
     order = "PARTITION BY path ORDER BY pos"
-    shown = "CASE WHEN kind = 'code' THEN tok WHEN kind = 'string' THEN '\"\"' ELSE kind END"
-    df = tokens.withColumn("prev", F.expr(f"lag(CASE WHEN kind <> 'comment' THEN {shown} END) IGNORE NULLS OVER ({order})"))
-    df = df.withColumn("next", F.expr(f"lead(CASE WHEN kind NOT IN ('comment', 'line') THEN {shown} END) IGNORE NULLS OVER ({order})"))
-    goes_on = F.col("prev").rlike(r"(?:[,(=+*/&|<.:?\[-]|^line|^break|^[{};])$") | F.coalesce(F.col("next"), F.lit("")).rlike(r"^[{)\]=.?&|:,+*-]")
-    line_stop = (F.col("kind") == "line") & F.col("language").isin(LINE_ENDED) & F.col("prev").isNotNull() & ~goes_on
+    up_to = f"OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    # the last character of what stands before and the first of what comes after, comments and blanks aside
+    tail = "CASE WHEN kind = 'string' THEN '\"' WHEN kind = 'break' THEN ';' WHEN kind NOT IN ('comment', 'space') THEN right(rtrim(tok), 1) END"
+    lead = "CASE WHEN kind = 'string' THEN '\"' WHEN kind NOT IN ('comment', 'space', 'line') THEN left(ltrim(tok), 1) END"
+    df = tokens.select(
+        "*",
+        F.expr(f"coalesce(sum(bytes) {up_to}, 0)").alias("start"),
+        F.expr(f"coalesce(sum(ends) {up_to}, 0) + 1").alias("row"),
+        F.expr(f"coalesce(sum(CASE kind WHEN '{{' THEN 1 WHEN '}}' THEN -1 ELSE 0 END) {up_to}, 0)").alias("depth"),
+        F.expr(f"lag({tail}) IGNORE NULLS OVER ({order})").alias("prev"),
+        F.expr(f"lead({lead}) IGNORE NULLS OVER ({order})").alias("next"),
+    )
+    goes_on = F.col("prev").isin(*",(=+*/&|<.:?[-\n{};") | F.coalesce(F.col("next").isin(*"{)]=.?&|:,+*-"), F.lit(False))
+    line_stop = (F.col("kind") == "line") & F.col("prev").isNotNull() & ~goes_on
     stop = F.col("kind").isin("{", "}", ";", "break") | F.coalesce(line_stop, F.lit(False))
-    before = W.partitionBy("path").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
     df = df.withColumn("stop", stop)
-    df = df.withColumn("head", F.coalesce(F.sum(F.col("stop").cast("int")).over(before), F.lit(0)))
-    turn = F.when(F.col("kind") == "{", 1).when(F.col("kind") == "}", -1).otherwise(0)
-    df = df.withColumn("depth", F.coalesce(F.sum(turn).over(before), F.lit(0)))
+    df = df.withColumn("head", F.expr(f"coalesce(sum(int(stop)) {up_to}, 0)"))
     word = F.col("kind").isin("code", "string")
-    outer = F.col("language").isin("javascript", "typescript") & F.col("tok").isin("export", "default")
-    own = word & ~outer
-    spot = F.struct("pos", "start", "row")
-    piece = F.struct("pos", F.when(F.col("kind") == "string", '""').otherwise(F.col("tok")).alias("tok"), "start", "bytes")
+    shown = F.when(F.col("kind") == "string", '""').when(word, F.col("tok")).otherwise(" ")
     g = df.groupBy("path", "language", "head").agg(
         F.min("depth").alias("level"),
-        F.max(F.when(F.col("stop"), F.col("kind"))).alias("stop"),
-        F.max(F.when(F.col("stop"), F.struct("start", "row"))).alias("stop_at"),
-        F.min(F.when(own, spot)).alias("first"),
-        F.max(F.when(word, F.struct("pos", (F.col("start") + F.col("bytes")).alias("end"), (F.col("row") + F.col("ends")).alias("row")))).alias("last"),
-        F.min(F.when((F.col("language") == "cpp") & F.col("tok").isin("class", "struct"), spot)).alias("class_word"),
-        F.array_sort(F.collect_list(F.when(word, piece))).alias("words"),
+        F.max(F.when(F.col("stop"), F.struct("kind", "start", "row"))).alias("stop_at"),
+        F.min(F.when(word, F.struct("pos", "start", "row", "tok"))).alias("first"),
+        F.max(F.when(word, F.struct("pos", "start", "bytes", "row", "ends", "tok"))).alias("last"),
+        F.array_sort(F.collect_list(F.when(~F.col("stop"), F.struct("pos", shown.alias("tok"))))).alias("words"),
         F.array_sort(F.collect_list(F.when(F.col("kind") == "comment", F.struct("pos", "tok")))).alias("comments"),
-    ).where("first IS NOT NULL OR stop = '}' OR stop = '{'")
-    # words are joined as written: one space where the source had a gap
-    text = F.aggregate("words", F.struct(F.lit("").alias("s"), F.lit(-1).cast("bigint").alias("e")), lambda a, x: F.struct(
-        F.concat(a["s"], F.when((a["e"] >= 0) & (x["start"] > a["e"]), " ").otherwise(""), x["tok"]).alias("s"),
-        (x["start"] + x["bytes"]).cast("bigint").alias("e")), lambda a: a["s"])
-    lead = F.filter("comments", lambda c: c["pos"] < F.col("first.pos"))
-    wanted = F.filter(lead, lambda c: F.when(F.col("language").isin("java", "kotlin"), c["tok"].startswith("/*"))
+    ).where("first IS NOT NULL OR stop_at.kind IN ('{', '}')")
+    text = F.trim(F.regexp_replace(F.array_join(F.transform("words", lambda x: x["tok"]), ""), r"\s+", " "))
+    ahead = F.filter("comments", lambda c: c["pos"] < F.col("first.pos"))
+    wanted = F.filter(ahead, lambda c: F.when(F.col("language").isin("java", "kotlin"), c["tok"].startswith("/*"))
                       .when(F.col("language") == "rust", c["tok"].startswith("//")).otherwise(True))
     doc = F.array_join(F.transform(wanted, lambda c: c["tok"]), "\n")
-    return g.select("path", "language", "head", "level", "stop", "stop_at", "first", "last", "class_word", text.alias("text"), doc.alias("doc"))
+    return g.select("path", "language", "head", "level", F.col("stop_at.kind").alias("stop"), "stop_at", "first", "last", text.alias("text"), doc.alias("doc"))
 
 
 def _blocks(heads: DataFrame) -> DataFrame:
@@ -118,7 +118,7 @@ def _blocks(heads: DataFrame) -> DataFrame:
     df = df.withColumn("around", F.expr(f"last(CASE WHEN opens THEN coalesce(text, '') END, true) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"))
     df = df.withColumn("close", F.expr(f"lead(CASE WHEN NOT opens AND stop = '}}' THEN stop_at END) IGNORE NULLS OVER ({order})"))
     whole = df.groupBy("path", "language", "head").agg(
-        F.max(F.when(~F.col("opens"), F.struct("level", "stop", "stop_at", "first", "last", "class_word", "text", "doc", "around"))).alias("h"),
+        F.max(F.when(~F.col("opens"), F.struct("level", "stop", "stop_at", "first", "last", "text", "doc", "around"))).alias("h"),
         F.max(F.when(F.col("opens"), F.col("close"))).alias("close"))
     return whole.select("path", "language", "h.*", "close")
 
@@ -190,17 +190,24 @@ def brace_symbols(files: DataFrame) -> DataFrame:
     kept = F.get(F.filter(declared, lambda d: (d["class_name"] != "") | (d["method_name"] != "")), F.lit(0))
     df = df.where("first IS NOT NULL AND text <> ''").withColumn("d", kept).where("d IS NOT NULL").select("*", "d.*")
     is_class = F.col("class_name") != ""
-    begin = F.when(is_class & F.col("class_word").isNotNull(), F.col("class_word")).otherwise(F.col("first"))
-    with_mark = (F.col("stop") == ";") & ~F.col("language").isin("typescript", "javascript", "kotlin") & ~(is_class & (F.col("language") == "cpp"))
-    end = F.when(F.col("stop") == "{", F.col("close.start") + 1).when(with_mark, F.col("stop_at.start") + 1).otherwise(F.col("last.end"))
-    end_row = F.when(F.col("stop") == "{", F.col("close.row")).when(with_mark, F.col("stop_at.row")).otherwise(F.col("last.row"))
+    begin, cut = F.col("first"), F
+    for language, pattern in OUTSIDE.items():
+        if language == "cpp":
+            cut = cut.when((F.col("language") == "cpp") & is_class & begin["tok"].rlike(OUTSIDE_CLASS), F.regexp_extract(begin["tok"], OUTSIDE_CLASS, 0))
+        cut = cut.when(F.col("language") == language, F.regexp_extract(begin["tok"], pattern, 0))
+    cut = cut.otherwise(F.regexp_extract(begin["tok"], r"^\s*", 0))
+    rest = F.regexp_extract(F.col("last.tok"), r"\s*$", 0)
+    word_end, word_row = F.col("last.start") + F.col("last.bytes") - F.length(rest), F.col("last.row") + F.col("last.ends") - _newlines(rest)
+    with_mark = (F.col("stop") == ";") & ~F.col("language").isin(LINE_ENDED) & ~(is_class & (F.col("language") == "cpp"))
+    end = F.when(F.col("stop") == "{", F.col("close.start") + 1).when(with_mark, F.col("stop_at.start") + 1).otherwise(word_end)
+    end_row = F.when(F.col("stop") == "{", F.col("close.row")).when(with_mark, F.col("stop_at.row")).otherwise(word_row)
     # a block that is never closed reaches to the end of what is known of it
-    end, end_row = F.coalesce(end, F.col("last.end")), F.coalesce(end_row, F.col("last.row"))
+    end, end_row = F.coalesce(end, word_end), F.coalesce(end_row, word_row)
     return df.select(
         "path", "language", F.when(is_class, "class").otherwise("method").alias("kind"),
         F.when(is_class, F.col("class_name")).otherwise(F.col("method_name")).alias("name"),
-        begin["start"].cast("long").alias("start_byte"), end.cast("long").alias("end_byte"),
-        begin["row"].cast("long").alias("line_start"), end_row.cast("long").alias("line_end"),
+        (begin["start"] + F.octet_length(cut)).cast("long").alias("start_byte"), end.cast("long").alias("end_byte"),
+        (begin["row"] + _newlines(cut)).cast("long").alias("line_start"), end_row.cast("long").alias("line_end"),
         F.when(is_class, "").otherwise(F.col("doc")).alias("doc_comment"), (~is_class & F.col("is_extension")).alias("is_extension"))
 
 
