@@ -130,6 +130,8 @@ def _chains(gap: int, span: int):
                     if key is not None:
                         yield finish()
                     key, chains, start, prev = (k, s), [], s * span, None
+                elif p == prev:
+                    continue
                 done = 0
                 labels: list[int] = []
                 while done < len(chains) and chains[done][0] + gap <= p:
@@ -171,17 +173,19 @@ def _walk(gap: int, span: int, first_at: int | None):
 
 def _mark(gap: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, limit = None, None
+        key, limit, prev = None, None, None
         for batch in batches:
-            kept = []
+            kept, fresh = [], []
             for k, s, p, start in zip(*(batch.column(c).to_pylist() for c in ("_key", "_slice", "_pos", "_from"))):
                 if (k, s) != key:
-                    key, limit = (k, s), start
+                    key, limit, prev = (k, s), start, None
                 hit = limit is None or p >= limit
                 if hit:
                     limit = p + gap
                 kept.append(hit)
-            yield batch.append_column("_kept", pa.array(kept, pa.bool_()))
+                fresh.append(p != prev)
+                prev = p
+            yield batch.append_column("_kept", pa.array(kept, pa.bool_())).filter(pa.array(fresh, pa.bool_()))
 
     return run
 
@@ -192,18 +196,17 @@ def keep_spaced(
     """Distinct (key, position) with ``kept``: greedy selection of positions at least ``gap`` apart per key.
 
     ``position`` is a long. ``first_at`` is the smallest position that may be kept first (any when None); with it,
-    positions must not be negative and ``first_at`` must not exceed ``gap``. Equal positions of a key are merged before the
-    shuffle, since at most one of them can be kept. Every pass reads its rows as sorted batches with constant state, so no
-    group is ever held in memory.
+    positions must not be negative and ``first_at`` must not exceed ``gap``. Rows move once, by key and slice; equal positions
+    are merged where they meet. Every pass reads its rows as sorted batches with constant state, so no group is ever held in
+    memory.
     """
     span = gap * cells
-    points = df.select(F.col(key).alias("_key"), position.cast("long").alias("_pos")).where("_pos IS NOT NULL").distinct()
+    points = df.select(F.col(key).alias("_key"), position.cast("long").alias("_pos")).where("_pos IS NOT NULL")
     key_type = points.schema["_key"].dataType.simpleString()
     hot = hot_keys(df.select(F.col(key).alias("_key")), ["_key"], hot_rows)
     start = F.lit(first_at).cast("long")
     if hot is None:
         ready = points.select("_key", F.lit(None).cast("long").alias(SLICE), "_pos", start.alias("_from"))
-        # partitioned by key alone, like the merge of equal positions needs anyway
         ready = ready.repartition("_key").sortWithinPartitions("_key", "_pos")
     else:
         sliced = with_slices(points, ["_key"], F.col("_pos"), span, hot)

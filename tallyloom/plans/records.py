@@ -35,6 +35,15 @@ def s12(t: Tables):
                     *split_text(get("value")), F.array_contains(F.json_object_keys("record"), "value").alias("keeps_nulls"))
 
 
+# Records are cleaned whatever table library they come from.
+@query("s16_arrow_records", f"SELECT s_suppkey, {word_and_number('s_suppkey', 's_acctbal')} FROM supplier")
+def s16(t: Tables):
+    same = t.supplier.select("s_suppkey", F.expr(spoiled("s_suppkey", "s_acctbal")).alias("v")).mapInArrow(lambda batches: batches, "s_suppkey bigint, v double")
+    r = N.json_records(same)
+    get = lambda k: F.get_json_object("record", f"$.{k}")
+    return r.select(get("s_suppkey").cast("long").alias("s_suppkey"), *split_text(get("v")))
+
+
 @query("s12_json_records_wide", f"""
 SELECT l_orderkey, l_partkey, l_suppkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, {word_and_number('l_partkey', 'l_tax')} FROM lineitem""")
 def s12_wide(t: Tables):

@@ -66,3 +66,14 @@ def t6(t: Tables):
     build = lambda stream: SS.cache_stream(stream, seconds=21600, delay="8 days")
     out = S.run_arrivals(t.events.select("user_id", "ts"), "ts", DAYS[1:2], "cache", build, "append", lambda b: b)
     return S.written(t.spark, out, "user_id bigint, position bigint, hit boolean").drop("batch")
+
+
+@query("s5_log_stream_source", """
+SELECT doc_id AS job_id, CAST(ceil(strlen(text) / 4096.0) AS BIGINT) AS chunks, CAST(strlen(text) AS BIGINT) AS bytes FROM documents""")
+def s5(t: Tables):
+    chunks = J.cut_chunks(t.documents.select(F.col("doc_id").alias("job_id"), "text"), size=4096)
+    folder = S.arriving(chunks, "chunk_no", [2], "log")
+    stream = S.read_stream(t.spark, folder, chunks.schema, files=4).select("job_id", F.octet_length("bytes").alias("size"))
+    out = S.run_to_end(stream, "append", "log-sizes", lambda b: b.groupBy("job_id").agg(F.count("*").alias("n"), F.sum("size").alias("size")))
+    rows = S.written(t.spark, out, "job_id bigint, n bigint, size bigint")
+    return rows.groupBy("job_id").agg(F.sum("n").alias("chunks"), F.sum("size").alias("bytes"))
