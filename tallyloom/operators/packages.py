@@ -59,12 +59,15 @@ def lookup(requested: DataFrame, packages: DataFrame) -> DataFrame:
     """Requested names (package_name) joined to packages (name_key, ...), with ``error`` and ``error_type`` where none is found."""
     name = F.col("package_name")
     keyed = requested.withColumn("name_key", X.normal_package_name(name))
-    joined = keyed.join(packages.withColumn("_found", F.lit(True)), "name_key", "left")
-    invalid, lost = F.col("name_key").isNull(), F.col("_found").isNull()
-    error = F.when(invalid, F.concat(F.lit("Invalid package name: '"), F.coalesce(name, F.lit("None")), F.lit("'"))).when(
-        lost, F.concat(F.lit("Package '"), F.col("name_key"), F.lit("' not found on PyPI")))
-    kind = F.when(invalid, "InvalidPackageNameError").when(lost, "PackageNotFoundError")
-    return joined.withColumn("error", error).withColumn("error_type", kind).drop("_found", "name_key")
+    valid = keyed.where("name_key IS NOT NULL").join(packages.withColumn("_found", F.lit(True)), "name_key", "left")
+    error = F.when(F.col("_found").isNull(), F.concat(F.lit("Package '"), F.col("name_key"), F.lit("' not found on PyPI")))
+    kind = F.when(F.col("_found").isNull(), "PackageNotFoundError")
+    answered = valid.withColumn("error", error).withColumn("error_type", kind).drop("_found", "name_key")
+    # names without a key go around the join, where they would all meet in one task
+    invalid = keyed.where("name_key IS NULL").drop("name_key").withColumn(
+        "error", F.concat(F.lit("Invalid package name: '"), F.coalesce(name, F.lit("None")), F.lit("'"))).withColumn(
+        "error_type", F.lit("InvalidPackageNameError"))
+    return answered.unionByName(invalid, allowMissingColumns=True)
 
 
 def presence(requested: DataFrame, installed: DataFrame, upgrade_lines: DataFrame, available: DataFrame) -> DataFrame:

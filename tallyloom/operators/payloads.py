@@ -197,8 +197,8 @@ def config_entries(configs: DataFrame) -> DataFrame:
 
 def fill_placeholders(entries: DataFrame, environment: DataFrame) -> DataFrame:
     """``${NAME}`` values are looked up in environment (name, env_value); names that are missing give empty text."""
-    name = F.nullif(F.regexp_extract("value", r"^\$\{(.*)\}$", 1), F.lit(""))
-    tagged = entries.withColumn("name", name).withColumn("is_ref", F.col("value").rlike(r"(?s)^\$\{.*\}$"))
-    joined = tagged.join(environment, "name", "left")
-    filled = F.when(F.col("is_ref"), F.coalesce("env_value", F.lit(""))).otherwise(F.col("value"))
-    return joined.select("config_id", "server", "key", filled.alias("value"))
+    is_ref = F.coalesce(F.col("value").rlike(r"(?s)^\$\{.*\}$"), F.lit(False))
+    plain = entries.where(~is_ref)  # goes around the join, where it would all meet in one task
+    refs = entries.where(is_ref).withColumn("name", F.regexp_extract("value", r"(?s)^\$\{(.*)\}$", 1))
+    filled = refs.join(environment, "name", "left").withColumn("value", F.coalesce("env_value", F.lit("")))
+    return plain.select("config_id", "server", "key", "value").unionByName(filled.select("config_id", "server", "key", "value"))

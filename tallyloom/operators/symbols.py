@@ -28,9 +28,9 @@ STRINGS = {
     "java": rf'"""(?s:.*?)"""|{PLAIN_STRING}|{CHAR}',
     "kotlin": rf'"""(?s:.*?)"""|{PLAIN_STRING}|{CHAR}',
     "javascript": rf"{PLAIN_STRING}|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'|`[^`\\]*+(?:\\(?s:.)[^`\\]*+)*+`"
-    r"|(?<=[=(,:\[!&|?;{}][ \t]{0,4})/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/",
+    r"|(?<=[=(,:\[!&|?;{}][ \t]{0,4})/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*+\]|[^/\\\n\[])++/",
     "cpp": rf'(?<=R)"(\w*)\((?s:.*?)\)\1"|{PLAIN_STRING}|{CHAR}|#[^\n\\]*+(?:\\(?s:.)[^\n\\]*+)*+',
-    "rust": rf'(?<=\br)(#*)"(?s:.*?)"\1|"[^"\\]*+(?:\\(?s:.)[^"\\]*+)*+"|{CHAR}|#!?\[(?:[^\[\]]|\[[^\[\]]*\])*\]',
+    "rust": rf'(?<=\br)(#*)"(?s:.*?)"\1|"[^"\\]*+(?:\\(?s:.)[^"\\]*+)*+"|{CHAR}|#!?\[(?:[^\[\]]++|\[[^\[\]]*+\])*+\]',
 }
 STRINGS["typescript"] = STRINGS["javascript"]
 OUTSIDE = {  # what stands before a declaration without being part of it

@@ -37,8 +37,10 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def work_folder(spark: SparkSession, label: str) -> str:
-    """A new folder below the cluster's shared checkpoint folder; a local one only where none is configured."""
+    """A new folder below the cluster's shared checkpoint folder; a local one only in local mode without such a folder."""
     base = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY, None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
     if not base:
         base = os.path.join(tempfile.gettempdir(), f"tallyloom-{os.getpid()}")
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"

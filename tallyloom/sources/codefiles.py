@@ -30,9 +30,16 @@ def code_files(paths: DataFrame, root: str) -> DataFrame:
     return kept.withColumn("language", X.language_of(F.col("path"))).where("language <> 'unknown'")
 
 
+def suffix_glob() -> str:
+    """File-name pattern of all known suffixes in any case, so that other files are dropped while listing, unread."""
+    any_case = lambda suffix: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in suffix)
+    return "*{" + ",".join(any_case(s) for s in X.LANGUAGE_BY_SUFFIX) + "}"
+
+
 def scan_code_files(spark: SparkSession, root: str) -> DataFrame:
     """(path, language, content) of the code files below root, read in parallel. A root that does not exist is an error."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "content")
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", suffix_glob())
+    raw = reader.load(root).select("path", "content")
     plain = raw.withColumn("path", F.regexp_replace("path", r"^file:/+", "/"))
     return code_files(plain, root).select("path", "language", "content")
 

@@ -183,3 +183,25 @@ def test_class_members_cover_nested_classes(spark):
     assert got[("g.py", "B")] == ["inner", "nested"]
     assert got[("A.java", "Outer")] == ["Outer", "toString", "later"]
     assert got[("A.java", "Inner")] == ["toString"]
+
+
+def test_very_long_tokens_are_handled(spark):
+    n = 200_000
+    files = {
+        "min.js": ("javascript", "var a = /" + "x" * n + "\nvar b = '" + "\\'" * n + "';\n" + "// c\n" * 3000 + "function f() { }\n"),
+        "attr.rs": ("rust", "#[doc(" + "y " * n + ")]\n/* " + "z\n" * n + "*/\nfn g() { }\n"),
+        "data.cpp": ("cpp", "int t[] = { " + "1, " * n + "};\n#define X " + "q \\\n" * 3000 + "\nint h() { return 1; }\n"),
+        "text.java": ("java", 'class A { String s = """\n' + 'w "{" \n' * n + '"""; void k() { } }\n'),
+        "deep.ts": ("typescript", "class B {\n" + "  // note\n" * 4000 + "  m(): void { " + "{" * 300 + "}" * 300 + " }\n}\n"),
+    }
+    df = spark.createDataFrame([(p, l, c) for p, (l, c) in files.items()], "path string, language string, content string")
+    found = S.with_source(S.with_owner(S.extract(df)[0]), df).collect()
+    got = {(r.path, r.kind, r.name): (r.line_start, r.line_end) for r in found}
+    assert got[("min.js", "method", "f")] == (3003, 3003)
+    assert got[("attr.rs", "method", "g")] == (n + 3, n + 3)
+    assert got[("data.cpp", "method", "h")] == (3003, 3003)
+    assert got[("text.java", "method", "k")] == (n + 2, n + 2)
+    assert got[("deep.ts", "method", "m")] == (4002, 4002)
+    assert len(got) == 7
+    for r in found:
+        assert r.source == files[r.path][1][r.start_byte:r.end_byte]
