@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
@@ -33,9 +35,16 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Runtime settings every job relies on. Nothing here changes how the cluster sizes or schedules work."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
+    ship_package()
     return spark
 
 
+def ship_package() -> None:
+    """Sends functions of this package to Python workers by value, so that workers need not be able to import it: also the
+    worker that sets up stream state, which does not see files added to the session."""
+    cloudpickle.register_pickle_by_value(sys.modules["tallyloom"])
+
+
 def work_folder(spark: SparkSession, label: str) -> str:
     """A new folder below the cluster's shared checkpoint folder; a local one only in local mode without such a folder."""
     base = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY, None)
