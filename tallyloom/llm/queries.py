@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm import language, mixing, packing, tokencount, toxicity, warc
+from tallyloom.llm import language, mixing, neardup, packing, tokencount, toxicity, warc
 from tallyloom.llm.common import HELD_OUT, fold
 from tallyloom.plans.base import Tables
 
@@ -29,6 +29,26 @@ def op1(t: Tables) -> DataFrame:
     return mixing.mix_report(t.documents)
 
 
+@query("op2_near_duplicates", """
+    WITH RECURSIVE w AS (
+        SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+            'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS words FROM documents),
+    s AS (
+        SELECT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+            ELSE list_distinct([array_to_string(words[i:i+4], ' ') for i in range(1, len(words) - 3)]) END) AS shingle FROM w),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+    p AS (
+        SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+    e AS (
+        SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * both >= 85 * (x.n + y.n - both)),
+    r(doc_id, reach) AS (
+        SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.reach),
+    c AS (SELECT doc_id, min(reach) AS component_id FROM r GROUP BY 1)
+    SELECT doc_id, coalesce(n.n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)""")
+def op2(t: Tables) -> DataFrame:
+    return neardup.near_duplicates(t.documents)
+
+
 @query("op3_toxicity")
 def op3(t: Tables) -> DataFrame:
     model = toxicity.train(*toxicity.sample(t.documents, t.labels))
