@@ -179,14 +179,16 @@ def place(pieces: DataFrame, limit: int = LIMIT, group: int = GROUP) -> DataFram
     )
 
 
-def pack_documents(docs: DataFrame, path: str, limit: int = LIMIT, group: int = GROUP, end_id: int = END_ID) -> DataFrame:
-    """Pieces of ``docs`` (doc_id, text, any other columns) with ids, sequence_id and offset; no rows for an empty table."""
+def pack_documents(docs: DataFrame, path: str, limit: int = LIMIT, group: int = GROUP, end_id: int = END_ID) -> tuple[DataFrame, DataFrame]:
+    """(pieces, places) of ``docs`` (doc_id, text, any other columns), both written: ``tokenize`` with the ids, and where
+    ``place`` puts each piece. They join on row_id and piece; both are empty for an empty table."""
     pieces = stash(tokenize(docs, path, limit, end_id), "pieces")
-    return pieces.join(stash(place(pieces, limit, group), "places"), ["row_id", "piece"])
+    return pieces, stash(place(pieces, limit, group), "places")
 
 
-def sequences(packed: DataFrame) -> DataFrame:
+def sequences(pieces: DataFrame, places: DataFrame) -> DataFrame:
     """sequence_id, length and ids of each whole sequence; a sequence has at most ``limit`` ids."""
     parts = F.array_sort(F.collect_list(F.struct("offset", "ids")))
     joined = F.aggregate(parts, F.lit(b""), lambda done, part: F.concat(done, part["ids"]))
+    packed = pieces.join(places, ["row_id", "piece"])
     return packed.groupBy("sequence_id").agg(F.sum("length").alias("length"), joined.alias("ids"))

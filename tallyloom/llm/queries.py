@@ -86,5 +86,6 @@ def op8(t: Tables) -> DataFrame:
 
 @query("op9_pack")
 def op9(t: Tables) -> DataFrame:
-    packed = packing.pack_documents(t.documents, public_tokenizers.path("word_bpe_49k.json"))
-    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+    pieces, places = packing.pack_documents(t.documents, public_tokenizers.path("word_bpe_49k.json"))
+    digest = pieces.select("row_id", "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return digest.join(places, ["row_id", "piece"]).drop("row_id")
