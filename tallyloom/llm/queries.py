@@ -6,10 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm import language, mixing, neardup, packing, tokencount, toxicity, warc
+from tallyloom.llm import language, mixing, neardup, packing, pii, tokencount, toxicity, warc
 from tallyloom.llm.common import HELD_OUT, fold
 from tallyloom.plans.base import Tables
 
+#: The key of the registered query; who uses the operator passes one that is kept secret.
+KEY = "public example key"
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -57,6 +59,11 @@ def op3(t: Tables) -> DataFrame:
         (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+@query("op4_pseudonyms")
+def op4(t: Tables) -> DataFrame:
+    return pii.protect(t.documents.select("doc_id", "text"), KEY)
+
+
 @query("op6_token_counts")
 def op6(t: Tables) -> DataFrame:
     docs = t.documents.select("doc_id", "text")
