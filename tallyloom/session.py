@@ -35,6 +35,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Runtime settings every job relies on. Nothing here changes how the cluster sizes or schedules work."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))  # long texts: rows alone don't bound a batch
     ship_package()
     return spark
 
