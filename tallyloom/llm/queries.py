@@ -40,9 +40,9 @@ def op1(t: Tables) -> DataFrame:
             ELSE list_distinct([array_to_string(words[i:i+4], ' ') for i in range(1, len(words) - 3)]) END) AS shingle FROM w),
     n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
     p AS (
-        SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+        SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2),
     e AS (
-        SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * both >= 85 * (x.n + y.n - both)),
+        SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 85 * (x.n + y.n - common)),
     r(doc_id, reach) AS (
         SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.reach),
     c AS (SELECT doc_id, min(reach) AS component_id FROM r GROUP BY 1)

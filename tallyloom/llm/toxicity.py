@@ -65,9 +65,9 @@ def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> tuple[list
     return [(r["text"], int(r["toxic"])) for r in rows.collect()], float(share)
 
 
-def train(rows: list[tuple[str, int]], share: float | None = None) -> Model:
-    """Model of (text, toxic) rows; with one label only, a constant. ``share`` of toxic texts where the model is to be used,
-    if it isn't that of the rows."""
+def train(rows: list[tuple[str, int]], prevalence: float | None = None) -> Model:
+    """Model of (text, toxic) rows; with one label only, a constant. ``prevalence`` is the share of toxic texts where
+    the model is to be used, if it isn't that of the rows."""
     rows = sorted(rows, key=lambda r: (r[1], r[0]))
     labels = np.array([y for _, y in rows])
     if len(set(labels.tolist())) < 2:
@@ -125,8 +125,8 @@ def train(rows: list[tuple[str, int]], share: float | None = None) -> Model:
             table[touched] = moved * known[touched, None]
     logits = tops(0.0)[1]
     slope, shift = calibrate(logits, labels)
-    if share:
-        shift += odds(min(share, 0.99)) - odds(labels.mean())
+    if prevalence:
+        shift += odds(min(prevalence, 0.99)) - odds(labels.mean())
     return Model((table @ (soft[:, 1] - soft[:, 0])).astype(np.float32), float(bias[1] - bias[0]), slope, shift)
 
 
