@@ -56,7 +56,7 @@ class Memo(dict):
 class WordRows:
     """Numbers of words, ``width`` of them each, computed a block of new words at a time and kept in one bounded table."""
 
-    def __init__(self, fill: Callable[[list[str]], np.ndarray], width: int, limit: int = 500_000, block: int = 50_000, kind=np.float32):
+    def __init__(self, fill: Callable[[list[str]], np.ndarray], width: int, limit: int = 200_000, block: int = 20_000, kind=np.float32):
         self.fill, self.limit, self.block, self.known = fill, limit, block, {}
         self.table = np.zeros((limit + block, width), kind)
 

@@ -52,8 +52,8 @@ def sketch(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
                 sets = [shingler.of(t) for t in part.column(1).to_pylist()]
                 full = [k for k, s in enumerate(sets) if len(s)]
                 out: list[list] = [part.column(0), [None] * len(sets), [len(s) for s in sets], [None] * len(sets), [None] * len(sets)]
