@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm import language, mixing, neardup, packing, pii, tokencount, toxicity, warc
+from tallyloom.llm import language, mixing, neardup, packing, pii, tokencount, toxicity, vectors, warc
 from tallyloom.llm.common import HELD_OUT, fold
 from tallyloom.plans.base import Tables
 
@@ -34,7 +34,7 @@ def op1(t: Tables) -> DataFrame:
 @query("op2_near_duplicates", """
     WITH RECURSIVE w AS (
         SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-            'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS words FROM documents),
+            'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
     s AS (
         SELECT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
             ELSE list_distinct([array_to_string(words[i:i+4], ' ') for i in range(1, len(words) - 3)]) END) AS shingle FROM w),
@@ -96,3 +96,18 @@ def op9(t: Tables) -> DataFrame:
     pieces, places = packing.pack_documents(t.documents, public_tokenizers.path("word_bpe_49k.json"))
     digest = pieces.select("row_id", "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     return digest.join(places, ["row_id", "piece"]).drop("row_id")
+
+
+@query("op10_near_vectors", """
+    WITH RECURSIVE v AS (
+        SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+    u AS (SELECT vec_id, label, x, sqrt(list_sum(list_transform(x, lambda c: c * c))) AS norm FROM v),
+    e AS (
+        SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id
+        WHERE a.norm > 0 AND b.norm > 0 AND list_dot_product(a.x, b.x) / (a.norm * b.norm) >= 0.93),
+    r(vec_id, reach) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.vec_id, e.b FROM r JOIN e ON e.a = r.reach),
+    c AS (SELECT vec_id, min(reach) AS component_id FROM r GROUP BY 1),
+    n AS (SELECT a AS vec_id, count(*) AS n FROM e GROUP BY 1)
+    SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)""")
+def op10(t: Tables) -> DataFrame:
+    return vectors.near_vectors(t.embeddings)
