@@ -203,3 +203,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return rows.select("doc_id", "n_shingles").join(found, F.col("doc_id") == F.col("id"), "left").select(
         "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def deduplicate(docs: DataFrame) -> DataFrame:
+    """One row of ``docs`` per group of near duplicates, the one with the smallest doc_id, with all its columns. Where rows
+    share that doc_id, the smallest of them stays; rows without a doc_id all stay."""
+    found = stash(near_duplicates(docs).select("doc_id", "kept").where("doc_id is not null"), "kept")
+    dropped = found.where("not kept").select("doc_id").distinct()
+    repeated = found.where("kept").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    once = docs.join(dropped.union(repeated), "doc_id", "left_anti").select(*docs.columns)
+    one = docs.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("doc"))
+    return once.union(one.select("doc.*"))

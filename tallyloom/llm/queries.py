@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm import language, mixing, neardup, packing, pii, tokencount, toxicity, vectors, warc
+from tallyloom.llm import language, mixing, neardup, packing, pii, search, tokencount, toxicity, vectors, warc
 from tallyloom.llm.common import HELD_OUT, fold
 from tallyloom.plans.base import Tables
 
@@ -35,10 +35,11 @@ def op1(t: Tables) -> DataFrame:
     WITH RECURSIVE w AS (
         SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
             'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
-    s AS (
+    f AS (
         SELECT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
             ELSE list_distinct([array_to_string(words[i:i+4], ' ') for i in range(1, len(words) - 3)]) END) AS shingle FROM w),
-    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+    n AS (SELECT doc_id, count(*) AS n FROM f GROUP BY 1),
+    s AS (SELECT doc_id, hash(shingle) AS shingle FROM f QUALIFY count(*) OVER (PARTITION BY hash(shingle)) > 1),
     p AS (
         SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2),
     e AS (
@@ -64,6 +65,25 @@ def op4(t: Tables) -> DataFrame:
     return pii.protect(t.documents.select("doc_id", "text"), KEY)
 
 
+@query("op5_search", """
+    WITH w AS (
+        SELECT doc_id, unnest(list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+            'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS word FROM documents),
+    tf AS (SELECT doc_id, word, count(*) AS tf FROM w GROUP BY 1, 2),
+    dl AS (SELECT doc_id, sum(tf) AS dl FROM tf GROUP BY 1),
+    c AS (SELECT count(*) AS n, (SELECT sum(dl) FROM dl) / count(*) AS average FROM documents),
+    idf AS (SELECT word, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tf, c GROUP BY word, n),
+    s AS (
+        SELECT q.doc_id AS query_id, d.doc_id, sum(idf * d.tf * 2.2 / (d.tf + 1.2 * (0.25 + 0.75 * dl / average))) AS score
+        FROM tf q JOIN tf d ON q.word = d.word JOIN idf ON idf.word = q.word JOIN dl ON dl.doc_id = d.doc_id, c
+        WHERE q.doc_id % 100 = 0 GROUP BY 1, 2),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s)
+    SELECT query_id, rank::INTEGER AS rank, doc_id, round(score, 6) AS score FROM r WHERE rank <= 10""")
+def op5(t: Tables) -> DataFrame:
+    docs = t.documents.select("doc_id", "text")
+    return search.search(docs, docs.where("doc_id % 100 = 0")).withColumn("score", F.round("score", 6))
+
+
 @query("op6_token_counts")
 def op6(t: Tables) -> DataFrame:
     docs = t.documents.select("doc_id", "text")
