@@ -16,7 +16,7 @@ from tallyloom.llm.common import WORD, stash
 
 EPOCHS = 3.0
 #: Bits of the hash that make a bucket: a bucket holds so small a part of its source.
-BUCKET_BITS = 16
+BUCKET_BITS = 12
 TOP, BOTTOM = (1 << 63) - 1, -(1 << 63)
 
 
