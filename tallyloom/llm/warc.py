@@ -1,6 +1,7 @@
 """Web archives: writing pages as WARC records, reading them back, and capture histories by an external index merge.
 
-Records are UTF-8 text, so Spark's own text writer writes the archives and its commit protocol covers lost executors. They
+Records are UTF-8 text, so Spark's own text writer writes the archives, compressed, and its commit protocol covers lost
+executors. They
 are read as whole files of bounded size and parsed by Content-Length, payloads may hold anything. The index entries of an
 archive, sorted by URL key and time, are one run; runs are merged per range of keys by a loser tree.
 """
@@ -9,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -82,7 +84,7 @@ def record(row: DataFrame) -> DataFrame:
 def write_archives(pages: DataFrame, per_file: int = PER_FILE) -> str:
     """Writes a record per page and returns the folder of the archives, below the shared checkpoint folder."""
     folder = work_folder(pages.sparkSession, "warc")
-    record(with_decisions(pages)).write.option("lineSep", END).option("maxRecordsPerFile", per_file).text(folder)
+    record(with_decisions(pages)).write.option("lineSep", END).option("maxRecordsPerFile", per_file).option("compression", "gzip").text(folder)
     return folder
 
 
@@ -121,7 +123,7 @@ def read_index(spark, folder: str) -> DataFrame:
         for batch in batches:
             for path, archive in zip(batch.column(0), batch.column(1)):
                 entries = []
-                for headers, payload in parse(archive.as_buffer().to_pybytes()):
+                for headers, payload in parse(zlib.decompress(archive.as_buffer(), wbits=31)):
                     kind = headers[b"WARC-Type"].decode()
                     digest = headers[b"WARC-Payload-Digest"].removeprefix(b"sha1:").decode()
                     if kind == "response" and hashlib.sha1(payload).hexdigest() != digest:
