@@ -44,10 +44,11 @@ def token_counter(path: str):
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = load(path)
         whole = whole_units(model)
+        blank = len(model.encode("a ")) - len(model.encode("a"))  # a last blank; the library gives nothing for an empty text
 
         def lengths(units: list[str]) -> list[int]:
             rest = [u for u in units if u not in whole]
-            known = dict(zip(rest, map(len, model.encode([u[1:] for u in rest], num_threads=1))))
+            known = dict(zip(rest, map(len, model.encode([u[1:] for u in rest], num_threads=1)))) | {" ": blank}
             return [known.get(u, 1) for u in units]
 
         memo, runs = Memo(lengths), re.compile(" +[^ ]*")

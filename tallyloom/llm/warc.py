@@ -61,14 +61,14 @@ def record(row: DataFrame) -> DataFrame:
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     at = F.timestamp_seconds(F.lit(EPOCH) + F.coalesce("page_id", F.lit(0)) * 60)
     uri = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
-    target = F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]+", "%0A")
+    target = F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]+", "%0A")  # a header is one line
     return row.select(F.concat(
         F.lit("WARC/1.1\r\n"),
         line("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
         line("WARC-Record-ID", uri(F.col("page_id"))),
         line("WARC-Date", F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'")),
         line("WARC-Target-URI", target),
-        line("WARC-URL-Key", url_key(F.col("url"))),
+        line("WARC-URL-Key", url_key(target)),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "payload_digest")),
         F.when(revisit, F.concat(
             line("WARC-Refers-To", uri(F.col("refers_to"))),
