@@ -27,14 +27,14 @@ def parse_range(text: str) -> tuple[int, int, int | None, bool]:
     return int(back or 0), lo, hi, False
 
 
-def history(lines: DataFrame, session: str, order: str, ranges: list[str], hot_rows: int = ordered.HOT_ROWS) -> DataFrame:
+def history(lines: DataFrame, session: str, order: str, ranges: list[str]) -> DataFrame:
     """Lines of every range, labelled ``span``. Only the sessions the ranges reach are read on and numbered."""
     parsed = {text: parse_range(text) for text in ranges}
     deepest = max(back for back, *_ in parsed.values())
     newest = lines.select(session).distinct().orderBy(F.desc(session)).limit(deepest + 1)
     back = F.row_number().over(W.orderBy(F.desc(session))) - 1  # over deepest + 1 rows only
     mine = lines.join(F.broadcast(newest.select(session, back.alias("back"))), session)
-    numbered = ordered.ordinal(mine, [session], [order], "line_no", F.col(order), 1_000_000, hot_rows)
+    numbered = ordered.ordinal(mine, [session], [order], "line_no")
     ends = mine.groupBy(session).agg(F.max(order).alias("_end"))
     numbered = numbered.join(F.broadcast(ends), session)  # deepest + 1 rows
     wanted = F.array(*[

@@ -39,9 +39,9 @@ def artifacts(listing: DataFrame) -> DataFrame:
     return files.where("kind IS NOT NULL").groupBy("job_id", "kind", "path").agg(F.min("pos").alias("pos"), F.sum("length").alias("size"))
 
 
-def artifact_order(found: DataFrame, hot_rows: int = ordered.HOT_ROWS) -> DataFrame:
+def artifact_order(found: DataFrame) -> DataFrame:
     """Artifacts of each job and kind, numbered as first seen."""
-    return ordered.ordinal(found, ["job_id", "kind"], ["pos", "path"], "n", F.col("pos"), 100_000, hot_rows)
+    return ordered.ordinal(found, ["job_id", "kind"], ["pos", "path"], "n")
 
 
 def first_artifacts(found: DataFrame, jobs: DataFrame) -> DataFrame:
@@ -110,7 +110,7 @@ def log_page(requests: DataFrame, logs: DataFrame) -> DataFrame:
     return paged.select("job_id", X.decode_utf8_ignore(F.col("page")).alias("text"), (F.col("from_byte") + F.octet_length("page")).alias("nextOffset"))
 
 
-def assemble_lines(chunks: DataFrame, hot_rows: int = ordered.HOT_ROWS) -> DataFrame:
+def assemble_lines(chunks: DataFrame) -> DataFrame:
     """Byte chunks (job_id, chunk_no, bytes) -> complete lines (job_id, line_no, line); an unended last line is left out.
 
     The number of line ends before a chunk gives the number of its first line. Lines inside one chunk go straight out;
@@ -119,7 +119,7 @@ def assemble_lines(chunks: DataFrame, hot_rows: int = ordered.HOT_ROWS) -> DataF
     """
     pieces = F.split(F.decode("bytes", "ISO-8859-1"), "\n", -1)
     cut = chunks.select("job_id", "chunk_no", pieces.alias("pieces")).withColumn("breaks", (F.size("pieces") - 1).cast("long"))
-    numbered = ordered.running_total(cut, ["job_id"], ["chunk_no"], F.col("breaks"), "base", F.col("chunk_no"), 10_000, hot_rows, inclusive=False)
+    numbered = ordered.running_total(cut, ["job_id"], ["chunk_no"], F.col("breaks"), "base", inclusive=False)
     parts = numbered.select("job_id", "chunk_no", "breaks", "base", F.posexplode("pieces").alias("pos", "piece"))
     parts = parts.withColumn("line_no", F.col("base") + F.col("pos") + 1)
     inside = (F.col("pos") > 0) & (F.col("pos") < F.col("breaks"))

@@ -1,11 +1,9 @@
 """Order-dependent operators per key that stay parallel when one key holds a large share of all rows.
 
-A window partitioned by key puts a whole key into one task. Here keys with more than ``hot_rows`` rows are cut into slices
-along the order (a deterministic function of the position, so a recomputed task cuts the same way); all other keys form
-one slice. Work inside slices runs in parallel, and only one small summary row per slice is processed per key.
-
-Whether there are hot keys at all is asked once, by a count per key that reads only the key columns and answers yes or no.
-Without any, the plan is a single window. The answer decides about speed only; results are the same either way.
+A window partitioned by key puts a whole key into one task. Here rows are dealt into ranges of (key, order) of about equal
+size, whatever the keys are, and written once; the part of a key in one range is a slice. Work inside slices runs in
+parallel, and only one small summary row per slice is processed per key. There is one plan for all sizes: a key in a single
+range simply has one slice. Null keys, positions and values are rows like others; nulls come first in the order.
 """
 
 from __future__ import annotations
@@ -15,23 +13,17 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-HOT_ROWS = 2_000_000  # rows of one key that a single task may handle in order
-SLICE = "_slice"
-
+from tallyloom.session import stash
 
-def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
-    """Keys above ``hot_rows``, or None. There are at most total_rows / hot_rows of them, so they are safe to broadcast."""
-    found = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_rows).select(*keys, F.lit(True).alias("_hot"))
-    return None if found.isEmpty() else found
+SLICE = "_slice"
 
 
-def with_slices(df: DataFrame, keys: list[str], position: Column, width: int, hot: DataFrame) -> DataFrame:
-    """Adds the slice number: null for ordinary keys, floor(position / width) for hot ones. Null keys are kept."""
-    renamed = hot.select(*[F.col(k).alias(f"_h_{k}") for k in keys], "_hot")
-    same = [F.col(k).eqNullSafe(F.col(f"_h_{k}")) for k in keys]
-    joined = df.join(F.broadcast(renamed), same, "left")
-    cut = F.when(F.col("_hot"), F.floor(position / F.lit(width)).cast("long"))
-    return joined.withColumn(SLICE, cut).drop("_hot", *[f"_h_{k}" for k in keys])
+def sliced(df: DataFrame, keys: list[str], order: list[str], slices: int | None = None) -> DataFrame:
+    """``df`` with the number of its range, which grows along the order of each key. ``slices`` is how many ranges there are;
+    by default as many as shuffles have partitions. Written, so that every later step sees the same ranges."""
+    names = [*keys, *order]
+    ranged = df.repartitionByRange(slices, *names) if slices else df.repartitionByRange(*names)
+    return stash(ranged.withColumn(SLICE, F.spark_partition_id().cast("long")), "slices")
 
 
 def _join_slices(local: DataFrame, per_slice: DataFrame, keys: list[str], carried: Column) -> DataFrame:
@@ -47,57 +39,42 @@ def _earlier(keys: list[str]):
 
 
 def running_total(
-    df: DataFrame, keys: list[str], order: list[str], value: Column, out: str, position: Column, width: int,
-    hot_rows: int = HOT_ROWS, inclusive: bool = True,
+    df: DataFrame, keys: list[str], order: list[str], value: Column, out: str, inclusive: bool = True, slices: int | None = None,
 ) -> DataFrame:
-    """Running sum of ``value`` per key along ``order``; ``position`` is a number that never falls along ``order``."""
-    hot = hot_keys(df, keys, hot_rows)
-    valued = df.withColumn("_value", value)
-    rows = (W.unboundedPreceding, W.currentRow)
-    if hot is None:
-        total = F.sum("_value").over(W.partitionBy(*keys).orderBy(*order).rowsBetween(*rows))
-        return valued.withColumn(out, total if inclusive else total - F.col("_value")).drop("_value")
-    sliced = with_slices(valued, keys, position, width, hot)
-    local = sliced.withColumn("_local", F.sum("_value").over(W.partitionBy(*keys, SLICE).orderBy(*order).rowsBetween(*rows)))
-    totals = sliced.where(F.col(SLICE).isNotNull()).groupBy(*keys, SLICE).agg(F.sum("_value").alias("_sum"))
+    """Running sum of ``value`` per key along ``order``. Null values add nothing; the sum is null while nothing came before.
+    Not ``inclusive``: the sum of the rows before, 0 where there is none."""
+    parts = sliced(df.withColumn("_value", value), keys, order, slices)
+    here = W.partitionBy(*keys, SLICE).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow if inclusive else -1)
+    local = parts.withColumn("_local", F.sum("_value").over(here))
+    totals = parts.groupBy(*keys, SLICE).agg(F.sum("_value").alias("_sum"))
     joined = _join_slices(local, totals, keys, F.sum("_sum").over(_earlier(keys)))
-    total = F.col("_local") + F.coalesce("_before", F.lit(0))
-    return joined.withColumn(out, total if inclusive else total - F.col("_value")).drop("_local", "_value", "_before", SLICE)
+    total = F.coalesce(F.col("_local") + F.col("_before"), "_local", "_before")
+    total = total if inclusive else F.coalesce(total, F.lit(0))
+    return joined.withColumn(out, total).drop("_local", "_value", "_before", SLICE)
 
 
-def ordinal(df: DataFrame, keys: list[str], order: list[str], out: str, position: Column, width: int, hot_rows: int = HOT_ROWS) -> DataFrame:
+def ordinal(df: DataFrame, keys: list[str], order: list[str], out: str, slices: int | None = None) -> DataFrame:
     """1-based row number per key."""
-    return running_total(df, keys, order, F.lit(1).cast("long"), out, position, width, hot_rows)
+    return running_total(df, keys, order, F.lit(1).cast("long"), out, slices=slices)
 
 
-def carry_forward(
-    df: DataFrame, keys: list[str], order: list[str], value: Column, out: str, position: Column, width: int, hot_rows: int = HOT_ROWS,
-) -> DataFrame:
+def carry_forward(df: DataFrame, keys: list[str], order: list[str], value: Column, out: str, slices: int | None = None) -> DataFrame:
     """Last non-null ``value`` at or before each row of its key: an as-of lookup once two tables are laid over each other."""
-    hot = hot_keys(df, keys, hot_rows)
-    rows = (W.unboundedPreceding, W.currentRow)
-    if hot is None:
-        return df.withColumn(out, F.last(value, ignorenulls=True).over(W.partitionBy(*keys).orderBy(*order).rowsBetween(*rows)))
-    sliced = with_slices(df, keys, position, width, hot).withColumn("_value", value)
-    local = sliced.withColumn("_local", F.last("_value", ignorenulls=True).over(W.partitionBy(*keys, SLICE).orderBy(*order).rowsBetween(*rows)))
+    parts = sliced(df.withColumn("_value", value), keys, order, slices)
+    here = W.partitionBy(*keys, SLICE).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    local = parts.withColumn("_local", F.last("_value", ignorenulls=True).over(here))
     # a slice without a value still needs what came before it
-    ends = sliced.where(F.col(SLICE).isNotNull()).groupBy(*keys, SLICE).agg(
-        F.max_by("_value", F.when(F.col("_value").isNotNull(), F.struct(*order))).alias("_end"))
+    ends = parts.groupBy(*keys, SLICE).agg(F.max_by("_value", F.when(F.col("_value").isNotNull(), F.struct(*order))).alias("_end"))
     joined = _join_slices(local, ends, keys, F.last("_end", ignorenulls=True).over(_earlier(keys)))
     return joined.withColumn(out, F.coalesce("_local", "_before")).drop("_local", "_value", "_before", SLICE)
 
 
-def previous(
-    df: DataFrame, keys: list[str], order: list[str], value: Column, out: str, position: Column, width: int, hot_rows: int = HOT_ROWS,
-) -> DataFrame:
+def previous(df: DataFrame, keys: list[str], order: list[str], value: Column, out: str, slices: int | None = None) -> DataFrame:
     """``value`` of the row before, per key: within a slice by a window, at the start of a slice from the slice before."""
-    hot = hot_keys(df, keys, hot_rows)
-    if hot is None:
-        return df.withColumn(out, F.lag(value).over(W.partitionBy(*keys).orderBy(*order)))
-    sliced = with_slices(df, keys, position, width, hot).withColumn("_value", value)
+    parts = sliced(df.withColumn("_value", value), keys, order, slices)
     here = W.partitionBy(*keys, SLICE).orderBy(*order)
-    local = sliced.withColumn("_local", F.lag("_value").over(here)).withColumn("_first", F.row_number().over(here) == 1)
-    ends = sliced.where(F.col(SLICE).isNotNull()).groupBy(*keys, SLICE).agg(F.max_by("_value", F.struct(*order)).alias("_end"))
+    local = parts.withColumn("_local", F.lag("_value").over(here)).withColumn("_first", F.row_number().over(here) == 1)
+    ends = parts.groupBy(*keys, SLICE).agg(F.max_by("_value", F.struct(*order)).alias("_end"))
     joined = _join_slices(local, ends, keys, F.lag("_end").over(W.partitionBy(*keys).orderBy(SLICE)))
     found = F.when(F.col("_first"), F.col("_before")).otherwise(F.col("_local"))
     return joined.withColumn(out, found).drop("_local", "_first", "_value", "_before", SLICE)
@@ -106,30 +83,31 @@ def previous(
 # --- spaced selection -------------------------------------------------------------------------------------------------
 # Walk the positions of a key upwards and keep one whenever it lies at least ``gap`` beyond the last one kept. What is kept
 # in a slice depends on the last position kept before it. That position lies before the slice, so it matters only through
-# the entry threshold last + gap, which is below slice_start + gap. A first pass records, for every range of thresholds,
+# the entry threshold last + gap, which is below slice_start + gap. Slices start at their first position. A first pass records, for every range of thresholds,
 # which position is kept last in the slice; a walk over these records per key gives each slice its threshold; a second pass
 # then marks the rows.
 
 
-def _chains(gap: int, span: int):
+def _chains(gap: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = None
         chains: list[tuple[int, list[int]]] = []  # (last kept, thresholds that lead here); ordered by last kept
         start = prev = 0
 
-        def finish():
+        def finish(kind: pa.DataType):
             ends = sorted((t, last) for last, labels in chains for t in labels)
             slim = [e for i, e in enumerate(ends) if i + 1 == len(ends) or ends[i + 1][1] != e[1]]
             k, s = key
             return pa.RecordBatch.from_pydict({
-                "_key": [k] * len(slim), "_slice": [s] * len(slim), "_upto": [t for t, _ in slim], "_last": [l for _, l in slim]})
+                "_key": pa.array([k] * len(slim), kind), "_slice": [s] * len(slim), "_start": [start] * len(slim), "_upto": [t for t, _ in slim], "_last": [l for _, l in slim]})
 
         for batch in batches:
+            kind = batch.schema.field("_key").type
             for k, s, p in zip(*(batch.column(c).to_pylist() for c in ("_key", "_slice", "_pos"))):
                 if (k, s) != key:
                     if key is not None:
-                        yield finish()
-                    key, chains, start, prev = (k, s), [], s * span, None
+                        yield finish(kind)
+                    key, chains, start, prev = (k, s), [], p, None
                 elif p == prev:
                     continue
                 done = 0
@@ -146,27 +124,27 @@ def _chains(gap: int, span: int):
                     chains.append((p, labels))
                 prev = p
         if key is not None:
-            yield finish()
+            yield finish(kind)
 
     return run
 
 
-def _walk(gap: int, span: int, first_at: int | None):
+def _walk(gap: int, first_at: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, last, at, taken = object(), None, None, True
         threshold = 0
         for batch in batches:
             out: dict[str, list] = {"_key": [], "_slice": [], "_from": []}
-            for k, s, upto, end in zip(*(batch.column(c).to_pylist() for c in ("_key", "_slice", "_upto", "_last"))):
+            for k, s, start, upto, end in zip(*(batch.column(c).to_pylist() for c in ("_key", "_slice", "_start", "_upto", "_last"))):
                 if k != key:
                     key, last, at = k, (None if first_at is None else first_at - gap), None
                 if s != at:
                     at, taken = s, False
-                    threshold = s * span if last is None else max(s * span, last + gap)
+                    threshold = start if last is None else max(start, last + gap)
                     out["_key"].append(k), out["_slice"].append(s), out["_from"].append(threshold)
                 if not taken and threshold <= upto:
                     last, taken = end, True
-            yield pa.RecordBatch.from_pydict(out)
+            yield pa.RecordBatch.from_pydict(out | {"_key": pa.array(out["_key"], batch.schema.field("_key").type)})
 
     return run
 
@@ -190,31 +168,20 @@ def _mark(gap: int):
     return run
 
 
-def keep_spaced(
-    df: DataFrame, key: str, position: Column, gap: int, cells: int = 256, first_at: int | None = None, hot_rows: int = HOT_ROWS,
-) -> DataFrame:
+def keep_spaced(df: DataFrame, key: str, position: Column, gap: int, first_at: int | None = None, slices: int | None = None) -> DataFrame:
     """Distinct (key, position) with ``kept``: greedy selection of positions at least ``gap`` apart per key.
 
-    ``position`` is a long. ``first_at`` is the smallest position that may be kept first (any when None); with it,
-    positions must not be negative and ``first_at`` must not exceed ``gap``. Rows move once, by key and slice; equal positions
-    are merged where they meet. Every pass reads its rows as sorted batches with constant state, so no group is ever held in
-    memory.
+    ``position`` is a long; null positions are left out. ``first_at`` is the smallest position that may be kept first (any when
+    None). Every pass reads its rows as sorted batches, so no group is ever held in memory.
     """
-    span = gap * cells
     points = df.select(F.col(key).alias("_key"), position.cast("long").alias("_pos")).where("_pos IS NOT NULL")
     key_type = points.schema["_key"].dataType.simpleString()
-    hot = hot_keys(df.select(F.col(key).alias("_key")), ["_key"], hot_rows)
-    start = F.lit(first_at).cast("long")
-    if hot is None:
-        ready = points.select("_key", F.lit(None).cast("long").alias(SLICE), "_pos", start.alias("_from"))
-        ready = ready.repartition("_key").sortWithinPartitions("_key", "_pos")
-    else:
-        sliced = with_slices(points, ["_key"], F.col("_pos"), span, hot)
-        by_slice = sliced.where(F.col(SLICE).isNotNull()).repartition("_key", SLICE).sortWithinPartitions("_key", SLICE, "_pos")
-        chains = by_slice.mapInArrow(_chains(gap, span), f"_key {key_type}, _slice bigint, _upto bigint, _last bigint")
-        walk = chains.repartition("_key").sortWithinPartitions("_key", SLICE, "_upto")
-        entries = walk.mapInArrow(_walk(gap, span, first_at), f"_key {key_type}, _slice bigint, _from bigint")
-        joined = _join_slices(sliced, entries, ["_key"], F.col("_from")).withColumn("_from", F.coalesce("_before", start))
-        ready = joined.select("_key", SLICE, "_pos", "_from").repartition("_key", SLICE).sortWithinPartitions("_key", SLICE, "_pos")
+    parts = sliced(points, ["_key"], ["_pos"], slices)
+    by_slice = parts.repartition("_key", SLICE).sortWithinPartitions("_key", SLICE, "_pos")
+    chains = by_slice.mapInArrow(_chains(gap), f"_key {key_type}, _slice bigint, _start bigint, _upto bigint, _last bigint")
+    walk = chains.repartition("_key").sortWithinPartitions("_key", SLICE, "_upto")
+    entries = walk.mapInArrow(_walk(gap, first_at), f"_key {key_type}, _slice bigint, _from bigint")
+    joined = _join_slices(parts, entries, ["_key"], F.col("_from")).select("_key", SLICE, "_pos", F.col("_before").alias("_from"))
+    ready = joined.repartition("_key", SLICE).sortWithinPartitions("_key", SLICE, "_pos")
     marked = ready.mapInArrow(_mark(gap), f"_key {key_type}, _slice bigint, _pos bigint, _from bigint, _kept boolean")
     return marked.select(F.col("_key").alias(key), F.col("_pos").alias("position"), F.col("_kept").alias("kept"))

@@ -15,7 +15,6 @@ RESET_AFTER = 200
 KEPT_ON_RESET = 3
 CACHE_SECONDS = 300
 HEARTBEAT_SECONDS = 2
-MINUTE = 60_000_000
 
 
 def latest_by_key(rows: DataFrame, keys: list[str], seq: Column) -> DataFrame:
@@ -29,10 +28,9 @@ def drop_deleted(rows: DataFrame, tombstones: DataFrame, key: str) -> DataFrame:
     return rows.join(tombstones, key, "left_anti")
 
 
-def numbered_requests(events: DataFrame, hot_rows: int = ordered.HOT_ROWS) -> DataFrame:
+def numbered_requests(events: DataFrame) -> DataFrame:
     """Adds ``n``: the running request number of each user."""
-    at = N.epoch_micros(F.col("ts"))
-    return ordered.ordinal(events, ["user_id"], ["ts", "event_id"], "n", at, MINUTE, hot_rows)
+    return ordered.ordinal(events, ["user_id"], ["ts", "event_id"], "n")
 
 
 def checkpoints(numbered: DataFrame, every: int = CHECKPOINT_EVERY) -> DataFrame:
@@ -50,23 +48,23 @@ def dirty_sets(numbered: DataFrame, seconds: int = TICK_SECONDS, every: int = CH
     return last.where(F.col("n") % every != 0).select(F.col("w.start").alias("tick"), "user_id")
 
 
-def conditional_resets(numbered: DataFrame, flag: Column, after: int = RESET_AFTER, hot_rows: int = ordered.HOT_ROWS) -> DataFrame:
+def conditional_resets(numbered: DataFrame, flag: Column, after: int = RESET_AFTER) -> DataFrame:
     """Request numbers at which a reset happens: at least ``after`` requests since the last one, and ``flag`` holds."""
     flagged = numbered.where(flag)
-    spaced = ordered.keep_spaced(flagged, "user_id", F.col("n"), after, first_at=after, hot_rows=hot_rows)
+    spaced = ordered.keep_spaced(flagged, "user_id", F.col("n"), after, first_at=after)
     return spaced.where("kept").select("user_id", F.col("position").alias("n"))
 
 
-def heartbeats(events: DataFrame, key: str, seconds: float = HEARTBEAT_SECONDS, hot_rows: int = ordered.HOT_ROWS) -> DataFrame:
+def heartbeats(events: DataFrame, key: str, seconds: float = HEARTBEAT_SECONDS) -> DataFrame:
     """Times kept when each must be more than ``seconds`` after the last one kept."""
     gap = int(seconds * 1_000_000) + 1
-    return ordered.keep_spaced(events, key, N.epoch_micros(F.col("ts")), gap, hot_rows=hot_rows)
+    return ordered.keep_spaced(events, key, N.epoch_micros(F.col("ts")), gap)
 
 
-def cache_lookups(events: DataFrame, key: str, seconds: float = CACHE_SECONDS, hot_rows: int = ordered.HOT_ROWS) -> DataFrame:
+def cache_lookups(events: DataFrame, key: str, seconds: float = CACHE_SECONDS) -> DataFrame:
     """Each distinct request time, and whether the value fetched before is still fresh (age below ``seconds``)."""
     gap = int(seconds * 1_000_000)
-    spaced = ordered.keep_spaced(events, key, N.epoch_micros(F.col("ts")), gap, hot_rows=hot_rows)
+    spaced = ordered.keep_spaced(events, key, N.epoch_micros(F.col("ts")), gap)
     return spaced.select(key, "position", (~F.col("kept")).alias("hit"))
 
 

@@ -50,7 +50,7 @@ FROM events p WHERE p.event_type = 'purchase'""")
 def d3(t: Tables):
     e = t.events.where(F.col("event_type").isin("purchase", "click")).select("event_id", "user_id", "ts", "event_type")
     click = F.when(F.col("event_type") == "click", F.col("event_id"))
-    laid = O.carry_forward(e, ["user_id"], ["ts", "event_id"], click, "click_id", N.epoch_micros(F.col("ts")), R.MINUTE)
+    laid = O.carry_forward(e, ["user_id"], ["ts", "event_id"], click, "click_id")
     return laid.where("event_type = 'purchase'").select("event_id", "user_id", "click_id")
 
 
@@ -98,9 +98,24 @@ def d5_frames(t: Tables):
     """Running sum and previous row per user, cut into slices for hot users."""
     k = F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint")
     e = t.events.select("event_id", "user_id", "ts", k.alias("k"))
-    at = N.epoch_micros(F.col("ts"))
-    total = O.running_total(e, ["user_id"], ["ts", "event_id"], F.col("k"), "running", at, R.MINUTE)
-    return O.previous(total, ["user_id"], ["ts", "event_id"], F.col("event_id"), "previous", at, R.MINUTE).select("event_id", "running", "previous")
+    total = O.running_total(e, ["user_id"], ["ts", "event_id"], F.col("k"), "running")
+    return O.previous(total, ["user_id"], ["ts", "event_id"], F.col("event_id"), "previous").select("event_id", "running", "previous")
+
+
+SKEWED = "SELECT event_id, user_id % 2 AS side, CASE WHEN event_id % 7 <> 0 THEN ts END AS pos, CASE WHEN event_id % 5 <> 0 THEN event_id END AS v FROM events"
+
+
+@query("d5_skewed_frames", f"""
+SELECT event_id, CAST(sum(v) OVER w AS BIGINT) AS running, CAST(row_number() OVER w AS BIGINT) AS n, lag(v) OVER w AS previous,
+       last_value(v IGNORE NULLS) OVER w AS carried FROM ({SKEWED})
+WINDOW w AS (PARTITION BY side ORDER BY pos NULLS FIRST, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+def d5_skewed(t: Tables):
+    """Two keys for all events, null positions and null values."""
+    e = t.events.selectExpr("event_id", "user_id % 2 AS side", "CASE WHEN event_id % 7 <> 0 THEN ts END AS pos", "CASE WHEN event_id % 5 <> 0 THEN event_id END AS v")
+    by = (["side"], ["pos", "event_id"])
+    out = O.ordinal(O.running_total(e, *by, F.col("v"), "running"), *by, "n")
+    out = O.carry_forward(O.previous(out, *by, F.col("v"), "previous"), *by, F.col("v"), "carried")
+    return out.select("event_id", "running", "n", "previous", "carried")
 
 
 @query("d5_range_frame", """

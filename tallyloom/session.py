@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import sys
 import tempfile
 import uuid
 
 from pyspark import cloudpickle
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+OWN_FOLDERS: set[str] = set()
 
 
 def build_session(app: str = "tallyloom", cpus: int = 8, memory: str = "8g") -> SparkSession:
@@ -53,4 +56,15 @@ def work_folder(spark: SparkSession, label: str) -> str:
         raise ValueError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
     if not base:
         base = os.path.join(tempfile.gettempdir(), f"tallyloom-{os.getpid()}")
+        if base not in OWN_FOLDERS:
+            OWN_FOLDERS.add(base)
+            atexit.register(shutil.rmtree, base, ignore_errors=True)  # a folder of this process alone
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
+
+
+def stash(df: DataFrame, label: str) -> DataFrame:
+    """Writes ``df`` below the working folder and reads it again: cuts the lineage, fixes what depends on how rows were dealt
+    out, and survives lost executors."""
+    path = work_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -24,9 +24,9 @@ def tick_counts(events: DataFrame, seconds: int = R.TICK_SECONDS, delay: str = D
     return counts.select(F.col("window.start").alias("tick"), "user_id", "requests")
 
 
-def dirty_from_counts(counts: DataFrame, every: int = R.CHECKPOINT_EVERY, hot_rows: int = ordered.HOT_ROWS) -> DataFrame:
+def dirty_from_counts(counts: DataFrame, every: int = R.CHECKPOINT_EVERY) -> DataFrame:
     """Tick counts -> sessions to save at each tick: those whose running request number is no multiple of ``every``."""
-    n = ordered.running_total(counts, ["user_id"], ["tick"], F.col("requests"), "n", F.unix_micros("tick"), R.MINUTE, hot_rows)
+    n = ordered.running_total(counts, ["user_id"], ["tick"], F.col("requests"), "n")
     return n.where(F.col("n") % every != 0).select("tick", "user_id")
 
 

@@ -30,7 +30,7 @@ def random_chunks(seed):
 def test_any_chunking_gives_the_same_lines(spark, seed):
     jobs, rows = random_chunks(seed)
     df = spark.createDataFrame(rows, "job_id long, chunk_no long, bytes binary")
-    got = sorted(tuple(r) for r in J.assemble_lines(df, hot_rows=10).collect())
+    got = sorted(tuple(r) for r in J.assemble_lines(df).collect())
     assert got == expected_lines(jobs)
 
 
@@ -88,7 +88,7 @@ def test_eviction_and_reset(spark):
     sessions = spark.createDataFrame([(u, u * 10) for u in range(7)], "user_id long, created_at long")
     assert sorted(r.user_id for r in R.live_after_eviction(sessions).where("live").collect()) == [3, 4, 5, 6]
     rows = [(1, n, n % 3 == 0) for n in range(1, 40)]
-    got = R.conditional_resets(spark.createDataFrame(rows, "user_id long, n long, flag boolean"), F.col("flag"), after=10, hot_rows=5)
+    got = R.conditional_resets(spark.createDataFrame(rows, "user_id long, n long, flag boolean"), F.col("flag"), after=10)
     assert sorted(r.n for r in got.collect()) == [12, 24, 36]
 
 

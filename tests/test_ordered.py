@@ -1,4 +1,4 @@
-"""Sliced operators against plain loops, with hot keys forced by a small limit."""
+"""Sliced operators against plain loops, with few and with many slices."""
 
 import random
 
@@ -27,7 +27,7 @@ def test_keep_spaced(spark, seed):
     spread = rnd.choice([300, 5000, 60000])
     rows = [(k, rnd.randrange(0, spread)) for k, n in ((1, 2500), (2, 150), (3, 9)) for _ in range(n)]
     df = spark.createDataFrame(rows, "k long, p long")
-    got = O.keep_spaced(df, "k", F.col("p"), gap, cells=rnd.choice([1, 2, 7, 50]), first_at=first, hot_rows=rnd.choice([20, 100, 10**6]))
+    got = O.keep_spaced(df, "k", F.col("p"), gap, first_at=first, slices=rnd.choice([None, 1, 7, 60]))
     found = {(r.k, r.position): r.kept for r in got.collect()}
     want = {(k, p): kept for k in (1, 2, 3) for p, kept in greedy([p for kk, p in rows if kk == k], gap, first).items()}
     assert found == want
@@ -35,40 +35,42 @@ def test_keep_spaced(spark, seed):
 
 def test_keep_spaced_null_key(spark):
     df = spark.createDataFrame([(None, 1), (None, 2), (None, 9), (4, 1)], "k long, p long")
-    got = sorted((r.k or -1, r.position, r.kept) for r in O.keep_spaced(df, "k", F.col("p"), 5, hot_rows=2).collect())
+    got = sorted((r.k or -1, r.position, r.kept) for r in O.keep_spaced(df, "k", F.col("p"), 5, slices=3).collect())
     assert got == [(-1, 1, True), (-1, 2, False), (-1, 9, True), (4, 1, True)]
 
 
 @pytest.fixture(scope="module")
 def ordered_rows(spark):
     rnd = random.Random(1)
-    rows = [(k, rnd.randrange(0, 3000), i, rnd.choice([None, 1, 2, 3])) for k, n in ((1, 1500), (2, 40), (None, 300)) for i in range(n)]
-    pdf = pd.DataFrame(rows, columns=["k", "p", "i", "v"]).astype({"k": "Int64", "v": "Int64"})
+    rows = [(k, rnd.choice([None, *range(1, 3000, 3)]) if i % 9 else None, i, rnd.choice([None, 1, 2, 3])) for k, n in ((1, 1500), (2, 40), (None, 300)) for i in range(n)]
+    pdf = pd.DataFrame(rows, columns=["k", "p", "i", "v"]).astype({"k": "Int64", "p": "Int64", "v": "Int64"})
     df = spark.createDataFrame(rows, "k long, p long, i long, v long")
-    return df, pdf.sort_values(["k", "p", "i"])
+    return df, pdf.sort_values(["k", "p", "i"], na_position="first")
 
 
 def as_map(df, column):
     return {(r.k, r.i): r[column] for r in df.collect()}
 
 
-@pytest.mark.parametrize("hot", [10, 10**6])
-def test_running_total_and_ordinal(ordered_rows, hot):
+@pytest.mark.parametrize("slices", [None, 1, 40])
+def test_running_total_and_ordinal(ordered_rows, slices):
     df, pdf = ordered_rows
-    got = as_map(O.running_total(df, ["k"], ["p", "i"], F.col("p"), "t", F.col("p"), 100, hot), "t")
-    number = as_map(O.ordinal(df, ["k"], ["p", "i"], "n", F.col("p"), 100, hot), "n")
+    got = as_map(O.running_total(df, ["k"], ["p", "i"], F.col("v"), "t", slices=slices), "t")
+    number = as_map(O.ordinal(df, ["k"], ["p", "i"], "n", slices=slices), "n")
     groups = pdf.groupby("k", dropna=False)
-    want, count = groups.p.cumsum(), groups.cumcount() + 1
+    summed = pdf.v.fillna(0).groupby(pdf.k, dropna=False).cumsum()
+    some = pdf.v.notna().groupby(pdf.k, dropna=False).cumsum() > 0
+    want, count = [int(x) if y else None for x, y in zip(summed, some)], groups.cumcount() + 1
     key = [(None if pd.isna(k) else k, i) for k, i in zip(pdf.k, pdf.i)]
     assert got == dict(zip(key, want))
     assert number == dict(zip(key, count))
 
 
-@pytest.mark.parametrize("hot", [10, 10**6])
-def test_carry_forward_and_previous(ordered_rows, hot):
+@pytest.mark.parametrize("slices", [None, 1, 40])
+def test_carry_forward_and_previous(ordered_rows, slices):
     df, pdf = ordered_rows
-    carried = as_map(O.carry_forward(df, ["k"], ["p", "i"], F.col("v"), "c", F.col("p"), 7, hot), "c")
-    before = as_map(O.previous(df, ["k"], ["p", "i"], F.col("v"), "b", F.col("p"), 7, hot), "b")
+    carried = as_map(O.carry_forward(df, ["k"], ["p", "i"], F.col("v"), "c", slices), "c")
+    before = as_map(O.previous(df, ["k"], ["p", "i"], F.col("v"), "b", slices), "b")
     groups = pdf.groupby("k", dropna=False).v
     none = lambda s: [None if pd.isna(x) else int(x) for x in s]
     key = [(None if pd.isna(k) else k, i) for k, i in zip(pdf.k, pdf.i)]
