@@ -102,11 +102,14 @@ def status_rollup(steps: DataFrame) -> DataFrame:
 
 
 def log_page(requests: DataFrame, logs: DataFrame) -> DataFrame:
-    """Requests (job_id, from_byte, max_bytes) against logs (job_id, content): text of the page and where the next starts."""
-    size = F.greatest(F.col("max_bytes"), F.lit(0)).cast("int")
-    joined = requests.join(logs, "job_id", "left")
-    page = F.coalesce(F.substring(F.col("content"), (F.col("from_byte") + 1).cast("int"), size), F.lit(b""))
-    paged = joined.select("job_id", "from_byte", page.alias("page"))
+    """Requests (job_id, from_byte, max_bytes) against logs (job_id, content): text of the page and where the next starts.
+    A negative start is the start of the log; a start at or beyond its end, however far, gives an empty page."""
+    most = F.lit((1 << 31) - 2)
+    size = F.least(F.greatest(F.col("max_bytes"), F.lit(0)), most).cast("int")
+    joined = requests.join(logs, "job_id", "left").withColumn("_at", F.greatest(F.col("from_byte"), F.lit(0)))
+    within = F.col("_at") < F.octet_length("content")
+    page = F.when(within, F.substring(F.col("content"), (F.least("_at", most) + 1).cast("int"), size))
+    paged = joined.select("job_id", F.col("_at").alias("from_byte"), F.coalesce(page, F.lit(b"")).alias("page"))
     return paged.select("job_id", X.decode_utf8_ignore(F.col("page")).alias("text"), (F.col("from_byte") + F.octet_length("page")).alias("nextOffset"))
 
 

@@ -12,6 +12,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyloom.functions import numbers as N, text as X
+from tallyloom.session import stash
 
 UNREADABLE = (PySparkException, Py4JJavaError)  # a damaged file surfaces as the JVM's own error
 HIDDEN = {"In", "Out", "exit", "quit", "get_ipython"}  # fixed names that are never saved
@@ -38,6 +39,8 @@ def profile(df: DataFrame, name: str) -> DataFrame:
 def inventory(tables: dict[str, DataFrame]) -> DataFrame:
     """Profiles of all named tables but private ones, sorted by name."""
     rows = [profile(df, name) for name, df in tables.items() if not name.startswith("_")]
+    if not rows:
+        return SparkSession.active().createDataFrame([], "name string, type string, rows bigint, columns bigint, memory_mb double")
     return reduce(lambda a, b: a.unionByName(b), rows).orderBy("name")
 
 
@@ -61,7 +64,7 @@ def snapshot(tables: dict[str, DataFrame], folder: str) -> list[str]:
     kept = sorted(n for n in tables if worth_saving(n))
     for name in kept:
         tables[name].write.mode("overwrite").parquet(f"{folder}/{name}")
-    spark = next(iter(tables.values())).sparkSession
+    spark = next(iter(tables.values())).sparkSession if tables else SparkSession.active()
     spark.createDataFrame([(n, f"{folder}/{n}") for n in kept], "name string, path string").coalesce(1).write.mode("overwrite").parquet(f"{folder}/_manifest")
     return kept
 
@@ -83,16 +86,17 @@ def restore(spark: SparkSession, folder: str) -> tuple[dict[str, DataFrame], lis
     return tables, lost
 
 
-def run_sql(spark: SparkSession, sql: str, save_as: str | None = None, limit: int = X.OUTPUT_LIMIT) -> tuple[DataFrame, DataFrame]:
-    """(status row, cleaned JSON records) of a query. A query that fails before it runs reports success = false."""
+def run_sql(spark: SparkSession, sql: str, save_as: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(status row, cleaned JSON records) of a query. The result is written before the status is made, so that a query that
+    fails while it runs reports success = false too. Records are whole, whatever their length."""
     status = "success boolean, saved_as string, error_type string, error string"
     try:
-        df = spark.sql(sql)
+        df = stash(spark.sql(sql), "result")
         if save_as:
             df.createOrReplaceTempView(save_as)
-        records = N.json_records(df).select(X.truncate_marked(F.col("record"), limit).alias("record"))
+        records = N.json_records(df).select("record")
         return spark.createDataFrame([(True, save_as, None, None)], status), records
-    except PySparkException as e:
+    except UNREADABLE as e:
         text = str(e)
         error = text[: X.TRACEBACK_LIMIT]
         return spark.createDataFrame([(False, None, type(e).__name__, error)], status), spark.createDataFrame([], "record string")

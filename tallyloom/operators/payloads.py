@@ -6,6 +6,7 @@ per shape turns the payloads of that shape into rows. Payloads are values of one
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -70,25 +71,60 @@ def convertible(value: Column) -> Column:
 def infer_schema(payloads: DataFrame) -> T.DataType:
     """One schema over all payloads: the union of keys. Only this one schema text reaches the driver."""
     text = payloads.select(F.schema_of_variant_agg(F.try_parse_json("payload")).alias("s")).first().s
-    text = re.sub(r"DECIMAL\(\d+,\s*\d+\)", "DOUBLE", text)  # the data model has no decimals
-    return T.DataType.fromDDL(text.replace("OBJECT<", "STRUCT<").replace("VOID", "STRING"))
+    names: list[str] = []  # quoted field names are put aside, so that only types are changed
+
+    def aside(found: re.Match) -> str:
+        names.append(found[0])
+        return f"`{len(names) - 1}`"
+
+    text = re.sub(r"`(?:[^`]|``)*`|\w+(?=: )", aside, text)
+    text = re.sub(r"DECIMAL\((\d+),\s*(\d+)\)", lambda m: m[0] if m[2] == "0" else "DOUBLE", text)  # whole numbers stay whole
+    text = re.sub(r"\bOBJECT\b", "STRUCT", re.sub(r"\bVOID\b", "STRING", text))
+    return T.DataType.fromDDL(re.sub(r"`(\d+)`", lambda m: names[int(m[1])], text))
 
 
 def records_to_rows(payloads: DataFrame, schema: T.DataType | str | None = None) -> DataFrame:
-    """Array of objects -> one row per object; keys missing in an object are null."""
-    schema = schema or infer_schema(payloads)
+    """Array of objects -> one row per object; keys missing in an object are null. Without a schema, payloads of another
+    shape are left out (``rejected`` names them); with no payload at all there are no columns and no rows."""
+    if schema is None:
+        payloads = classify(payloads).where("kind = 'records'").select("payload_id", F.col("text").alias("payload"))
+        if payloads.isEmpty():
+            return payloads.select("payload_id")
+        schema = infer_schema(payloads)
     parsed = payloads.select("payload_id", F.from_json("payload", schema).alias("r"))
     return parsed.select("payload_id", F.inline("r"))
 
 
 def header_rows(payloads: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """Array of arrays, the first one naming the columns -> one row per further array, always row-wise."""
+    """Array of arrays, the first one naming the columns -> one row per further array, always row-wise. Of columns with
+    the same name the first counts; cells beyond the names are left out, cells that lack are null."""
     cells = payloads.select("payload_id", F.from_json("payload", "array<array<string>>").alias("a"))
     rows = cells.where(F.size("a") > 1).select(
         "payload_id", F.element_at("a", 1).alias("h"), F.posexplode(F.slice("a", 2, F.size("a") - 1)).alias("row_no", "cell")
     )
-    pairs = rows.select("payload_id", "row_no", F.map_from_arrays("h", F.slice("cell", 1, F.size("h"))).alias("m"))
-    return pairs.select("payload_id", "row_no", *[F.try_element_at("m", F.lit(n)).try_cast(t).alias(n) for n, t in columns.items()])
+    return rows.select("payload_id", "row_no", *[named_cell(F.col("h"), F.col("cell"), n).try_cast(t).alias(n) for n, t in columns.items()])
+
+
+def named_cell(names: Column, cells: Column, name: str) -> Column:
+    """The cell below the first column of that name, null where there is none."""
+    at = F.array_position(names, name)
+    return F.when(at > 0, F.get(cells, (at - 1).cast("int")))
+
+
+def rejected(payloads: DataFrame) -> DataFrame:
+    """payload_id and reason of payloads that give no rows: text that starts like JSON and is none, a list without a header
+    below it, lists of unequal length, and lists that mix objects with other values."""
+    known = classify(payloads)
+    items = F.try_variant_get("value", "$", "array<variant>")
+    lists = F.map_values(F.try_variant_get("value", "$", "map<string,variant>"))
+    some_lists = F.forall(lists, lambda x: _shape(x).startswith("ARRAY")) & (F.size(lists) > 0)
+    reason = (
+        F.when(F.col("value").isNull() & F.ltrim("text").rlike(r"^[\[{]"), "malformed JSON")
+        .when((F.col("kind") == "rows") & (F.size(items) < 2), "a single list")
+        .when((F.col("kind") == "nested") & some_lists, "lists of unequal length")
+        .when((F.col("kind") == "scalar") & F.exists(items, lambda x: _shape(x).startswith("OBJECT")), "objects and other values mixed")
+    )
+    return known.select("payload_id", reason.alias("reason")).where("reason IS NOT NULL")
 
 
 def column_lists(payloads: DataFrame, columns: dict[str, str]) -> DataFrame:
@@ -126,24 +162,35 @@ def whole_result(payloads: DataFrame) -> DataFrame:
 
 
 def matrix_columns(df: DataFrame, column: str, width: int) -> list[Column]:
-    return [F.get(column, F.lit(i)).cast("double").alias(f"column_{i}") for i in range(width)]
+    """The first ``width`` items as columns. A longer row is an error, since its rest would be lost."""
+    whole = F.when(F.size(column) > width, F.raise_error(F.concat(F.lit(f"{column} has more than {width} items: "), F.size(column).cast("string"))).cast("array<double>")).otherwise(F.col(column).cast("array<double>"))
+    return [F.get(whole, F.lit(i)).alias(f"column_{i}") for i in range(width)]
 
 
 # A record may hold quoted line ends: runs of unquoted text and quoted parts, up to an unquoted line end.
 CSV_RECORD = r'[^"\r\n]*+(?:"[^"]*+"[^"\r\n]*+)*+'
 
 
+# A cell starts the record or follows a comma outside quotes, and ends before the next such comma.
+CSV_CELL = r'(?:(?<=^)|(?<=,))(?:"(?:[^"]|"")*+"|[^,"][^,]*+|)(?=,|$)'
+
+
 def csv_rows(payloads: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """CSV text whose first record names the columns -> rows. Columns are taken by name, in any order."""
+    """CSV text whose first record names the columns -> rows. Columns are taken by name, in any order and whatever the width of
+    the text; of columns with the same name the first counts, and columns without a name only take their place."""
     records = F.filter(F.regexp_extract_all("payload", F.lit(CSV_RECORD), F.lit(0)), lambda r: r != "")
     df = payloads.select("payload_id", records.alias("r")).where(F.size("r") > 1)
     df = df.select("payload_id", F.element_at("r", 1).alias("h"), F.posexplode(F.slice("r", 2, F.size("r") - 1)).alias("row_no", "line"))
-    width = len(columns)
-    generic = ", ".join(f"c{i} string" for i in range(width))
-    cells = lambda c: F.array(*[F.from_csv(c, generic, {"multiLine": "true", "escape": '"'})[f"c{i}"] for i in range(width)])
-    names = F.filter(cells(F.col("h")), lambda x: x.isNotNull())
-    df = df.select("payload_id", "row_no", F.map_from_arrays(names, F.slice(cells(F.col("line")), 1, F.size(names))).alias("m"))
-    return df.select("payload_id", "row_no", *[F.try_element_at("m", F.lit(n)).try_cast(t).alias(n) for n, t in columns.items()])
+    names, cells = csv_cells(F.col("h")), csv_cells(F.col("line"))
+    df = df.select("payload_id", "row_no", names.alias("names"), cells.alias("cells"))
+    return df.select("payload_id", "row_no", *[named_cell(F.col("names"), F.col("cells"), n).try_cast(t).alias(n) for n, t in columns.items()])
+
+
+def csv_cells(record: Column) -> Column:
+    """All cells of one record: quoted ones without their quotes, empty ones null."""
+    raw = F.regexp_extract_all(record, F.lit(CSV_CELL), F.lit(0))
+    unquoted = lambda c: F.replace(F.regexp_replace(c, r'(?s)^"(.*)"$', "$1"), F.lit('""'), F.lit('"'))
+    return F.transform(raw, lambda c: F.when(c.startswith('"'), unquoted(c)).when(c != "", c))
 
 
 def typed_or_rejected(df: DataFrame, value: Column, properties: dict[str, dict], required: list[str]) -> DataFrame:
@@ -159,11 +206,13 @@ def typed_or_rejected(df: DataFrame, value: Column, properties: dict[str, dict],
     cols, lacking = [], []
     for name in ordered:
         kind = spark_type.get(properties[name].get("type", "string"), "variant")
-        c = F.try_variant_get(value, f"$.{name}", kind)
+        quote = '"' if "'" in name else "'"
+        c = F.try_variant_get(value, f"$[{quote}{name}{quote}]", kind)
         if name in required:
             lacking.append(F.when(c.isNull(), F.lit(name)))
         elif properties[name].get("default") is not None:
-            c = F.coalesce(c, F.lit(properties[name]["default"]).cast(kind))
+            default = F.parse_json(F.lit(json.dumps(properties[name]["default"])))
+            c = F.coalesce(c, F.try_variant_get(default, "$", kind))
         cols.append(c.alias(name))
     missing = F.array_compact(F.array(*lacking)) if lacking else F.array().cast("array<string>")
     return df.select("*", *cols, missing.alias("missing"))

@@ -68,11 +68,13 @@ def cache_lookups(events: DataFrame, key: str, seconds: float = CACHE_SECONDS) -
     return spaced.select(key, "position", (~F.col("kept")).alias("hit"))
 
 
-def live_after_eviction(sessions: DataFrame, limit: int = MAX_LIVE) -> DataFrame:
-    """Sessions arrive in the order they were created and the oldest leaves whenever the limit is passed."""
-    newest = sessions.orderBy(F.desc("created_at"), F.desc("user_id")).limit(limit).select("user_id", F.lit(True).alias("_live"))
+def live_after_eviction(sessions: DataFrame, limit: int = MAX_LIVE, exempt: Column | None = None) -> DataFrame:
+    """Sessions arrive in the order they were created and the oldest leaves whenever the limit is passed. ``exempt`` sessions
+    (the default one) never leave, and count in the limit."""
+    stays = F.lit(False) if exempt is None else F.coalesce(exempt, F.lit(False))
+    newest = sessions.orderBy(F.desc(stays), F.desc("created_at"), F.desc("user_id")).limit(limit).select("user_id", F.lit(True).alias("_live"))
     joined = sessions.join(F.broadcast(newest), "user_id", "left")  # newest has at most ``limit`` rows
-    return joined.select(*sessions.columns, F.coalesce("_live", F.lit(False)).alias("live"))
+    return joined.select(*sessions.columns, (F.coalesce("_live", F.lit(False)) | stays).alias("live"))
 
 
 def restored(sessions: DataFrame, snapshots: DataFrame, key: str) -> DataFrame:

@@ -128,6 +128,63 @@ def c10(t: Tables):
     return P.classify(mixed(t)).select("payload_id", "kind")
 
 
+@query("c11_csv_wide", """
+SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_name END AS c_name, c_acctbal, CAST(NULL AS VARCHAR) AS absent FROM customer""")
+def c11_wide(t: Tables):
+    """More columns than wanted, columns without a name, a repeated name, records that end early, quotes and commas."""
+    short = F.col("c_custkey") % 3 == 0
+    row = F.concat_ws(",", F.lit('"x, ""y"""'), "c_acctbal", F.lit("skipped"), F.lit(""), "c_custkey", F.lit("again"))
+    row = F.when(short, row).otherwise(F.concat_ws(",", row, "c_name", F.lit("beyond")))
+    p = t.customer.groupBy(F.floor(F.col("c_custkey") / BATCH).alias("payload_id")).agg(F.array_join(F.collect_list(row), "\n").alias("body"))
+    p = p.select("payload_id", F.concat(F.lit("note,c_acctbal,,extra,c_custkey,c_custkey,c_name\n"), F.col("body")).alias("payload"))
+    return P.csv_rows(p, {"c_custkey": "bigint", "c_name": "string", "c_acctbal": "double", "absent": "string"}).drop("payload_id", "row_no")
+
+
+@query("c2_ragged_rows", "SELECT c_custkey, CASE WHEN c_custkey % 4 <> 1 THEN c_name END AS c_name FROM customer")
+def c2_ragged(t: Tables):
+    """A repeated name in the header; rows that are longer or shorter than it."""
+    text = F.to_json(F.array(F.col("c_custkey").cast("string"), F.lit("first"), "c_name", F.lit("beyond")))
+    cut = F.to_json(F.array(F.col("c_custkey").cast("string")))
+    row = F.when(F.col("c_custkey") % 4 == 1, cut).otherwise(text)
+    payload = F.concat(F.lit('[["c_custkey", "other", "c_name", "other"], '), row, F.lit("]"))
+    p = t.customer.select(F.col("c_custkey").alias("payload_id"), payload.alias("payload"))
+    return P.header_rows(p, {"c_custkey": "bigint", "c_name": "string"}).drop("payload_id", "row_no")
+
+
+@query("c1_inferred_records", """
+SELECT event_id AS payload_id, CASE WHEN event_id % 2 = 0 THEN concat('v', event_id) END AS "VOIDED",
+       concat('1', lpad(CAST(event_id AS VARCHAR), 8, '0'), '000000000000000000000') AS big, CAST(NULL AS VARCHAR) AS nothing FROM events WHERE event_id % 5 < 3""")
+def c1_odd_records(t: Tables):
+    """A field named like a type, whole numbers beyond 64 bits, a field that is always null, and payloads of other shapes."""
+    void = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('"v'), "event_id", F.lit('"'))).otherwise(F.lit("null"))
+    record = F.concat(F.lit('[{"VOIDED": '), void, F.lit(', "big": 1'), F.lpad(F.col("event_id").cast("string"), 8, "0"), F.lit("000000000000000000000"), F.lit(', "nothing": null}]'))
+    other = F.when(F.col("event_id") % 5 == 3, '[1, {"a": 2}]').otherwise('[{"broken": ')
+    rows = P.records_to_rows(t.events.select(F.col("event_id").alias("payload_id"), F.when(F.col("event_id") % 5 < 3, record).otherwise(other).alias("payload")))
+    return rows.select("payload_id", "VOIDED", F.col("big").cast("string").alias("big"), "nothing")
+
+
+@query("c1_rejects", """
+SELECT event_id AS payload_id, CASE event_id % 5 WHEN 1 THEN 'malformed JSON' WHEN 2 THEN 'a single list' WHEN 3 THEN 'lists of unequal length' ELSE 'objects and other values mixed' END AS reason
+FROM events WHERE event_id % 5 > 0""")
+def c1_rejects(t: Tables):
+    id_ = F.col("event_id").cast("string")
+    payload = F.element_at(F.array(
+        F.concat(F.lit('[{"a": '), id_, F.lit("}]")), F.concat(F.lit('[{"a": '), id_), F.concat(F.lit("[["), id_, F.lit("]]")),
+        F.concat(F.lit('{"a": [1], "b": [1, '), id_, F.lit("]}")), F.concat(F.lit('[{"a": 1}, '), id_, F.lit("]"))), (F.col("event_id") % 5 + 1).cast("int"))
+    return P.rejected(t.events.select(F.col("event_id").alias("payload_id"), payload.alias("payload")))
+
+
+@query("c14_dotted_and_defaults", """
+SELECT event_id, concat('u', user_id) AS "user.name", CASE WHEN event_id % 2 = 0 THEN CAST(len(string_split(event_type, 'e')) AS BIGINT) ELSE 2 END AS items FROM events""")
+def c14_dotted(t: Tables):
+    """A property with a dot in its name and a list as default."""
+    parts = F.to_json(F.split("event_type", "e"))
+    body = F.concat(F.lit('{"user.name": "u'), "user_id", F.lit('"'), F.when(F.col("event_id") % 2 == 0, F.concat(F.lit(', "tags": '), parts)).otherwise(""), F.lit("}"))
+    rows = t.events.select("event_id", F.try_parse_json(body).alias("v"))
+    typed = P.typed_or_rejected(rows, F.col("v"), {"user.name": {"type": "string"}, "tags": {"type": "array", "default": ["a", "b"]}}, ["user.name"])
+    return typed.where("size(missing) = 0").select("event_id", "`user.name`", F.size("tags").cast("long").alias("items"))
+
+
 @query("c11_csv_payload", """SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN concat('a "q", ', c_name) ELSE c_name END AS c_name, c_acctbal FROM customer""")
 def c11(t: Tables):
     name = F.when(F.col("c_custkey") % 4 == 0, F.concat(F.lit('"a ""q"", '), "c_name", F.lit('"'))).otherwise(F.col("c_name"))

@@ -103,9 +103,10 @@ def l3(t: Tables):
 
 @query("l5_evict_oldest", """
 WITH s AS (SELECT user_id, min(ts) AS created_at FROM events GROUP BY user_id)
-SELECT user_id, created_at, row_number() OVER (ORDER BY created_at DESC, user_id DESC) <= 4 AS live FROM s""")
+SELECT user_id, created_at, row_number() OVER (ORDER BY user_id = 1 DESC, created_at DESC, user_id DESC) <= 4 AS live FROM s""")
 def l5(t: Tables):
-    return R.live_after_eviction(t.events.groupBy("user_id").agg(F.min("ts").alias("created_at")))
+    """User 1 has the default session, which stays."""
+    return R.live_after_eviction(t.events.groupBy("user_id").agg(F.min("ts").alias("created_at")), exempt=F.col("user_id") == 1)
 
 
 @query("a11_session_rollup", "SELECT user_id, min(ts) AS created_at, max(ts) AS last_active, CAST(count(*) AS BIGINT) AS requests FROM events GROUP BY user_id")

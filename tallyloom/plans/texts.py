@@ -210,14 +210,12 @@ def f24(t: Tables):
                            F.try_element_at(keys, F.lit(1)).alias("first_key"), F.size(keys).cast("long").alias("n_keys"))
 
 
-# Bytes 100..1600 of every text: characters cut at either end are dropped.
-@query("f25_decode_ignore", """
-WITH d AS (SELECT doc_id, text, [k FOR k IN range(25, 101) IF strlen(left(text, k)) >= 100][1] AS lo,
-                  [k FOR k IN range(0, 1601) IF strlen(left(text, k)) <= 1600][-1] AS hi FROM documents)
-SELECT doc_id, CASE WHEN strlen(text) <= 100 THEN '' ELSE substr(text, lo + 1, hi - lo) END AS part FROM d""")
+# Whole texts with a stray byte in front, one within and a cut character at the end: decoding drops just these.
+@query("f25_decode_ignore", "SELECT doc_id, text AS part FROM documents")
 def f25(t: Tables):
-    raw = F.encode("text", "UTF-8")
-    return t.documents.select("doc_id", X.decode_utf8_ignore(F.substring(raw, 101, 1500)).alias("part"))
+    utf8 = lambda c: F.encode(c, "UTF-8")
+    broken = F.concat(F.lit(b"\xff"), utf8(F.substring("text", 1, 50)), F.lit(b"\x80"), utf8(F.substring("text", 51, 1 << 30)), F.lit(b"\xe2\x82"))
+    return t.documents.select("doc_id", X.decode_utf8_ignore(broken).alias("part"))
 
 
 @query("f26_repository_name", """

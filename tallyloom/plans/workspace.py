@@ -37,12 +37,12 @@ def s8(t: Tables):
 
 
 def three_views(t: Tables):
-    big = t.orders.where("o_totalprice > 200000").select("o_orderkey", "o_custkey")
+    big = t.orders.select("o_orderkey", "o_custkey")
     return {"big_orders": big, "active_users": t.events.groupBy("user_id").agg(F.count("*").alias("n")),
             "brands": t.part.groupBy("p_brand").agg(F.count("*").alias("n")), "_private": t.region}
 
 
-RESTORED = """SELECT 'big_orders' AS name, CAST(count(*) AS BIGINT) AS rows, CAST(sum(o_orderkey) AS BIGINT) AS key_sum FROM orders WHERE o_totalprice > 200000
+RESTORED = """SELECT 'big_orders' AS name, CAST(count(*) AS BIGINT) AS rows, CAST(sum(o_orderkey) AS BIGINT) AS key_sum FROM orders
 UNION ALL SELECT 'active_users', count(DISTINCT user_id), CAST(count(*) AS BIGINT) FROM events UNION ALL SELECT 'brands', count(DISTINCT p_brand), CAST(count(*) AS BIGINT) FROM part"""
 
 
@@ -53,7 +53,7 @@ def restored(t: Tables, folder: str):
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
-@query("s9_workspace_snapshot", "SELECT unnest(['active_users', 'big_orders', 'brands']) AS name, (SELECT CAST(count(*) AS BIGINT) FROM orders WHERE o_totalprice > 200000) AS big_rows")
+@query("s9_workspace_snapshot", "SELECT unnest(['active_users', 'big_orders', 'brands']) AS name, (SELECT CAST(count(*) AS BIGINT) FROM orders) AS big_rows")
 def s9(t: Tables):
     folder = work_folder(t.spark, "snapshot")
     D.snapshot(three_views(t), folder)
@@ -115,14 +115,17 @@ def l7(t: Tables):
 
 @query("k11_workspace_query", """
 SELECT o_orderpriority, CAST(count(*) AS BIGINT) AS n, 'ok' AS state FROM orders GROUP BY o_orderpriority
-UNION ALL SELECT 'AnalysisException', NULL, 'failed' """)
+UNION ALL SELECT 'AnalysisException', NULL, 'failed' UNION ALL SELECT 'failed while running', NULL, 'failed' """)
 def k11(t: Tables):
     t.orders.createOrReplaceTempView("tl_orders")
     _, records = D.run_sql(t.spark, "SELECT o_orderpriority, count(*) AS n FROM tl_orders GROUP BY o_orderpriority", "tl_priorities")
     failed, _ = D.run_sql(t.spark, "SELECT no_such_column FROM tl_orders")
     get = lambda k: F.get_json_object("record", f"$.{k}")
     good = records.select(get("o_orderpriority").alias("o_orderpriority"), get("n").cast("long").alias("n"), F.lit("ok").alias("state"))
-    return good.unionByName(failed.select(F.col("error_type").alias("o_orderpriority"), F.lit(None).cast("long").alias("n"),
+    late, _ = D.run_sql(t.spark, "SELECT raise_error(o_orderpriority) AS n FROM tl_orders")
+    late = late.select(F.lit("failed while running").alias("o_orderpriority"), F.lit(None).cast("long").alias("n"),
+                       F.when(F.col("success"), "ok").otherwise("failed").alias("state"))
+    return good.unionByName(late).unionByName(failed.select(F.col("error_type").alias("o_orderpriority"), F.lit(None).cast("long").alias("n"),
                                           F.when(F.col("success"), "ok").otherwise("failed").alias("state")))
 
 

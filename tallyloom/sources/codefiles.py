@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tallyloom.functions import text as X
@@ -13,8 +15,13 @@ SKIPPED_FOLDERS = [
 ]
 
 
+STORE = r"^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?/+"
+
+
 def below(path: Column, root: str) -> Column:
-    return F.substring(path, len(root.rstrip("/")) + 2, F.length(path))
+    """The part of ``path`` below ``root``. Either may name its store (``scheme://authority``) or not."""
+    plain = re.sub(STORE, "/", root).rstrip("/")
+    return F.substring(F.regexp_replace(path, STORE, "/"), len(plain) + 2, 1 << 30)
 
 
 def entered(path: Column, root: str) -> Column:
