@@ -28,7 +28,7 @@ STRINGS = {
     "java": rf'"""(?s:.*?)"""|{PLAIN_STRING}|{CHAR}',
     "kotlin": rf'"""(?s:.*?)"""|{PLAIN_STRING}|{CHAR}',
     "javascript": rf"{PLAIN_STRING}|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'|`[^`\\]*+(?:\\(?s:.)[^`\\]*+)*+`"
-    r"|(?<=[=(,:\[!&|?;{}][ \t]{0,4})/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*+\]|[^/\\\n\[])++/",
+    r"|(?<=(?:[=(,:\[!&|?;{}]|\b(?:return|typeof|case|throw|else|do|in|of|void|delete))[ \t]{0,64})/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*+\]|[^/\\\n\[])++/",
     "cpp": rf'(?<=R)"(\w*)\((?s:.*?)\)\1"|{PLAIN_STRING}|{CHAR}|#[^\n\\]*+(?:\\(?s:.)[^\n\\]*+)*+',
     "rust": rf'(?<=\br)(#*)"(?s:.*?)"\1|"[^"\\]*+(?:\\(?s:.)[^"\\]*+)*+"|{CHAR}|#!?\[(?:[^\[\]]++|\[[^\[\]]*+\])*+\]',
 }
@@ -75,8 +75,10 @@ def _heads(files: DataFrame) -> DataFrame:
     for name in BRACE_LANGUAGES:
         tokens = tokens.when(language == name, F.regexp_extract_all("content", F.lit(token_pattern(name)), F.lit(0)))
     hidden = F.array_join(F.transform(tokens, lambda t: _hide(t, language)), "")
+    for _ in range(3):  # lists in annotations are no blocks; up to three in one annotation
+        hidden = F.when(language == "java", F.regexp_replace(hidden, r"(@[\w.]+\s*\([^(){}]*)\{([^(){}]*)\}", "$1\x01$2\x01")).otherwise(hidden)
     df = files.where(language.isin(BRACE_LANGUAGES)).select("path", "language", hidden.alias("hidden"))
-    some = rf"[ \t]*+(?:(?:{HIDDEN_COMMENT})[ \t]*+){{0,3}}+"
+    some = rf"[ \t]*+(?:(?:{HIDDEN_COMMENT})[ \t]*+){{0,99}}+"
     joined = F.regexp_replace("hidden", rf"(?md)^({some})\n", "$1\x03")  # a blank or comment line goes to what follows
     joined = F.regexp_replace(joined, rf"([,(=+*/&|<.:?\[\-{{}};]{some})\n", "$1\x03")  # nor can a line end after these
     joined = F.regexp_replace(joined, r"\n(?=[\s\x03]*+[{)\]=.?&|:,+*\-])", "\x03")  # or before these
@@ -127,15 +129,15 @@ def _declared(language: str, text: Column, around: Column, stop: Column) -> tupl
     opens = stop == "{"
     if language == "java":
         bare = F.trim(F.regexp_replace(text, r"@(?!interface\b)[\w.]+(?:\s*\([^()]*\))?", ""))
-        in_type = around.rlike(r"(?:^|\s)(?:class|interface|enum|record)\s")
+        in_type = around.rlike(r"(?:^|\s)(?:class|interface|enum|record)\s|\bnew\s+[\w.<>,?\[\] ]+\([^{}]*\)\s*$|^[\s,]*[A-Z][A-Z0-9_]*\s*(?:\([^{}]*\))?\s*$")
         cls = F.when(opens, find(r"(?:^|\s)class\s+(\w+)", bare)).otherwise(none)
-        typed = find(r"^[^=()]*[\s>\]]([A-Za-z_$][\w$]*)\s*\([^=]*\)\s*(?:\[\s*\]\s*)*(?:throws\s[^={}()]+)?$", bare)
+        typed = find(r"^(?!\s*,)[^=()]*[\s>\]]([A-Za-z_$][\w$]*)\s*\([^=]*\)\s*(?:\[\s*\]\s*)*(?:throws\s[^={}()]+)?$", bare)
         made = find(r"^(?:(?:public|private|protected)\s+|<[^()]*>\s*)*([A-Za-z_$][\w$]*)\s*\([^=]*\)\s*(?:throws\s[^={}()]+)?$", bare)
         owner = find(r"(?:^|\s)(?:class|enum|record)\s+(\w+)", around)
         name = F.when(opens & (made != "") & (made == owner), made).when((made == "") & (opens | (stop == ";")), typed).otherwise(none)
         return cls, F.when(in_type & balanced & (cls == "") & ~name.isin(NOT_NAMES), name).otherwise(none), no
     if language == "kotlin":
-        cls = find(r"(?:^|\s)(?:class|interface|(?<!companion\s{1,4})object)\s+([A-Za-z_]\w*)")
+        cls = find(r"(?:^|\s)(?:class|interface|(?<!companion\s{1,64})object)\s+([A-Za-z_]\w*)")
         fun = find(r"(?:^|\s)fun\s+(?:<[^()]*?>\s*)?(?:[\w.<>?, ]+\.)?(\w+)\s*\(")
         return F.when(fun == "", cls).otherwise(none), fun, no
     if language == "rust":
@@ -147,7 +149,8 @@ def _declared(language: str, text: Column, around: Column, stop: Column) -> tupl
         bare = F.trim(F.regexp_replace(text, r"template\s*<[^<>]*(?:<[^<>]*>[^<>]*)*>", ""))
         body = F.when(~bare.rlike(r"(?:^|\s)enum\s|[()=]"), find(r"(?:^|\s)(?:class|struct)\s+(?:\w+\s+)*?(\w+)\s*(?:final\s*)?(?::[^:].*)?$", bare)).otherwise(none)
         cls = F.when(opens, body).when(stop == ";", find(r"^(?:class|struct)\s+(\w+)$", bare)).otherwise(none)
-        fn = find(r"^[^=()]*[\s*&>]((?:\w+::)*~?[A-Za-z_]\w*)\s*\([^{}=]*\)\s*(?:(?:const|noexcept|override|final)\s*)*(?:->[^{}]*|:[^:{}][^{}]*)?$", bare)
+        word = r"(?:operator\s*(?:\(\s*\)|\[\s*\]|[-+*/%^&|~!=<>,]{1,3}|[A-Za-z_][\w:]*(?:\s*[*&])?)|~?[A-Za-z_]\w*)"
+        fn = find(r"^[^=()]*[\s*&>]((?:\w+::)*" + word + r")\s*\([^{}]*\)\s*(?:(?:const|noexcept|override|final)\s*)*(?:->[^{}]*|:[^:{}][^{}]*)?$", bare)
         placed = around.isNull() | around.rlike(r"(?:^|\s)(?:namespace|extern|class|struct)(?:\s|$)")
         bad = bare.rlike(r"^(?:return|typedef|using|else|new|delete|throw|goto)\b") | fn.isin(NOT_NAMES)
         named = F.when(placed & balanced & (cls == "") & (opens | (stop == ";")) & ~bad, fn).otherwise(none)

@@ -185,6 +185,45 @@ def test_class_members_cover_nested_classes(spark):
     assert got[("A.java", "Inner")] == ["toString"]
 
 
+ORDINARY = {
+    "Note.java": ("java", """class Note {
+  @SuppressWarnings({"a", "b"})
+  void quiet() { }
+  Runnable r() { return new Runnable() { public void run() { go(); } }; }
+}
+enum Op {
+  PLUS { int apply(int a) { return a; } },
+  MINUS(2) { int apply(int a) { return -a; } };
+}
+"""),
+    "ops.cpp": ("cpp", """int f(int a = 1) { return a; }
+struct V {
+  V operator+(const V& o) const { return o; }
+  bool operator==(const V& o) const;
+  int at(int i = 0, int j = f(2)) { return i; }
+};
+"""),
+    "re.js": ("javascript", """class R {
+  test(s) { return /}/.test(s); }
+  next() {      return     /re{/; }
+  last() { }
+}
+"""),
+    "c.kt": ("kotlin", "fun f(a: Int, /*1*/ /*2*/ /*3*/ /*4*/\n b: Int) = a\n"),
+}
+
+
+def test_ordinary_code(spark):
+    df = spark.createDataFrame([(p, l, c) for p, (l, c) in ORDINARY.items()], "path string, language string, content string")
+    got = {}
+    for r in S.with_owner(S.extract(df)[0]).orderBy("path", "start_byte").collect():
+        got.setdefault(r.path, []).append((r.name, r.class_name, r.line_start, r.line_end))
+    assert [x[:2] for x in got["Note.java"]] == [("Note", "Note"), ("quiet", "Note"), ("r", "Note"), ("run", "Note"), ("apply", ""), ("apply", "")]
+    assert [x[0] for x in got["ops.cpp"]] == ["f", "V", "operator+", "operator==", "at"]
+    assert got["re.js"] == [("R", "R", 1, 5), ("test", "R", 2, 2), ("next", "R", 3, 3), ("last", "R", 4, 4)]
+    assert got["c.kt"] == [("f", "", 1, 2)]
+
+
 def test_very_long_tokens_are_handled(spark):
     n = 200_000
     files = {
