@@ -128,23 +128,21 @@ def compare_across(frame: pd.DataFrame) -> pd.DataFrame:
 
 
 def with_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """``members`` (id, fp, ...) and ``shingles``, the full set of the text, made again from ``docs``."""
+    """``members`` (id, fp, ...) and ``shingles``, the full set of the text, made again from ``docs`` for these alone."""
 
     @F.pandas_udf("binary")
-    def full_set(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def full_set(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        """The set of a text, null if it isn't the wanted one: rows that share a doc_id may differ. As it takes columns of
+        both sides, it is run after the join, not for all texts before it."""
         shingler = Shingler()
-        for texts in batches:
-            yield texts.map(lambda t: shingler.of(t).tobytes())
-
-    @F.pandas_udf("binary")
-    def mark(sets: pd.Series) -> pd.Series:
-        return sets.map(xxhash.xxh3_128_digest)
+        for texts, wants in batches:
+            sets = [shingler.of(t).tobytes() for t in texts]
+            yield pd.Series([s if xxhash.xxh3_128_digest(s) == w else None for s, w in zip(sets, wants)], dtype=object)
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    wanted = members.select("id", F.col("fp").alias("want"))
-    sets = texts.join(wanted, F.col("doc_id") == F.col("id")).select("id", "want", full_set("text").alias("shingles"))
-    sets = sets.withColumn("fp", mark("shingles")).where("fp = want").select("id", "fp", "shingles").dropDuplicates(["id", "fp"])
-    return members.join(sets, ["id", "fp"])
+    wanted = members.select("id", "fp")
+    sets = texts.join(wanted, F.col("doc_id") == F.col("id")).select("id", "fp", full_set("text", "fp").alias("shingles"))
+    return members.join(sets.where("shingles is not null").dropDuplicates(["id", "fp"]), ["id", "fp"])
 
 
 def links_in_blocks(docs: DataFrame, classes: DataFrame, unit: int = UNIT, unit_shingles: int = UNIT_SHINGLES) -> DataFrame:
