@@ -58,11 +58,12 @@ SELECT 'rollup' AS form, l_returnflag, l_linestatus, CAST(count(*) AS BIGINT) AS
 UNION ALL SELECT 'cube', l_returnflag, l_linestatus, CAST(count(*) AS BIGINT), round(sum(l_quantity), 2) FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)
 UNION ALL SELECT 'sets', l_returnflag, NULL, CAST(count(*) AS BIGINT), round(sum(l_quantity), 2) FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), ())""")
 def d4(t: Tables):
-    aggs = [F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("qty")]
-    out = lambda df, form: df.agg(*aggs).withColumn("form", F.lit(form))
-    l = t.lineitem
-    sets = out(l.groupingSets([[F.col("l_returnflag")], []], F.col("l_returnflag")), "sets").withColumn("l_linestatus", F.lit(None).cast("string"))
-    return out(l.rollup("l_returnflag", "l_linestatus"), "rollup").unionByName(out(l.cube("l_returnflag", "l_linestatus"), "cube")).unionByName(sets)
+    """A cube has the groups of the rollup and of the sets too, so one pass makes all three."""
+    cube = t.lineitem.cube("l_returnflag", "l_linestatus").agg(
+        F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("qty"), F.grouping_id().alias("level"))
+    forms = lambda *names: F.array(*[F.lit(x) for x in names])
+    form = F.when(F.col("level") == 0, forms("rollup", "cube")).when(F.col("level") == 2, forms("cube")).otherwise(forms("rollup", "cube", "sets"))
+    return cube.select(F.explode(form).alias("form"), "l_returnflag", "l_linestatus", "n", "qty")
 
 
 @query("d4_distinct_pivot", """
