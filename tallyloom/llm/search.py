@@ -24,6 +24,9 @@ from tallyloom.llm.common import WordRows, stash
 K1, B = 1.2, 0.75
 #: Words of a run, documents of a shard, queries of a block, documents of a block whose maxima are kept.
 RUN_WORDS, SHARD, QUERIES, BLOCK = 2_000_000, 16_384, 4096, 64
+#: 64-bit words of the filter of asked terms: 8 MB, whatever the number of terms. A fuller filter keeps more lists than are
+#: needed; it never drops one that is.
+FILTER = 1 << 20
 #: Terms in more than this share of a shard's documents are bounded first.
 COMMON = 0.02
 #: Sums in another order differ by far less; documents this close to the bound are kept until the final scores.
@@ -50,10 +53,20 @@ def _lists(values: np.ndarray, starts: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
 
 
-def build(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
+def term_filter(terms: DataFrame) -> np.ndarray:
+    """A bit for each hashed ``term``, combined per word on the executors."""
+    place = F.pmod("term", F.lit(FILTER))
+    bit = F.expr("shiftleft(1L, cast(shiftrightunsigned(term, 58) as int))")
+    words = terms.groupBy(place.alias("place")).agg(F.bit_or(bit).alias("bits")).toPandas()
+    out = np.zeros(FILTER, np.int64)
+    out[words["place"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    return out
+
+
+def build(docs: DataFrame, asked: np.ndarray | None = None, run_words: int = RUN_WORDS) -> DataFrame:
     """Inverted lists of ``docs`` (doc_id, text): run, term, n, places and counts, the documents that have the term, by their
     place in the run, and how often. The row of a run with ``words``, else null, holds its doc_ids and their
-    lengths in words, of which that is the sum."""
+    lengths in words, of which that is the sum. With ``asked``, a ``term_filter``, lists of other terms are left out."""
     schema = pa.schema([("run", pa.int64()), ("term", pa.int64()), ("n", pa.int64()), ("places", pa.binary()), ("counts", pa.binary()), ("words", pa.int64())])
 
     def flush(run: int, ids: list[int], hashes: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -61,6 +74,9 @@ def build(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array([run]), pa.array([0], pa.int64()), pa.array([len(ids)]),
                                           pa.array([np.array(ids, np.int64).tobytes()]), pa.array([lengths.tobytes()]), pa.array([int(lengths.sum())])], schema=schema)
         term, place = np.concatenate(hashes), np.repeat(np.arange(len(ids), dtype=np.int32), lengths)
+        if asked is not None:
+            wanted = asked[term % FILTER] >> (term.view(np.uint64) >> np.uint64(58)).astype(np.int64) & 1 == 1
+            term, place = term[wanted], place[wanted]
         order = np.argsort(term, kind="stable")
         term, place = term[order], place[order]
         first = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (place[1:] != place[:-1])][: len(term)])
@@ -188,10 +204,10 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, shard: int = SHARD,
     Queries and documents are (doc_id, text). A query's words count once each. Null and empty texts count as documents of no
     words, match nothing and ask nothing; rows without a doc_id are left out, and repeated documents are found as often as
     they are there. Of queries with the same doc_id one is asked."""
-    index = stash(build(docs, run_words), "index")
+    asked = stash(query_terms(queries), "asked")
+    index = stash(build(docs, term_filter(asked), run_words), "index")
     heads = index.where("words is not null")
     n_docs, n_words = heads.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
-    asked = stash(query_terms(queries), "asked")
     lists = stash(index.where("words is null").join(asked.select("term").distinct(), "term"), "lists")
     seen = lists.groupBy("term").agg(F.sum("n").alias("df"))
     idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -199,7 +215,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, shard: int = SHARD,
     weighed = asked.join(seen.select("term", idf.alias("idf")), "term").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("term", "idf"))).alias("terms"))
     weighed = weighed.select("query_id", F.col("terms.term").alias("terms"), F.col("terms.idf").alias("idfs"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    of = F.pmod(F.xxhash64("run"), F.lit(shards)).alias("shard")
+    of = F.pmod(F.shiftright("run", 32) + F.col("run").bitwiseAND(F.lit((1 << 32) - 1)), F.lit(shards)).alias("shard")  # in turn
     left = lists.select(*index.columns).union(heads).select("*", of).select("*", every(blocks).alias("block"))
     right = weighed.select("query_id", "terms", "idfs", every(shards).alias("shard"), "block")
     average = n_words / max(1, n_docs)
