@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallyloom.session import work_folder
+from tallyloom.session import stash
+
+__all__ = ["FOLDS", "HELD_OUT", "Memo", "SPACE", "WORD", "WordRows", "fold", "letters", "mix", "stash", "subwords"]
 
 #: Rows whose crc32(doc_id) leaves this remainder by FOLDS are never learned from.
 FOLDS, HELD_OUT = 4, 2
@@ -16,13 +18,6 @@ FOLDS, HELD_OUT = 4, 2
 SPACE, WORD = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]+"
 
 
-def stash(df: DataFrame, label: str) -> DataFrame:
-    """Writes ``df`` below the shared checkpoint folder and reads it again: cuts the lineage, survives lost executors."""
-    path = work_folder(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def fold(doc_id: Column) -> Column:
     """Remainder that decides whether a row may be learned from; 0 for rows without an id."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS, F.lit(0))
