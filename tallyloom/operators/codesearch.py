@@ -25,6 +25,11 @@ def in_languages(symbols: DataFrame, languages: list[str] | None) -> DataFrame:
     return symbols.where(F.lower("language").isin(wanted))
 
 
+def naming(files: DataFrame, name: str) -> DataFrame:
+    """Files whose text holds ``name``: the only ones that can declare it, so that a search parses no others."""
+    return files.where(F.contains("content", F.lit(name)))
+
+
 def find_methods(symbols: DataFrame, files: DataFrame, name: str, class_name: str = "", languages: list[str] | None = None) -> DataFrame:
     """Exact, case-sensitive name; an empty class name means any class."""
     found = in_languages(symbols, languages).where((F.col("kind") == "method") & (F.col("name") == name))

@@ -47,6 +47,12 @@ def symbols(t: Tables):
     return S.with_owner(S.extract(files(t))[0])
 
 
+def declaring(t: Tables, name: str):
+    """Symbols of the files that hold ``name``, and these files."""
+    found = C.naming(files(t), name)
+    return S.with_owner(S.extract(found)[0]), found
+
+
 def all_paths(t: Tables):
     return t.part.select(F.expr(PATH).alias("path"))
 
@@ -84,14 +90,17 @@ def f18(t: Tables):
 
 @query("p1_exact_name", f"WITH {CTE} SELECT path, name, line_start FROM y WHERE name = 'm24'")
 def p1(t: Tables):
-    return symbols(t).where(F.col("name") == "m24").select("path", "name", "line_start")
+    return declaring(t, "m24")[0].where(F.col("name") == "m24").select("path", "name", "line_start")
 
 
-@query("p2_optional_filter", f"WITH {CTE} SELECT 'any' AS form, path, class_name FROM m WHERE name = 'm7' UNION ALL SELECT 'one', path, class_name FROM m WHERE name = 'm7' AND class_name = ''")
+@query("p2_optional_filter", f"""WITH {CTE}, w AS (SELECT concat('m', p_size) AS name FROM part WHERE p_partkey = 17)
+SELECT 'any' AS form, path, class_name FROM m SEMI JOIN w USING (name) UNION ALL SELECT 'one', path, class_name FROM m SEMI JOIN w USING (name) WHERE class_name = 'C17'""")
 def p2(t: Tables):
-    s = C.list_methods(symbols(t)).where("method_name = 'm7'")
-    forms = F.explode(F.when(F.col("class_name") == "", F.array(F.lit("any"), F.lit("one"))).otherwise(F.array(F.lit("any"))))
-    return s.select(forms.alias("form"), F.col("file_path").alias("path"), "class_name")
+    """The method of class C17: in any class, and in that class only."""
+    name = f"m{t.part.where('p_partkey = 17').first().p_size}"
+    pick = lambda df, form: df.select(F.lit(form).alias("form"), F.col("file_path").alias("path"), "class_name")
+    found = declaring(t, name)
+    return pick(C.find_methods(*found, name), "any").unionByName(pick(C.find_methods(*found, name, "C17"), "one"))
 
 
 @query("p3_ci_membership", f"WITH {CTE} SELECT path, upper(language) AS shouted FROM f WHERE language IN ('java', 'rust')")
@@ -192,12 +201,12 @@ SEARCH = "name, source AS implementation, path AS file_path, line_start, line_en
 
 @query("k2_find_method", f"WITH {CTE} SELECT {SEARCH} FROM m WHERE name = 'm10'")
 def k2(t: Tables):
-    return C.find_methods(symbols(t), files(t), "m10")
+    return C.find_methods(*declaring(t, "m10"), "m10")
 
 
 @query("k3_find_class", f"WITH {CTE} SELECT {SEARCH} FROM c WHERE name = 'C17'")
 def k3(t: Tables):
-    return C.find_classes(symbols(t), files(t), "C17")
+    return C.find_classes(*declaring(t, "C17"), "C17")
 
 
 @query("k4_list_methods", f"WITH {CTE} SELECT name AS method_name, class_name, path AS file_path FROM m")
