@@ -23,7 +23,7 @@ from tallyloom.llm.common import WordRows, stash
 
 K1, B = 1.2, 0.75
 #: Words of a run, documents of a shard, queries of a block, documents of a block whose maxima are kept.
-RUN_WORDS, SHARD, QUERIES, BLOCK = 2_000_000, 16_384, 4096, 64
+RUN_WORDS, SHARD, QUERIES, BLOCK = 2_000_000, 8192, 2048, 64
 #: 64-bit words of the filter of asked terms: 8 MB, whatever the number of terms. A fuller filter keeps more lists than are
 #: needed; it never drops one that is.
 FILTER = 1 << 20
