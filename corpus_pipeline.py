@@ -16,6 +16,8 @@ from tallyloom.session import prepare, work_folder
 
 #: An ambiguous text goes if its best language isn't at least this likely.
 LEAST_SCORE = 0.6
+#: Texts that share this many hundredths of their five-word shingles are near duplicates.
+SIMILAR = 80
 #: Seed of the hashes that choose the documents of the mix.
 SEED = 17
 
@@ -29,7 +31,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays."""
-    return neardup.deduplicate(docs)
+    return neardup.deduplicate(docs, SIMILAR)
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -49,7 +49,7 @@ def op1(t: Tables) -> DataFrame:
     c AS (SELECT doc_id, min(reach) AS component_id FROM r GROUP BY 1)
     SELECT doc_id, coalesce(n.n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)""")
 def op2(t: Tables) -> DataFrame:
-    return neardup.near_duplicates(t.documents)
+    return neardup.near_duplicates(t.documents, 85)
 
 
 @query("op3_toxicity")

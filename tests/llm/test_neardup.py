@@ -87,3 +87,34 @@ def test_shingles():
     s = Shingler()
     assert len(s.of("a b c d e f")) == 2 and len(s.of("a b")) == 1 and len(s.of(None)) == 0
     assert (s.of("A b\tc") == s.of("a B  c\n")).all() and (s.of("a b c d") != s.of("a b c")).all()
+
+
+def test_pipeline_stage_links_from_eighty(spark):
+    """Pairs planted at 0.80 to below 0.85, texts of 20 to 400 words with one word changed in places: the stage drops one of
+    each, op2's percentage keeps both; pairs just below 0.80 stay."""
+    import corpus_pipeline
+
+    rng, rows, inside, below = random.Random(8), [], set(), set()
+    while len(inside) < 300 or len(below) < 100:
+        base = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(20, 400))]
+        text = list(base)
+        for at in rng.sample(range(len(base)), max(1, len(base) // 42)):
+            text[at] = f"x{rng.randrange(10**6)}"
+        a, b = ({tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (base, text))
+        share = 100 * len(a & b) / len(a | b)
+        group = inside if 80 <= share < 85 else below if 75 <= share < 80 else None
+        if group is not None:
+            low = 2 * len(rows)
+            group.add(low + 1)
+            rows += [(low, " ".join(base)), (low + 1, " ".join(text))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    left = {r.doc_id for r in corpus_pipeline.one_of_each(spark, frame, "").collect()}
+    assert {d for d, _ in rows} - left == inside
+    assert neardup.near_duplicates(frame, 85).where("kept").count() == len(rows)
+
+
+def test_band_width():
+    assert neardup.band_width(85) == 8
+    for percent in (50, 60, 70, 80, 85, 90, 95):
+        width = neardup.band_width(percent)
+        assert (1 - (percent / 100) ** width) ** (sketches.M // width) <= neardup.MISSED
