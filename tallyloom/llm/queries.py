@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm import language, mixing, neardup, packing, pii, search, tokencount, toxicity, vectors, warc
+from tallyloom.llm import harmonic, language, mixing, neardup, packing, pii, search, tokencount, toxicity, vectors, warc
 from tallyloom.llm.common import HELD_OUT, fold
 from tallyloom.plans.base import Tables
 
@@ -131,3 +131,9 @@ def op9(t: Tables) -> DataFrame:
     SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)""")
 def op10(t: Tables) -> DataFrame:
     return vectors.near_vectors(t.embeddings)
+
+
+@query("op12_harmonic_pack")
+def op12(t: Tables) -> DataFrame:
+    pieces = harmonic.pack(t.documents, public_tokenizers.path("byte_bpe_50k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
