@@ -98,8 +98,8 @@ def d5_frames(t: Tables):
     """Running sum and previous row per user, cut into slices for hot users."""
     k = F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint")
     e = t.events.select("event_id", "user_id", "ts", k.alias("k"))
-    total = O.running_total(e, ["user_id"], ["ts", "event_id"], F.col("k"), "running")
-    return O.previous(total, ["user_id"], ["ts", "event_id"], F.col("event_id"), "previous").select("event_id", "running", "previous")
+    out = O.frames(e, ["user_id"], ["ts", "event_id"], running=O.total(F.col("k")), previous=O.before(F.col("event_id")))
+    return out.select("event_id", "running", "previous")
 
 
 SKEWED = "SELECT event_id, user_id % 2 AS side, CASE WHEN event_id % 7 <> 0 THEN ts END AS pos, CASE WHEN event_id % 5 <> 0 THEN event_id END AS v FROM events"
@@ -112,9 +112,8 @@ WINDOW w AS (PARTITION BY side ORDER BY pos NULLS FIRST, event_id ROWS BETWEEN U
 def d5_skewed(t: Tables):
     """Two keys for all events, null positions and null values."""
     e = t.events.selectExpr("event_id", "user_id % 2 AS side", "CASE WHEN event_id % 7 <> 0 THEN ts END AS pos", "CASE WHEN event_id % 5 <> 0 THEN event_id END AS v")
-    by = (["side"], ["pos", "event_id"])
-    out = O.ordinal(O.running_total(e, *by, F.col("v"), "running"), *by, "n")
-    out = O.carry_forward(O.previous(out, *by, F.col("v"), "previous"), *by, F.col("v"), "carried")
+    v = F.col("v")
+    out = O.frames(e, ["side"], ["pos", "event_id"], running=O.total(v), n=O.number(), previous=O.before(v), carried=O.carried(v))
     return out.select("event_id", "running", "n", "previous", "carried")
 
 

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -33,6 +34,49 @@ def test_keep_spaced(spark, seed):
     assert found == want
 
 
+@pytest.mark.parametrize("slices, segment", [(4, 1000), (400, 1000), (8, 7)])
+@pytest.mark.parametrize("gap", [1, 40, 2500, 10**7])
+def test_keep_spaced_hot_key(spark, gap, slices, segment):
+    """One key in all ranges: composed maps give the same rows at any number of slices and any length of a row."""
+    rnd = random.Random(gap)
+    rows = [("hot" if i % 9 else None, rnd.randrange(0, 20_000)) for i in range(4000)]
+    df = spark.createDataFrame(rows, "k string, p long")
+    got = {(r.k, r.position): r.kept for r in O.keep_spaced(df, "k", F.col("p"), gap, slices=slices, segment=segment).collect()}
+    assert got == {(k, p): kept for k in ("hot", None) for p, kept in greedy([p for kk, p in rows if kk == k], gap, None).items()}
+
+
+def test_composed_maps():
+    """The map of two neighbours is the one of their positions together, for every threshold either can meet."""
+    rnd = random.Random(5)
+    for _ in range(300):
+        gap = rnd.choice([1, 2, 7, 30, 200])
+        at = np.unique([rnd.randrange(0, 150) for _ in range(rnd.randrange(2, 60))])
+        cut = rnd.randrange(1, len(at)) if len(at) > 1 else None
+        if not cut:
+            continue
+        upto, last = O.composed(O.threshold_map(at[:cut], gap), O.threshold_map(at[cut:], gap), gap)
+        for t in range(int(at[0]) - 2, int(at[0]) + gap + 1):
+            kept = at[O.chosen(at, gap, t)]
+            k = int(np.searchsorted(upto, t))
+            assert (last[k] if k < len(last) else None) == (kept[-1] if len(kept) else None)
+
+
+def test_frames_together(spark, ordered_rows):
+    df, _ = ordered_rows
+    by = (["k"], ["p", "i"])
+    one = O.frames(df, *by, 9, t=O.total(F.col("v")), n=O.number(), c=O.carried(F.col("v")), b=O.before(F.col("v")), e=O.total(F.col("v"), inclusive=False))
+    assert one.columns == ["k", "p", "i", "v", "t", "n", "c", "b", "e"]
+    for name, other in (("t", O.running_total(df, *by, F.col("v"), "t")), ("n", O.ordinal(df, *by, "n")), ("c", O.carry_forward(df, *by, F.col("v"), "c")),
+                        ("b", O.previous(df, *by, F.col("v"), "b")), ("e", O.running_total(df, *by, F.col("v"), "e", inclusive=False))):
+        assert as_map(one, name) == as_map(other, name)
+
+
+def test_no_rows(spark):
+    df = spark.createDataFrame([], "k long, p long, v long")
+    assert O.frames(df, ["k"], ["p"], n=O.number()).count() == 0
+    assert O.keep_spaced(df, "k", F.col("p"), 5).count() == 0
+
+
 def test_keep_spaced_null_key(spark):
     df = spark.createDataFrame([(None, 1), (None, 2), (None, 9), (4, 1)], "k long, p long")
     got = sorted((r.k or -1, r.position, r.kept) for r in O.keep_spaced(df, "k", F.col("p"), 5, slices=3).collect())
