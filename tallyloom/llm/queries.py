@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm import harmonic, language, mixing, neardup, packing, pii, search, tokencount, toxicity, vectors, warc
+from tallyloom.llm import harmonic, language, mixing, neardup, packing, pii, search, tokencount, toxicity, trie, vectors, warc
 from tallyloom.llm.common import HELD_OUT, fold
 from tallyloom.plans.base import Tables
 
@@ -137,3 +137,36 @@ def op10(t: Tables) -> DataFrame:
 def op12(t: Tables) -> DataFrame:
     pieces = harmonic.pack(t.documents, public_tokenizers.path("byte_bpe_50k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+#: CRC-32 of a decimal number, bit by bit.
+CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+    lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"""
+
+
+@query("op13_prefix_trie", rf"""
+    WITH t AS (
+        SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+               sha256(concat(strlen(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) AS digest FROM conversations WHERE conv_id IS NOT NULL),
+    o AS (
+        SELECT conv_id, list(concat(strlen(role), ':', role, text) ORDER BY turn NULLS FIRST, role, digest) AS turns,
+               list(len(list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '')) ORDER BY turn NULLS FIRST, role, digest) AS words
+        FROM t GROUP BY 1),
+    h AS (SELECT *, {CRC} % 4 AS h FROM o),
+    b AS (
+        SELECT h.conv_id, list_concat(coalesce(b.turns, [])[1:h], h.turns[h + 1:]) AS turns, list_concat(coalesce(b.words, [])[1:h], h.words[h + 1:]) AS words
+        FROM h LEFT JOIN o b ON b.conv_id = h.conv_id - h.conv_id % 20),
+    p AS (SELECT conv_id, unnest(range(len(turns) + 1)) AS depth, turns, words FROM b),
+    r AS (
+        SELECT conv_id, depth, turns[1:depth] AS prefix, turns[1:depth - 1] AS above, coalesce(words[depth], 0) AS words, len(turns) = depth AS ends FROM p),
+    n AS (
+        SELECT depth, prefix, any_value(above) AS above, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+               coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '') AS ends FROM r GROUP BY 1, 2),
+    c AS (SELECT n.*, (SELECT count(*) FROM n d WHERE d.depth = n.depth + 1 AND d.above = n.prefix) AS n_children FROM n),
+    s AS (
+        SELECT a.depth, a.prefix, count(*) FILTER (WHERE v.n_children = 0) AS n_leaves, sum((v.n_convs - 1) * v.words) AS saved
+        FROM c a JOIN c v ON v.depth >= a.depth AND v.prefix[1:a.depth] = a.prefix GROUP BY 1, 2)
+    SELECT c.conv_id, c.depth, u.conv_id AS parent_conv_id, c.n_convs, c.n_children, s.n_leaves, s.saved::BIGINT AS saved_tokens, sha256(c.ends) AS ends_sha256
+    FROM c JOIN s USING (depth, prefix) LEFT JOIN c u ON u.depth = c.depth - 1 AND u.prefix = c.above""")
+def op13(t: Tables) -> DataFrame:
+    return trie.prefix_trie(t.conversations)
