@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm import harmonic, language, mixing, neardup, packing, pii, search, tokencount, toxicity, trie, vectors, warc
+from tallyloom.llm import collocations, harmonic, language, mixing, neardup, packing, pii, search, tokencount, toxicity, trie, vectors, warc
 from tallyloom.llm.common import HELD_OUT, fold
 from tallyloom.plans.base import Tables
 
@@ -133,6 +133,32 @@ def op10(t: Tables) -> DataFrame:
     return vectors.near_vectors(t.embeddings)
 
 
+@query("op11_collocations", r"""
+    WITH p AS (
+        SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+            'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+    w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS words FROM p),
+    g AS (
+        SELECT lang, k, unnest(list_transform(range(1, len(words) - k + 2), lambda i: words[i:i + k - 1])) AS words
+        FROM w, (SELECT unnest(range(1, 6)) AS k) WHERE len(words) >= k),
+    f AS MATERIALIZED (SELECT lang, k, array_to_string(words, ' ') AS phrase, count(*) AS a FROM g GROUP BY 1, 2, 3),
+    t AS (SELECT lang, sum(len(words))::BIGINT AS n FROM w GROUP BY 1),
+    c AS MATERIALIZED (SELECT *, string_split(phrase, ' ') AS words FROM f WHERE k > 1 AND a >= 100),
+    inside AS (
+        SELECT DISTINCT c.lang, c.phrase FROM c JOIN c d ON d.lang = c.lang AND d.k > c.k AND 100 * d.a >= 100 * c.a
+            AND contains(' ' || d.phrase || ' ', ' ' || c.phrase || ' ')),
+    cut AS (
+        SELECT c.lang, c.phrase, c.a, u.pos, l.a AS l, r.a AS r, (1000::HUGEINT * c.a * t.n) // (l.a::HUGEINT * r.a) AS score
+        FROM c ANTI JOIN inside USING (lang, phrase) JOIN t ON t.lang = c.lang JOIN (SELECT unnest(range(1, 5)) AS pos) u ON u.pos < c.k
+        JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.words[1:u.pos], ' ')
+        JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.words[u.pos + 1:], ' ')),
+    s AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, pos) AS first FROM cut),
+    k AS (SELECT s.*, n, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM s JOIN t USING (lang) WHERE first = 1)
+    SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM k WHERE rank <= 2000""")
+def op11(t: Tables) -> DataFrame:
+    return collocations.collocations(t.documents)
+
+
 @query("op12_harmonic_pack")
 def op12(t: Tables) -> DataFrame:
     pieces = harmonic.pack(t.documents, public_tokenizers.path("byte_bpe_50k.json"))
