@@ -8,6 +8,8 @@ can ever give that token. ``ranks`` proves this for every token before the vocab
 from __future__ import annotations
 
 import json
+import re
+import unicodedata
 from collections.abc import Callable
 
 import numpy as np
@@ -54,3 +56,56 @@ def byte_encoder(path: str) -> Callable[[str], np.ndarray]:
         path, pat_str=CUTS, mergeable_ranks=ranks(told["model"], lambda t: bytes(map(byte.__getitem__, t))),
         special_tokens={t["content"]: t["id"] for t in told["added_tokens"]})
     return lambda text: coder.encode_to_numpy(text, allowed_special="all").astype(IDS, copy=False)
+
+
+#: Fixed value: the word parts of the vocabularies with word ends.
+PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+#: How these vocabularies write the end of a word, and the byte that stands for it here.
+WORD_END, END_BYTE = "</w>", b"\0"
+
+
+def lower(text: str) -> str:
+    """Lower case character by character, as the tokenizer does: a capital sigma has one lower form, wherever it stands."""
+    return "".join(map(str.lower, text)) if "Σ" in text else text.lower()
+
+
+def word_encoder(path: str) -> Callable[[str], np.ndarray]:
+    """Function from a text to its ids as tokenizers' model at ``path`` gives them without added special tokens: lower case,
+    white space dropped, words ended by ``WORD_END``.
+
+    The end of a word is one more byte here. Joining it to the letter before it comes first of all, since those tokens have
+    the lowest ids; from there on the merges are the same. Texts with that byte, with the start of a special token, or with
+    separators on which Python and the tokenizer disagree, are encoded by the library.
+    """
+    import regex
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    model = json.loads(tokenizer.to_str())["model"]
+    if model["end_of_word_suffix"] != WORD_END:
+        raise ValueError(f"{path} has no word ends")
+    byte = {c: b for b, c in LETTERS.items()}
+
+    def plain(token: str) -> bytes:
+        ended = token.endswith(WORD_END)
+        return bytes(map(byte.__getitem__, token[: -len(WORD_END)] if ended else token)) + END_BYTE * ended
+
+    zero = LETTERS[END_BYTE[0]]
+    told = {"vocab": {t: i for t, i in model["vocab"].items() if zero not in t}, "merges": [m for m in model["merges"] if zero not in m[0] + m[1]]}
+    by_id = ranks(told, plain)
+    by_id[END_BYTE] = max(by_id.values()) + 1  # never left alone: every byte has a token that ends a word
+    coder = tiktoken.Encoding(path, pat_str=r"[^\x00]+\x00", mergeable_ranks=by_id, special_tokens={})
+    parts, odd, mark = regex.compile(PARTS), re.compile("<\\||[\0\x1c-\x1f]"), END_BYTE.decode()
+
+    def encode(text: str) -> np.ndarray:
+        if odd.search(text):
+            return np.asarray(tokenizer.encode(text, add_special_tokens=False).ids, IDS)
+        text = text.lower() if text.isascii() else lower(unicodedata.normalize("NFC", text))
+        found = parts.findall(text)
+        if not found:
+            return np.zeros(0, IDS)
+        found.append("")
+        return coder.encode_to_numpy(mark.join(found)).astype(IDS, copy=False)
+
+    return encode

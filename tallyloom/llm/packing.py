@@ -6,68 +6,21 @@ joins the ids again. Only lengths move between tasks for the placement, never te
 
 from __future__ import annotations
 
-import re
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import Memo, stash
+from tallyloom.llm.bpe import IDS, word_encoder
+from tallyloom.llm.common import stash
 
 LIMIT = 4096
 #: Pieces that one task packs together. Each group leaves at most a few sequences part full, so more of them cost nothing.
 GROUP = 50_000
 END_ID = 1
-IDS = np.dtype("<u4")
-#: Fixed value: the word parts of the vocabulary's tokenizer.
-PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-#: How byte-level vocabularies write bytes: printable ones as themselves, the others in order from 256 on.
-PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
-BYTES = {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(PRINTED)))}
-
-
-def load(path: str):
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path)
-
-
-def encoder(path: str):
-    """Function from a text to its ids as little-endian 32-bit bytes.
-
-    The tokenizer drops white space and merges only within the parts that ``PARTS`` cuts, so words and parts are encoded
-    apart, the parts by the tokenizer's own merges, and remembered. Texts with the start of a special token, or with
-    separators on which Python and the tokenizer disagree, are encoded as a whole.
-    """
-    tokenizer = load(path)
-    merge = tokenizer.model.tokenize
-
-    def part_ids(parts: list[str]) -> list[bytes]:
-        return [np.array([t.id for t in merge(p.encode().decode("latin-1").translate(BYTES))], IDS).tobytes() for p in parts]
-
-    def word_ids(words: list[str]) -> list[bytes]:
-        cut = [PARTS.findall(lower(unicodedata.normalize("NFC", w))) for w in words]
-        known = iter(parts.of([p for c in cut for p in c]))
-        return [next(known) if len(c) == 1 else b"".join([next(known) for _ in c]) for c in cut]
-
-    parts, memo, odd = Memo(part_ids), Memo(word_ids), re.compile("<\\||[\x1c-\x1f]")
-
-    def encode(text: str) -> bytes:
-        if odd.search(text):
-            return np.asarray(tokenizer.encode(text, add_special_tokens=False).ids, IDS).tobytes()
-        return b"".join(memo.of(text.split()))
-
-    return encode
-
-
-def lower(word: str) -> str:
-    """Lower case character by character, as the tokenizer does: a capital sigma has one lower form, wherever it stands."""
-    return "".join(map(str.lower, word)) if "Σ" in word else word.lower()
 
 
 def tokenize(docs: DataFrame, path: str, limit: int = LIMIT, end_id: int = END_ID) -> DataFrame:
@@ -81,12 +34,12 @@ def tokenize(docs: DataFrame, path: str, limit: int = LIMIT, end_id: int = END_I
                        ("length", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
+        encode = word_encoder(path)
         end, width = np.asarray([end_id], IDS).tobytes(), IDS.itemsize
         for batch in batches:
             rows: list[tuple] = []
             for row_id, doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
-                ids = encode(text or "") + end
+                ids = encode(text or "").tobytes() + end
                 for k, at in enumerate(range(0, len(ids), limit * width)):
                     part = ids[at : at + limit * width]
                     rows.append((row_id, doc_id, k, at // width, len(part) // width, part))

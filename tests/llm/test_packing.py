@@ -2,11 +2,13 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
-from tallyloom.llm import packing
+from tallyloom.llm import bpe, packing
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -44,14 +46,25 @@ def test_two_replace_one():
 
 @pytest.mark.parametrize("text", [
     "", "it's we'll don't!!!'s 12a3", "İstanbul ȧ ΑΣ ΣΑΣ", "a <|endoftext|> b", "<|STARTOFTEXT|>", "a\x1cb c", "日本語 🙂 x​y \u0085 q", "ǅ ſ ½ ²x _y_",
-    "é ́a", "A" * 3000])
+    "é ́a", "A" * 3000, "nul\x00inside", "\x01\x02 \x7f", "  \n\t ", "''s '", "ab" * 50000])
 def test_encoder(text):
-    want = np.asarray(packing.load(PATH).encode(text, add_special_tokens=False).ids, packing.IDS).tobytes()
-    assert packing.encoder(PATH)(text) == want
+    want = Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
+    assert bpe.word_encoder(PATH)(text).tolist() == want
+
+
+def test_encoder_on_documents():
+    """Random mixtures of characters of all kinds, and every document of a table."""
+    tokenizer, encode = Tokenizer.from_file(PATH), bpe.word_encoder(PATH)
+    rng = np.random.default_rng(3)
+    letters = [chr(c) for c in [*range(1, 0x250), *range(0x300, 0x3CF), *range(0x4E00, 0x4E20), 0x2028, 0x3000, 0xFEFF, 0x1F642, 0x1E9E, 0xFB01]]
+    texts = ["".join(rng.choice(letters, rng.integers(1, 40))) for _ in range(20_000)]
+    texts += [t for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column(0).to_pylist() if t]
+    want = [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [encode(t).tolist() for t in texts] == want
 
 
 def test_round_trip(spark, odd, empty):
-    tokenizer = packing.load(PATH)
+    tokenizer = Tokenizer.from_file(PATH)
     docs = odd.union(odd.where("doc_id = 8")).union(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("doc_id + 100", "text", "lang", "source", "n_chars"))
     pieces, places = packing.pack_documents(docs, PATH, group=60)
     rows = pieces.join(places, ["row_id", "piece"]).collect()
@@ -67,7 +80,7 @@ def test_round_trip(spark, odd, empty):
         parts.sort(key=lambda r: r.piece)
         assert [r.start for r in parts] == list(np.cumsum([0, *[r.length for r in parts]])[:-1])
         assert all(r.length == 4096 for r in parts[:-1])
-        ids = np.frombuffer(b"".join(r.ids for r in parts), packing.IDS).tolist()
+        ids = np.frombuffer(b"".join(r.ids for r in parts), bpe.IDS).tolist()
         assert ids in [[*tokenizer.encode(t, add_special_tokens=False).ids, 1] for t in texts[doc_id]]
     for parts in by_sequence.values():
         at = 0
