@@ -60,6 +60,9 @@ def byte_encoder(path: str) -> Callable[[str], np.ndarray]:
 
 #: Fixed value: the word parts of the vocabularies with word ends.
 PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+#: The same for texts of Latin-1 characters, whose letters and numbers can be listed.
+LATIN_LETTERS, LATIN_NUMBERS = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
+LATIN_PARTS = rf"[{LATIN_LETTERS}]+|'(?:[stmd]|re|ve|ll)|[{LATIN_NUMBERS}]|[^\s{LATIN_LETTERS}{LATIN_NUMBERS}]+"
 #: How these vocabularies write the end of a word, and the byte that stands for it here.
 WORD_END, END_BYTE = "</w>", b"\0"
 
@@ -96,13 +99,16 @@ def word_encoder(path: str) -> Callable[[str], np.ndarray]:
     by_id = ranks(told, plain)
     by_id[END_BYTE] = max(by_id.values()) + 1  # never left alone: every byte has a token that ends a word
     coder = tiktoken.Encoding(path, pat_str=r"[^\x00]+\x00", mergeable_ranks=by_id, special_tokens={})
-    parts, odd, mark = regex.compile(PARTS), re.compile("<\\||[\0\x1c-\x1f]"), END_BYTE.decode()
+    parts, latin, odd, mark = regex.compile(PARTS), re.compile(LATIN_PARTS), re.compile("<\\||[\0\x1c-\x1f]"), END_BYTE.decode()
 
     def encode(text: str) -> np.ndarray:
         if odd.search(text):
             return np.asarray(tokenizer.encode(text, add_special_tokens=False).ids, IDS)
-        text = text.lower() if text.isascii() else lower(unicodedata.normalize("NFC", text))
-        found = parts.findall(text)
+        try:
+            text.encode("latin-1")
+            found = latin.findall(text.lower())  # no combining marks: nothing to normalise
+        except UnicodeEncodeError:
+            found = parts.findall(lower(unicodedata.normalize("NFC", text)))
         if not found:
             return np.zeros(0, IDS)
         found.append("")

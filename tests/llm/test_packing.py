@@ -58,6 +58,7 @@ def test_encoder_on_documents():
     rng = np.random.default_rng(3)
     letters = [chr(c) for c in [*range(1, 0x250), *range(0x300, 0x3CF), *range(0x4E00, 0x4E20), 0x2028, 0x3000, 0xFEFF, 0x1F642, 0x1E9E, 0xFB01]]
     texts = ["".join(rng.choice(letters, rng.integers(1, 40))) for _ in range(20_000)]
+    texts += ["".join(map(chr, rng.integers(1, 256, rng.integers(1, 40)))) for _ in range(20_000)]
     texts += [t for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column(0).to_pylist() if t]
     want = [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
     assert [encode(t).tolist() for t in texts] == want
