@@ -29,7 +29,9 @@ LONGEST, LEAST, TOP = 5, 100, 2000
 SWALLOWS = 100
 UNKNOWN = "und"
 #: Words of a block.
-BLOCK = 1_000_000
+BLOCK = 400_000
+#: Counted phrases that leave a task together.
+BATCH = 20_000
 #: Bits of the filter per phrase, and the most bits there are.
 BITS, MOST_BITS = 16, 1 << 28
 SEGMENT_BITS = 1 << 19
@@ -137,17 +139,18 @@ def filter_of(frequent: DataFrame, count: int) -> np.ndarray:
             if bytes_.any():
                 yield pa.RecordBatch.from_pydict({"segment": [number], "bits": [bytes_.tobytes()]})
 
-    def together(key, frame):
-        import pandas as pd
-
-        bits = np.zeros(segment // 8, np.uint8)
-        for one in frame["bits"]:
-            bits |= np.frombuffer(one, np.uint8)
-        return pd.DataFrame({"segment": [key[0]], "bits": [bits.tobytes()]})
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}  # at most the whole bit map
+        for batch in batches:
+            for number, bytes_ in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                bits = found.setdefault(number, np.zeros(segment // 8, np.uint8))
+                bits |= np.frombuffer(bytes_, np.uint8)
+        for number, bits in found.items():
+            yield pa.RecordBatch.from_pydict({"segment": [number], "bits": [bits.tobytes()]})
 
     parts = frequent.select("lang", "phrase").mapInArrow(part, "segment long, bits binary")
     bits = np.zeros(size // 8, np.uint8).reshape(-1, segment // 8)
-    for row in parts.groupBy("segment").applyInPandas(together, "segment long, bits binary").toLocalIterator():
+    for row in parts.repartition("segment").mapInArrow(together, "segment long, bits binary").toLocalIterator():
         bits[row["segment"]] = np.frombuffer(row["bits"], np.uint8)
     return bits.reshape(-1)
 
@@ -189,12 +192,12 @@ def counted(made: DataFrame, length: int, known: np.ndarray | None) -> DataFrame
         for batch in batches:
             for lang, words, hashes, ids in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 found, counts = phrases_in(np.frombuffer(ids, np.int32), np.frombuffer(hashes, np.uint64), length, asked)
-                for low in range(0, len(found), 100_000):
-                    some = found[low : low + 100_000]
+                for low in range(0, len(found), BATCH):
+                    some = found[low : low + BATCH]
                     parts = [words.values.take(pa.array(some[:, i])) for i in range(length)]
                     phrase = pc.binary_join_element_wise(*parts, " ") if length > 1 else parts[0]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang] * len(some)), phrase.cast(pa.string()), pa.array(counts[low : low + 100_000], pa.int64())], names=["lang", "phrase", "f"])
+                        [pa.array([lang] * len(some)), phrase.cast(pa.string()), pa.array(counts[low : low + BATCH], pa.int64())], names=["lang", "phrase", "f"])
 
     rows = made.select("lang", "words", "hashes", "ids").mapInArrow(run, "lang string, phrase string, f long")
     return rows.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
