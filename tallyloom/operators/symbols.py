@@ -1,11 +1,9 @@
 """Classes and methods of source files.
 
-For languages with braces the work is relational. In each file's text strings are blanked and comments are made free of
-structure, byte for byte, so that text up to the next ``{``, ``}``, ``;`` (or line end) is one head; running sums over heads
-give byte offsets, lines and brace depth; a head's shape tells whether it declares a class or method; the block it opens
-ends at the next ``}`` of its level. All windows and groups are partitioned by path, so one shuffle by path serves every
-step. A file is one value, so a path is a bounded group. Python files go through the standard library's own parser in
-Arrow batches.
+For languages with braces a file is cut into declaration heads in one pass (``scanner``), which also finds where the block a
+head opens ends and what is around it. What a head declares is then a matter of patterns over its text, and owners come from
+windows partitioned by path: the text of files is never moved. A file is one value, so a path is a bounded group. Python files
+go through the standard library's own parser in Arrow batches.
 """
 
 from __future__ import annotations
@@ -14,105 +12,37 @@ import ast
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from tallyloom.operators import scanner
+
 BRACE_LANGUAGES = ["java", "kotlin", "javascript", "typescript", "cpp", "rust"]
 LINE_ENDED = ["kotlin", "javascript", "typescript"]  # a line end may end a declaration
 COLUMNS = "path string, language string, kind string, name string, start_byte bigint, end_byte bigint, line_start bigint, line_end bigint, doc_comment string, is_extension boolean"
 
-# Token patterns. Possessive quantifiers keep long tokens from backtracking; no group repeats without a bound.
-COMMENT = r"/\*(?s:.*?)\*/|//[^\n]*+"
-PLAIN_STRING = r'"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"'
-CHAR = r"'(?:\\[^\n'][^\n']{0,8}|\\'|[^'\\\n])'"
-STRINGS = {
-    "java": rf'"""(?s:.*?)"""|{PLAIN_STRING}|{CHAR}',
-    "kotlin": rf'"""(?s:.*?)"""|{PLAIN_STRING}|{CHAR}',
-    "javascript": rf"{PLAIN_STRING}|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'|`[^`\\]*+(?:\\(?s:.)[^`\\]*+)*+`"
-    r"|(?<=(?:[=(,:\[!&|?;{}]|\b(?:return|typeof|case|throw|else|do|in|of|void|delete))[ \t]{0,64})/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*+\]|[^/\\\n\[])++/",
-    "cpp": rf'(?<=R)"(\w*)\((?s:.*?)\)\1"|{PLAIN_STRING}|{CHAR}|#[^\n\\]*+(?:\\(?s:.)[^\n\\]*+)*+',
-    "rust": rf'(?<=\br)(#*)"(?s:.*?)"\1|"[^"\\]*+(?:\\(?s:.)[^"\\]*+)*+"|{CHAR}|#!?\[(?:[^\[\]]++|\[[^\[\]]*+\])*+\]',
-}
-STRINGS["typescript"] = STRINGS["javascript"]
 OUTSIDE = {  # what stands before a declaration without being part of it
     "javascript": r"^\s*(?:export\s+)?(?:default\s+)?", "typescript": r"^\s*(?:export\s+)?(?:default\s+)?",
 }
 OUTSIDE_CLASS = r"^\s*(?:template\s*<[^{};]*>\s*)?(?:(?:typedef|static|extern|friend|inline)\s+)*(?=(?:class|struct)\b)"
 
-# Control characters stand in for text that must not count as structure: \x01 for string contents, \x02 for their line
-# ends, \x03 for a line end that ends no declaration, and one each for the structural characters inside comments.
-STRUCTURE = "{};\n,(=+*/&|<.:?[-)]"
-STAND_INS = "".join(chr(c) for c in (*range(4, 9), *range(14, 32)))[: len(STRUCTURE)]
-SLASH, STAR, END = (STAND_INS[STRUCTURE.index(c)] for c in "/*\n")
-HIDDEN_COMMENT = rf"{SLASH}{STAR}(?s:.*?){STAR}{SLASH}|{SLASH}{SLASH}[^\n\x03]*+"
-LINE_ENDS = "\n\x02\x03" + END
-CONTROLS = "".join(chr(c) for c in (*range(1, 9), *range(14, 32)))
-
-
-def token_pattern(language: str) -> str:
-    return rf"{COMMENT}|{STRINGS[language]}|[^\"'`/#]++|(?s:.)"
-
-
-def _newlines(text: Column, ends: str = LINE_ENDS) -> Column:
-    return F.length(text) - F.length(F.translate(text, ends, ""))
-
-
-def _hide(token: Column, language: Column) -> Column:
-    """The token with as many bytes and line ends, but without structure of its own."""
-    size, ends, head = F.octet_length(token), _newlines(token, "\n"), F.substring(token, 1, 1)
-    filler = lambda spare: F.concat(F.repeat(F.lit("\x02"), ends), F.repeat(F.lit("\x01"), size - ends - spare))
-    stops = F.when(language == "cpp", head == "#").when(language == "rust", token.startswith("#[") | token.startswith("#![")).otherwise(False)
-    return (
-        F.when(token.startswith("//") | token.startswith("/*"), F.translate(token, STRUCTURE, STAND_INS))
-        .when(stops, F.concat(filler(1), F.lit(";")))
-        .when(head.isin('"', "'", "`", "/", "#") & (F.length(token) > 1), F.concat(F.lit('"'), filler(2), F.lit('"')))
-        .otherwise(F.translate(token, CONTROLS, " " * len(CONTROLS)))
-    )
-
-
-def _heads(files: DataFrame) -> DataFrame:
-    """One row per declaration head or statement, ``raw`` being its hidden text with the stop character."""
-    language, tokens = F.col("language"), F
-    for name in BRACE_LANGUAGES:
-        tokens = tokens.when(language == name, F.regexp_extract_all("content", F.lit(token_pattern(name)), F.lit(0)))
-    hidden = F.array_join(F.transform(tokens, lambda t: _hide(t, language)), "")
-    for _ in range(3):  # lists in annotations are no blocks; up to three in one annotation
-        hidden = F.when(language == "java", F.regexp_replace(hidden, r"(@[\w.]+\s*\([^(){}]*)\{([^(){}]*)\}", "$1\x01$2\x01")).otherwise(hidden)
-    df = files.where(language.isin(BRACE_LANGUAGES)).select("path", "language", hidden.alias("hidden"))
-    some = rf"[ \t]*+(?:(?:{HIDDEN_COMMENT})[ \t]*+){{0,99}}+"
-    joined = F.regexp_replace("hidden", rf"(?md)^({some})\n", "$1\x03")  # a blank or comment line goes to what follows
-    joined = F.regexp_replace(joined, rf"([,(=+*/&|<.:?\[\-{{}};]{some})\n", "$1\x03")  # nor can a line end after these
-    joined = F.regexp_replace(joined, r"\n(?=[\s\x03]*+[{)\]=.?&|:,+*\-])", "\x03")  # or before these
-    labelled = F.regexp_replace("hidden", r"\b(public|private|protected)(\s*):(?!:)", "$1$2;")
-    cut = F.when(language.isin(LINE_ENDED), F.regexp_extract_all(joined, F.lit(r"[^{};\n]*+[{};\n]|[^{};\n]++"), F.lit(0))).otherwise(
-        F.regexp_extract_all(F.when(language == "cpp", labelled).otherwise(F.col("hidden")), F.lit(r"[^{};]*+[{};]|[^{};]++"), F.lit(0)))
-    df = df.select("path", "language", F.posexplode(cut).alias("head", "raw"))
-    df = df.select("*", F.octet_length("raw").alias("bytes"), _newlines(F.col("raw")).alias("ends"), F.right("raw", F.lit(1)).alias("stop"))
-    up_to = "OVER (PARTITION BY path ORDER BY head ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-    df = df.select(
-        "*", F.expr(f"coalesce(sum(bytes) {up_to}, 0)").alias("start"), F.expr(f"coalesce(sum(ends) {up_to}, 0) + 1").alias("row"),
-        F.expr(f"coalesce(sum(CASE stop WHEN '{{' THEN 1 WHEN '}}' THEN -1 ELSE 0 END) {up_to}, 0)").alias("level"))
-    body = F.when(F.col("stop").isin("{", "}", ";", "\n"), F.expr("left(raw, length(raw) - 1)")).otherwise(F.col("raw"))
-    bare = F.translate(F.regexp_replace(body, HIDDEN_COMMENT, " "), "\x02\x03\n\t\r\f\x01", "      ")
-    text = F.trim(F.regexp_replace(bare, " +", " "))
-    df = df.select("path", "language", "head", "raw", "bytes", "ends", "stop", "start", "row", "level", text.alias("text"))
-    return df.where("text <> '' OR stop IN ('{', '}')")
-
-
-def _blocks(heads: DataFrame) -> DataFrame:
-    """Adds the enclosing head's text (``around``) and where the block a head opens ends (``close``)."""
-    member = F.struct(F.col("level").alias("at"), F.lit(False).alias("opens"))
-    opener = F.struct((F.col("level") + 1).alias("at"), F.lit(True).alias("opens"))
-    both = F.when(F.col("stop") == "{", F.array(member, opener)).otherwise(F.array(member))
-    df = heads.withColumn("side", F.explode(both)).select("*", "side.at", "side.opens").drop("side")
-    order = "PARTITION BY path, at ORDER BY head, opens DESC"
-    ended = "CASE WHEN NOT opens AND stop = '}' THEN struct(start + bytes AS byte, row + ends AS row) END"
-    df = df.select(
-        "*", F.expr(f"last(CASE WHEN opens THEN text END, true) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)").alias("around"),
-        F.expr(f"lead({ended}) IGNORE NULLS OVER ({order})").alias("close"))
-    # of a head that opens a block the opener row knows the end and the member row what is around it
-    by_head = W.partitionBy("path").orderBy("head", "opens")
-    close = F.when(F.col("stop") == "{", F.lead("close").over(by_head))
-    return df.withColumn("close", close).where("NOT opens")
+HEADS = ("path string, language string, head int, text string, opening string, around string, level int, docs array<string>, start bigint, row bigint, "
+         "end bigint, end_row bigint, stop string, stop_end bigint, stop_row bigint, close bigint, close_row bigint")
+
+
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = pa.schema([(name, {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64()}.get(kind, pa.list_(pa.string())))
+                       for name, kind in (c.split() for c in HEADS.split(", "))])
+    for files in batches:
+        for path, language, content in zip(*(files.column(c).to_pylist() for c in ("path", "language", "content"))):
+            rows = [(path, language, n, scanner.text_of(h), scanner.opening_of(h), h.around, h.level, h.docs, h.first, h.first_row, h.end, h.end_row,
+                     h.stop, h.stop_end, h.stop_row, h.close, h.close_row) for n, h in enumerate(scanner.heads((content or "").encode(), language))]
+            for at in range(0, len(rows), 5000):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 5000]), kinds.types)], schema=kinds)
+
+
+def _newlines(text: Column) -> Column:
+    return F.length(text) - F.length(F.translate(text, "\n", ""))
 
 
 NOT_NAMES = ["if", "for", "while", "switch", "catch", "with", "function", "return", "new", "throw", "else", "do", "sizeof", "typeof", "synchronized", "using", "super", "this"]
@@ -153,8 +83,11 @@ def _declared(language: str, text: Column, around: Column, stop: Column) -> tupl
         fn = find(r"^[^=()]*[\s*&>]((?:\w+::)*" + word + r")\s*\([^{}]*\)\s*(?:(?:const|noexcept|override|final)\s*)*(?:->[^{}]*|:[^:{}][^{}]*)?$", bare)
         placed = around.isNull() | around.rlike(r"(?:^|\s)(?:namespace|extern|class|struct)(?:\s|$)")
         bad = bare.rlike(r"^(?:return|typedef|using|else|new|delete|throw|goto)\b") | fn.isin(NOT_NAMES)
-        named = F.when(placed & balanced & (cls == "") & (opens | (stop == ";")) & ~bad, fn).otherwise(none)
-        beyond = named.contains("::") | F.coalesce(around.rlike(r"(?:^|\s)(?:class|struct)\s"), no)
+        made = find(r"^(?:(?:explicit|inline|constexpr)\s+)*(\w+)\s*\([^{}]*\)\s*(?:noexcept\s*)?(?::[^:{}][^{}]*|=\s*(?:default|delete))?$", bare)
+        makes = (made != "") & (made == find(r"(?:^|\s)(?:class|struct)\s+(?:\w+\s+)*?(\w+)\s*(?:final\s*)?(?::[^:].*)?$", F.coalesce(around, none)))
+        name = F.when(makes, made).otherwise(fn)
+        named = F.when(placed & balanced & (cls == "") & (opens | (stop == ";")) & (makes | ~bad), name).otherwise(none)
+        beyond = named.contains("::") | (~makes & F.coalesce(around.rlike(r"(?:^|\s)(?:class|struct)\s"), no))
         return cls, F.substring_index(named, "::", -1), beyond
     bare = F.regexp_replace(text, r"^(?:@[\w.]+(?:\([^()]*\))?\s*)+", "")
     lead = r"^(?:export\s+)?(?:default\s+)?"
@@ -172,7 +105,7 @@ def _declared(language: str, text: Column, around: Column, stop: Column) -> tupl
 
 
 def brace_symbols(files: DataFrame) -> DataFrame:
-    df = _blocks(_heads(files))
+    df = files.where(F.col("language").isin(BRACE_LANGUAGES)).select("path", "language", "content").mapInArrow(_scan, HEADS)
     names, methods, beyond = F, F, F
     for language in BRACE_LANGUAGES:
         is_it = F.col("language") == language
@@ -181,44 +114,25 @@ def brace_symbols(files: DataFrame) -> DataFrame:
     # held in one struct, so that the patterns are not repeated for every use of a name
     declared = F.array(F.struct(names.alias("class_name"), methods.alias("method_name"), beyond.alias("is_extension")))
     kept = F.get(F.filter(declared, lambda d: (d["class_name"] != "") | (d["method_name"] != "")), F.lit(0))
-    df = df.where("text <> ''").withColumn("d", kept).where("d IS NOT NULL").select("*", "d.*")
+    df = df.withColumn("d", kept).where("d IS NOT NULL").select("*", "d.*")
     is_class = F.col("class_name") != ""
-    # text around comments: parts[i] comes before comments[i]; what precedes the first part with code leads the declaration
-    ended = F.col("stop").isin("{", "}", ";", "\n")
-    body = F.when(ended, F.expr("left(raw, length(raw) - 1)")).otherwise(F.col("raw"))
-    df = df.withColumns({
-        "parts": F.transform(F.split(body, HIDDEN_COMMENT, -1), lambda p: F.translate(p, "\x03", "\n")),
-        "comments": F.regexp_extract_all(body, F.lit(HIDDEN_COMMENT), F.lit(0)), "stop_bytes": F.when(ended, 1).otherwise(0)})
-    blank = F.transform("parts", lambda p: ~p.rlike(r"\S"))
-    k = F.array_position(blank, False).cast("int") - 1
-    after = F.array_position(F.reverse(blank), False).cast("int") - 1
-    df = df.withColumns({"k": k, "after": after})
-    code, final = F.get("parts", F.col("k")), F.get("parts", F.size("parts") - 1 - F.col("after"))
-    prefix = F.when(is_class & (F.col("language") == "cpp") & code.rlike(OUTSIDE_CLASS), F.regexp_extract(code, OUTSIDE_CLASS, 0))
+    prefix = F.when(is_class & (F.col("language") == "cpp"), F.regexp_extract("opening", OUTSIDE_CLASS, 0))
     for language, pattern in OUTSIDE.items():
-        prefix = prefix.when(F.col("language") == language, F.regexp_extract(code, pattern, 0))
-    prefix = prefix.otherwise(F.regexp_extract(code, r"^\s*", 0))
-    first_n = lambda c, n: F.array_join(F.slice(c, 1, n), "")
-    last_n = lambda c, n: F.array_join(F.slice(F.reverse(c), 1, n), "")
-    df = df.withColumns({
-        "lead": F.concat(first_n("parts", F.col("k")), first_n("comments", F.col("k")), prefix),
-        "tail": F.concat(last_n("parts", F.col("after")), last_n("comments", F.col("after")), F.regexp_extract(final, r"\s*$", 0))})
-    word_end = F.col("start") + F.col("bytes") - F.col("stop_bytes") - F.octet_length("tail")
-    word_row = F.col("row") + F.col("ends") - F.when(F.col("stop") == "\n", 1).otherwise(0) - _newlines(F.col("tail"))
+        prefix = prefix.when(F.col("language") == language, F.regexp_extract("opening", pattern, 0))
+    df = df.withColumn("lead", F.coalesce(prefix, F.lit("")))
     with_mark = (F.col("stop") == ";") & ~F.col("language").isin(LINE_ENDED) & ~(is_class & (F.col("language") == "cpp"))
-    end = F.when(F.col("stop") == "{", F.col("close.byte")).when(with_mark, F.col("start") + F.col("bytes"))
-    end_row = F.when(F.col("stop") == "{", F.col("close.row")).when(with_mark, F.col("row") + F.col("ends"))
-    wanted = F.filter(F.slice("comments", 1, F.col("k")), lambda c: F.when(F.col("language").isin("java", "kotlin"), c.startswith(SLASH + STAR))
-                      .when(F.col("language") == "rust", c.startswith(SLASH + SLASH)).otherwise(True))
-    doc = F.array_join(F.transform(wanted, lambda c: F.translate(c, STAND_INS, STRUCTURE)), "\n")
+    end = F.when(F.col("stop") == "{", F.col("close")).when(with_mark, F.col("stop_end"))
+    end_row = F.when(F.col("stop") == "{", F.col("close_row")).when(with_mark, F.col("stop_row"))
+    wanted = F.filter("docs", lambda c: F.when(F.col("language").isin("java", "kotlin"), c.startswith("/*"))
+                      .when(F.col("language") == "rust", c.startswith("//")).otherwise(True))
     return df.select(
         "path", "language", F.when(is_class, "class").otherwise("method").alias("kind"),
         F.when(is_class, F.col("class_name")).otherwise(F.col("method_name")).alias("name"),
-        (F.col("start") + F.octet_length("lead")).cast("long").alias("start_byte"),
+        (F.col("start") + F.octet_length("lead")).alias("start_byte"),
         # a block that is never closed reaches to the end of its head
-        F.coalesce(end, word_end).cast("long").alias("end_byte"),
-        (F.col("row") + _newlines(F.col("lead"))).cast("long").alias("line_start"), F.coalesce(end_row, word_row).cast("long").alias("line_end"),
-        F.when(is_class, "").otherwise(doc).alias("doc_comment"), (~is_class & F.col("is_extension")).alias("is_extension"))
+        F.coalesce(end, F.col("end")).alias("end_byte"),
+        (F.col("row") + _newlines(F.col("lead"))).alias("line_start"), F.coalesce(end_row, F.col("end_row")).alias("line_end"),
+        F.when(is_class, "").otherwise(F.array_join(wanted, "\n")).alias("doc_comment"), (~is_class & F.col("is_extension")).alias("is_extension"))
 
 
 def _python_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

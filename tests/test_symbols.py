@@ -244,3 +244,104 @@ def test_very_long_tokens_are_handled(spark):
     assert len(got) == 7
     for r in found:
         assert r.source == files[r.path][1][r.start_byte:r.end_byte]
+
+
+DEEP = {
+    "Api.java": ("java", """class Api {
+  @ApiResponses(value = { @ApiResponse(code = 404, ref = {1, 2}), @ApiResponse(code = 500, ref = {f({3})}) })
+  // why
+  /* doc */
+  public Foo getFoo(@Param(names = {"a", "b"}) int id) {
+    for (int i = 0; i < 3; i++) { pool.submit(new Task() { public void run() { go("}"); } }); }
+  }
+  static class Deep { class Deeper { void low() { } } void mid() { } }
+  Foo getFoo() { return null; }
+}
+"""),
+    "deep.kt": ("kotlin", """/* a /* nested fun no() {} */ still */
+class View(val onClick: () -> Unit = { run { } }, val n: Int) {
+  @Suppress(["a"])
+  fun draw(block: () -> Unit = { }, s: String = "${ if (x) "}" else "{" }") {
+    inner()
+  }
+  class In { fun low() = 1 }
+  fun draw() = """ + '"""' + "raw ${ map { it } } }" + '"""' + """
+}
+"""),
+    "deep.js": ("javascript", """class Pick extends mixin({ a() { } }) {
+  pull({ a, b: { c } }, d = {}, [e, { f }] = []) { return `x ${ `${ { g: 1 } }` + '}' } {` }
+  after() { return a / b / c }
+}
+function top({ h } = { i: [1, { j: 2 }] }) { if (ready({ k() { } })) { } }
+"""),
+    "deep.ts": ("typescript", """class Typed<T extends { a: number }> {
+  field: { x: number; y: { z: string } } = { x: 1, y: { z: '' } };
+  take(x: { a: number; b: string }, y?: { c: { d: 1 } }): void { }
+  give(): { a: number } { return { a: 1 } }
+  @Log({ level: { deep: 1 } })
+  last(cb: (v: { w: number }) => void): Array<{ q: string }> { return [] }
+}
+interface Port { open(o: { p: number }): { q: string }; close(): void }
+"""),
+    "deep.cpp": ("cpp", """struct Init : public Base {
+  Init(int x) : a{x}, b{{1, 2}}, c(f({3})) { run([](int y) { return y; }); }
+  explicit Init(std::vector<int> v = {1, 2}) noexcept;
+  int a;
+private:
+  void hid(Opt o = {}) const { if (auto k = g({1}); k) { } }
+};
+template <typename T> T pick(T a, std::pair<T, T> b = {}) { return a; }
+int after(int z = g({1, 2})) { return z; }
+"""),
+    "deep.rs": ("rust", """/* a /* b */ fn hidden() {} */
+fn main() { let s = r##"fn no() { "# "##; }
+#[cfg(any(feature = "a", doc = "]"))]
+pub fn attr<'a, T: Into<String>>(x: &'a T) -> [u8; { 1 + 1 }] where T: Copy { [0; 2] }
+mod m { impl Show for super::P { fn show(&self) { match 1 { _ => {} } } } }
+"""),
+    "deep.py": ("python", """class A:
+    class B:
+        def low(self, x={'a': (1, 2)}): return {1}
+    def mid(self): pass
+    def mid(self, y): pass
+"""),
+}
+
+
+def test_depth(spark):
+    """Brackets, comments and templates in each other, in every language: nothing is lost and nothing invented."""
+    df = spark.createDataFrame([(p, l, c) for p, (l, c) in DEEP.items()], "path string, language string, content string")
+    found = S.with_source(S.with_owner(S.extract(df)[0]), df).orderBy("path", "start_byte").collect()
+    got = {}
+    for r in found:
+        assert r.source == DEEP[r.path][1].encode()[r.start_byte:r.end_byte].decode()
+        got.setdefault(r.path, []).append((r.kind[0], r.name, r.class_name, r.line_start, r.line_end, r.doc_comment))
+    assert got["Api.java"] == [
+        ("c", "Api", "Api", 1, 10, ""), ("m", "getFoo", "Api", 2, 7, ""), ("m", "run", "Api", 6, 6, ""), ("c", "Deep", "Deep", 8, 8, ""),
+        ("c", "Deeper", "Deeper", 8, 8, ""), ("m", "low", "Api", 8, 8, ""), ("m", "mid", "Api", 8, 8, ""), ("m", "getFoo", "Api", 9, 9, "")]
+    assert got["deep.kt"] == [
+        ("c", "View", "View", 2, 9, ""), ("m", "draw", "View", 3, 6, ""), ("c", "In", "In", 7, 7, ""), ("m", "low", "View", 7, 7, ""), ("m", "draw", "View", 8, 8, "")]
+    assert [x[:5] for x in got["deep.js"]] == [
+        ("c", "Pick", "Pick", 1, 4), ("m", "pull", "Pick", 2, 2), ("m", "after", "Pick", 3, 3), ("m", "top", "", 5, 5)]
+    assert [x[:5] for x in got["deep.ts"]] == [
+        ("c", "Typed", "Typed", 1, 7), ("m", "take", "Typed", 3, 3), ("m", "give", "Typed", 4, 4), ("m", "last", "Typed", 6, 6),
+        ("c", "Port", "Port", 8, 8), ("m", "open", "Port", 8, 8), ("m", "close", "Port", 8, 8)]
+    assert [x[:5] for x in got["deep.cpp"]] == [
+        ("c", "Init", "Init", 1, 7), ("m", "Init", "Init", 2, 2), ("m", "Init", "Init", 3, 3), ("m", "hid", "Init", 6, 6), ("m", "pick", "", 8, 8), ("m", "after", "", 9, 9)]
+    assert [x[:5] for x in got["deep.rs"]] == [("m", "main", "", 2, 2), ("m", "attr", "", 4, 4), ("c", "Show", "Show", 5, 5), ("m", "show", "Show", 5, 5)]
+    assert [x[:5] for x in got["deep.py"]] == [
+        ("c", "A", "A", 1, 5), ("c", "B", "B", 2, 3), ("m", "low", "A", 3, 3), ("m", "mid", "A", 4, 4), ("m", "mid", "A", 5, 5)]
+
+
+def test_no_exchange_before_owners(spark):
+    df = spark.createDataFrame([(p, l, c) for p, (l, c) in DEEP.items()], "path string, language string, content string")
+    plan = S.extract(df)[0]._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_odd_files(spark):
+    """Unended strings, comments and brackets, and texts of nothing, are read to their end."""
+    texts = ["", None, "{", "}", "((((", "))))}", "/*", "//", "'", '"', "`${", "`${`${`${" * 100, "class A { void f(", "@X(", "#", "r#\"", 'R"(', "\x00{\x01", "é{ü", "class \n{"]
+    df = spark.createDataFrame([(f"{l}{i}", l, t) for l in S.BRACE_LANGUAGES for i, t in enumerate(texts)], "path string, language string, content string")
+    for r in S.with_source(S.with_owner(S.extract(df)[0]), df).collect():
+        assert 0 <= r.start_byte <= r.end_byte and r.line_start <= r.line_end and r.name
