@@ -289,6 +289,7 @@ def heads(b: bytes, language: str) -> list[Head]:
             rows = part.count(b"\n")
             plain = hidden(b, listed[i : match[i] + 1], blank, bool(ANNOTATED.search(b"".join(head.code[-NEAR:]))) and part[:1] == b"(")
             add(head, listed[i].start, plain, rows)
+            head.end, head.end_row = t.end, row + rows
             i = match[i]
         elif t.kind in (ord("("), ord("[")):
             depth += 1

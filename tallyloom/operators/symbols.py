@@ -19,7 +19,7 @@ from tallyloom.operators import scanner
 
 BRACE_LANGUAGES = ["java", "kotlin", "javascript", "typescript", "cpp", "rust"]
 LINE_ENDED = ["kotlin", "javascript", "typescript"]  # a line end may end a declaration
-COLUMNS = "path string, language string, kind string, name string, start_byte bigint, end_byte bigint, line_start bigint, line_end bigint, doc_comment string, is_extension boolean"
+COLUMNS = "path string, language string, kind string, name string, start_byte bigint, end_byte bigint, line_start bigint, line_end bigint, doc_comment string, is_extension boolean, node string"
 
 OUTSIDE = {  # what stands before a declaration without being part of it
     "javascript": r"^\s*(?:export\s+)?(?:default\s+)?", "typescript": r"^\s*(?:export\s+)?(?:default\s+)?",
@@ -116,6 +116,10 @@ def brace_symbols(files: DataFrame) -> DataFrame:
     kept = F.get(F.filter(declared, lambda d: (d["class_name"] != "") | (d["method_name"] != "")), F.lit(0))
     df = df.withColumn("d", kept).where("d IS NOT NULL").select("*", "d.*")
     is_class = F.col("class_name") != ""
+    makes = (F.col("method_name") == "constructor") | F.regexp_extract("around", r"(?:^|\s)(?:class|struct|enum|record)\s+(?:\w+\s+)*?(\w+)", 1).eqNullSafe(F.col("method_name"))
+    inside = F.col("around").rlike(r"(?:^|\s)(?:class|interface|object|struct|enum|record|trait|impl)\s|\bnew\s")
+    node = F.when(is_class, F.regexp_extract("text", r"(?:^|\s)(class|interface|object|struct|enum|trait|impl)\s", 1)).when(
+        F.col("language").isin("java", "cpp", "javascript", "typescript") & makes, "constructor").when(inside, "method").otherwise("function")
     prefix = F.when(is_class & (F.col("language") == "cpp"), F.regexp_extract("opening", OUTSIDE_CLASS, 0))
     for language, pattern in OUTSIDE.items():
         prefix = prefix.when(F.col("language") == language, F.regexp_extract("opening", pattern, 0))
@@ -132,7 +136,7 @@ def brace_symbols(files: DataFrame) -> DataFrame:
         # a block that is never closed reaches to the end of its head
         F.coalesce(end, F.col("end")).alias("end_byte"),
         (F.col("row") + _newlines(F.col("lead"))).alias("line_start"), F.coalesce(end_row, F.col("end_row")).alias("line_end"),
-        F.when(is_class, "").otherwise(F.array_join(wanted, "\n")).alias("doc_comment"), (~is_class & F.col("is_extension")).alias("is_extension"))
+        F.when(is_class, "").otherwise(F.array_join(wanted, "\n")).alias("doc_comment"), (~is_class & F.col("is_extension")).alias("is_extension"), node.alias("node"))
 
 
 def _python_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -143,17 +147,19 @@ def _python_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             try:
                 tree = ast.parse(content)
             except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
-                rows.append((path, "python", None, None, None, None, None, None, None, None, f"{type(e).__name__}: {e}"))
+                rows.append((path, "python", None, None, None, None, None, None, None, None, None, f"{type(e).__name__}: {e}"))
                 continue
             starts = [0]
             for line in content.encode("utf-8").splitlines(keepends=True):
                 starts.append(starts[-1] + len(line))
+            methods = {id(f) for c in ast.walk(tree) if isinstance(c, ast.ClassDef) for f in c.body}
             for node in ast.walk(tree):
                 if isinstance(node, (ast.ClassDef, ast.FunctionDef, ast.AsyncFunctionDef)):
                     is_class = isinstance(node, ast.ClassDef)
                     doc = "" if is_class else ast.get_docstring(node, clean=False) or ""
                     rows.append((path, "python", "class" if is_class else "method", node.name, starts[node.lineno - 1] + node.col_offset,
-                                 starts[node.end_lineno - 1] + node.end_col_offset, node.lineno, node.end_lineno, doc.strip(), False, None))
+                                 starts[node.end_lineno - 1] + node.end_col_offset, node.lineno, node.end_lineno, doc.strip(), False,
+                                 "class" if is_class else "method" if id(node) in methods else "function", None))
         out = pd.DataFrame(rows, columns=names)
         for c in ("start_byte", "end_byte", "line_start", "line_end"):
             out[c] = out[c].astype("Int64")
@@ -199,6 +205,17 @@ def with_owner(symbols: DataFrame) -> DataFrame:
     return df.withColumn("class_name", owner).drop("_reach", "_top")
 
 
+def outermost_owners(symbols: DataFrame) -> DataFrame:
+    """Methods inside classes with ``class_name``, by a join: of all classes around a method the first one. Gives what
+    ``with_owner`` gives; a file's methods meet its classes, so it suits files of ordinary size."""
+    classes = symbols.where("kind = 'class'").select("path", F.col("name").alias("class_name"), F.col("start_byte").alias("_from"), F.col("end_byte").alias("_to"))
+    methods = symbols.where("kind = 'method'")
+    around = (F.col("_from") <= F.col("start_byte")) & (F.col("_to") >= F.col("end_byte"))
+    met = methods.join(classes, "path").where(around)
+    first = F.row_number().over(W.partitionBy("path", "start_byte", "end_byte", "name").orderBy("_from", F.desc("_to")))
+    return met.withColumn("_n", first).where("_n = 1").drop("_n", "_from", "_to")
+
+
 def class_members(symbols: DataFrame) -> DataFrame:
     """(path, class, its start, ordered method names): every class with all methods inside it, nested ones too.
 

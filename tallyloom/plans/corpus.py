@@ -12,30 +12,128 @@ K, SZ, NL, G = "CAST(p_partkey AS STRING)", "CAST(p_size AS STRING)", "chr(10)",
 PATH = f"""concat('/repo/', CASE WHEN p_partkey % 11 = 0 THEN 'node_modules/' WHEN p_partkey % 13 = 0 THEN 'build/' ELSE 'src/' END, 'P', {K},
   CASE {G} WHEN 0 THEN '.java' WHEN 1 THEN '.kt' WHEN 2 THEN '.PY' WHEN 3 THEN '.js' WHEN 4 THEN '.ts' WHEN 5 THEN '.cpp' WHEN 6 THEN '.rs'
     ELSE CASE WHEN p_partkey % 3 = 0 THEN '.go' ELSE '.txt' END END)"""
-CONTENT = f"""CASE {G}
-  WHEN 0 THEN concat('class C', {K}, ' {{', {NL}, '  /* doc ', {SZ}, ' */', {NL}, '  int m', {SZ}, '() {{ return 1; }}', {NL}, '}}', {NL})
-  WHEN 1 THEN concat('class C', {K}, ' {{', {NL}, '  /* doc ', {SZ}, ' */', {NL}, '  fun m', {SZ}, '(): Int {{ return 1 }}', {NL}, '}}', {NL})
-  WHEN 2 THEN concat('class C', {K}, ':', {NL}, '    def m', {SZ}, '(self):', {NL}, '        return 1', {NL})
-  WHEN 3 THEN concat('class C', {K}, ' {{', {NL}, '  // doc ', {SZ}, {NL}, '  m', {SZ}, '() {{ return 1; }}', {NL}, '}}', {NL})
-  WHEN 4 THEN concat('class C', {K}, ' {{', {NL}, '  // doc ', {SZ}, {NL}, '  m', {SZ}, '(): number {{ return 1; }}', {NL}, '}}', {NL})
-  WHEN 5 THEN concat('class C', {K}, ' {{}};', {NL}, 'int m', {SZ}, '() {{ return 1; }}', {NL})
-  WHEN 6 THEN concat('struct C', {K}, ';', {NL}, 'fn m', {SZ}, '() -> i32 {{ 1 }}', {NL})
-  ELSE concat('not code ', {K}, {NL}) END"""
+#: One source per value of p_partkey % 8, with <k> for the key and <s> for the size of the part, and what it declares:
+#: (node, name, classes around it from the outermost on, doc comment, source).
+SOURCES: dict[int, tuple[str, list[tuple[str, str, str, str, str]]]] = {
+    0: ("""class C<k> {
+  /* doc <s> */
+  int m<s>() { return 1; }
+  C<k>(int a) { run(new Task() { public void n<s>() { } }); }
+  // no doc
+  /* first */
+  /* second <s> */
+  @Tags(value = { @Tag(ref = {1, <s>}) })
+  int m<s>(@In({"a", "}"}) int a) { return a; }
+  static class D<k> { void low() { } }
+}
+""", [("class", "C<k>", "", "", ""), ("method", "m<s>", "C<k>", "/* doc <s> */", "int m<s>() { return 1; }"),
+      ("constructor", "C<k>", "C<k>", "", "C<k>(int a) { run(new Task() { public void n<s>() { } }); }"), ("method", "n<s>", "C<k>", "", "public void n<s>() { }"),
+      ("method", "m<s>", "C<k>", "/* first */|/* second <s> */", """@Tags(value = { @Tag(ref = {1, <s>}) })
+  int m<s>(@In({"a", "}"}) int a) { return a; }"""),
+      ("class", "D<k>", "C<k>", "", "static class D<k> { void low() { } }"), ("method", "low", "C<k>,D<k>", "", "void low() { }")]),
+    1: ("""class C<k> {
+  /* doc <s> */
+  fun m<s>(): Int { return 1 }
+  /* a /* nested fun no() { } */ <s> */
+  fun m<s>(f: () -> Unit = { }) = run("${ if (a) "{" else "}" }")
+  object D<k> { fun low() = 1 }
+}
+fun free<k>() { }
+""", [("class", "C<k>", "", "", ""), ("method", "m<s>", "C<k>", "/* doc <s> */", "fun m<s>(): Int { return 1 }"),
+      ("method", "m<s>", "C<k>", "/* a /* nested fun no() { } */ <s> */", """fun m<s>(f: () -> Unit = { }) = run("${ if (a) "{" else "}" }")"""),
+      ("object", "D<k>", "C<k>", "", "object D<k> { fun low() = 1 }"), ("method", "low", "C<k>,D<k>", "", "fun low() = 1"), ("function", "free<k>", "", "", "fun free<k>() { }")]),
+    2: ("""class C<k>:
+    def m<s>(self):
+        return 1
+    class D<k>:
+        def low(self):
+            return {<s>: (1, 2)}
+def free<k>(): pass
+""", [("class", "C<k>", "", "", ""), ("method", "m<s>", "C<k>", "", """def m<s>(self):
+        return 1"""), ("class", "D<k>", "C<k>", "", """class D<k>:
+        def low(self):
+            return {<s>: (1, 2)}"""), ("method", "low", "C<k>,D<k>", "", """def low(self):
+            return {<s>: (1, 2)}"""), ("function", "free<k>", "", "", "def free<k>(): pass")]),
+    3: ("""class C<k> {
+  // doc <s>
+  m<s>() { return 1; }
+  // one
+  /* two */
+  m<s>({ a, b: { c } }, d = {}) { return `x ${ `${ { n: <s> } }` + "}" } {`; }
+}
+function free<k>() { return 6 / <s> / 2 }
+""", [("class", "C<k>", "", "", ""), ("method", "m<s>", "C<k>", "// doc <s>", "m<s>() { return 1; }"),
+      ("method", "m<s>", "C<k>", "// one|/* two */", """m<s>({ a, b: { c } }, d = {}) { return `x ${ `${ { n: <s> } }` + "}" } {`; }"""),
+      ("function", "free<k>", "", "", "function free<k>() { return 6 / <s> / 2 }")]),
+    4: ("""class C<k> {
+  // doc <s>
+  m<s>(): number { return 1; }
+  constructor(o: { a: number; b: { c: <s> } }) { }
+  give(): { a: number } { return { a: <s> }; }
+}
+interface D<k> { low(o: { p: number }): { q: string }; }
+""", [("class", "C<k>", "", "", ""), ("method", "m<s>", "C<k>", "// doc <s>", "m<s>(): number { return 1; }"),
+      ("constructor", "constructor", "C<k>", "", "constructor(o: { a: number; b: { c: <s> } }) { }"),
+      ("method", "give", "C<k>", "", "give(): { a: number } { return { a: <s> }; }"), ("interface", "D<k>", "", "", "interface D<k> { low(o: { p: number }): { q: string }; }"),
+      ("method", "low", "D<k>", "", "low(o: { p: number }): { q: string }")]),
+    5: ("""class C<k> {};
+int m<s>() { return 1; }
+struct D<k> { D<k>() : a{1}, b{{<s>}} { } struct E<k> { int e; }; };
+template <typename T> T m<s>(T a, Opt b = {}) { return a; }
+""", [("class", "C<k>", "", "", "class C<k> {}"), ("function", "m<s>", "", "", "int m<s>() { return 1; }"),
+      ("struct", "D<k>", "", "", "struct D<k> { D<k>() : a{1}, b{{<s>}} { } struct E<k> { int e; }; }"), ("constructor", "D<k>", "D<k>", "", "D<k>() : a{1}, b{{<s>}} { }"),
+      ("struct", "E<k>", "D<k>", "", "struct E<k> { int e; }"), ("function", "m<s>", "", "", "template <typename T> T m<s>(T a, Opt b = {}) { return a; }")]),
+    6: ("""struct C<k>;
+fn m<s>() -> i32 { 1 }
+/* a /* b */ fn hidden() { } */
+impl T<k> for C<k> {
+    /// one
+    // two <s>
+    fn low(&self) { let s = r#"}"#; }
+}
+enum D<k> { A, B }
+""", [("struct", "C<k>", "", "", "struct C<k>;"), ("function", "m<s>", "", "", "fn m<s>() -> i32 { 1 }"), ("impl", "T<k>", "", "", """impl T<k> for C<k> {
+    /// one
+    // two <s>
+    fn low(&self) { let s = r#"}"#; }
+}"""), ("method", "low", "T<k>", "/// one|// two <s>", """fn low(&self) { let s = r#"}"#; }"""), ("enum", "D<k>", "", "", "enum D<k> { A, B }")]),
+    7: ("not code <k>\n", []),
+}
+
+
+def text_sql(text: str, k: str = "k", s: str = "s") -> str:
+    """SQL for a text with its places filled, the same in both engines."""
+    lines = f", {NL}, ".join(f"'{line}'" for line in text.split("\n"))
+    return f"replace(replace(concat({lines}), '<k>', {k}), '<s>', {s})"
+
+
+CONTENT = f"CASE {G} " + " ".join(f"WHEN {g} THEN {text_sql(text, K, SZ)}" for g, (text, _) in SOURCES.items()) + " END"
+
+
+def expected_rows() -> str:
+    """A row per declaration of each source. A class without a source of its own spans its block from the first line on."""
+    rows = []
+    for g, (text, declared) in SOURCES.items():
+        for place, (node, name, around, doc, source) in enumerate(declared):
+            source = source or text[: {2: text.find("\ndef free")}.get(g, text.find("\n}\n") + 2)]
+            line = text[: text.index(source)].count("\n") + 1
+            kind = "method" if node in ("method", "constructor", "function") else "class"
+            owner = name if kind == "class" else around.split(",")[0]
+            fields = [str(g), str(place), f"'{kind}'", f"'{node}'", text_sql(name, "'<k>'", "'<s>'"), f"'{owner}'", f"'{around}'", text_sql(doc.replace("|", "\n"), "'<k>'", "'<s>'"),
+                      text_sql(source, "'<k>'", "'<s>'"), str(line), str(line + source.count("\n"))]
+            rows.append("(" + ", ".join(fields) + ")")
+    return ",\n    ".join(rows)
+
+
 LANGUAGE = f"""CASE {G} WHEN 0 THEN 'java' WHEN 1 THEN 'kotlin' WHEN 2 THEN 'python' WHEN 3 THEN 'javascript' WHEN 4 THEN 'typescript'
   WHEN 5 THEN 'cpp' WHEN 6 THEN 'rust' ELSE CASE WHEN p_partkey % 3 = 0 THEN 'go' ELSE 'unknown' END END"""
 KEPT = f"p_partkey % 11 <> 0 AND p_partkey % 13 <> 0 AND NOT ({G} = 7 AND p_partkey % 3 <> 0)"
+fill = lambda c: f"replace(replace({c}, '<k>', k), '<s>', s)"
 CTE = f"""f AS (SELECT p_partkey AS pk, {G} AS g, {K} AS k, {SZ} AS s, {PATH} AS path, {CONTENT} AS content, {LANGUAGE} AS language FROM part WHERE {KEPT}),
-  c AS (SELECT path, language, concat('C', k) AS name, CAST(1 AS BIGINT) AS line_start, CAST(CASE WHEN g IN (5, 6) THEN 1 WHEN g = 2 THEN 3 ELSE 4 END AS BIGINT) AS line_end,
-      '' AS doc_comment, concat('C', k) AS class_name, 'class' AS kind,
-      CASE g WHEN 5 THEN concat('class C', k, ' {{}}') WHEN 6 THEN concat('struct C', k, ';') ELSE left(content, length(content) - 1) END AS source FROM f WHERE g < 7),
-  m AS (SELECT path, language, concat('m', s) AS name, CAST(CASE WHEN g IN (2, 5, 6) THEN 2 ELSE 3 END AS BIGINT) AS line_start,
-      CAST(CASE WHEN g IN (5, 6) THEN 2 ELSE 3 END AS BIGINT) AS line_end,
-      CASE WHEN g IN (0, 1) THEN concat('/* doc ', s, ' */') WHEN g IN (3, 4) THEN concat('// doc ', s) ELSE '' END AS doc_comment,
-      CASE WHEN g IN (5, 6) THEN '' ELSE concat('C', k) END AS class_name, 'method' AS kind,
-      CASE g WHEN 0 THEN concat('int m', s, '() {{ return 1; }}') WHEN 1 THEN concat('fun m', s, '(): Int {{ return 1 }}')
-        WHEN 2 THEN concat('def m', s, '(self):', chr(10), '        return 1') WHEN 3 THEN concat('m', s, '() {{ return 1; }}')
-        WHEN 4 THEN concat('m', s, '(): number {{ return 1; }}') WHEN 5 THEN concat('int m', s, '() {{ return 1; }}') ELSE concat('fn m', s, '() -> i32 {{ 1 }}') END AS source FROM f WHERE g < 7),
-  y AS (SELECT * FROM c UNION ALL SELECT * FROM m)"""
+  e(g, place, kind, node, name, owner, around, doc, source, line_start, line_end) AS (VALUES {expected_rows()}),
+  y AS (SELECT path, language, {fill("name")} AS name, CAST(line_start AS BIGINT) AS line_start, CAST(line_end AS BIGINT) AS line_end, {fill("doc")} AS doc_comment,
+      {fill("owner")} AS class_name, kind, {fill("source")} AS source, node, {fill("around")} AS around, place FROM f JOIN e USING (g)),
+  c AS (SELECT * FROM y WHERE kind = 'class'), m AS (SELECT * FROM y WHERE kind = 'method')"""
 
 
 def files(t: Tables):
@@ -163,15 +261,16 @@ def j1(t: Tables):
     return symbols(t).where("kind = 'method'").select("path", "name", "class_name")
 
 
-@query("j2_class_members", f"""WITH {CTE} SELECT c.path, c.name AS class_name, coalesce(string_agg(m.name, ',' ORDER BY m.line_start), '') AS methods
-FROM c LEFT JOIN m ON m.path = c.path AND m.class_name = c.name GROUP BY c.path, c.name""")
+@query("j2_class_members", f"""WITH {CTE} SELECT c.path, c.name AS class_name, coalesce(string_agg(m.name, ',' ORDER BY m.place), '') AS methods
+FROM c LEFT JOIN m ON m.path = c.path AND list_contains(string_split(m.around, ','), c.name) GROUP BY c.path, c.name""")
 def j2(t: Tables):
     return S.class_members(S.extract(files(t))[0]).select("path", "class_name", F.array_join("methods", ",").alias("methods"))
 
 
 @query("w1_outermost_first", f"WITH {CTE} SELECT path, name, class_name FROM m WHERE class_name <> ''")
 def w1(t: Tables):
-    return symbols(t).where("kind = 'method' AND class_name <> ''").select("path", "name", "class_name")
+    """The other plan for owners: all classes around a method, the first one kept."""
+    return S.outermost_owners(S.extract(files(t))[0]).select("path", "name", "class_name")
 
 
 @query("w2_preceding_comments", f"WITH {CTE} SELECT path, name, doc_comment FROM m WHERE doc_comment <> ''")
@@ -179,9 +278,9 @@ def w2(t: Tables):
     return symbols(t).where("kind = 'method' AND doc_comment <> ''").select("path", "name", "doc_comment")
 
 
-@query("u2_union_symbols", f"WITH {CTE} SELECT kind, language, CAST(count(*) AS BIGINT) AS n FROM y GROUP BY kind, language")
+@query("u2_union_symbols", f"WITH {CTE} SELECT kind, node, language, CAST(count(*) AS BIGINT) AS n FROM y GROUP BY kind, node, language")
 def u2(t: Tables):
-    return symbols(t).where(F.col("kind").isin("class", "method")).groupBy("kind", "language").agg(F.count("*").alias("n"))
+    return S.extract(files(t))[0].groupBy("kind", "node", "language").agg(F.count("*").alias("n"))
 
 
 @query("u3_union_files", f"WITH {CTE} SELECT 'code' AS origin, path FROM f UNION ALL SELECT 'page', url FROM pages")

@@ -333,6 +333,13 @@ def test_depth(spark):
         ("c", "A", "A", 1, 5), ("c", "B", "B", 2, 3), ("m", "low", "A", 3, 3), ("m", "mid", "A", 4, 4), ("m", "mid", "A", 5, 5)]
 
 
+def test_owners_by_join(spark):
+    df = spark.createDataFrame([(p, l, c) for p, (l, c) in (FILES | DEEP).items()], "path string, language string, content string")
+    found = S.extract(df)[0].cache()
+    rows = lambda out: sorted((r.path, r.start_byte, r.name, r.class_name) for r in out.where("kind = 'method' AND class_name <> ''").collect())
+    assert rows(S.outermost_owners(found)) == rows(S.with_owner(found))
+
+
 def test_no_exchange_before_owners(spark):
     df = spark.createDataFrame([(p, l, c) for p, (l, c) in DEEP.items()], "path string, language string, content string")
     plan = S.extract(df)[0]._jdf.queryExecution().executedPlan().toString()
