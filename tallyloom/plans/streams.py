@@ -4,10 +4,11 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from tallyloom.operators import joblog as J, registry as R
+from tallyloom.operators import joblog as J
 from tallyloom.plans.base import ORACLES, Tables, query
 from tallyloom.plans.jobs import updates
 from tallyloom.plans.sessions import NUMBERED
+from tallyloom.session import work_folder
 from tallyloom.streaming import common as S, joblog as SJ, sessions as SS
 
 # Arrival in four parts of the month the events cover.
@@ -37,9 +38,21 @@ def t2(t: Tables):
 
 @query("t3_registry_stream", ORACLES["u4_upsert_last_write"])
 def t3(t: Tables):
-    out = SS.registry_stream(event_stream(t, "user_id", "event_id", "event_type", "value", "ts"))
-    rows = S.written(t.spark, out, "user_id bigint, event_id bigint, event_type string, value double").drop("batch")
-    return R.latest_by_key(rows, ["user_id"], F.col("event_id"))
+    table = SS.registry_table(t.spark, work_folder(t.spark, "registry"))
+    SS.registry_stream(event_stream(t, "user_id", "event_id", "event_type", "value", "ts"), table, work_folder(t.spark, "registry-checkpoint"))
+    return table.read()
+
+
+@query("u4_state_table", ORACLES["u4_upsert_last_write"])
+def u4_table(t: Tables):
+    """Batches out of order, with a batch that arrives twice and rows older than those in the table."""
+    table = SS.registry_table(t.spark, work_folder(t.spark, "registry"))
+    rows = t.events.select(*table.schema.names)
+    for number, part in enumerate((3, 1, 0, 2, 4, 1)):
+        batch = rows.where(F.col("event_id") % 5 == part)
+        table.apply(batch, number, "upserts")
+        table.apply(batch, number, "upserts")
+    return table.read()
 
 
 @query("t4_line_stream", ORACLES["t4_line_assembly"])
@@ -55,9 +68,9 @@ def t5(t: Tables):
     u = updates(t)
     folder = S.arriving(u.withColumn("ts", F.col("seq")), "ts", [3000, 6000], "updates")
     stream = S.read_stream(t.spark, folder, u.withColumn("ts", F.col("seq")).schema, files=2)
-    out = S.run_to_end(SJ.state_stream(stream), "update", "state", lambda b: b)
-    rows = S.written(t.spark, out, "job_id bigint, field string, value string, seq bigint").drop("batch")
-    return J.merge_fields(rows)
+    table = SJ.state_table(t.spark, work_folder(t.spark, "state"))
+    SJ.state_stream(stream, table, work_folder(t.spark, "state-checkpoint"))
+    return table.read().drop("seq")
 
 
 @query("t6_ttl_stream", ORACLES["w11_ttl_first"])

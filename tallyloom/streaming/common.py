@@ -26,11 +26,16 @@ def run_to_end(stream: DataFrame, mode: str, label: str, keep, folders: tuple[st
     def write(batch: DataFrame, number: int) -> None:
         keep(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start()
-    query.awaitTermination()
+    run_batches(stream, mode, write, state)
     return out
 
 
+def run_batches(stream: DataFrame, mode: str, take, checkpoint: str) -> None:
+    """``take(batch, number)`` for every batch until the input ends."""
+    query = stream.writeStream.outputMode(mode).foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
 def new_folders(spark: SparkSession, label: str) -> tuple[str, str]:
     return work_folder(spark, label), work_folder(spark, f"{label}-checkpoint")
 

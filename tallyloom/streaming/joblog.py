@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from tallyloom.streaming import common as S
+from tallyloom.streaming.statetable import StateTable, follow
 
 
 class LineAssembly(StatefulProcessor):
@@ -56,7 +57,14 @@ def line_stream(chunks: DataFrame) -> DataFrame:
     return grouped.transformWithStateInPandas(LineAssembly(), "job_id bigint, line_no bigint, line string", "append", "None")
 
 
-def state_stream(updates: DataFrame) -> DataFrame:
-    """Last value per job and field, emitted whenever it changes (update mode)."""
-    last = updates.groupBy("job_id", "field").agg(F.max(F.struct("seq", "value")).alias("last"))
-    return last.select("job_id", "field", "last.value", "last.seq")
+STATE = "job_id bigint, field string, value string, seq bigint"
+
+
+def state_table(spark: SparkSession, path: str) -> StateTable:
+    """The state of jobs: the last value written to each field."""
+    return StateTable(spark, path, STATE, ["job_id", "field"], "seq")
+
+
+def state_stream(updates: DataFrame, table: StateTable, checkpoint: str) -> None:
+    """Continuous merge of field updates into ``table``."""
+    follow(updates.select(*table.schema.names), table, "state", checkpoint)

@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StructField, StructType
 
 from tallyloom.functions import numbers as N
 from tallyloom.operators import ordered, registry as R
 from tallyloom.streaming import common as S
+from tallyloom.streaming.statetable import StateTable, follow
 
 DELAY = "1 minute"
 LONG = lambda name: StructType([StructField(name, LongType())])
@@ -99,10 +100,14 @@ def cache_stream(events: DataFrame, seconds: int = R.CACHE_SECONDS, delay: str =
         CacheLookups(seconds * 1_000_000), "user_id bigint, position bigint, hit boolean", "append", "eventtime")
 
 
-def registry_stream(events: DataFrame) -> str:
-    """Continuous upsert: every batch adds the last row of each session it saw; readers take the last over all batches.
+REGISTRY = "user_id bigint, event_id bigint, event_type string, value double"
 
-    A batch writes only what it touched instead of rewriting the whole registry.
-    """
-    keep = lambda batch: R.latest_by_key(batch, ["user_id"], F.col("event_id"))
-    return S.run_to_end(events.select("user_id", "event_id", "event_type", "value"), "append", "registry", keep)
+
+def registry_table(spark: SparkSession, path: str) -> StateTable:
+    """The registry: the last event of each session."""
+    return StateTable(spark, path, REGISTRY, ["user_id"], "event_id")
+
+
+def registry_stream(events: DataFrame, table: StateTable, checkpoint: str) -> None:
+    """Continuous upsert into ``table``."""
+    follow(events.select(*table.schema.names), table, "registry", checkpoint)
