@@ -4,12 +4,12 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from tallyloom.operators import joblog as J
+from tallyloom.operators import joblog as J, registry as R
 from tallyloom.plans.base import ORACLES, Tables, query
 from tallyloom.plans.jobs import updates
 from tallyloom.plans.sessions import NUMBERED
 from tallyloom.session import work_folder
-from tallyloom.streaming import common as S, joblog as SJ, sessions as SS
+from tallyloom.streaming import common as S, joblog as SJ, lateness as L, sessions as SS
 
 # Arrival in four parts of the month the events cover.
 DAYS = [datetime(2024, 1, 8), datetime(2024, 1, 15), datetime(2024, 1, 22)]
@@ -21,13 +21,41 @@ def event_stream(t: Tables, *columns: str):
     return S.read_stream(t.spark, folder, events.schema, files=2)
 
 
-@query("t1_dirty_sets_stream", ORACLES["t1_dirty_sets"])
+#: Seconds that rows may come late, and which events come one part too late.
+DELAY, STRAGGLERS = 60, "event_id % 40 = 0"
+PART = "CASE WHEN ts < TIMESTAMP '2024-01-08' THEN 0 WHEN ts < TIMESTAMP '2024-01-15' THEN 1 WHEN ts < TIMESTAMP '2024-01-22' THEN 2 ELSE 3 END"
+ARRIVAL = f"least({PART} + CASE WHEN {STRAGGLERS} THEN 1 ELSE 0 END, 3)"
+
+
+def gated_sql(window: int) -> str:
+    """The rows of events with arrival, whether they are late, and the watermark in the end."""
+    ended = f"time_bucket(INTERVAL {window} SECOND, ts) + INTERVAL {window} SECOND"
+    return f"""a AS (SELECT *, {ARRIVAL} AS arrival FROM events),
+  marks AS (SELECT arrival, max(max(ts)) OVER (ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL {DELAY} SECOND AS mark FROM a GROUP BY arrival),
+  g AS (SELECT a.*, coalesce({ended} <= mark, FALSE) AS late, {ended} <= (SELECT max(ts) FROM a) - INTERVAL {DELAY} SECOND AS closed FROM a JOIN marks USING (arrival))"""
+
+
+def gated(t: Tables, label: str, columns: list[str], build, window: int):
+    arrivals = t.events.selectExpr(*columns, f"{ARRIVAL} AS arrival")
+    return L.run_gated(arrivals, "arrival", [1, 2, 3], label, build, DELAY, window)
+
+
+@query("t1_dirty_sets_stream", f"""WITH {gated_sql(15)},
+  n AS (SELECT user_id, time_bucket(INTERVAL 15 SECOND, ts) AS tick, closed, count(*) AS requests FROM g WHERE NOT late GROUP BY ALL),
+  r AS (SELECT *, sum(requests) OVER (PARTITION BY user_id ORDER BY tick) AS n FROM n)
+SELECT strftime(tick, '%Y-%m-%d %H:%M:%S') AS tick, user_id FROM r WHERE closed AND n % 10 <> 0""")
 def t1(t: Tables):
-    counts = SS.tick_counts(event_stream(t, "event_id", "user_id", "ts"), delay="31 days")
-    out = S.run_to_end(counts, "update", "ticks", lambda b: b)
-    last = S.written(t.spark, out, "tick timestamp, user_id bigint, requests bigint")
-    last = last.groupBy("tick", "user_id").agg(F.max("requests").alias("requests"))  # a tick's count only grows
-    return SS.dirty_from_counts(last).select(F.date_format("tick", "yyyy-MM-dd HH:mm:ss").alias("tick"), "user_id")
+    out, _ = gated(t, "ticks", ["event_id", "user_id", "ts"], SS.dirty_stream, R.TICK_SECONDS)
+    rows = S.written(t.spark, out, "tick timestamp, user_id bigint, n bigint")
+    return rows.select(F.date_format("tick", "yyyy-MM-dd HH:mm:ss").alias("tick"), "user_id")
+
+
+@query("t1_late_rows", f"WITH {gated_sql(15)} SELECT CAST(arrival AS BIGINT) AS batch, CAST(count(*) AS BIGINT) AS n, min(ts) AS first FROM g WHERE late GROUP BY arrival")
+def t1_late(t: Tables):
+    """What came behind the watermark, by batch."""
+    _, gate = gated(t, "late", ["event_id", "user_id", "ts"], None, R.TICK_SECONDS)
+    rows = gate.late_rows(t.events.select("event_id", "user_id", "ts").schema)
+    return rows.groupBy(F.col("batch").cast("long").alias("batch")).agg(F.count("*").alias("n"), F.min("ts").alias("first"))
 
 
 @query("t2_request_counter", f"SELECT user_id, CAST(n AS BIGINT) AS n FROM {NUMBERED} WHERE n % 10 = 0")
@@ -73,11 +101,16 @@ def t5(t: Tables):
     return table.read().drop("seq")
 
 
-@query("t6_ttl_stream", ORACLES["w11_ttl_first"])
+@query("t6_ttl_stream", f"""WITH RECURSIVE {gated_sql(60)},
+  d AS (SELECT DISTINCT user_id, epoch_us(ts) AS us, closed FROM g WHERE NOT late),
+  e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY us) AS rn FROM d),
+  r AS (SELECT user_id, rn, us, closed, us AS last, FALSE AS hit FROM e WHERE rn = 1
+        UNION ALL
+        SELECT e.user_id, e.rn, e.us, e.closed, CASE WHEN e.us - r.last >= 21600000000 THEN e.us ELSE r.last END, e.us - r.last < 21600000000
+        FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1)
+SELECT user_id, CAST(us AS BIGINT) AS position, hit FROM r WHERE closed""")
 def t6(t: Tables):
-    """Taken in piece by piece, since what is a hit depends on what came before."""
-    build = lambda stream: SS.cache_stream(stream, seconds=21600, delay="8 days")
-    out = S.run_arrivals(t.events.select("user_id", "ts"), "ts", DAYS[1:2], "cache", build, "append", lambda b: b)
+    out, _ = gated(t, "cache", ["user_id", "ts"], lambda stream: SS.cache_stream(stream, seconds=21600), SS.WINDOW)
     return S.written(t.spark, out, "user_id bigint, position bigint, hit boolean").drop("batch")
 
 

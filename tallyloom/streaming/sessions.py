@@ -15,6 +15,8 @@ from tallyloom.streaming import common as S
 from tallyloom.streaming.statetable import StateTable, follow
 
 DELAY = "1 minute"
+#: Seconds of a window in which lookups wait.
+WINDOW = 60
 LONG = lambda name: StructType([StructField(name, LongType())])
 
 
@@ -31,6 +33,32 @@ def dirty_from_counts(counts: DataFrame, every: int = R.CHECKPOINT_EVERY) -> Dat
     return n.where(F.col("n") % every != 0).select("tick", "user_id")
 
 
+class TickNumbers(StatefulProcessor):
+    """Closed ticks of a session in order -> the running number of its last request in each."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", LONG("n"))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        ticks = pd.concat(list(rows)).sort_values("tick")
+        before = int(self.seen.get()[0]) if self.seen.exists() else 0
+        numbers = before + ticks["requests"].cumsum()
+        self.seen.update((int(numbers.iloc[-1]),))
+        yield pd.DataFrame({"tick": ticks["tick"], "user_id": key[0], "n": numbers})
+
+    def close(self) -> None:
+        pass
+
+
+def dirty_stream(events: DataFrame, every: int = R.CHECKPOINT_EVERY, seconds: int = R.TICK_SECONDS, delay: str = DELAY) -> DataFrame:
+    """Sessions to save at each tick, in one stream: a tick is counted, closes when the watermark passes it, and its count then
+    raises the running number of its session. Ticks close in order, so the number needs no earlier rows."""
+    S.use_rocksdb(events.sparkSession)
+    counts = tick_counts(events, seconds, delay)
+    numbered = counts.groupBy("user_id").transformWithStateInPandas(TickNumbers(), "tick timestamp, user_id bigint, n bigint", "append", "None")
+    return numbered.where(F.col("n") % every != 0)
+
+
 class RequestCounter(StatefulProcessor):
     """Counts requests of a session and emits every count that is a multiple of ``every``. Arrival order does not matter."""
 
@@ -92,11 +120,12 @@ class CacheLookups(StatefulProcessor):
 
 
 def cache_stream(events: DataFrame, seconds: int = R.CACHE_SECONDS, delay: str = DELAY) -> DataFrame:
-    """Lookups on a stream that arrives in time order within ``delay``; repeated times of a key are merged beforehand."""
+    """Lookups on a stream whose rows come in any order within ``delay``. Times wait in windows of a minute, each time once, until
+    the watermark has passed them; closed windows are looked up in order."""
     S.use_rocksdb(events.sparkSession)
     timed = events.select("user_id", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", delay)
-    timed = timed.withColumn("position", N.epoch_micros(F.col("ts")))
-    return timed.groupBy("user_id").transformWithStateInPandas(
+    closed = timed.groupBy(F.window("ts", f"{WINDOW} seconds"), "user_id").agg(F.collect_set(N.epoch_micros(F.col("ts"))).alias("times"))
+    return closed.select("user_id", F.explode("times").alias("position")).groupBy("user_id").transformWithStateInPandas(
         CacheLookups(seconds * 1_000_000), "user_id bigint, position bigint, hit boolean", "append", "eventtime")
 
 

@@ -1,12 +1,13 @@
 import os
 import random
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.operators import history as H, joblog as J, named as D, registry as R
 from tallyloom.sources import codefiles as CF, files as S
-from tallyloom.streaming import common as C, joblog as SJ, sessions as SS
+from tallyloom.streaming import common as C, joblog as SJ, lateness as L, sessions as SS
 
 
 def expected_lines(jobs):
@@ -52,6 +53,22 @@ def test_late_rows_are_dropped_by_the_watermark(spark):
     assert [r.n for r in rows] == [1, 2]
 
 
+def test_gate_keeps_late_rows_apart(spark, tmp_path):
+    """Late rows are kept and counted; a batch that runs again changes nothing; a row without a time is late."""
+    t = lambda s: None if s is None else datetime(2024, 1, 1, *map(int, s.split(":")))
+    batch = lambda *rows: spark.createDataFrame([(i, t(s)) for i, s in rows], "i long, ts timestamp")
+    gate = L.Gate(spark, str(tmp_path / "gate"), delay=60, window=15)
+    assert gate.late_rows("i long, ts timestamp").count() == 0
+    first, second = batch((1, "10:00:00"), (2, "09:00:00")), batch((3, "09:58:59"), (4, "09:58:44"), (5, None), (6, "11:00:00"), (7, "09:59:05"))
+    gate.take(first, 0)
+    for _ in range(2):
+        gate.take(second, 1)
+    gate.take(batch(), 2)
+    gate.take(batch((8, "10:59:00"), (9, "10:58:30")), 3)
+    assert sorted((r.batch, r.i) for r in gate.late_rows("i long, ts timestamp").collect()) == [(1, 3), (1, 4), (1, 5), (3, 9)]
+    assert sorted(r.i for r in spark.read.parquet(str(tmp_path / "gate" / "in-time")).collect()) == [1, 2, 6, 7, 8]
+
+
 def test_status_rollup(spark):
     steps = spark.createDataFrame([
         (1, 1, 10, "start", None), (1, 2, 20, "exit", 0), (2, 1, 10, "start", None), (2, 2, 30, "exception", None), (3, 1, 5, "start", None),
