@@ -120,24 +120,31 @@ def assemble_lines(chunks: DataFrame) -> DataFrame:
     only pieces at chunk borders are grouped, by job and line, so no job is gathered in one place.
     Bytes are handled as Latin-1 characters, one per byte, so that text functions can cut them.
     """
+    counted = chunks.select("job_id", "chunk_no", line_ends(F.col("bytes")).alias("breaks"))
+    numbered = ordered.running_total(counted, ["job_id"], ["chunk_no"], F.col("breaks"), "base", inclusive=False)  # no bytes are moved
+    totals = counted.groupBy("job_id").agg(F.sum("breaks").alias("ended"))
     pieces = F.split(F.decode("bytes", "ISO-8859-1"), "\n", -1)
-    cut = chunks.select("job_id", "chunk_no", pieces.alias("pieces")).withColumn("breaks", (F.size("pieces") - 1).cast("long"))
-    numbered = ordered.running_total(cut, ["job_id"], ["chunk_no"], F.col("breaks"), "base", inclusive=False)
-    parts = numbered.select("job_id", "chunk_no", "breaks", "base", F.posexplode("pieces").alias("pos", "piece"))
-    parts = parts.withColumn("line_no", F.col("base") + F.col("pos") + 1)
-    inside = (F.col("pos") > 0) & (F.col("pos") < F.col("breaks"))
-    whole = parts.where(inside).select("job_id", "line_no", "piece")
-    totals = cut.groupBy("job_id").agg(F.sum("breaks").alias("ended"))
-    edges = parts.where(~inside).join(totals, "job_id").where(F.col("line_no") <= F.col("ended"))
-    joined = edges.groupBy("job_id", "line_no").agg(F.array_sort(F.collect_list(F.struct("chunk_no", "pos", "piece"))).alias("p"))
+    cut = chunks.select("job_id", "chunk_no", pieces.alias("pieces")).join(numbered.select("job_id", "chunk_no", "base", "breaks"), ["job_id", "chunk_no"])
+    inner = F.slice("pieces", F.lit(2), F.greatest(F.size("pieces") - 2, F.lit(0)))
+    whole = cut.select("job_id", "base", F.posexplode(inner).alias("pos", "piece")).select("job_id", (F.col("base") + F.col("pos") + 2).alias("line_no"), "piece")
+    first = F.struct((F.col("base") + 1).alias("line_no"), F.lit(0).alias("side"), F.get("pieces", F.lit(0)).alias("piece"))
+    last = F.struct((F.col("base") + F.col("breaks") + 1).alias("line_no"), F.lit(1).alias("side"), F.element_at("pieces", -1).alias("piece"))
+    ends = cut.select("job_id", "chunk_no", F.explode(F.when(F.col("breaks") > 0, F.array(first, last)).otherwise(F.array(first))).alias("e")).select("job_id", "chunk_no", "e.*")
+    joined = ends.groupBy("job_id", "line_no").agg(F.array_sort(F.collect_list(F.struct("chunk_no", "side", "piece"))).alias("p"))
+    joined = joined.join(totals, "job_id").where(F.col("line_no") <= F.col("ended"))
     joined = joined.select("job_id", "line_no", F.array_join(F.transform("p", lambda x: x["piece"]), "").alias("piece"))
     line = X.decode_utf8_ignore(F.encode("piece", "ISO-8859-1"))
     return whole.unionByName(joined).select("job_id", "line_no", line.alias("line"))
 
 
+def line_ends(data: Column) -> Column:
+    """How many line ends a byte string holds."""
+    return (F.octet_length(data) - F.length(F.translate(F.decode(data, "ISO-8859-1"), "\n", ""))).cast("long")
+
+
 def cut_chunks(texts: DataFrame, size: int = 64) -> DataFrame:
     """(job_id, text) -> byte chunks of ``size``, as a process would hand out its output."""
     raw = texts.select("job_id", F.encode("text", "UTF-8").alias("raw"))
     starts = F.sequence(F.lit(0), F.greatest(F.octet_length("raw") - 1, F.lit(0)), F.lit(size))
-    return raw.select("job_id", "raw", F.posexplode(starts).alias("n", "start")).select(
-        "job_id", F.col("n").cast("long").alias("chunk_no"), F.substring(F.col("raw"), F.col("start") + 1, F.lit(size)).alias("bytes"))
+    parts = F.transform(starts, lambda start: F.substring(F.col("raw"), start + 1, F.lit(size)))  # rows carry their part, not the text
+    return raw.select("job_id", F.posexplode(parts).alias("n", "bytes")).select("job_id", F.col("n").cast("long").alias("chunk_no"), "bytes")

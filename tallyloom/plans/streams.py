@@ -85,10 +85,13 @@ def u4_table(t: Tables):
 
 @query("t4_line_stream", ORACLES["t4_line_assembly"])
 def t4(t: Tables):
+    """Chunks come in three parts, half an hour after each other."""
     chunks = J.cut_chunks(t.documents.select(F.col("doc_id").alias("job_id"), "text"), size=4096)
+    part = F.when(F.col("chunk_no") < 1, 0).when(F.col("chunk_no") < 3, 1).otherwise(2)
+    chunks = chunks.withColumn("at", F.timestamp_seconds(F.unix_seconds(F.lit(DAYS[0]).cast("timestamp")) + part * 1800))
     folder = S.arriving(chunks, "chunk_no", [1, 3], "chunks")
     out = S.run_to_end(SJ.line_stream(S.read_stream(t.spark, folder, chunks.schema, files=4)), "append", "lines", lambda b: b)
-    return S.written(t.spark, out, "job_id bigint, line_no bigint, line string").drop("batch")
+    return S.written(t.spark, out, SJ.LINES).drop("batch", "gap")
 
 
 @query("t5_state_stream", ORACLES["u6_field_merge"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
@@ -13,20 +13,59 @@ from tallyloom.streaming import common as S
 from tallyloom.streaming.statetable import StateTable, follow
 
 
+#: Seconds of event time that a missing chunk is waited for, and after which a silent job has ended.
+GAP_SECONDS, IDLE_SECONDS = 300, 3600
+LINES = "job_id bigint, line_no bigint, line string, gap boolean"
+
+
 class LineAssembly(StatefulProcessor):
-    """Chunks of a job -> complete lines. The unended tail is carried; chunks that come early wait for those before them."""
+    """Chunks of a job -> complete lines. The unended tail is carried; chunks that come early wait for those before them.
+
+    A timer on event time is always set: while chunks wait, for the end of the wait, after which what is missing is given up
+    and marked by a line with ``gap``, the part of a line before it; else for the end of the job, which leaves no state.
+    """
+
+    def __init__(self, gap_seconds: int, idle_seconds: int):
+        self.gap, self.idle = gap_seconds * 1000, idle_seconds * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.progress = handle.getValueState("progress", StructType([
-            StructField("chunk", LongType()), StructField("lines", LongType()), StructField("tail", BinaryType())]))
+            StructField("chunk", LongType()), StructField("lines", LongType()), StructField("tail", BinaryType()),
+            StructField("heard", LongType()), StructField("since", LongType())]))  # last chunk's time; when the wait began
         self.early = handle.getMapState("early", StructType([StructField("chunk_no", LongType())]), StructType([StructField("bytes", BinaryType())]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        chunk, lines, tail = self.progress.get() if self.progress.exists() else (0, 0, b"")
-        fresh = {}
+        chunk, lines, tail, heard, since = self.progress.get() if self.progress.exists() else (0, 0, b"", 0, 0)
+        fresh, moved = {}, chunk
         for part in rows:
             fresh.update(zip((int(n) for n in part["chunk_no"]), part["bytes"]))
-        numbers, texts = [], []
+            heard = max(heard, int(part["at"].max()))
+        out: list[tuple] = []
+        chunk, lines, tail = self.advance(chunk, lines, bytes(tail), fresh, out)
+        for number, data in fresh.items():
+            if number > chunk:
+                self.early.updateValue((number,), (bytes(data),))
+        if chunk > moved or not since:
+            since = heard
+        self.keep(chunk, lines, tail, heard, since)
+        yield self.frame(key, out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        chunk, lines, tail, heard, _ = self.progress.get()
+        waiting = [k[0] for k in self.early.keys()]
+        out: list[tuple] = []
+        if waiting:
+            out.append((lines + 1, bytes(tail).decode("utf-8", errors="ignore"), True))
+            chunk, lines, tail = self.advance(min(waiting), lines + 1, b"", {}, out)
+            self.keep(chunk, lines, tail, heard, heard)
+        else:
+            self.progress.clear()
+            self.early.clear()
+        yield self.frame(key, out)
+
+    def advance(self, chunk: int, lines: int, tail: bytes, fresh: dict, out: list[tuple]) -> tuple[int, int, bytes]:
+        """Takes the chunks from ``chunk`` on as far as they follow each other."""
         while True:
             if chunk in fresh:
                 data = fresh.pop(chunk)
@@ -34,27 +73,37 @@ class LineAssembly(StatefulProcessor):
                 data = self.early.getValue((chunk,))[0]
                 self.early.removeKey((chunk,))
             else:
-                break
-            *done, tail = (bytes(tail) + bytes(data)).split(b"\n")
+                return chunk, lines, tail
+            *done, tail = (tail + bytes(data)).split(b"\n")
             for line in done:
                 lines += 1
-                numbers.append(lines)
-                texts.append(line.decode("utf-8", errors="ignore"))
+                out.append((lines, line.decode("utf-8", errors="ignore"), False))
             chunk += 1
-        for number, data in fresh.items():
-            if number > chunk:
-                self.early.updateValue((number,), (bytes(data),))
-        self.progress.update((chunk, lines, bytes(tail)))
-        yield pd.DataFrame({"job_id": [key[0]] * len(numbers), "line_no": numbers, "line": texts}).astype({"job_id": "int64", "line_no": "int64", "line": "object"})
+
+    def keep(self, chunk: int, lines: int, tail: bytes, heard: int, since: int) -> None:
+        blocked = any(True for _ in self.early.keys())
+        self.progress.update((chunk, lines, tail, heard, since if blocked else 0))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(since + self.gap if blocked else heard + self.idle)
+
+    @staticmethod
+    def frame(key, out: list[tuple]) -> pd.DataFrame:
+        numbers, texts, gaps = zip(*out) if out else ((), (), ())
+        made = pd.DataFrame({"job_id": [key[0]] * len(out), "line_no": numbers, "line": texts, "gap": gaps})
+        return made.astype({"job_id": "int64", "line_no": "int64", "line": "object", "gap": "bool"})
 
     def close(self) -> None:
         pass
 
 
-def line_stream(chunks: DataFrame) -> DataFrame:
+def line_stream(chunks: DataFrame, gap_seconds: int = GAP_SECONDS, idle_seconds: int = IDLE_SECONDS, delay: str = "1 minute") -> DataFrame:
+    """Chunks (job_id, chunk_no, bytes, at) in any order -> lines. Chunks later than ``delay`` behind the watermark are dropped
+    and counted by Spark."""
     S.use_rocksdb(chunks.sparkSession)
-    grouped = chunks.select("job_id", "chunk_no", "bytes").groupBy("job_id")
-    return grouped.transformWithStateInPandas(LineAssembly(), "job_id bigint, line_no bigint, line string", "append", "None")
+    timed = chunks.select("job_id", "chunk_no", "bytes", F.col("at").cast("timestamp").alias("time")).withWatermark("time", delay)
+    grouped = timed.withColumn("at", F.unix_millis("time")).groupBy("job_id")
+    return grouped.transformWithStateInPandas(LineAssembly(gap_seconds, idle_seconds), LINES, "append", "eventTime")
 
 
 STATE = "job_id bigint, field string, value string, seq bigint"

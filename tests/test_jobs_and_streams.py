@@ -35,13 +35,46 @@ def test_any_chunking_gives_the_same_lines(spark, seed):
     assert got == expected_lines(jobs)
 
 
+CHUNKS = "job_id long, chunk_no long, bytes binary, at timestamp, part long"
+
+
+def lines_of(spark, rows, parts, **options):
+    """Lines of a stream whose rows come part by part, and the folder of its state."""
+    df = spark.createDataFrame(rows, CHUNKS)
+    source, folders = C.work_folder(spark, "t4"), C.new_folders(spark, "t4")
+    for n in range(parts):
+        df.where(F.col("part") == n).drop("part").write.mode("append").parquet(source)
+        C.run_to_end(SJ.line_stream(C.read_stream(spark, source, df.drop("part").schema), **options), "append", "t4", lambda b: b, folders)
+    found = C.written(spark, folders[0], SJ.LINES).drop("batch").collect()
+    return sorted((r.job_id, r.line_no, r.line, r.gap) for r in found), folders[1]
+
+
+def state_rows(spark, folder, name, **options):
+    reader = spark.read.format("statestore").option("stateVarName", name)
+    for k, v in options.items():
+        reader = reader.option(k, v)
+    return reader.load(folder).count()
+
+
 def test_line_stream_takes_chunks_in_any_order(spark):
     jobs, rows = random_chunks(9)
     random.Random(0).shuffle(rows)
-    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "job_id long, chunk_no long, bytes binary, at long")
-    out = C.run_arrivals(df, "at", [len(rows) // 2], "t4", SJ.line_stream, "append", lambda b: b)
-    got = sorted(tuple(r) for r in C.written(spark, out, "job_id bigint, line_no bigint, line string").drop("batch").collect())
-    assert got == expected_lines(jobs)
+    rows = [(*r, datetime(2024, 1, 1), 2 * i // len(rows)) for i, r in enumerate(rows)]
+    got, _ = lines_of(spark, rows, 2)
+    assert got == [(*x, False) for x in expected_lines(jobs)]
+
+
+def test_line_stream_gives_up_gaps_and_ended_jobs(spark):
+    at = lambda minute: datetime(2024, 1, 1, 10 + minute // 60, minute % 60)
+    rows = [(1, 0, b"a\nb", at(0), 0), (1, 2, b"c\nd\n", at(1), 0), (1, 3, b"e\n", at(2), 0),  # chunk 1 never comes
+            (2, 0, b"x\ny\n", at(0), 0), (2, 2, b"z\n", at(1), 0), (2, 1, b"late ", at(3), 1),  # chunk 1 comes in time
+            (3, 0, b"p\nunended", at(2), 0), (9, 0, b"clock\n", at(7), 1), (9, 1, b"clock\n", at(100), 2), (9, 2, b"clock\n", at(300), 3)]
+    got, state = lines_of(spark, rows, 4, gap_seconds=300, idle_seconds=3600)
+    assert [r for r in got if r[0] == 1] == [(1, 1, "a", False), (1, 2, "b", True), (1, 3, "c", False), (1, 4, "d", False), (1, 5, "e", False)]
+    assert [r for r in got if r[0] == 2] == [(2, 1, "x", False), (2, 2, "y", False), (2, 3, "late z", False)]
+    assert [r for r in got if r[0] == 3] == [(3, 1, "p", False)]
+    # the watermark is past the end of jobs 1, 2 and 3: only the clock job is left, and nothing waits
+    assert state_rows(spark, state, "progress") == 1 and state_rows(spark, state, "early", flattenCollectionTypes="true") == 0
 
 
 def test_late_rows_are_dropped_by_the_watermark(spark):
