@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from tallyloom.functions import text as X
 from tallyloom.operators import codesearch as C, symbols as S
 from tallyloom.plans.base import Tables, query
-from tallyloom.sources import codefiles as CF
+from tallyloom.session import work_folder
+from tallyloom.sources import codefiles as CF, walk
 
 ROOT = "/repo"
 K, SZ, NL, G = "CAST(p_partkey AS STRING)", "CAST(p_size AS STRING)", "chr(10)", "p_partkey % 8"
@@ -155,9 +156,13 @@ def all_paths(t: Tables):
     return t.part.select(F.expr(PATH).alias("path"))
 
 
-@query("s2_code_file_scan", f"WITH {CTE} SELECT path, language FROM f")
+@query("s2_code_file_scan", f"WITH {CTE} SELECT path, language, md5(content) AS digest FROM f")
 def s2(t: Tables):
-    return CF.code_files(all_paths(t), ROOT).select("path", "language")
+    """All files of the corpus are written; the scan goes into the folders that count and opens the files that count."""
+    root = work_folder(t.spark, "code")
+    walk.write_files(t.part.select(F.expr(PATH).alias("path"), F.encode(F.expr(CONTENT), "UTF-8").alias("content")), root)
+    found = CF.scan_code_files(t.spark, f"{root}{ROOT}")
+    return found.select(F.concat(F.lit(f"{ROOT}/"), CF.below(F.col("path"), f"{root}{ROOT}")).alias("path"), "language", F.md5("content").alias("digest"))
 
 
 @query("p5_path_prune", f"SELECT path FROM (SELECT {PATH} AS path FROM part) WHERE NOT contains(path, '/node_modules/') AND NOT contains(path, '/build/')")

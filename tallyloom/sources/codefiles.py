@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tallyloom.functions import text as X
+from tallyloom.sources import walk
 
 # Folder names that are never entered (exact case).
 SKIPPED_FOLDERS = [
@@ -37,18 +38,20 @@ def code_files(paths: DataFrame, root: str) -> DataFrame:
     return kept.withColumn("language", X.language_of(F.col("path"))).where("language <> 'unknown'")
 
 
-def suffix_glob() -> str:
-    """File-name pattern of all known suffixes in any case, so that other files are dropped while listing, unread."""
-    any_case = lambda suffix: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in suffix)
-    return "*{" + ",".join(any_case(s) for s in X.LANGUAGE_BY_SUFFIX) + "}"
+def enters(folder: Column) -> Column:
+    return ~folder.isin(SKIPPED_FOLDERS)
+
+
+def is_code(name: Column) -> Column:
+    return X.language_of(name) != "unknown"
 
 
 def scan_code_files(spark: SparkSession, root: str) -> DataFrame:
-    """(path, language, content) of the code files below root, read in parallel. A root that does not exist is an error."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", suffix_glob())
-    raw = reader.load(root).select("path", "content")
-    plain = raw.withColumn("path", F.regexp_replace("path", r"^file:/+", "/"))
-    return code_files(plain, root).select("path", "language", "content")
+    """(path, language, content) of the code files below root, listed and read in parallel. Skipped folders are not listed, and
+    only files that count are opened. A root that does not exist is an error."""
+    found = walk.contents(walk.walk(spark, root, enters, is_code))
+    plain = found.withColumn("path", F.regexp_replace("path", r"^file:/+", "/"))
+    return plain.select("path", X.language_of(F.col("path")).alias("language"), "content")
 
 
 def readable(files: DataFrame) -> tuple[DataFrame, DataFrame]:

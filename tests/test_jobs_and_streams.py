@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.operators import history as H, joblog as J, named as D, registry as R
-from tallyloom.sources import codefiles as CF, files as S
+from tallyloom.sources import codefiles as CF, files as S, walk
 from tallyloom.streaming import common as C, joblog as SJ, lateness as L, sessions as SS
 
 
@@ -154,6 +154,27 @@ def test_scan_code_files(spark, tmp_path):
     assert good.count() == 2 and [os.path.basename(r.path) for r in bad.collect()] == ["bad.rs"]
 
 
+def test_scan_never_opens_what_is_skipped(spark, tmp_path):
+    """A pipe would block whoever opens it; a link back to the root would never end."""
+    deep = tmp_path / "src" / "a" / "b" / "c"
+    deep.mkdir(parents=True)
+    (deep / "x.rs").write_bytes(b"fn x() {}")
+    (tmp_path / "node_modules" / "p").mkdir(parents=True)
+    os.mkfifo(tmp_path / "node_modules" / "p" / "poison.js")
+    os.mkfifo(tmp_path / "src" / "pipe.js")  # no regular file
+    (tmp_path / "src" / "loop").symlink_to(tmp_path, target_is_directory=True)
+    (tmp_path / "src" / "link.py").symlink_to(deep / "x.rs")
+    seen = walk.walk(spark, f"file://{tmp_path}", CF.enters, CF.is_code)
+    assert sorted(r.path.removeprefix(f"file://{tmp_path}/") for r in seen.collect()) == ["src/a/b/c/x.rs", "src/link.py"]
+    assert sorted(bytes(r.content) for r in CF.scan_code_files(spark, str(tmp_path)).collect()) == [b"fn x() {}"] * 2
+    with pytest.raises(FileNotFoundError):
+        CF.scan_code_files(spark, str(tmp_path / "none"))
+    with pytest.raises(ValueError):
+        CF.scan_code_files(spark, "ftp://host/code")
+    (tmp_path / "empty").mkdir()
+    assert CF.scan_code_files(spark, str(tmp_path / "empty")).count() == 0
+
+
 def test_read_logs_and_listing(spark, tmp_path):
     (tmp_path / "j1").mkdir()
     (tmp_path / "j1" / "build.log").write_bytes(b"hello")
