@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import text as X
 from tallyloom.operators import joblog as J
+from tallyloom.operators.logindex import LogIndex
 from tallyloom.plans.base import Tables, query
 
 K = "CAST(p_partkey AS STRING)"
@@ -143,7 +144,8 @@ def s4(t: Tables):
     d = F.col("doc_id")
     requests = t.documents.select((d + F.when(d % 10 == 0, 1_000_000_000).otherwise(0)).alias("job_id"), (d % 300).alias("from_byte"),
                                   F.when(d % 7 == 0, -5).otherwise(1000).alias("max_bytes"))
-    return J.log_page(requests, t.documents.select(d.alias("job_id"), F.encode("text", "UTF-8").alias("content")))
+    chunks = J.cut_chunks(t.documents.select(d.alias("job_id"), "text"), size=4096)
+    return LogIndex.build(chunks, page=8192).pages(requests)
 
 
 LINES_SQL = """p AS (SELECT doc_id AS job_id, string_split(text, chr(10)) AS a FROM documents),

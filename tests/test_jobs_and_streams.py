@@ -5,7 +5,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from tallyloom.operators import history as H, joblog as J, named as D, registry as R
+from tallyloom.operators import history as H, joblog as J, logindex as LI, named as D, registry as R
 from tallyloom.sources import codefiles as CF, files as S, walk
 from tallyloom.streaming import common as C, joblog as SJ, lateness as L, sessions as SS
 
@@ -124,6 +124,44 @@ def test_log_page_edges(spark):
     assert got == [(1, "", 0), (1, "", 100), (1, "a", 2), (1, "漢", 6), (2, "", 7)]
 
 
+@pytest.mark.parametrize("page", [3, 64, 100_000])
+def test_log_index_gives_the_same_pages(spark, page):
+    """Any chunks, any pages: the same as cutting the whole log; repeated requests, jobs without a log, odd starts and sizes."""
+    jobs, rows = random_chunks(7)
+    jobs[2] = jobs[2] + "漢字\n".encode() * 40
+    rows = [r for r in rows if r[0] != 2] + [(2, n, jobs[2][7 * n : 7 * n + 7]) for n in range(-(-len(jobs[2]) // 7))] + [(2, 999, None)]
+    index = LI.LogIndex.build(spark.createDataFrame(rows, "job_id long, chunk_no long, bytes binary"), page=page, buckets=4)
+    rnd = random.Random(page)
+    asked = [(rnd.choice([0, 1, 2, 3, 77]), rnd.randrange(-5, 400), rnd.choice([0, -1, 1, 5, 64, 300, 10**9, None])) for _ in range(80)]
+    asked += asked[:5]
+    ask = spark.createDataFrame(asked, "job_id long, from_byte long, max_bytes long")
+    logs = spark.createDataFrame(list(jobs.items()), "job_id long, content binary")
+    rows_of = lambda df: sorted((r.job_id, r.text, r.nextOffset) for r in df.collect())
+    assert rows_of(index.pages(ask)) == rows_of(J.log_page(ask.na.fill(0), logs))
+
+
+def test_log_index_does_not_move_the_log(spark):
+    rows = [(job, n, b"x" * 5000) for job in range(3) for n in range(40)]
+    index = LI.LogIndex.build(spark.createDataFrame(rows, "job_id long, chunk_no long, bytes binary"), page=8192, buckets=8)
+    ask = spark.createDataFrame([(1, 50, 10)], "job_id long, from_byte long, max_bytes long")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = index.pages(ask)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # from the scan of the index up to its join the log is filtered and sorted, never exchanged
+    side = plan[: plan.index("Bucketed: true")].splitlines()
+    scan = len(side[-1]) - len(side[-1].lstrip(" :+-"))
+    above = []
+    for line in reversed(side[:-1]):
+        if (at := len(line) - len(line.lstrip(" :+-"))) < scan:
+            scan = at
+            above.append(line)
+            if "Join" in line:
+                break
+    assert "Join" in above[-1] and not any("Exchange" in line for line in above)
+
+
 @pytest.mark.parametrize("text,want", [("6", (0, 6, 6, False)), ("1-5", (0, 1, 5, False)), (":5", (0, 1, 4, False)), ("~2/1-5", (2, 1, 5, False)), ("~10:", (10, 1, None, False)), ("", (0, 1, None, True))])
 def test_history_ranges(text, want):
     assert H.parse_range(text) == want
