@@ -2,7 +2,9 @@
 
 Texts become blocks of word numbers, written once. Phrases are counted length by length: one of n words can only be frequent
 where both phrases of n - 1 words in it are, so each pass counts the positions that a filter of the frequent shorter phrases
-lets through. The filter is a bit map of bounded size; what it lets through wrongly costs a row and changes no count.
+lets through. The filter is a bit map of bounded size; what it lets through wrongly costs a row and changes no count. A task
+adds up what it counts in runs of bounded length and deals each run into buckets of compressed phrases and counts; where all
+runs of a bucket are together, their counts are added up. How many buckets there are follows the number of words.
 
 The counts then are a stream of (phrase, count) that is laid out twice. In prefix order (word by word) the first k words of a
 phrase are the last stream entry of length k before it, in suffix order (from the last word on) so are its last k words. One
@@ -30,7 +32,10 @@ SWALLOWS = 100
 UNKNOWN = "und"
 #: Words of a block.
 BLOCK = 400_000
-#: Counted phrases that leave a task together.
+#: Buckets over which the phrases of one first word are spread at most.
+SPREAD = 8
+#: Phrases of a run, and words of the corpus per bucket.
+RUN, PER_BUCKET = 250_000, 2_000_000
 BATCH = 20_000
 #: Bits of the filter per phrase, and the most bits there are.
 BITS, MOST_BITS = 16, 1 << 28
@@ -65,9 +70,9 @@ def extended(hashes: np.ndarray, following: np.ndarray) -> np.ndarray:
 
 
 def blocks(docs: DataFrame, size: int = BLOCK) -> DataFrame:
-    """lang, words (each once), hashes of the words (64 bit) and ids (32 bit, numbers of the words in order, -1 between pieces).
-    A block ends between texts, so it holds ``size`` words or one text."""
-    names = pa.schema([("lang", pa.string()), ("words", pa.list_(pa.string())), ("hashes", pa.binary()), ("ids", pa.binary())])
+    """lang, words (each once, in byte order), ids (numbers of the words as they come, the number of words between pieces), both
+    compressed, and n, how many words there are. A block ends between texts, so it holds ``size`` words or one text."""
+    names = pa.schema([("lang", pa.string()), ("words", pa.binary()), ("ids", pa.binary()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, tuple[Numbers, list[np.ndarray]]] = {}
@@ -76,9 +81,14 @@ def blocks(docs: DataFrame, size: int = BLOCK) -> DataFrame:
         def out() -> Iterator[pa.RecordBatch]:
             for lang, (numbers, ids) in held.items():
                 words = list(numbers)[1:]
-                listed = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), pa.array(words, pa.binary()).cast(pa.string()))
-                hashes = word_hashes(words, lang).tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([lang]), listed, pa.array([hashes]), pa.array([np.concatenate(ids).tobytes()])], schema=names)
+                order = sorted(range(len(words)), key=words.__getitem__)
+                number = np.full(len(words) + 1, len(words), np.uint32)  # the last one is for -1
+                number[order] = np.arange(len(words))
+                numbered = number[np.concatenate(ids)]
+                narrow = numbered.astype("<u2" if len(words) < 1 << 16 else "<u4")
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([lang]), pa.array([packed(b"\n".join(words[k] for k in order))]), pa.array([packed(narrow.tobytes())]),
+                    pa.array([int((numbered < len(words)).sum())])], schema=names)
             held.clear()
 
         for batch in batches:
@@ -96,7 +106,25 @@ def blocks(docs: DataFrame, size: int = BLOCK) -> DataFrame:
         yield from out()
 
     ready = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col("text").cast("string").alias("text"))
-    return ready.mapInArrow(run, "lang string, words array<string>, hashes binary, ids binary")
+    return ready.mapInArrow(run, "lang string, words binary, ids binary, n long")
+
+
+def packed(data: bytes) -> bytes:
+    """Compressed, with the length before it."""
+    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
+
+
+def unpacked(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
+
+
+def block_of(words: bytes, ids: bytes) -> tuple[list[bytes], np.ndarray]:
+    """(words, their numbers in order with -1 between pieces) of a block."""
+    text = unpacked(words)
+    listed = text.split(b"\n") if text else []
+    numbers = np.frombuffer(unpacked(ids), "<u2" if len(listed) < 1 << 16 else "<u4").astype(np.int32)
+    numbers[numbers == len(listed)] = -1
+    return listed, numbers
 
 
 class Filter:
@@ -183,38 +211,95 @@ def phrases_in(ids: np.ndarray, hashes: np.ndarray, length: int, known: Filter |
     return ids[at[first][:, None] + np.arange(length)], counts
 
 
-def counted(made: DataFrame, length: int, known: np.ndarray | None) -> DataFrame:
-    """lang, phrase (words joined by blanks) and f of all phrases of ``length`` words that may be frequent."""
+class Runs:
+    """Counts of one language in a task, added up and given out in runs, each in prefix order within its buckets."""
+
+    def __init__(self, lang: str, buckets: int):
+        self.lang, self.buckets, self.parts, self.size = lang, buckets, [], 0
+
+    def add(self, phrases: pa.Array, buckets: np.ndarray, counts: np.ndarray) -> None:
+        if len(counts):
+            self.parts.append(pa.table({"phrase": phrases, "bucket": buckets, "f": counts}))
+            self.size += len(counts)
+
+    def out(self) -> Iterator[pa.RecordBatch]:
+        """Rows lang, bucket, size, phrases, counts: what was held, once each."""
+        if not self.parts:
+            return
+        summed = pa.concat_tables(self.parts).combine_chunks().group_by("phrase", use_threads=False).aggregate([("f", "sum"), ("bucket", "min")])
+        self.parts, self.size = [], 0
+        ordered = summed.take(pc.sort_indices(summed, [("bucket_min", "ascending"), ("phrase", "ascending")]))
+        bucket, phrases, counts = ordered["bucket_min"].to_numpy(), ordered["phrase"].combine_chunks(), ordered["f_sum"].to_numpy()
+        starts = np.flatnonzero(np.append(True, np.diff(bucket) != 0)).tolist()
+        rows = []
+        for low, high in zip(starts, [*starts[1:], len(bucket)]):
+            text = "\n".join(phrases[low:high].to_pylist()).encode()  # no phrase holds a line end
+            rows.append((self.lang, int(bucket[low]), packed(text), packed(counts[low:high].astype("<i8").tobytes())))
+        for low in range(0, len(rows), 200):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[low : low + 200])], names=["lang", "bucket", "phrases", "counts"])
+
+
+def counted(made: DataFrame, length: int, known: np.ndarray | None, least: int, buckets: int) -> DataFrame:
+    """lang, phrase (words joined by blanks) and f of all phrases of ``length`` words that are there ``least`` times."""
     shared = made.sparkSession.sparkContext.broadcast(known) if known is not None else None  # at most MOST_BITS bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked = None if shared is None else Filter(shared.value)
+        held: dict[str, Runs] = {}
         for batch in batches:
-            for lang, words, hashes, ids in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                found, counts = phrases_in(np.frombuffer(ids, np.int32), np.frombuffer(hashes, np.uint64), length, asked)
-                for low in range(0, len(found), BATCH):
-                    some = found[low : low + BATCH]
-                    parts = [words.values.take(pa.array(some[:, i])) for i in range(length)]
-                    phrase = pc.binary_join_element_wise(*parts, " ") if length > 1 else parts[0]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang] * len(some)), phrase.cast(pa.string()), pa.array(counts[low : low + BATCH], pa.int64())], names=["lang", "phrase", "f"])
+            for lang, words, ids in zip(*(c.to_pylist() for c in batch.columns)):
+                listed, numbers = block_of(words, ids)
+                word = word_hashes(listed, lang)
+                found, counts = phrases_in(numbers, word, length, asked)
+                # phrases with one first word lie together, in as many buckets as SPREAD at most
+                bucket = word[found[:, 0]] + word[found[:, -1]] % np.uint64(SPREAD) * np.uint64(0x9E3779B97F4A7C15) if len(found) else word[:0]
+                texts = pa.array(listed, pa.binary()).cast(pa.string())
+                parts = [texts.take(pa.array(found[:, i])) for i in range(length)]
+                mine = held.setdefault(lang, Runs(lang, buckets))
+                mine.add(pc.binary_join_element_wise(*parts, " ") if length > 1 else parts[0], ((bucket >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64), counts)
+                if sum(r.size for r in held.values()) >= RUN:
+                    for runs in held.values():
+                        yield from runs.out()
+                    held.clear()
+        for runs in held.values():
+            yield from runs.out()
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            summed = pa.concat_tables(held).combine_chunks().group_by("phrase", use_threads=False).aggregate([("f", "sum")])
+            kept = summed.filter(pc.greater_equal(summed["f_sum"], least))
+            for batch in kept.to_batches(BATCH):
+                yield pa.RecordBatch.from_arrays([pa.array([key[0]] * batch.num_rows, pa.string()), batch["phrase"], batch["f_sum"]], names=["lang", "phrase", "f"])
+
+        for batch in batches:
+            for lang, bucket, text, numbers in zip(*(c.to_pylist() for c in batch.columns)):
+                if key != (lang, bucket) and held:
+                    yield from out()
+                    held = []
+                key = (lang, bucket)
+                phrases = pa.array(unpacked(text).split(b"\n"), pa.binary()).cast(pa.string())
+                held.append(pa.table({"phrase": phrases, "f": np.frombuffer(unpacked(numbers), "<i8")}))
+        if held:
+            yield from out()
 
-    rows = made.select("lang", "words", "hashes", "ids").mapInArrow(run, "lang string, phrase string, f long")
-    return rows.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+    kind = "lang string, bucket long, phrases binary, counts binary"
+    runs = made.select("lang", "words", "ids").mapInArrow(run, kind)
+    return runs.repartition("lang", "bucket").sortWithinPartitions("lang", "bucket").mapInArrow(together, "lang string, phrase string, f long")
 
 
 def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """((lang, phrase, size, f) of all phrases of up to ``longest`` words found at least ``least`` times, (lang, n) all words)."""
     made = stash(blocks(docs, block), "blocks")
-    words = stash(counted(made, 1, None), "words")
-    totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
-    levels = [words.where(F.col("f") >= least)]
+    totals = made.groupBy("lang").agg(F.sum("n").alias("n"))
+    buckets = 1 << ((made.agg(F.sum("n")).first()[0] or 0) // PER_BUCKET).bit_length()
+    levels = [stash(counted(made, 1, None, least, buckets), "phrases-1")]
     for length in range(2, longest + 1):
         count = levels[-1].count()
         if not count:
             break
-        known = filter_of(levels[-1], count)
-        levels.append(stash(counted(made, length, known).where(F.col("f") >= least), f"phrases-{length}"))
+        levels.append(stash(counted(made, length, filter_of(levels[-1], count), least, buckets), f"phrases-{length}"))
     out = None
     for size, level in enumerate(levels, 1):
         level = level.select("lang", "phrase", F.lit(size).alias("size"), "f")

@@ -67,6 +67,11 @@ def test_odd_rows(spark, odd, empty):
     assert C.collocations(odd.withColumn("rank", odd["doc_id"]), least=10**6).count() == 0
 
 
+def test_blocks_without_words(spark):
+    rows = [(".,;", "xx"), (" \t ", "yy"), ("a b", "zz"), ("a b", "zz")]
+    assert found(spark, rows, least=2, block=1) == brute(rows, least=2) == [("zz", 1, "a b", 2, 2, 2, 4, 2000)]
+
+
 def test_wide_products(spark):
     """Scores of counts whose products pass 64 bits."""
     phrases = spark.createDataFrame([("en", "a", 1, 3 * 10**12), ("en", "b", 1, 7 * 10**11), ("en", "a b", 2, 5 * 10**11)], "lang string, phrase string, size int, f long")
