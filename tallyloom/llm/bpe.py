@@ -84,8 +84,8 @@ def word_encoder(path: str) -> Callable[[str], np.ndarray]:
     import tiktoken
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    model = json.loads(tokenizer.to_str())["model"]
+    with open(path, encoding="utf-8") as file:
+        model = json.load(file)["model"]
     if model["end_of_word_suffix"] != WORD_END:
         raise ValueError(f"{path} has no word ends")
     byte = {c: b for b, c in LETTERS.items()}
@@ -98,12 +98,16 @@ def word_encoder(path: str) -> Callable[[str], np.ndarray]:
     told = {"vocab": {t: i for t, i in model["vocab"].items() if zero not in t}, "merges": [m for m in model["merges"] if zero not in m[0] + m[1]]}
     by_id = ranks(told, plain)
     by_id[END_BYTE] = max(by_id.values()) + 1  # never left alone: every byte has a token that ends a word
+    del model, told
     coder = tiktoken.Encoding(path, pat_str=r"[^\x00]+\x00", mergeable_ranks=by_id, special_tokens={})
+    whole: list[Tokenizer] = []
     parts, latin, odd, mark = regex.compile(PARTS), re.compile(LATIN_PARTS), re.compile("<\\||[\0\x1c-\x1f]"), END_BYTE.decode()
 
     def encode(text: str) -> np.ndarray:
         if odd.search(text):
-            return np.asarray(tokenizer.encode(text, add_special_tokens=False).ids, IDS)
+            if not whole:  # few tasks need it
+                whole.append(Tokenizer.from_file(path))
+            return np.asarray(whole[0].encode(text, add_special_tokens=False).ids, IDS)
         try:
             text.encode("latin-1")
             found = latin.findall(text.lower())  # no combining marks: nothing to normalise
