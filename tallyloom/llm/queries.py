@@ -99,16 +99,24 @@ def op7(t: Tables) -> DataFrame:
         "doc_id", (fold(F.col("doc_id")) == HELD_OUT).alias("held_out"), "language.lang_pred", "language.score", "language.ambiguous")
 
 
-@query("op8_warc", """
+@query("op8_warc", r"""
     WITH p AS (
-        SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+        SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest,
+               1577836800 + 60 * coalesce(page_id % 1000000000, 0) AS captured_at,
+               lower(regexp_replace(regexp_replace(coalesce(url, ''), '[\r\n]+', '%0A', 'g'), '^[A-Za-z][A-Za-z0-9+.-]*://', '')) AS plain FROM pages),
+    h AS (
+        SELECT *, regexp_replace(regexp_extract(plain, '^(?:[^/?#@]*@)?([^/?#:]*)', 1), '^www\.', '') AS host,
+               regexp_replace(regexp_replace(plain, '^[^/?#]*', ''), '#.*$', '') AS rest FROM p),
+    u AS (
+        SELECT *, array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || CASE WHEN rest = '' THEN '/' ELSE rest END AS url_key FROM h),
     k AS (SELECT payload_digest, max(page_id) AS keeper FROM p WHERE payload_bytes >= 1000 GROUP BY 1 HAVING count(*) > 1)
     SELECT page_id, payload_bytes, payload_digest,
            CASE WHEN payload_bytes >= 1000 AND page_id <> keeper THEN 'revisit' ELSE 'response' END AS record_type,
-           CASE WHEN payload_bytes >= 1000 AND page_id <> keeper THEN keeper END AS refers_to
-    FROM p LEFT JOIN k USING (payload_digest)""")
+           CASE WHEN payload_bytes >= 1000 AND page_id <> keeper THEN keeper END AS refers_to, url_key, captured_at,
+           row_number() OVER (ORDER BY url_key, captured_at, page_id NULLS LAST) - 1 AS position
+    FROM u LEFT JOIN k USING (payload_digest)""")
 def op8(t: Tables) -> DataFrame:
-    return warc.archive_pages(t.pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.archive_pages(t.pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured_at", "position")
 
 
 @query("op9_pack")
