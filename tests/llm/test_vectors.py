@@ -65,7 +65,7 @@ def test_empty(spark):
 
 
 def test_every_length_is_compared(spark):
-    """Three lengths: 8 learned, the others, of few vectors, compared throughout. Equal numbers padded to another length
+    """Every length goes through codes, learned or not, few vectors or many. Equal numbers padded to another length
     don't link, and a pair alone in its length does."""
     rng = np.random.default_rng(6)
     rows = []
@@ -78,6 +78,43 @@ def test_every_length_is_compared(spark):
     low = [r[0] for r in rows]
     for _ in rows:
         low = [min([low[k], *(low[j] for j in near[k])]) for k in range(len(rows))]
+    models = vectors.learned(spark.createDataFrame([(r[0], r[1], r[2]) for r in rows], "first long, label int, vector array<double>"), lengths=2)
+    assert set(models) == {8, 16} and models[8].shape == (8, 64)
     got = {r.vec_id: r for r in vectors.near_vectors(spark.createDataFrame(rows, SCHEMA.replace("float", "double"))).collect()}
     assert [(got[r[0]].n_links, got[r[0]].component_id) for r in rows] == [(len(js), c) for js, c in zip(near, low)]
     assert got[501].component_id == 500 and got[503].component_id == 502 and got[504].n_links == 0
+
+
+def planted(seed, pairs=500, alone=1000, length=64):
+    """Pairs of cosines between 0.93 and 0.95, no links beside them but for chance, over three labels."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for k in range(pairs):
+        x, y = rng.normal(size=(2, length))
+        x /= np.linalg.norm(x)
+        y -= (y @ x) * x
+        cosine = rng.uniform(0.9301, 0.95)
+        z = cosine * x + np.sqrt(1 - cosine**2) * y / np.linalg.norm(y)
+        rows += [(2 * k, k % 3, (x * 3).tolist(), 1), (2 * k + 1, k % 3, z.tolist(), 1)]
+    return rows + [(10_000 + k, k % 3, rng.normal(size=length).tolist(), 1) for k in range(alone)]
+
+
+def test_recall_near_the_threshold(spark):
+    """Through learned codes and tables at the length of the registered query: recall over 0.9, components as the found
+    pairs say, nothing below the threshold."""
+    rows = planted(7)
+    got = {r.vec_id: r for r in vectors.near_vectors(spark.createDataFrame(rows, SCHEMA.replace("float", "double"))).collect()}
+    found = [k for k in range(500) if got[2 * k].n_links]
+    print("recall near the threshold", len(found) / 500)
+    assert len(found) >= 460
+    for k in range(500):
+        linked = k in set(found)
+        assert (got[2 * k].n_links, got[2 * k + 1].n_links) == (linked, linked)
+        assert (got[2 * k].component_id, got[2 * k + 1].component_id) == (2 * k, 2 * k if linked else 2 * k + 1)
+    assert all(r.n_links == 0 and r.component_id == v for v, r in got.items() if v >= 10_000)
+
+
+def test_two_vectors_of_a_length_and_repeated_ids(spark):
+    rows = [(1, 1, [1.0, 0.0, 0.0], 1), (2, 1, [1.0, 0.1, 0.0], 1), (3, 1, [0.0, 0.0, 1.0, 0.0], 1), (3, 1, [1.0, 0.05, 0.0], 1), (4, 1, [2.0], 1), (5, 1, [3.0], 1), (6, 1, [-1.0], 1)]
+    got = [tuple(r) for r in vectors.near_vectors(spark.createDataFrame(rows, SCHEMA)).orderBy("vec_id").collect()]
+    assert got == [(1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (3, 2, 1, False), (4, 1, 4, True), (5, 1, 4, False), (6, 0, 6, True)]
