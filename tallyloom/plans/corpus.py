@@ -2,10 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from tallyloom.functions import text as X
+from tallyloom.functions import helpers, text as X
 from tallyloom.operators import codesearch as C, symbols as S
 from tallyloom.plans.base import Tables, query
-from tallyloom.session import work_folder
+from tallyloom.session import stash, work_folder
 from tallyloom.sources import codefiles as CF, walk
 
 ROOT = "/repo"
@@ -335,3 +335,25 @@ SELECT p_partkey AS cell_id, p_partkey % 5 = 0 AS valid, CASE WHEN p_partkey % 5
 def k8(t: Tables):
     cells = t.part.select(F.col("p_partkey").alias("cell_id"), F.expr(CELL).alias("code"))
     return C.check_syntax(cells).select("cell_id", "valid", "error_type", "line", "advice")
+
+
+@query("x1_table_functions", f"""WITH {CTE}
+SELECT 'of' AS call, p_partkey, {SEARCH} FROM part JOIN m ON m.name = concat('m', p_size) AND m.class_name = concat('C', p_partkey)
+UNION ALL SELECT 'class', p_partkey, {SEARCH} FROM part JOIN c ON c.name = concat('D', p_partkey)
+UNION ALL SELECT 'any', 0, {SEARCH} FROM m WHERE name = 'm10'
+UNION ALL SELECT 'methods', 0, name, NULL, path, NULL, NULL, NULL, class_name, NULL FROM m
+UNION ALL SELECT 'classes', 0, NULL, NULL, path, NULL, NULL, NULL, name, NULL FROM c
+UNION ALL SELECT 'stats', CAST(count(*) AS BIGINT), language, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM f GROUP BY language""")
+def x1_table_functions(t: Tables):
+    """Every table function over a stored index: for each part its method and its inner class by LATERAL, one name, all lists."""
+    stored = stash(files(t), "files")
+    helpers.register_code(stash(S.with_owner(S.extract(stored)[0]), "symbols"), stored)
+    t.part.createOrReplaceTempView("tl_parts")
+    none = "CAST(NULL AS STRING)"
+    return t.spark.sql(f"""
+        SELECT 'of' AS call, p_partkey, r.* FROM tl_parts, LATERAL tl_find_methods_of(concat('m', p_size), concat('C', p_partkey)) r
+        UNION ALL SELECT 'class', p_partkey, r.* FROM tl_parts, LATERAL tl_find_classes(concat('D', p_partkey)) r
+        UNION ALL SELECT 'any', 0, * FROM tl_find_methods('m10')
+        UNION ALL SELECT 'methods', 0, method_name, {none}, file_path, NULL, NULL, {none}, class_name, {none} FROM tl_methods()
+        UNION ALL SELECT 'classes', 0, {none}, {none}, file_path, NULL, NULL, {none}, class_name, {none} FROM tl_classes()
+        UNION ALL SELECT 'stats', file_count, language, {none}, {none}, NULL, NULL, {none}, {none}, {none} FROM tl_code_stats()""")

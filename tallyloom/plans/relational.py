@@ -182,6 +182,24 @@ def x1(t: Tables):
     return t.part.selectExpr("p_partkey", "tl_package_name(concat(p_name, '_', p_partkey)) AS name", "tl_megabytes(p_partkey * 1000) AS mb")
 
 
+@query("x1_scalar_helpers", """
+SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 5 = 1 THEN 'Infinity' WHEN event_id % 5 = 2 THEN '-Infinity'
+         ELSE concat(event_id % 1000, '.5') END AS number,
+       CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, FALSE AS is_table, event_id % 2 = 0 AS list_is_table, floor(epoch(ts))::BIGINT AS seconds FROM events
+UNION ALL SELECT doc_id, CASE WHEN length(text) > 500 THEN concat(text[1:500], '...') ELSE coalesce(text, '') END, NULL, NULL, NULL,
+       CAST(length(string_split(text, chr(10))[1]) AS BIGINT) FROM documents""")
+def x1_scalar_helpers(t: Tables):
+    """The other helper functions, over all events and all documents."""
+    HP.register(t.spark)
+    number = "CASE event_id % 5 WHEN 0 THEN double('NaN') WHEN 1 THEN double('Infinity') WHEN 2 THEN double('-Infinity') ELSE event_id % 1000 + 0.5D END"
+    events = t.events.selectExpr(
+        "event_id", f"tl_clean_number({number}) AS number", "CAST(tl_json_text(props, 'k') AS BIGINT) AS k", "tl_is_table(props) AS is_table",
+        "tl_is_table(CASE WHEN event_id % 2 = 0 THEN concat('[', props, ']') ELSE 'no json' END) AS list_is_table", "tl_epoch(ts) AS seconds")
+    texts = t.documents.selectExpr("doc_id AS event_id", "tl_preview(text) AS number", "CAST(NULL AS BIGINT) AS k", "CAST(NULL AS BOOLEAN) AS is_table",
+                                   "CAST(NULL AS BOOLEAN) AS list_is_table", "CAST(length(tl_first_line(text)) AS BIGINT) AS seconds")
+    return events.unionByName(texts)
+
+
 PROPS_SCHEMA = '{"properties": {"note": {"type": "string"}, "k": {"type": "integer"}}, "required": ["k"]}'
 
 

@@ -112,6 +112,11 @@ class CodeIndex:
         read = workspace.spark.read
         self.files, self.symbols, self.errors = (read.parquet(f"{folder}/{n}") for n in ("files", "symbols", "errors"))
 
+    def register(self) -> list[str]:
+        """Table functions over this index for the workspace's SQL, in the languages that searches cover now; gives their names."""
+        within = self.workspace.languages
+        return helpers.register_code(codesearch.in_languages(self.symbols, within), codesearch.in_languages(self.files, within))
+
     def find_methods(self, name: str, class_name: str = "") -> DataFrame:
         return codesearch.find_methods(self.symbols, self.files, name, class_name, self.workspace.languages)
 

@@ -51,3 +51,26 @@ def test_package_lookup(spark):
         "my.pkg": ("1", ["0.1", "0.2"], None, None, None),
         "none": (None, None, None, "Package 'none' not found on PyPI", "PackageNotFoundError"),
         "-x": (None, None, None, "Invalid package name: '-x'", "InvalidPackageNameError")}
+
+
+def test_table_functions_over_an_index(spark, tmp_path):
+    """Constants and columns as arguments, nothing found, and the languages of the workspace."""
+    root = tmp_path / "code"
+    root.mkdir()
+    (root / "A.java").write_text("class A { int f() { return 1; } int g() { return 2; } }")
+    (root / "b.py").write_text("class B:\n    def f(self):\n        return 'é'\n")
+    ws = Workspace(spark)
+    index = ws.index_code(str(root), str(tmp_path / "index"))
+    assert "tl_find_methods" in index.register()
+    run = lambda sql: sorted(map(tuple, ws.spark.sql(sql).collect()), key=str)
+    assert run("SELECT class_name, implementation FROM tl_find_methods('f')") == [("A", "int f() { return 1; }"), ("B", "def f(self):\n        return 'é'")]
+    assert run("SELECT * FROM tl_find_methods('none')") == [] and run("SELECT * FROM tl_find_methods(NULL)") == []
+    wanted = "(VALUES ('f', 'B'), ('g', 'A'), ('g', 'B'), (NULL, 'A'))"
+    assert run(f"SELECT v.m, r.class_name FROM {wanted} v(m, c), LATERAL tl_find_methods_of(m, c) r") == [("f", "B"), ("g", "A")]
+    assert run(f"SELECT v.m, r.name FROM {wanted} v(m, c) LEFT JOIN LATERAL tl_find_methods_of(m, c) r") == [("f", "f"), ("g", "g"), ("g", None), (None, None)]
+    status, records = ws.query("SELECT class_name FROM tl_classes()", save_as="classes")
+    assert status.first().success and records.count() == 2
+    ws.configure_languages(["java"])
+    index.register()
+    assert run("SELECT class_name FROM tl_find_methods('f')") == [("A",)] and run("SELECT * FROM tl_code_stats()") == [("java", 1)]
+    assert run("SELECT method_name FROM tl_methods()") == [("f",), ("g",)] and run("SELECT file_path IS NOT NULL FROM tl_find_classes('A')") == [(True,)]
