@@ -1,9 +1,10 @@
 """Exact top-k search by BM25 over an inverted index, with block-max pruning.
 
-``build`` makes inverted lists of runs of documents without moving text. Runs are dealt to shards; a task takes one shard and
-one block of queries. There, a query's scarce terms are summed over their lists. Its common terms are only bounded, by their
-maxima per block of documents, and summed for the documents that the bound and the best k so far leave open; what remains is
-scored in full. All shards use the same statistics of the whole corpus, so their results merge exactly.
+``build`` makes inverted lists of runs of documents without moving text, a row for all lists of a run. Runs are dealt to
+shards; each shard's lists are shipped once, and all queries stream through its task. There every list is cut into blocks of
+documents and each block knows its highest weight, so the sums of block maxima say which blocks can hold a result; lists that
+even together stay below the k-th score give no candidates. Only blocks and documents that pass these bounds have their
+postings read. All shards use the same statistics of the whole corpus, so their results merge exactly.
 """
 
 from __future__ import annotations
@@ -11,26 +12,28 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyloom.llm.common import WordRows, stash
 
 K1, B = 1.2, 0.75
-#: Words of a run, documents of a shard, queries of a block, documents of a block whose maxima are kept.
-RUN_WORDS, SHARD, QUERIES, BLOCK = 2_000_000, 8192, 2048, 64
+#: Words of a run, words of a shard, documents of a block, blocks that are read first.
+RUN_WORDS, SHARD_WORDS, BLOCK, SEEDS = 1_000_000, 16_000_000, 64, 4
+#: Shards of a small corpus. Queries are copied once a shard, so copies grow only where shards are full.
+SHARDS = 24
 #: 64-bit words of the filter of asked terms: 8 MB, whatever the number of terms. A fuller filter keeps more lists than are
 #: needed; it never drops one that is.
 FILTER = 1 << 20
-#: Terms in more than this share of a shard's documents are bounded first.
-COMMON = 0.02
+#: Terms whose counts a task holds before it hands them on.
+TERMS = 1_000_000
 #: Sums in another order differ by far less; documents this close to the bound are kept until the final scores.
 SLACK = 1e-6
+HEAD, LISTS, SEEN = 0, 1, 2
 
 
 class Words:
@@ -47,10 +50,19 @@ class Words:
         return self.table.of((text or "").encode("utf-8", "surrogatepass").lower().split())[:, 0]
 
 
-def _lists(values: np.ndarray, starts: np.ndarray) -> pa.Array:
-    """Binary column of consecutive slices of ``values``."""
-    offsets = (np.append(starts, len(values)) * values.itemsize).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+def _short(values: np.ndarray) -> bytes:
+    """Unsigned numbers in the narrowest type that holds them; ``_read`` tells the type from the length."""
+    return values.astype(np.min_scalar_type(int(values.max(initial=0)))).tobytes()
+
+
+def _read(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, f"<u{len(data) // n}" if n else "<u1")
+
+
+def _ranges(first: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one range after the other."""
+    size = stop - first
+    return np.arange(size.sum()) + np.repeat(first - (np.cumsum(size) - size), size)
 
 
 def term_filter(terms: DataFrame) -> np.ndarray:
@@ -63,35 +75,58 @@ def term_filter(terms: DataFrame) -> np.ndarray:
     return out
 
 
+class Seen:
+    """In how many documents a task's terms are, summed over its runs; handed on where they become too many."""
+
+    def __init__(self):
+        self.terms, self.n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, terms: np.ndarray, n: np.ndarray) -> None:
+        self.terms, at = np.unique(np.concatenate([self.terms, terms]), return_inverse=True)
+        self.n = np.bincount(at, np.concatenate([self.n, n]), len(self.terms)).astype(np.int64)
+
+
 def build(docs: DataFrame, asked: np.ndarray | None = None, run_words: int = RUN_WORDS) -> DataFrame:
-    """Inverted lists of ``docs`` (doc_id, text): run, term, n, places and counts, the documents that have the term, by their
-    place in the run, and how often. The row of a run with ``words``, else null, holds its doc_ids and their
-    lengths in words, of which that is the sum. With ``asked``, a ``term_filter``, lists of other terms are left out."""
-    schema = pa.schema([("run", pa.int64()), ("term", pa.int64()), ("n", pa.int64()), ("places", pa.binary()), ("counts", pa.binary()), ("words", pa.int64())])
-
-    def flush(run: int, ids: list[int], hashes: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        lengths = np.array([len(h) for h in hashes], np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array([run]), pa.array([0], pa.int64()), pa.array([len(ids)]),
-                                          pa.array([np.array(ids, np.int64).tobytes()]), pa.array([lengths.tobytes()]), pa.array([int(lengths.sum())])], schema=schema)
+    """Inverted lists of ``docs`` (doc_id, text). Rows by ``kind``: of each run a head (n documents, words, in ``terms`` the
+    doc_ids, in ``sizes`` the lengths in words) and its lists (n postings; the terms, sizes, places in the run and counts of
+    all lists, packed); of each task ``seen``, its terms and in how many of its documents they are. With ``asked``, a
+    ``term_filter``, lists of other terms are left out."""
+    entry = pa.struct([("term", pa.int64()), ("df", pa.int64())])
+    schema = pa.schema([("kind", pa.int32()), ("run", pa.int64()), ("n", pa.int64()), ("words", pa.int64()), *((c, pa.binary()) for c in ("terms", "sizes", "places", "counts")),
+                        ("seen", pa.list_(entry))])
+
+    def row(*values) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, schema)], schema=schema)
+
+    def told(seen: Seen) -> Iterator[pa.RecordBatch]:
+        for k in range(0, len(seen.terms), 50_000):
+            pairs = pa.StructArray.from_arrays([pa.array(seen.terms[k : k + 50_000]), pa.array(seen.n[k : k + 50_000])], fields=list(entry))
+            column = pa.ListArray.from_arrays(pa.array([0, len(pairs)], pa.int32()), pairs)
+            yield pa.RecordBatch.from_arrays([*(pa.array([v], f.type) for v, f in zip([SEEN, *[None] * 7], schema)), column.cast(schema.field("seen").type)], schema=schema)
+
+    def flush(run: int, ids: list[int], hashes: list[np.ndarray], seen: Seen) -> Iterator[pa.RecordBatch]:
+        lengths = np.array([len(h) for h in hashes], np.int64)
+        yield row(HEAD, run, len(ids), int(lengths.sum()), np.array(ids, np.int64).tobytes(), _short(lengths), None, None, None)
         term, place = np.concatenate(hashes), np.repeat(np.arange(len(ids), dtype=np.int32), lengths)
         if asked is not None:
             wanted = asked[term % FILTER] >> (term.view(np.uint64) >> np.uint64(58)).astype(np.int64) & 1 == 1
             term, place = term[wanted], place[wanted]
+        if not len(term):
+            return
         order = np.argsort(term, kind="stable")
         term, place = term[order], place[order]
-        first = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (place[1:] != place[:-1])][: len(term)])
-        counts = np.diff(np.append(first, len(term))).astype(np.int32)
-        term, place = term[first], place[first]
-        starts = np.flatnonzero(np.r_[True, term[1:] != term[:-1]][: len(term)])
-        for at in range(0, len(starts), 100_000):
-            own = starts[at : at + 100_000]
-            stop = starts[at + 100_000] if at + 100_000 < len(starts) else len(term)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.full(len(own), run)), pa.array(term[own]), pa.array(np.diff(np.append(own, stop))),
-                _lists(place[own[0] : stop], own - own[0]), _lists(counts[own[0] : stop], own - own[0]), pa.nulls(len(own), pa.int64())], schema=schema)
+        first = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (place[1:] != place[:-1])])
+        counts, term, place = np.diff(np.append(first, len(term))), term[first], place[first]
+        starts = np.flatnonzero(np.r_[True, term[1:] != term[:-1]])
+        sizes = np.diff(np.append(starts, len(term)))
+        seen.add(term[starts], sizes)
+        yield row(LISTS, run, len(term), len(starts), term[starts].tobytes(), _short(sizes), _short(place), _short(counts), None)
+        if len(seen.terms) > TERMS:
+            yield from told(seen)
+            seen.__init__()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, ids, hashes, total = Words(), [], [], 0
+        words, seen, ids, hashes, total = Words(), Seen(), [], [], 0
         run = TaskContext.get().partitionId() << 32
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -99,49 +134,70 @@ def build(docs: DataFrame, asked: np.ndarray | None = None, run_words: int = RUN
                 hashes.append(words.of(text))
                 total += len(hashes[-1]) + 1
                 if total >= run_words:
-                    yield from flush(run, ids, hashes)
+                    yield from flush(run, ids, hashes, seen)
                     run, ids, hashes, total = run + 1, [], [], 0
         if ids:
-            yield from flush(run, ids, hashes)
+            yield from flush(run, ids, hashes, seen)
+        yield from told(seen)
 
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(work, "run long, term long, n long, places binary, counts binary, words long")
+    return rows.mapInArrow(work, "kind int, run long, n long, words long, terms binary, sizes binary, places binary, counts binary, seen array<struct<term: long, df: long>>")
 
 
 class Shard:
-    """The lists of one shard, ready for queries."""
-
-    def __init__(self, frame: pd.DataFrame, average: float):
-        heads = frame[frame["words"].notna()].sort_values("run")
-        ids = [np.frombuffer(x, np.int64) for x in heads["places"]]
-        before = dict(zip(heads["run"], np.cumsum([0, *map(len, ids)])))
-        self.ids = np.concatenate(ids)
-        lengths = np.concatenate([np.frombuffer(x, np.int32) for x in heads["counts"]])
-        lists = frame[frame["words"].isna()].sort_values(["term", "run"])
-        sizes = lists["n"].to_numpy()
-        places = np.frombuffer(b"".join(lists["places"]), np.int32) + np.repeat(lists["run"].map(before).to_numpy(np.int64), sizes)
-        counts = np.frombuffer(b"".join(lists["counts"]), np.int32)
-        self.order = np.lexsort((self.ids, lengths))  # alike lengths together make tight bounds
-        rank = np.empty(len(self.order), np.int64)
-        rank[self.order] = np.arange(len(rank))
-        self.ids, lengths = self.ids[self.order], lengths[self.order]
-        self.places = rank[places]
-        norm = K1 * (1 - B + B * lengths / average)
+    """The lists of one shard, ready for queries. ``read`` and ``asked`` count the postings that queries read and those that
+    their lists have. Rows are (run, n, words, terms, sizes, places, counts) as ``build`` makes them."""
+
+    def __init__(self, heads: list[tuple], lists: list[tuple], average: float):
+        heads = sorted(heads, key=lambda h: h[0])
+        before = dict(zip((h[0] for h in heads), np.cumsum([0, *(h[1] for h in heads)])))
+        ids = np.concatenate([np.frombuffer(h[3], np.int64) for h in heads])
+        lengths = np.concatenate([_read(h[4], h[1]).astype(np.int64) for h in heads])
+        order = np.lexsort((ids, lengths))  # alike lengths together make tight bounds
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        self.ids, n = ids[order], len(ids)
+        norm = K1 * (1 - B + B * lengths[order] / average) if average else np.ones(n)
+        self.terms, at = np.unique(np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x[3], np.int64) for x in lists)]), return_inverse=True)
+        key, done = np.empty(sum(x[1] for x in lists), np.int64), 0
+        counts, lists_done = np.empty(len(key), np.uint32), 0
+        for run, postings, many, _, sizes, places, own in lists:
+            term = np.repeat(at[lists_done : lists_done + many], _read(sizes, many))
+            key[done : done + postings] = term * n + rank[_read(places, postings).astype(np.int64) + before[run]]
+            counts[done : done + postings] = _read(own, postings)
+            done, lists_done = done + postings, lists_done + many
+        order = np.argsort(key)
+        key, counts = key[order], counts[order]
+        term, self.places = key // max(1, n), (key % max(1, n)).astype(np.int32)
+        del key, order
         self.values = counts * (K1 + 1) / (counts + norm[self.places])  # a term's weight but for its idf
-        terms = lists["term"].to_numpy()
-        first = np.flatnonzero(np.r_[True, terms[1:] != terms[:-1]][: len(terms)])
-        self.terms = terms[first]
-        self.starts = np.append(np.append(0, np.cumsum(sizes))[first], sizes.sum())
-        self.common = np.flatnonzero(np.diff(self.starts) > max(COMMON * len(self.ids), BLOCK))
-        self.blocks = -(-len(self.ids) // BLOCK)
-        dense = np.zeros((len(self.common), self.blocks * BLOCK))
-        for row, t in enumerate(self.common):
-            own = slice(self.starts[t], self.starts[t + 1])
-            dense[row, self.places[own]] = self.values[own]
-        self.dense = dense
-        self.maxima = dense.reshape(len(self.common), self.blocks, BLOCK).max(2)
-        self.row = np.full(len(self.terms), -1)
-        self.row[self.common] = np.arange(len(self.common))
+        block = self.places // BLOCK
+        cuts = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])][: len(term)])
+        self.starts, self.block = np.append(cuts, len(term)), block[cuts]  # of each block of each list: its postings, its number
+        self.maximum = np.maximum.reduceat(self.values, cuts) if len(cuts) else self.values
+        self.first = np.searchsorted(term[cuts], np.arange(len(self.terms) + 1))  # of each list: its blocks
+        self.highest = np.maximum.reduceat(self.maximum, self.first[:-1]) if len(self.terms) else self.maximum
+        self.blocks, self.read, self.asked = -(-n // BLOCK), 0, 0
+        self.slot, self.open = np.full(n, -1, np.int32), np.zeros(self.blocks, bool)
+
+    def _sums(self, docs: np.ndarray, cells: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Weighted sums of the postings in ``cells`` (blocks of lists) for ``docs``, term after term, so that equal documents
+        get equal sums. Blocks without any of ``docs`` are skipped."""
+        self.open[docs // BLOCK] = True
+        inside = self.open[self.block[cells]]
+        cells, weight = cells[inside], weight[inside]
+        first, stop = self.starts[cells], self.starts[cells + 1]
+        at, weight = _ranges(first, stop), np.repeat(weight, stop - first)
+        self.slot[docs] = np.arange(len(docs), dtype=np.int32)
+        slot = self.slot[self.places[at]]
+        hit = np.flatnonzero(slot >= 0)
+        self.read += len(at)
+        sums = np.bincount(slot[hit], self.values[at[hit]] * weight[hit], len(docs))
+        self.slot[docs], self.open[docs // BLOCK] = -1, False
+        return sums
+
+    def _docs(self, blocks: np.ndarray) -> np.ndarray:
+        return _ranges(blocks * BLOCK, np.minimum((blocks + 1) * BLOCK, len(self.ids)))
 
     def search(self, terms: np.ndarray, idf: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the best k documents; ``terms`` ascending. Documents without any of them are no result."""
@@ -150,34 +206,44 @@ class Shard:
         at, idf = at[known], idf[known]
         if not len(at):
             return self.ids[:0], np.zeros(0)
-        rows = self.row[at]
-        scarce, usual = np.flatnonzero(rows < 0), np.flatnonzero(rows >= 0)
-        rows, weight, n = rows[usual], idf[usual], len(self.ids)
-        cuts = [slice(self.starts[t], self.starts[t + 1]) for t in at[scarce]]
-        places = np.concatenate([self.places[c] for c in cuts] or [self.places[:0]])
-        term = np.repeat(scarce, self.starts[at[scarce] + 1] - self.starts[at[scarce]])
-        parts = np.concatenate([self.values[c] for c in cuts] or [self.values[:0]]) * idf[term]
-        sums = np.bincount(places, parts, n)
-        bound = np.repeat(weight @ self.maxima[rows], BLOCK)[:n] + sums
-        probe = np.argpartition(-sums, 2 * k)[: 2 * k] if n > 2 * k else np.arange(n)
-        lowest = self._kth(sums[probe] + weight @ self.dense[np.ix_(rows, probe)], k)
-        open_ = np.flatnonzero((bound >= lowest - SLACK) & (bound > 0))
-        open_ = open_[np.argsort(-bound[open_], kind="stable")]
-        full, done = np.empty(len(open_)), 0
-        while done < len(open_) and bound[open_[done]] >= lowest - SLACK:  # by falling bounds; each wave may raise the limit
-            wave = open_[done : done + 256]
-            full[done : done + len(wave)] = sums[wave] + weight @ self.dense[np.ix_(rows, wave)]
-            done += len(wave)
-            lowest = max(lowest, self._kth(full[:done], k))
-        best = open_[:done][(full[:done] >= lowest - SLACK) & (full[:done] > 0)]
-        table, slot = np.zeros((len(at), len(best))), np.full(n, -1)  # in the order of the terms: equal documents get equal sums
-        slot[best] = np.arange(len(best))
-        table[usual] = weight[:, None] * self.dense[np.ix_(rows, best)]
-        hit = np.flatnonzero(slot[places] >= 0)
-        table[term[hit], slot[places[hit]]] = parts[hit]
-        score = np.add.accumulate(table)[-1]
-        take = np.lexsort((self.ids[best], -score))[:k]
-        return self.ids[best][take], score[take]
+        first, stop = self.first[at], self.first[at + 1]
+        cells, owner = _ranges(first, stop), np.repeat(np.arange(len(at)), stop - first)
+        weight = idf[owner]
+        self.asked += int((self.starts[stop] - self.starts[first]).sum())
+        parts = self.maximum[cells] * weight
+        bound = np.bincount(self.block[cells], parts, self.blocks)
+        # the blocks of highest bounds give a first k-th score
+        seeds = np.argpartition(-bound, SEEDS)[:SEEDS] if self.blocks > SEEDS else np.arange(self.blocks)
+        docs = self._docs(np.sort(seeds))
+        score = self._sums(docs, cells, weight)
+        lowest = self._kth(score, k)
+        left = bound >= lowest - SLACK
+        left[seeds] = False
+        blocks = np.flatnonzero(left & (bound > 0))
+        if len(blocks):
+            # pivot: lists in the order of their highest weights, up to where their sum reaches the k-th score, give no candidates
+            high = self.highest[at] * idf
+            rising = np.argsort(high, kind="stable")
+            minor = np.zeros(len(at), bool)
+            minor[rising[np.cumsum(high[rising]) < lowest - SLACK]] = True
+            small = minor[owner]
+            rest = np.bincount(self.block[cells[small]], parts[small], self.blocks)
+            more = self._docs(blocks)
+            limit = self._sums(more, cells[~small], weight[~small])
+            may = limit > 0 if minor.any() else np.ones(len(more), bool)
+            limit += rest[more // BLOCK]
+            more, limit = more[may], limit[may]
+            more, limit = more[(keep := (limit >= lowest - SLACK) & (limit > 0))], limit[keep]
+            best = np.argsort(-limit, kind="stable")
+            done, wave = 0, 4 * k
+            while done < len(best) and limit[best[done]] >= lowest - SLACK:  # by falling bounds; each wave may raise the limit
+                own = np.sort(more[best[done : done + wave]])
+                docs, score = np.concatenate([docs, own]), np.concatenate([score, self._sums(own, cells, weight)])
+                lowest, done, wave = max(lowest, self._kth(score, k)), done + wave, 4 * wave
+        good = np.flatnonzero((score >= lowest - SLACK) & (score > 0))
+        ids, score = self.ids[docs[good]], score[good]
+        take = np.lexsort((ids, -score))[:k]
+        return ids[take], score[take]
 
     @staticmethod
     def _kth(values: np.ndarray, k: int) -> float:
@@ -198,36 +264,58 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return rows.mapInArrow(work, "query_id long, term long")
 
 
-def search(docs: DataFrame, queries: DataFrame, k: int = 10, shard: int = SHARD, block: int = QUERIES, run_words: int = RUN_WORDS) -> DataFrame:
+def _packed(asked: DataFrame, seen: DataFrame) -> DataFrame:
+    """A row per query in the columns of index rows: its terms, ascending, and in how many documents each is."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, pairs = batch.columns
+            sizes = pairs.value_lengths().to_numpy()
+            term, df = (c.to_numpy(zero_copy_only=False) for c in pairs.flatten().flatten())
+            cuts = np.cumsum(sizes)[:-1]
+            terms = [x.tobytes() for x in np.split(term, cuts)]
+            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(terms, pa.binary()), pa.array([_short(x) for x in np.split(df, cuts)], pa.binary())],
+                                             names=["run", "n", "terms", "sizes"])
+
+    pairs = asked.join(seen, "term").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("term", "df"))).alias("terms"))
+    return pairs.mapInArrow(work, "run long, n long, terms binary, sizes binary")
+
+
+def search(docs: DataFrame, queries: DataFrame, k: int = 10, shards: int = SHARDS, shard_words: int = SHARD_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
     """query_id, rank (from 1), doc_id and score of the best ``k`` documents of each query, equal scores by doc_id.
 
     Queries and documents are (doc_id, text). A query's words count once each. Null and empty texts count as documents of no
     words, match nothing and ask nothing; rows without a doc_id are left out, and repeated documents are found as often as
-    they are there. Of queries with the same doc_id one is asked."""
+    they are there. Of queries with the same doc_id one is asked. There are at least ``shards`` shards, and so many that one
+    holds about ``shard_words`` words."""
     asked = stash(query_terms(queries), "asked")
     index = stash(build(docs, term_filter(asked), run_words), "index")
-    heads = index.where("words is not null")
-    n_docs, n_words = heads.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
-    lists = stash(index.where("words is null").join(asked.select("term").distinct(), "term"), "lists")
-    seen = lists.groupBy("term").agg(F.sum("n").alias("df"))
-    idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    shards, blocks = max(1, -(-n_docs // shard)), max(1, -(-asked.select("query_id").distinct().count() // block))
-    weighed = asked.join(seen.select("term", idf.alias("idf")), "term").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("term", "idf"))).alias("terms"))
-    weighed = weighed.select("query_id", F.col("terms.term").alias("terms"), F.col("terms.idf").alias("idfs"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    of = F.pmod(F.shiftright("run", 32) + F.col("run").bitwiseAND(F.lit((1 << 32) - 1)), F.lit(shards)).alias("shard")  # in turn
-    left = lists.select(*index.columns).union(heads).select("*", of).select("*", every(blocks).alias("block"))
-    right = weighed.select("query_id", "terms", "idfs", every(shards).alias("shard"), "block")
-    average = n_words / max(1, n_docs)
-
-    def work(lists: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        if not len(lists) or not len(asked):
-            return pd.DataFrame({"query_id": [], "doc_id": [], "score": []})
-        own = Shard(lists, average)
-        found = [(q, *own.search(np.asarray(t), np.asarray(w), k)) for q, t, w in zip(asked["query_id"], asked["terms"], asked["idfs"])]
-        return pd.DataFrame({"query_id": np.repeat([f[0] for f in found], [len(f[1]) for f in found]),
-                             "doc_id": np.concatenate([f[1] for f in found]), "score": np.concatenate([f[2] for f in found])})
-
-    results = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(work, "query_id long, doc_id long, score double")
+    n_docs, n_words = index.where(F.col("kind") == HEAD).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
+    seen = index.where(F.col("kind") == SEEN).select(F.inline("seen")).groupBy("term").agg(F.sum("df").alias("df"))
+    shards, average = max(shards, -(-n_words // shard_words)), n_words / max(1, n_docs)
+    own = F.pmod(F.shiftright("run", 32) + F.col("run").bitwiseAND(F.lit((1 << 32) - 1)), F.lit(shards)).cast("int")  # in turn
+    left = index.where(F.col("kind") != SEEN).drop("seen").withColumn("shard", own)
+    right = _packed(asked, seen).withColumn("kind", F.lit(SEEN)).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    dealt = left.unionByName(right, allowMissingColumns=True).repartitionById(shards, "shard").sortWithinPartitions("kind", "run")
+    dealt = dealt.select("kind", "run", "n", "words", "terms", "sizes", "places", "counts")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, shard = {HEAD: [], LISTS: []}, None
+        for batch in batches:
+            found = []
+            for kind, run, n, *other in zip(*(c.to_pylist() for c in batch.columns)):
+                if kind != SEEN:
+                    rows[kind].append((run, n, *other))
+                    continue
+                if shard is None and rows[HEAD]:
+                    shard, rows = Shard(rows[HEAD], rows[LISTS], average), {HEAD: [], LISTS: []}
+                if shard is not None:
+                    df = _read(other[2], n).astype(np.float64)
+                    found.append((run, *shard.search(np.frombuffer(other[1], np.int64), np.log(1 + (n_docs - df + 0.5) / (df + 0.5)), k)))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat([f[0] for f in found], [len(f[1]) for f in found]), pa.int64()),
+                                                  pa.array(np.concatenate([f[1] for f in found])), pa.array(np.concatenate([f[2] for f in found]))], names=["query_id", "doc_id", "score"])
+
+    results = dealt.mapInArrow(work, "query_id long, doc_id long, score double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))  # at most k rows per shard
     return results.select("query_id", rank.alias("rank"), "doc_id", "score").where(F.col("rank") <= k)

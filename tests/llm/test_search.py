@@ -1,6 +1,8 @@
 import math
 import random
 
+import numpy as np
+
 from tallyloom.llm import search
 
 
@@ -50,9 +52,10 @@ def test_against_brute_force(spark):
     compare(spark, docs, docs[::100] + [docs[3]])
 
 
-def test_many_runs_shards_and_blocks(spark):
+def test_many_runs_and_shards(spark):
     docs = corpus(2, 400)
-    compare(spark, docs, docs[::40], run_words=300, shard=100, block=3)
+    compare(spark, docs, docs[::40], run_words=300, shards=3, shard_words=1500)
+    compare(spark, docs, docs[::40], run_words=10**6, shards=1)
 
 
 def test_odd_rows(spark, odd, empty):
@@ -60,3 +63,32 @@ def test_odd_rows(spark, odd, empty):
     compare(spark, docs, [(1, docs[0][1]), (3, None), (4, ""), (9, "short SHORT nothing")])
     assert search.search(empty, odd).count() == 0 and search.search(odd, empty).count() == 0
     assert search.search(odd, odd.where("doc_id = 8")).first().doc_id == 8
+
+
+def test_skipped_postings(spark):
+    """One shard, asked directly: the best of every query are those of all postings, and not all postings are read."""
+    rng = random.Random(5)
+    usual, scarce = [f"u{k}" for k in range(20)], [f"s{k}" for k in range(3000)]
+    docs = [(k, " ".join(rng.choices(usual, k=rng.randrange(30, 60)) + rng.choices(scarce, k=6))) for k in range(4000)]
+    index = search.build(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)).collect()
+    rows = lambda kind: [tuple(r)[1:8] for r in index if r.kind == kind]
+    heads, lists = rows(search.HEAD), rows(search.LISTS)
+    df = {s.term: s.df for r in index if r.kind == search.SEEN for s in r.seen}
+    shard = search.Shard(heads, lists, sum(h[2] for h in heads) / len(docs))
+    words = search.Words()
+    for text in [docs[7][1], docs[1234][1], "s5 s17 u0 u1", "u3", "nothing"]:
+        terms = np.array(sorted(set(words.of(text).tolist()) & set(df)), np.int64)
+        idf = np.array([math.log(1 + (len(docs) - df[t] + 0.5) / (df[t] + 0.5)) for t in terms.tolist()])
+        ids, scores = shard.search(terms, idf, 5)
+        want = brute(docs, [(0, text)], 5)[0]
+        assert ids.tolist() == [d for _, d in want] and all(abs(a + b) < 1e-6 for a, (b, _) in zip(scores.tolist(), want))
+    assert 0 < shard.read < 0.7 * shard.asked
+
+
+def test_long_text_and_other_columns(spark):
+    docs = [(k, f"w{k % 7} w{k % 11} common") for k in range(50)] + [(50, " ".join(f"v{k}" for k in range(200_000)) + " w3 common")]
+    compare(spark, docs, [docs[3]], run_words=1000)
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    assert search.search(frame, frame.where("doc_id = 50"), 1, run_words=1000).first().doc_id == 50
+    odd = spark.createDataFrame([(*d, 1, 2) for d in docs], "doc_id long, text string, term int, shard int")
+    assert search.search(odd, odd.where("doc_id = 3"), 3).columns == ["query_id", "rank", "doc_id", "score"]
