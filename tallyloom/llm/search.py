@@ -1,10 +1,11 @@
 """Exact top-k search by BM25 over an inverted index, with block-max pruning.
 
 ``build`` makes inverted lists of runs of documents without moving text, a row for all lists of a run. Runs are dealt to
-shards; each shard's lists are shipped once, and all queries stream through its task. There every list is cut into blocks of
-documents and each block knows its highest weight, so the sums of block maxima say which blocks can hold a result; lists that
-even together stay below the k-th score give no candidates. Only blocks and documents that pass these bounds have their
-postings read. All shards use the same statistics of the whole corpus, so their results merge exactly.
+shards; each shard's lists are shipped once, and all queries stream through its task. There, a query's
+lists are read from the scarcest on. What its common terms, most of all postings, can still add to a document is bounded by their
+maxima per block of documents; as soon as these bounds leave few documents open, the lists not read yet are skipped and the open
+documents are scored in full, by falling bounds, until a bound stays below the k-th score. All shards use
+the same statistics of the whole corpus, so their results merge exactly.
 """
 
 from __future__ import annotations
@@ -22,17 +23,23 @@ from pyspark.sql import functions as F
 from tallyloom.llm.common import WordRows, stash
 
 K1, B = 1.2, 0.75
-#: Words of a run, words of a shard, documents of a block, blocks that are read first.
-RUN_WORDS, SHARD_WORDS, BLOCK, SEEDS = 1_000_000, 16_000_000, 64, 4
+#: Words of a run, words of a shard, documents of a block whose maxima are kept.
+RUN_WORDS, SHARD_WORDS, BLOCK = 1_000_000, 16_000_000, 64
+#: Terms in more than this share of a shard's documents are bounded by block maxima.
+COMMON = 0.02
 #: Shards of a small corpus. Queries are copied once a shard, so copies grow only where shards are full.
-SHARDS = 24
+SHARDS = 12
 #: 64-bit words of the filter of asked terms: 8 MB, whatever the number of terms. A fuller filter keeps more lists than are
 #: needed; it never drops one that is.
 FILTER = 1 << 20
 #: Terms whose counts a task holds before it hands them on.
 TERMS = 1_000_000
-#: Sums in another order differ by far less; documents this close to the bound are kept until the final scores.
-SLACK = 1e-6
+#: Common lists that are kept as a weight for each document: so many at most, of so many cells in all. Others count as scarce.
+LISTS_DENSE, CELLS = 1000, 32_000_000
+#: Bounds are sums of 32-bit weights, of at most LISTS_DENSE of them by 32-bit additions: they are off by less than this share.
+SLACK = 1e-4
+#: What a posting costs that is read by document, against one cell of a list.
+COST = 100
 HEAD, LISTS, SEEN = 0, 1, 2
 
 
@@ -161,43 +168,51 @@ class Shard:
         self.terms, at = np.unique(np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x[3], np.int64) for x in lists)]), return_inverse=True)
         key, done = np.empty(sum(x[1] for x in lists), np.int64), 0
         counts, lists_done = np.empty(len(key), np.uint32), 0
-        for run, postings, many, _, sizes, places, own in lists:
-            term = np.repeat(at[lists_done : lists_done + many], _read(sizes, many))
-            key[done : done + postings] = term * n + rank[_read(places, postings).astype(np.int64) + before[run]]
+        many = max(1, len(self.terms))
+        for run, postings, size, _, sizes, places, own in lists:
+            term = np.repeat(at[lists_done : lists_done + size], _read(sizes, size))
+            key[done : done + postings] = (rank[_read(places, postings).astype(np.int64) + before[run]]) * np.int64(many) + term
             counts[done : done + postings] = _read(own, postings)
-            done, lists_done = done + postings, lists_done + many
+            done, lists_done = done + postings, lists_done + size
         order = np.argsort(key)
         key, counts = key[order], counts[order]
-        term, self.places = key // max(1, n), (key % max(1, n)).astype(np.int32)
+        # by document, for final scores: its terms, ascending, and their weights but for the idf
+        place, self.term = (key // many).astype(np.int32), (key % many).astype(np.int32)
         del key, order
-        self.values = counts * (K1 + 1) / (counts + norm[self.places])  # a term's weight but for its idf
-        block = self.places // BLOCK
-        cuts = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])][: len(term)])
-        self.starts, self.block = np.append(cuts, len(term)), block[cuts]  # of each block of each list: its postings, its number
-        self.maximum = np.maximum.reduceat(self.values, cuts) if len(cuts) else self.values
-        self.first = np.searchsorted(term[cuts], np.arange(len(self.terms) + 1))  # of each list: its blocks
-        self.highest = np.maximum.reduceat(self.maximum, self.first[:-1]) if len(self.terms) else self.maximum
-        self.blocks, self.read, self.asked = -(-n // BLOCK), 0, 0
-        self.slot, self.open = np.full(n, -1, np.int32), np.zeros(self.blocks, bool)
-
-    def _sums(self, docs: np.ndarray, cells: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """Weighted sums of the postings in ``cells`` (blocks of lists) for ``docs``, term after term, so that equal documents
-        get equal sums. Blocks without any of ``docs`` are skipped."""
-        self.open[docs // BLOCK] = True
-        inside = self.open[self.block[cells]]
-        cells, weight = cells[inside], weight[inside]
-        first, stop = self.starts[cells], self.starts[cells + 1]
-        at, weight = _ranges(first, stop), np.repeat(weight, stop - first)
-        self.slot[docs] = np.arange(len(docs), dtype=np.int32)
-        slot = self.slot[self.places[at]]
-        hit = np.flatnonzero(slot >= 0)
+        self.value = counts * (K1 + 1) / (counts + norm[place])
+        self.docs = np.searchsorted(place, np.arange(n + 1))
+        self.sizes = np.diff(self.docs)
+        # by term, for bounds
+        order = np.argsort(self.term, kind="stable")
+        self.places, self.bounds = place[order], self.value[order].astype(np.float32)
+        self.starts = np.searchsorted(self.term, np.arange(len(self.terms) + 1), sorter=order)
+        del place, order
+        sizes = np.diff(self.starts)
+        common = np.flatnonzero(sizes > max(COMMON * n, BLOCK))
+        common = common[np.argsort(-sizes[common], kind="stable")][: min(LISTS_DENSE, CELLS // max(1, n))]
+        self.blocks = -(-n // BLOCK)
+        self.dense = np.zeros((len(common), self.blocks * BLOCK), np.float32)
+        for row, t in enumerate(common):
+            self.dense[row, self.places[self.starts[t] : self.starts[t + 1]]] = self.bounds[self.starts[t] : self.starts[t + 1]]
+        self.maxima = self.dense.reshape(len(common), self.blocks, BLOCK).max(2)
+        self.highest = self.maxima.max(1, initial=0)
+        self.row = np.full(len(self.terms), -1)
+        self.row[common] = np.arange(len(common))
+        self.weight, self.read, self.asked = np.zeros(len(self.terms)), 0, 0
+
+    def _scores(self, docs: np.ndarray) -> np.ndarray:
+        """Full scores, summed in the order of the terms, so that equal documents get equal sums."""
+        first, stop = self.docs[docs], self.docs[docs + 1]
+        at = _ranges(first, stop)
         self.read += len(at)
-        sums = np.bincount(slot[hit], self.values[at[hit]] * weight[hit], len(docs))
-        self.slot[docs], self.open[docs // BLOCK] = -1, False
-        return sums
+        return np.bincount(np.repeat(np.arange(len(docs)), stop - first), self.value[at] * self.weight[self.term[at]], len(docs))
 
-    def _docs(self, blocks: np.ndarray) -> np.ndarray:
-        return _ranges(blocks * BLOCK, np.minimum((blocks + 1) * BLOCK, len(self.ids)))
+    def _sums(self, at: np.ndarray, idf: np.ndarray) -> np.ndarray:
+        """Weights of whole lists, added up for each document."""
+        first, stop = self.starts[at], self.starts[at + 1]
+        rows = _ranges(first, stop)
+        self.read += len(rows)
+        return np.bincount(self.places[rows], self.bounds[rows] * np.repeat(idf, stop - first), len(self.ids))
 
     def search(self, terms: np.ndarray, idf: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the best k documents; ``terms`` ascending. Documents without any of them are no result."""
@@ -206,41 +221,32 @@ class Shard:
         at, idf = at[known], idf[known]
         if not len(at):
             return self.ids[:0], np.zeros(0)
-        first, stop = self.first[at], self.first[at + 1]
-        cells, owner = _ranges(first, stop), np.repeat(np.arange(len(at)), stop - first)
-        weight = idf[owner]
-        self.asked += int((self.starts[stop] - self.starts[first]).sum())
-        parts = self.maximum[cells] * weight
-        bound = np.bincount(self.block[cells], parts, self.blocks)
-        # the blocks of highest bounds give a first k-th score
-        seeds = np.argpartition(-bound, SEEDS)[:SEEDS] if self.blocks > SEEDS else np.arange(self.blocks)
-        docs = self._docs(np.sort(seeds))
-        score = self._sums(docs, cells, weight)
-        lowest = self._kth(score, k)
-        left = bound >= lowest - SLACK
-        left[seeds] = False
-        blocks = np.flatnonzero(left & (bound > 0))
-        if len(blocks):
-            # pivot: lists in the order of their highest weights, up to where their sum reaches the k-th score, give no candidates
-            high = self.highest[at] * idf
-            rising = np.argsort(high, kind="stable")
-            minor = np.zeros(len(at), bool)
-            minor[rising[np.cumsum(high[rising]) < lowest - SLACK]] = True
-            small = minor[owner]
-            rest = np.bincount(self.block[cells[small]], parts[small], self.blocks)
-            more = self._docs(blocks)
-            limit = self._sums(more, cells[~small], weight[~small])
-            may = limit > 0 if minor.any() else np.ones(len(more), bool)
-            limit += rest[more // BLOCK]
-            more, limit = more[may], limit[may]
-            more, limit = more[(keep := (limit >= lowest - SLACK) & (limit > 0))], limit[keep]
-            best = np.argsort(-limit, kind="stable")
-            done, wave = 0, 4 * k
-            while done < len(best) and limit[best[done]] >= lowest - SLACK:  # by falling bounds; each wave may raise the limit
-                own = np.sort(more[best[done : done + wave]])
-                docs, score = np.concatenate([docs, own]), np.concatenate([score, self._sums(own, cells, weight)])
-                lowest, done, wave = max(lowest, self._kth(score, k)), done + wave, 4 * wave
-        good = np.flatnonzero((score >= lowest - SLACK) & (score > 0))
+        self.weight[at] = idf
+        n, rows, sizes = len(self.ids), self.row[at], self.starts[at + 1] - self.starts[at]
+        self.asked += int(sizes.sum())
+        usual = np.flatnonzero(rows >= 0)
+        usual = usual[np.argsort(-idf[usual] * self.highest[rows[usual]], kind="stable")]  # the weightiest first
+        rows_usual, weight = rows[usual], idf[usual].astype(np.float32)
+        sums = self._sums(at[rows < 0], idf[rows < 0])
+        done, lowest = 0, 0.0
+        while True:  # lists of less and less weight are added, until scoring the documents that are open costs less
+            bound = sums if done == len(usual) else sums + np.repeat(weight[done:] @ self.maxima[rows_usual[done:]], BLOCK)[:n]
+            lowest = max(lowest, self._kth(sums, k) * (1 - SLACK))
+            open_ = np.flatnonzero((bound >= lowest * (1 - SLACK)) & (bound > 0))
+            if done == len(usual) or COST * int(self.sizes[open_].sum()) <= (len(usual) - done) * n:
+                break
+            step = slice(done, len(usual) if done else max(8, len(usual) // 2))
+            self.read += int(sizes[usual[step]].sum())
+            sums = sums + (weight[step] @ self.dense[rows_usual[step]])[:n]
+            done = min(len(usual), step.stop)
+        open_ = open_[np.argsort(-bound[open_], kind="stable")]
+        docs, score, done, wave = open_[:0], np.zeros(0), 0, 4 * k
+        while done < len(open_) and bound[open_[done]] >= lowest * (1 - SLACK):  # by falling bounds; each wave may raise the limit
+            own = open_[done : done + wave]
+            docs, score = np.concatenate([docs, own]), np.concatenate([score, self._scores(own)])
+            lowest, done, wave = max(lowest, self._kth(score, k)), done + wave, 2 * wave
+        self.weight[at] = 0
+        good = np.flatnonzero((score >= lowest * (1 - SLACK)) & (score > 0))
         ids, score = self.ids[docs[good]], score[good]
         take = np.lexsort((ids, -score))[:k]
         return ids[take], score[take]
