@@ -6,8 +6,9 @@ import pandas as pd
 from pyspark.sql import Window as W, functions as F
 
 from tallyloom.functions import helpers as HP, numbers as N
-from tallyloom.operators import ordered as O, payloads as P, registry as R
+from tallyloom.operators import ordered as O, payloads as P, registry as R, sketches as K
 from tallyloom.plans.base import Tables, query
+from tallyloom.session import stash
 
 
 @query("d1_joins", """
@@ -81,6 +82,25 @@ def d4_approx(t: Tables):
     return a.select("l_returnflag", (F.abs(F.col("approx") - F.col("exact")) <= F.col("exact") * 0.1).alias("within_bound"))
 
 
+@query("d4_stored_sketches", """
+WITH e AS (SELECT event_type, CAST(date_trunc('week', ts) AS DATE) AS week, value FROM events WHERE ts IS NOT NULL)
+SELECT event_type, week, CAST(count(*) AS BIGINT) AS n_rows, CAST(count(value) AS BIGINT) AS n, TRUE AS users_within, TRUE AS median_within
+FROM e GROUP BY GROUPING SETS ((event_type, week), (event_type))""")
+def d4_sketches(t: Tables):
+    """Sketches per day, stored, then merged per week and over all days. Distinct users must lie within 8 % (five standard errors)
+    and one of the exact count, the rank of the median within 3 %."""
+    days = stash(K.daily(t.events, ["event_type"], "ts", "user_id", "value"), "sketches")
+    week = F.date_trunc("week", "day").cast("date").alias("week")
+    both = K.merged(days, ["event_type", week]).unionByName(K.merged(days, ["event_type"]).withColumn("week", F.lit(None).cast("date")))
+    found = K.estimates(both, 0.5).withColumn("median", F.col("quantiles")[0]).select(F.col("event_type").alias("kind"), F.col("week").alias("of"), "rows", "n", "distinct", "median")
+    every = t.events.where("ts is not null").select("event_type", F.explode(F.array(F.date_trunc("week", "ts").cast("date"), F.lit(None).cast("date"))).alias("week"), "user_id", "value")
+    joined = every.join(found, F.col("event_type").eqNullSafe(F.col("kind")) & F.col("week").eqNullSafe(F.col("of")))
+    exact = joined.groupBy("event_type", "week", "rows", "n", "distinct").agg(
+        F.countDistinct("user_id").alias("users"), F.avg((F.col("value") < F.col("median")).cast("int")).alias("below"), F.avg((F.col("value") <= F.col("median")).cast("int")).alias("upto"))
+    return exact.select("event_type", "week", F.col("rows").alias("n_rows"), "n", (F.abs(F.col("distinct") - F.col("users")) <= F.col("users") * 0.08 + 1).alias("users_within"),
+                        ((F.col("below") <= 0.53) & (F.col("upto") >= 0.47)).alias("median_within"))
+
+
 @query("d5_ranking", """
 SELECT * FROM (SELECT o_custkey, o_orderkey, CAST(rank() OVER w AS BIGINT) AS rk, CAST(dense_rank() OVER w AS BIGINT) AS dr FROM orders
 WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey)) WHERE rk <= 3""")
