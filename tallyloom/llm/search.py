@@ -1,11 +1,11 @@
 """Exact top-k search by BM25 over an inverted index, with block-max pruning.
 
 ``build`` makes inverted lists of runs of documents without moving text, a row for all lists of a run. Runs are dealt to
-shards; each shard's lists are shipped once, and all queries stream through its task. There, a query's
-lists are read from the scarcest on. What its common terms, most of all postings, can still add to a document is bounded by their
-maxima per block of documents; as soon as these bounds leave few documents open, the lists not read yet are skipped and the open
-documents are scored in full, by falling bounds, until a bound stays below the k-th score. All shards use
-the same statistics of the whole corpus, so their results merge exactly.
+shards; each shard's lists are shipped once, and all queries stream through its task. There, a query's scarce lists are summed.
+What its common lists, most of all postings, can still add to a document is bounded by their maxima per block of documents; they
+are added by falling weight, in two steps, and skipped where the bounds leave so few documents open that scoring those in full
+costs less. Open documents are scored by falling bounds until a bound stays below the k-th score. All shards use the same
+statistics of the whole corpus, so their results merge exactly.
 """
 
 from __future__ import annotations
