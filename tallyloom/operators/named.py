@@ -5,6 +5,7 @@ A workspace is a session of its own (``spark.newSession()``), so its views do no
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 from py4j.protocol import Py4JJavaError
@@ -59,21 +60,67 @@ def worth_saving(name: str) -> bool:
     return not name.startswith("_") and name not in HIDDEN
 
 
+def content_name(df: DataFrame) -> str:
+    """A name for what a table holds: its schema, its number of rows and two sums of row hashes, so that the order of rows does
+    not count. Rows are hashed as JSON with nulls written out and times in microseconds."""
+    times = {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+    text = F.to_json(F.struct(*df.columns), times) if df.columns else F.lit("")
+    sums = [F.coalesce(F.sum(F.xxhash64(text, F.lit(seed)).cast("decimal(38,0)")), F.lit(0)).cast("string") for seed in (0, 1)]
+    n, first, second = df.agg(F.count("*"), *sums).first()
+    return hashlib.sha256(f"{df.schema.json()} {n} {first} {second}".encode()).hexdigest()[:32]
+
+
+def _complete(spark: SparkSession, path: str) -> bool:
+    """Whether a write to the folder was committed."""
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
+
+
+def _readable(spark: SparkSession, path: str) -> bool:
+    """Whether the footers of all files can be read."""
+    try:
+        return spark.read.parquet(path).count() >= 0
+    except UNREADABLE:
+        return False
+
+
+def versions(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of the whole snapshots below the folder, ascending."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_manifest")
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [f.getPath().getName() for f in files.listStatus(root)] if files.exists(root) else []
+    return sorted(int(f[2:]) for f in found if f.startswith("v=") and _complete(spark, f"{folder}/_manifest/{f}"))
+
+
 def snapshot(tables: dict[str, DataFrame], folder: str) -> list[str]:
-    """Writes every named result worth saving below folder, then the list of names; the list makes the snapshot whole."""
+    """Adds a version: every named result worth saving, then the list of names, which makes the version whole.
+
+    Files are kept by ``content_name``: what an earlier version holds already is referenced, not written again, and no file of
+    another version is touched, so a table restored from the folder can be saved there. Files that cannot be read are written
+    anew. One writer at a time."""
     kept = sorted(n for n in tables if worth_saving(n))
-    for name in kept:
-        tables[name].write.mode("overwrite").parquet(f"{folder}/{name}")
     spark = next(iter(tables.values())).sparkSession if tables else SparkSession.active()
-    spark.createDataFrame([(n, f"{folder}/{n}") for n in kept], "name string, path string").coalesce(1).write.mode("overwrite").parquet(f"{folder}/_manifest")
+    listed = []
+    for name in kept:
+        path = f"{folder}/data/{content_name(tables[name])}"
+        if not _complete(spark, path) or not _readable(spark, path):
+            tables[name].write.mode("overwrite").parquet(path)
+        listed.append((name, path))
+    number = max(versions(spark, folder), default=0) + 1
+    spark.createDataFrame(listed, "name string, path string").coalesce(1).write.mode("overwrite").parquet(f"{folder}/_manifest/v={number}")
     return kept
 
 
-def restore(spark: SparkSession, folder: str) -> tuple[dict[str, DataFrame], list[str]]:
-    """(tables, names that could not be read). Without a readable list the workspace starts fresh."""
-    try:
-        manifest = spark.read.parquet(f"{folder}/_manifest").collect()  # one row per named table
-    except UNREADABLE:
+def restore(spark: SparkSession, folder: str, version: int | None = None) -> tuple[dict[str, DataFrame], list[str]]:
+    """(tables, names that could not be read) of the newest whole version that can be read, or of ``version``. Without one the
+    workspace starts fresh."""
+    for number in reversed(versions(spark, folder)) if version is None else [version]:
+        try:
+            manifest = spark.read.parquet(f"{folder}/_manifest/v={number}").select("name", "path").collect()  # one row per named table
+            break
+        except UNREADABLE:
+            continue
+    else:
         return {}, []
     tables, lost = {}, []
     for row in manifest:

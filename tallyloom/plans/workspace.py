@@ -57,8 +57,9 @@ def restored(t: Tables, folder: str):
 def s9(t: Tables):
     folder = work_folder(t.spark, "snapshot")
     D.snapshot(three_views(t), folder)
-    big = t.spark.read.parquet(f"{folder}/big_orders").agg(F.count("*").alias("big_rows"))
-    return t.spark.read.parquet(f"{folder}/_manifest").select("name").crossJoin(F.broadcast(big))  # one row
+    listed = t.spark.read.parquet(f"{folder}/_manifest/v=1").select("name", "path")
+    big = t.spark.read.parquet(listed.where("name = 'big_orders'").first().path).agg(F.count("*").alias("big_rows"))
+    return listed.select("name").crossJoin(F.broadcast(big))  # one row
 
 
 @query("s10_workspace_restore", RESTORED)

@@ -225,13 +225,34 @@ def test_snapshot_restore_skips_what_is_broken(spark, tmp_path):
     folder = str(tmp_path / "ws")
     kept = D.snapshot({"a": spark.range(3), "_b": spark.range(1), "exit": spark.range(1), "c": spark.range(5)}, folder)
     assert kept == ["a", "c"]
-    for f in (tmp_path / "ws" / "c").glob("*.parquet"):
+    for f in (tmp_path / "ws" / "data" / D.content_name(spark.range(5))).glob("*.parquet"):
         f.write_bytes(b"broken")
     tables, lost = D.restore(spark.newSession(), folder)
     assert list(tables) == ["a"] and tables["a"].count() == 3 and lost == ["c"]
     assert D.restore(spark, str(tmp_path / "none")) == ({}, [])
 
 
+def test_snapshots_write_only_what_changed(spark, tmp_path):
+    folder, own = str(tmp_path / "ws"), spark.newSession()
+    written = lambda: sorted(p.name for p in (tmp_path / "ws" / "data").iterdir())
+    rows = own.createDataFrame([(None, 1), (2, None), (2, None)], "x int, y int")
+    D.snapshot({"a": own.range(3), "b": rows, "same": rows.orderBy("x")}, folder)
+    first = written()
+    assert len(first) == 2  # equal tables share their files
+    tables, _ = D.restore(own, folder)
+    D.snapshot({**tables, "a": own.range(4)}, folder)
+    assert len(written()) == 3 and set(first) < set(written()) and D.versions(own, folder) == [1, 2]
+    assert D.restore(own, folder)[0]["a"].count() == 4 and D.restore(own, folder, 1)[0]["a"].count() == 3
+    swapped = own.createDataFrame([(1, None), (2, None), (2, None)], "x int, y int")
+    assert D.content_name(swapped) != D.content_name(rows) == D.content_name(rows.repartition(3))
+    torn = tmp_path / "ws" / "_manifest" / "v=3"
+    torn.mkdir()
+    (torn / "part-0.parquet").write_bytes(b"half")
+    assert D.restore(own, folder)[0]["a"].count() == 4
+    D.snapshot({"a": own.range(5)}, folder)
+    assert D.restore(own, folder)[0]["a"].count() == 5
+
+
 def test_workspaces_do_not_share_views(spark):
     one, two = spark.newSession(), spark.newSession()
     D.save(one.range(2), "mine")
