@@ -181,10 +181,14 @@ def extract(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def with_source(symbols: DataFrame, files: DataFrame) -> DataFrame:
-    """Adds ``source``, the symbol's own text. Filter symbols first: only files that still have any are read on."""
+    """Adds ``source``, the symbol's own text. Filter symbols first: only files that still have any are read on.
+
+    Both are merged by path and neither is broadcast: a plan estimates their size by the bytes of a scan, not by what texts and
+    parsing make of them.
+    """
     texts = files.select("path", F.encode("content", "UTF-8").alias("content"))
     cut = F.substring(F.col("content"), (F.col("start_byte") + 1).cast("int"), (F.col("end_byte") - F.col("start_byte")).cast("int"))
-    return symbols.join(texts, "path").withColumn("source", cut.cast("string")).drop("content")
+    return symbols.join(texts.hint("merge"), "path").withColumn("source", cut.cast("string")).drop("content")
 
 
 def with_owner(symbols: DataFrame) -> DataFrame:
