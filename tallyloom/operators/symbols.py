@@ -210,14 +210,13 @@ def with_owner(symbols: DataFrame) -> DataFrame:
 
 
 def outermost_owners(symbols: DataFrame) -> DataFrame:
-    """Methods inside classes with ``class_name``, by a join: of all classes around a method the first one. Gives what
-    ``with_owner`` gives; a file's methods meet its classes, so it suits files of ordinary size."""
-    classes = symbols.where("kind = 'class'").select("path", F.col("name").alias("class_name"), F.col("start_byte").alias("_from"), F.col("end_byte").alias("_to"))
-    methods = symbols.where("kind = 'method'")
-    around = (F.col("_from") <= F.col("start_byte")) & (F.col("_to") >= F.col("end_byte"))
-    met = methods.join(classes, "path").where(around)
-    first = F.row_number().over(W.partitionBy("path", "start_byte", "end_byte", "name").orderBy("_from", F.desc("_to")))
-    return met.withColumn("_n", first).where("_n = 1").drop("_n", "_from", "_to")
+    """Methods inside classes with ``class_name``: of all classes around a method the first one. Gives what ``with_owner``
+    gives; every method looks at all classes of its file, so it suits files of ordinary size."""
+    span = F.struct(F.col("start_byte").alias("from"), (-F.col("end_byte")).alias("wide"), F.col("end_byte").alias("to"), "name")
+    listed = F.collect_list(F.when(F.col("kind") == "class", span)).over(W.partitionBy("path"))
+    around = F.filter("_classes", lambda c: (c["from"] <= F.col("start_byte")) & (c["to"] >= F.col("end_byte")))
+    met = symbols.withColumn("_classes", listed).where("kind = 'method'").withColumn("class_name", F.array_min(around)["name"])
+    return met.where("class_name IS NOT NULL").drop("_classes")
 
 
 def class_members(symbols: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """How the code corpus is dealt out, parsed and joined: plans and tasks, beside the results in test_queries and test_symbols."""
 
+from tallyloom.operators import symbols as S
 from tallyloom.plans import corpus
 from tallyloom.plans.base import Tables
 
@@ -12,3 +13,17 @@ def plan(df) -> str:
 
 def test_sources_are_merged_not_broadcast(spark):
     assert "Broadcast" not in plan(corpus.k1(Tables(spark, FOLDER)))
+
+
+def test_outermost_owners_parse_once(spark):
+    assert plan(corpus.w1(Tables(spark, FOLDER))).count("MapInArrow _scan") == 1
+
+
+def test_outermost_owner_of_nested_and_free_methods(spark):
+    text = "class A { class B { void low() { } } void m() { } }\nclass C { void n() { } }\n"
+    files = spark.createDataFrame([("x.java", "java", text), ("y.py", "python", "def free(): pass\n")], "path string, language string, content string")
+    found, _ = S.extract(files)
+    joined = {(r.path, r.name): r.class_name for r in S.outermost_owners(found).collect()}
+    assert joined == {("x.java", "low"): "A", ("x.java", "m"): "A", ("x.java", "n"): "C"}
+    laid = {(r.path, r.name): r.class_name for r in S.with_owner(found).where("kind = 'method' AND class_name <> ''").collect()}
+    assert laid == joined
