@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tallyloom.operators import scanner
+from tallyloom.session import stash
 
 BRACE_LANGUAGES = ["java", "kotlin", "javascript", "typescript", "cpp", "rust"]
 LINE_ENDED = ["kotlin", "javascript", "typescript"]  # a line end may end a declaration
@@ -230,8 +231,8 @@ def class_members(symbols: DataFrame) -> DataFrame:
     df = symbols.select("path", "kind", "name", "start_byte", "end_byte", F.explode(edge).alias("e"))
     seen = F.sum(F.when(F.col("kind") == "method", 1).otherwise(0)).over(
         W.partitionBy("path").orderBy("e.at", "e.side").rowsBetween(W.unboundedPreceding, W.currentRow))
-    df = df.withColumn("seen", seen)
+    df = stash(df.withColumn("seen", seen), "members")  # read by both sides, so that files are parsed once
     methods = df.where("kind = 'method'").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("seen", "name"))).alias("all"))
     classes = df.where("kind = 'class'").groupBy("path", "name", "start_byte", "end_byte").agg(F.min("seen").alias("lo"), F.max("seen").alias("hi"))
     part = F.slice(F.coalesce("all", F.array().cast("array<struct<seen:bigint,name:string>>")), (F.col("lo") + 1).cast("int"), (F.col("hi") - F.col("lo")).cast("int"))
-    return classes.join(methods, "path", "left").select("path", F.col("name").alias("class_name"), "start_byte", F.transform(part, lambda x: x["name"]).alias("methods"))
+    return classes.join(methods.hint("merge"), "path", "left").select("path", F.col("name").alias("class_name"), "start_byte", F.transform(part, lambda x: x["name"]).alias("methods"))

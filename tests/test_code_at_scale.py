@@ -19,6 +19,11 @@ def test_outermost_owners_parse_once(spark):
     assert plan(corpus.w1(Tables(spark, FOLDER))).count("MapInArrow _scan") == 1
 
 
+def test_members_parse_once(spark):
+    made = plan(corpus.j2(Tables(spark, FOLDER)))
+    assert "MapInArrow _scan" not in made and "Broadcast" not in made
+
+
 def test_outermost_owner_of_nested_and_free_methods(spark):
     text = "class A { class B { void low() { } } void m() { } }\nclass C { void n() { } }\n"
     files = spark.createDataFrame([("x.java", "java", text), ("y.py", "python", "def free(): pass\n")], "path string, language string, content string")
