@@ -31,15 +31,28 @@ HEADS = ("path string, language string, head int, text string, opening string, a
          "end bigint, end_row bigint, stop string, stop_end bigint, stop_row bigint, close bigint, close_row bigint")
 
 
+#: Heads of a batch that leaves a task.
+TOGETHER = 5000
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = pa.schema([(name, {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64()}.get(kind, pa.list_(pa.string())))
                        for name, kind in (c.split() for c in HEADS.split(", "))])
+
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds.types)], schema=kinds)
+
     for files in batches:
+        rows = []
         for path, language, content in zip(*(files.column(c).to_pylist() for c in ("path", "language", "content"))):
-            rows = [(path, language, n, scanner.text_of(h), scanner.opening_of(h), h.around, h.level, h.docs, h.first, h.first_row, h.end, h.end_row,
-                     h.stop, h.stop_end, h.stop_row, h.close, h.close_row) for n, h in enumerate(scanner.heads((content or "").encode(), language))]
-            for at in range(0, len(rows), 5000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 5000]), kinds.types)], schema=kinds)
+            rows += [(path, language, n, scanner.text_of(h), scanner.opening_of(h), h.around, h.level, h.docs, h.first, h.first_row, h.end, h.end_row,
+                      h.stop, h.stop_end, h.stop_row, h.close, h.close_row) for n, h in enumerate(scanner.heads((content or "").encode(), language))]
+            if len(rows) >= TOGETHER:  # small files share a batch, heads of a large one are cut into several
+                for at in range(0, len(rows), TOGETHER):
+                    yield out(rows[at : at + TOGETHER])
+                rows = []
+        if rows:
+            yield out(rows)
 
 
 def _newlines(text: Column) -> Column:

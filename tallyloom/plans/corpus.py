@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions import helpers, text as X
 from tallyloom.operators import codesearch as C, symbols as S
 from tallyloom.plans.base import Tables, query
-from tallyloom.session import stash, work_folder
+from tallyloom.session import dealt, stash, work_folder
 from tallyloom.sources import codefiles as CF, walk
 
 ROOT = "/repo"
@@ -138,7 +138,9 @@ CTE = f"""f AS (SELECT p_partkey AS pk, {G} AS g, {K} AS k, {SZ} AS s, {PATH} AS
 
 
 def files(t: Tables):
-    paths = t.part.select(F.expr(PATH).alias("path"), F.expr(CONTENT).alias("content"))
+    """The corpus. Parts are dealt into tasks before their texts are made, so that files are parsed by all tasks at once."""
+    parts = dealt(t.part.select("p_partkey", "p_size"), "p_partkey")
+    paths = parts.select(F.expr(PATH).alias("path"), F.expr(CONTENT).alias("content"))
     return CF.code_files(paths, ROOT).select("path", "language", "content")
 
 

@@ -68,3 +68,15 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     path = work_folder(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows of a task at least, and at most where there are more than every core gets.
+FEW_ROWS, MANY_ROWS = 500, 8_000
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Deals small rows out to tasks by their keys, for work per row that is long beside the row: a table of short rows is one
+    small file, and by its bytes alone one task. There are more tasks for more rows."""
+    count = df.count()
+    tasks = max(min(df.sparkSession.sparkContext.defaultParallelism, count // FEW_ROWS), -(-count // MANY_ROWS), 1)
+    return df.repartition(tasks, *keys)

@@ -1,5 +1,8 @@
 """How the code corpus is dealt out, parsed and joined: plans and tasks, beside the results in test_queries and test_symbols."""
 
+import pyarrow as pa
+
+from tallyloom import session
 from tallyloom.operators import symbols as S
 from tallyloom.plans import corpus
 from tallyloom.plans.base import Tables
@@ -11,6 +14,27 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_short_rows_are_dealt_into_tasks(spark):
+    t = Tables(spark, FOLDER)
+    assert t.part.rdd.getNumPartitions() == 1
+    assert corpus.files(t).rdd.getNumPartitions() == min(spark.sparkContext.defaultParallelism, 2000 // session.FEW_ROWS)
+    many = spark.range(3 * 8 * session.MANY_ROWS, numPartitions=1)
+    assert session.dealt(many, "id").rdd.getNumPartitions() >= 24  # grows with the rows
+    assert session.dealt(spark.range(0), "id").count() == 0
+
+
+def test_small_files_share_a_batch_and_large_ones_are_cut():
+    one = "class A { void m() { } }\n"
+    batch = pa.RecordBatch.from_pydict({"path": ["a", "b", "big"], "language": ["java"] * 3, "content": [one, one, one * S.TOGETHER]})
+    out = list(S._scan(iter([batch])))
+    assert len(out) < S.TOGETHER and max(b.num_rows for b in out) <= S.TOGETHER
+    heads = [h for b in out for h in zip(*(b.column(c).to_pylist() for c in ("path", "head")))]
+    per_file = {path: [n for p, n in heads if p == path] for path in ("a", "b", "big")}
+    assert per_file["a"] == per_file["b"] and per_file["big"] == list(range(len(per_file["big"])))
+    assert len(list(S._scan(iter([batch.slice(0, 2)])))) == 1
+    assert list(S._scan(iter([batch.slice(0, 0)]))) == []
+
+
 def test_sources_are_merged_not_broadcast(spark):
     assert "Broadcast" not in plan(corpus.k1(Tables(spark, FOLDER)))
 
