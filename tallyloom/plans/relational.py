@@ -8,7 +8,7 @@ from pyspark.sql import Window as W, functions as F
 from tallyloom.functions import helpers as HP, numbers as N
 from tallyloom.operators import ordered as O, payloads as P, registry as R, sketches as K
 from tallyloom.plans.base import Tables, query
-from tallyloom.session import stash
+from tallyloom.session import dealt_to_join, stash
 
 
 @query("d1_joins", """
@@ -38,8 +38,9 @@ SELECT 'semi' AS form, o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM lineit
 UNION ALL SELECT 'anti', o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)""")
 def d2(t: Tables):
     later = (F.col("l_orderkey") == F.col("o_orderkey")) & (F.col("l_shipdate") > F.expr("o_orderdate + INTERVAL '60' DAY"))
-    semi = t.orders.join(t.lineitem, later, "left_semi")
-    anti = t.orders.join(t.lineitem, F.col("l_orderkey") == F.col("o_orderkey"), "left_anti")
+    lines = dealt_to_join(t.lineitem, "l_orderkey")
+    semi = t.orders.join(lines, later, "left_semi")
+    anti = t.orders.join(lines, F.col("l_orderkey") == F.col("o_orderkey"), "left_anti")
     return semi.select(F.lit("semi").alias("form"), "o_orderkey").unionByName(anti.select(F.lit("anti").alias("form"), "o_orderkey"))
 
 

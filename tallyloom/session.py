@@ -80,3 +80,14 @@ def dealt(df: DataFrame, *keys: str) -> DataFrame:
     count = df.count()
     tasks = max(min(df.sparkSession.sparkContext.defaultParallelism, count // FEW_ROWS), -(-count // MANY_ROWS), 1)
     return df.repartition(tasks, *keys)
+
+
+#: Rows of the larger side that one task joins.
+JOINED_ROWS = 1_000_000
+
+
+def dealt_to_join(df: DataFrame, key: str) -> DataFrame:
+    """The larger side of a join, dealt by its key into as many tasks as its rows need, so that what one task sorts does not
+    grow with the table. The other side follows. Where the session's own number of partitions does, nothing is changed."""
+    tasks = -(-df.count() // JOINED_ROWS)
+    return df.repartition(tasks, key) if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
