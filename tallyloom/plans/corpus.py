@@ -162,7 +162,8 @@ def all_paths(t: Tables):
 def s2(t: Tables):
     """All files of the corpus are written; the scan goes into the folders that count and opens the files that count."""
     root = work_folder(t.spark, "code")
-    walk.write_files(t.part.select(F.expr(PATH).alias("path"), F.encode(F.expr(CONTENT), "UTF-8").alias("content")), root)
+    parts = dealt(t.part.select("p_partkey", "p_size"), "p_partkey")
+    walk.write_files(parts.select(F.expr(PATH).alias("path"), F.encode(F.expr(CONTENT), "UTF-8").alias("content")), root)
     found = CF.scan_code_files(t.spark, f"{root}{ROOT}")
     return found.select(F.concat(F.lit(f"{ROOT}/"), CF.below(F.col("path"), f"{root}{ROOT}")).alias("path"), "language", F.md5("content").alias("digest"))
 

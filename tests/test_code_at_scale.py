@@ -56,3 +56,11 @@ def test_outermost_owner_of_nested_and_free_methods(spark):
     assert joined == {("x.java", "low"): "A", ("x.java", "m"): "A", ("x.java", "n"): "C"}
     laid = {(r.path, r.name): r.class_name for r in S.with_owner(found).where("kind = 'method' AND class_name <> ''").collect()}
     assert laid == joined
+
+
+def test_files_are_written_by_several_tasks(spark, monkeypatch):
+    dealt = []
+    monkeypatch.setattr(corpus.walk, "write_files", lambda files, root: dealt.append(files.rdd.getNumPartitions()))
+    monkeypatch.setattr(corpus.CF, "scan_code_files", lambda spark, root: spark.createDataFrame([("a", "java", b"")], "path string, language string, content binary"))
+    corpus.s2(Tables(spark, FOLDER))
+    assert dealt[0] > 1
