@@ -66,6 +66,20 @@ def _read(data: bytes, n: int) -> np.ndarray:
     return np.frombuffer(data, f"<u{len(data) // n}" if n else "<u1")
 
 
+def _steps(values: np.ndarray) -> bytes:
+    """Unsigned numbers as differences modulo the size of the narrowest type that holds them, first the lowest byte of all, then
+    the next one: of ascending stretches the upper bytes are nearly all zero, and compression takes them."""
+    values = values.astype(np.min_scalar_type(int(values.max(initial=0))))
+    steps = np.diff(values, prepend=values.dtype.type(0))
+    return steps.view(np.uint8).reshape(len(steps), values.itemsize).T.tobytes()
+
+
+def _read_steps(data: bytes, n: int) -> np.ndarray:
+    width = len(data) // n if n else 1
+    steps = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, n).T).view(f"<u{width}")[:, 0]
+    return np.cumsum(steps, dtype=steps.dtype)
+
+
 def _ranges(first: np.ndarray, stop: np.ndarray) -> np.ndarray:
     """The numbers of all ranges, one range after the other."""
     size = stop - first
@@ -96,7 +110,7 @@ class Seen:
 def build(docs: DataFrame, asked: np.ndarray | None = None, run_words: int = RUN_WORDS) -> DataFrame:
     """Inverted lists of ``docs`` (doc_id, text). Rows by ``kind``: of each run a head (n documents, words, in ``terms`` the
     doc_ids, in ``sizes`` the lengths in words) and its lists (n postings; the terms, sizes, places in the run and counts of
-    all lists, packed); of each task ``seen``, its terms and in how many of its documents they are. With ``asked``, a
+    all lists, packed, terms and places as ``_steps``); of each task ``seen``, its terms and in how many of its documents they are. With ``asked``, a
     ``term_filter``, lists of other terms are left out."""
     entry = pa.struct([("term", pa.int64()), ("df", pa.int64())])
     schema = pa.schema([("kind", pa.int32()), ("run", pa.int64()), ("n", pa.int64()), ("words", pa.int64()), *((c, pa.binary()) for c in ("terms", "sizes", "places", "counts")),
@@ -127,7 +141,7 @@ def build(docs: DataFrame, asked: np.ndarray | None = None, run_words: int = RUN
         starts = np.flatnonzero(np.r_[True, term[1:] != term[:-1]])
         sizes = np.diff(np.append(starts, len(term)))
         seen.add(term[starts], sizes)
-        yield row(LISTS, run, len(term), len(starts), term[starts].tobytes(), _short(sizes), _short(place), _short(counts), None)
+        yield row(LISTS, run, len(term), len(starts), _steps(term[starts].view(np.uint64)), _short(sizes), _steps(place), _short(counts), None)
         if len(seen.terms) > TERMS:
             yield from told(seen)
             seen.__init__()
@@ -165,13 +179,13 @@ class Shard:
         rank[order] = np.arange(len(order), dtype=np.int32)
         self.ids, n = ids[order], len(ids)
         norm = K1 * (1 - B + B * lengths[order] / average) if average else np.ones(n)
-        self.terms, at = np.unique(np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x[3], np.int64) for x in lists)]), return_inverse=True)
+        self.terms, at = np.unique(np.concatenate([np.zeros(0, np.int64), *(_read_steps(x[3], x[2]).astype(np.uint64).view(np.int64) for x in lists)]), return_inverse=True)
         key, done = np.empty(sum(x[1] for x in lists), np.int64), 0
         counts, lists_done = np.empty(len(key), np.uint32), 0
         many = max(1, len(self.terms))
         for run, postings, size, _, sizes, places, own in lists:
             term = np.repeat(at[lists_done : lists_done + size], _read(sizes, size))
-            key[done : done + postings] = (rank[_read(places, postings).astype(np.int64) + before[run]]) * np.int64(many) + term
+            key[done : done + postings] = (rank[_read_steps(places, postings).astype(np.int64) + before[run]]) * np.int64(many) + term
             counts[done : done + postings] = _read(own, postings)
             done, lists_done = done + postings, lists_done + size
         order = np.argsort(key)

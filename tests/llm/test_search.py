@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from tallyloom.llm import search
 
@@ -94,3 +95,15 @@ def test_long_text_and_other_columns(spark):
     assert search.search(frame, frame.where("doc_id = 50"), 1, run_words=1000).first().doc_id == 50
     odd = spark.createDataFrame([(*d, 1, 2) for d in docs], "doc_id long, text string, term int, shard int")
     assert search.search(odd, odd.where("doc_id = 3"), 3).columns == ["query_id", "rank", "doc_id", "score"]
+
+
+def test_steps_are_read_back_and_compress():
+    rng = np.random.default_rng(5)
+    stretches = np.concatenate([np.sort(rng.choice(5000, 400, replace=False)) for _ in range(500)]).astype(np.int32)
+    hashes = np.sort(rng.integers(-(1 << 63), 1 << 63, 1000))
+    odd = [stretches, np.zeros(0, np.int32), np.zeros(3, np.int32), np.array([70_000, 0, 255, 1 << 20]), np.array([0, (1 << 32) + 5, 7])]
+    for values in odd:
+        assert search._read_steps(search._steps(values), len(values)).tolist() == values.tolist()
+    assert (search._read_steps(search._steps(hashes.view(np.uint64)), 1000).astype(np.uint64).view(np.int64) == hashes).all()
+    size = lambda data: pa.compress(data, "lz4", asbytes=True).__len__()
+    assert size(search._steps(stretches)) < 0.65 * size(search._short(stretches))
