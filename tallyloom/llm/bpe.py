@@ -72,18 +72,9 @@ def lower(text: str) -> str:
     return "".join(map(str.lower, text)) if "Σ" in text else text.lower()
 
 
-def word_encoder(path: str) -> Callable[[str], np.ndarray]:
-    """Function from a text to its ids as tokenizers' model at ``path`` gives them without added special tokens: lower case,
-    white space dropped, words ended by ``WORD_END``.
-
-    The end of a word is one more byte here. Joining it to the letter before it comes first of all, since those tokens have
-    the lowest ids; from there on the merges are the same. Texts with that byte, with the start of a special token, or with
-    separators on which Python and the tokenizer disagree, are encoded by the library.
-    """
-    import regex
-    import tiktoken
-    from tokenizers import Tokenizer
-
+def word_ranks(path: str) -> dict[bytes, int]:
+    """Bytes of each token -> id for ``word_encoder``, proved once. Reading and proving the model takes far more memory than what
+    comes of it, so this is done before tasks begin and not by each of them."""
     with open(path, encoding="utf-8") as file:
         model = json.load(file)["model"]
     if model["end_of_word_suffix"] != WORD_END:
@@ -98,7 +89,22 @@ def word_encoder(path: str) -> Callable[[str], np.ndarray]:
     told = {"vocab": {t: i for t, i in model["vocab"].items() if zero not in t}, "merges": [m for m in model["merges"] if zero not in m[0] + m[1]]}
     by_id = ranks(told, plain)
     by_id[END_BYTE] = max(by_id.values()) + 1  # never left alone: every byte has a token that ends a word
-    del model, told
+    return by_id
+
+
+def word_encoder(path: str, by_id: dict[bytes, int] | None = None) -> Callable[[str], np.ndarray]:
+    """Function from a text to its ids as tokenizers' model at ``path`` gives them without added special tokens: lower case,
+    white space dropped, words ended by ``WORD_END``. ``by_id`` is what ``word_ranks`` gives for this path.
+
+    The end of a word is one more byte here. Joining it to the letter before it comes first of all, since those tokens have
+    the lowest ids; from there on the merges are the same. Texts with that byte, with the start of a special token, or with
+    separators on which Python and the tokenizer disagree, are encoded by the library.
+    """
+    import regex
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    by_id = word_ranks(path) if by_id is None else by_id
     coder = tiktoken.Encoding(path, pat_str=r"[^\x00]+\x00", mergeable_ranks=by_id, special_tokens={})
     whole: list[Tokenizer] = []
     parts, latin, odd, mark = regex.compile(PARTS), re.compile(LATIN_PARTS), re.compile("<\\||[\0\x1c-\x1f]"), END_BYTE.decode()

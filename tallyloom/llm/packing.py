@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.bpe import IDS, word_encoder
+from tallyloom.llm.bpe import IDS, word_encoder, word_ranks
 from tallyloom.llm.common import stash
 
 LIMIT = 4096
@@ -33,8 +33,10 @@ def tokenize(docs: DataFrame, path: str, limit: int = LIMIT, end_id: int = END_I
     names = pa.schema([("row_id", pa.int64()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()),
                        ("length", pa.int64()), ("ids", pa.binary())])
 
+    by_id = word_ranks(path)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = word_encoder(path)
+        encode = word_encoder(path, by_id)
         end, width = np.asarray([end_id], IDS).tobytes(), IDS.itemsize
         for batch in batches:
             rows: list[tuple] = []

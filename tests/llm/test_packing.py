@@ -94,3 +94,17 @@ def test_round_trip(spark, odd, empty):
     some = next(iter(by_sequence.values()))
     assert zlib.crc32(whole[some[0].sequence_id].ids) == zlib.crc32(b"".join(r.ids for r in sorted(some, key=lambda r: r.offset)))
     assert packing.pack_documents(empty, PATH)[1].count() == 0
+
+
+def test_tasks_do_not_prove_the_vocabulary(spark, monkeypatch):
+    """The model is read and proved before tasks begin, once, and the ids are the same."""
+    calls, prove = [], packing.word_ranks
+    monkeypatch.setattr(packing, "word_ranks", lambda path: calls.append(path) or prove(path))
+    path = public_tokenizers.path("word_bpe_49k.json")
+    docs = spark.createDataFrame([(k, f"Text no. {k}, café") for k in range(8)], "doc_id long, text string").repartition(4)
+    rows = packing.tokenize(docs, path).collect()
+    assert calls == [path]
+    whole = Tokenizer.from_file(path)
+    for row in rows:
+        ids = whole.encode(f"Text no. {row.doc_id}, café", add_special_tokens=False).ids + [packing.END_ID]
+        assert np.frombuffer(row.ids, packing.IDS).tolist() == ids
