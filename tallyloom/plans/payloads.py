@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions import text as X
 from tallyloom.operators import payloads as P
 from tallyloom.plans.base import Tables, query
+from tallyloom.session import dealt
 
 BATCH = 100  # records per built payload: a payload is one value and must stay small whatever the table holds
 
@@ -159,7 +160,8 @@ def c1_odd_records(t: Tables):
     void = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('"v'), "event_id", F.lit('"'))).otherwise(F.lit("null"))
     record = F.concat(F.lit('[{"VOIDED": '), void, F.lit(', "big": 1'), F.lpad(F.col("event_id").cast("string"), 8, "0"), F.lit("000000000000000000000"), F.lit(', "nothing": null}]'))
     other = F.when(F.col("event_id") % 5 == 3, '[1, {"a": 2}]').otherwise('[{"broken": ')
-    rows = P.records_to_rows(t.events.select(F.col("event_id").alias("payload_id"), F.when(F.col("event_id") % 5 < 3, record).otherwise(other).alias("payload")))
+    events = dealt(t.events.select("event_id"), "event_id", most=100_000)  # the payloads are made from short rows
+    rows = P.records_to_rows(events.select(F.col("event_id").alias("payload_id"), F.when(F.col("event_id") % 5 < 3, record).otherwise(other).alias("payload")))
     return rows.select("payload_id", "VOIDED", F.col("big").cast("string").alias("big"), "nothing")
 
 

@@ -74,11 +74,11 @@ def stash(df: DataFrame, label: str) -> DataFrame:
 FEW_ROWS, MANY_ROWS = 500, 8_000
 
 
-def dealt(df: DataFrame, *keys: str) -> DataFrame:
+def dealt(df: DataFrame, *keys: str, most: int = MANY_ROWS) -> DataFrame:
     """Deals small rows out to tasks by their keys, for work per row that is long beside the row: a table of short rows is one
-    small file, and by its bytes alone one task. There are more tasks for more rows."""
+    small file, and by its bytes alone one task. There are more tasks for more rows, of at most about ``most`` each."""
     count = df.count()
-    tasks = max(min(df.sparkSession.sparkContext.defaultParallelism, count // FEW_ROWS), -(-count // MANY_ROWS), 1)
+    tasks = max(min(df.sparkSession.sparkContext.defaultParallelism, count // FEW_ROWS), -(-count // most), 1)
     return df.repartition(tasks, *keys)
 
 
