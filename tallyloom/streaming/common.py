@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, GroupedData, SparkSession, functions as F
 
 from tallyloom.session import work_folder
 
+#: Buckets of keys, whatever the number of keys.
+BUCKETS = 1024
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -16,6 +18,18 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
+def in_buckets(rows: DataFrame, key: str, buckets: int = BUCKETS) -> GroupedData:
+    """Rows grouped by bucket of their key, so that a batch calls Python once a bucket and not once a key. Rows without a key
+    have a bucket of their own."""
+    bucket = F.when(F.col(key).isNull(), -1).otherwise(F.pmod(F.xxhash64(key), F.lit(buckets)))
+    return rows.withColumn("bucket", bucket.cast("int")).withColumn(key, F.coalesce(key, F.lit(0)).cast("long")).groupBy("bucket")
+
+
+def out_of_buckets(rows: DataFrame, key: str) -> DataFrame:
+    """The way back from ``in_buckets``."""
+    return rows.withColumn(key, F.when(F.col("bucket") >= 0, F.col(key))).drop("bucket")
+
+
 def run_to_end(stream: DataFrame, mode: str, label: str, keep, folders: tuple[str, str] | None = None) -> str:
     """Runs a stream over all input there is. ``keep(batch)`` shapes each batch; its rows land in ``batch=<id>`` below the
     returned folder. A batch that is run again after a failure overwrites its own folder, so no row counts twice.

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -19,10 +20,11 @@ LINES = "job_id bigint, line_no bigint, line string, gap boolean"
 
 
 class LineAssembly(StatefulProcessor):
-    """Chunks of a job -> complete lines. The unended tail is carried; chunks that come early wait for those before them.
+    """Chunks of a bucket's jobs -> complete lines. The unended tail is carried; chunks that come early wait for those before them.
 
-    A timer on event time is always set: while chunks wait, for the end of the wait, after which what is missing is given up
-    and marked by a line with ``gap``, the part of a line before it; else for the end of the job, which leaves no state.
+    A job is due on event time: while chunks wait, at the end of the wait, after which what is missing is given up and marked by
+    a line with ``gap``, the part of a line before it; else at the end of the job, which leaves no state. Jobs are listed under
+    the whole second when they are due, with a timer for each such second; who has moved on by then is listed again later.
     """
 
     def __init__(self, gap_seconds: int, idle_seconds: int):
@@ -30,68 +32,88 @@ class LineAssembly(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.progress = handle.getValueState("progress", StructType([
-            StructField("chunk", LongType()), StructField("lines", LongType()), StructField("tail", BinaryType()),
-            StructField("heard", LongType()), StructField("since", LongType())]))  # last chunk's time; when the wait began
-        self.early = handle.getMapState("early", StructType([StructField("chunk_no", LongType())]), StructType([StructField("bytes", BinaryType())]))
+        long, data = (lambda name: StructField(name, LongType())), (lambda name: StructField(name, BinaryType()))
+        # waiting: how many chunks are early; heard: last chunk's time; since: when the wait began
+        self.progress = handle.getMapState("progress", StructType([long("job_id")]), StructType(
+            [long("chunk"), long("lines"), data("tail"), long("waiting"), long("heard"), long("since")]))
+        self.early = handle.getMapState("early", StructType([long("job_id"), long("chunk_no")]), StructType([data("bytes")]))
+        self.due = handle.getMapState("due", StructType([long("at")]), StructType([data("jobs")]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        chunk, lines, tail, heard, since = self.progress.get() if self.progress.exists() else (0, 0, b"", 0, 0)
-        fresh, moved = {}, chunk
+        fresh, last, out, due = {}, {}, [], {}
         for part in rows:
-            fresh.update(zip((int(n) for n in part["chunk_no"]), part["bytes"]))
-            heard = max(heard, int(part["at"].max()))
-        out: list[tuple] = []
-        chunk, lines, tail = self.advance(chunk, lines, bytes(tail), fresh, out)
-        for number, data in fresh.items():
-            if number > chunk:
-                self.early.updateValue((number,), (bytes(data),))
-        if chunk > moved or not since:
-            since = heard
-        self.keep(chunk, lines, tail, heard, since)
+            for job, number, data, at in zip(part["job_id"].tolist(), part["chunk_no"].tolist(), part["bytes"], part["at"].tolist()):
+                fresh.setdefault(job, {})[number] = data
+                last[job] = max(last.get(job, 0), at)
+        for job, own in fresh.items():
+            chunk, lines, tail, waiting, heard, since = self.progress.getValue((job,)) or (0, 0, b"", 0, 0, 0)
+            moved, heard = chunk, max(heard, last[job])
+            chunk, lines, tail, waiting = self.advance(job, chunk, lines, bytes(tail), waiting, own, out)
+            for number, data in own.items():
+                if number > chunk:
+                    waiting += not (waiting and self.early.containsKey((job, number)))
+                    self.early.updateValue((job, number), (bytes(data),))
+            self.keep(job, chunk, lines, tail, waiting, heard, heard if chunk > moved or not since else since, due)
+        self.set_timers(due)
         yield self.frame(key, out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        chunk, lines, tail, heard, _ = self.progress.get()
-        waiting = [k[0] for k in self.early.keys()]
-        out: list[tuple] = []
-        if waiting:
-            out.append((lines + 1, bytes(tail).decode("utf-8", errors="ignore"), True))
-            chunk, lines, tail = self.advance(min(waiting), lines + 1, b"", {}, out)
-            self.keep(chunk, lines, tail, heard, heard)
-        else:
-            self.progress.clear()
-            self.early.clear()
+        now, out, due, first = expiredTimerInfo.getExpiryTimeInMs(), [], {}, None
+        listed = self.due.getValue((now,)) or (b"",)
+        self.due.removeKey((now,))
+        for job in np.unique(np.frombuffer(bytes(listed[0]), np.int64)).tolist():
+            chunk, lines, tail, waiting, heard, since = self.progress.getValue((job,)) or (0, 0, b"", 0, now, now)
+            if self.when(waiting, heard, since) > now:
+                continue
+            if not waiting:
+                self.progress.removeKey((job,))
+                continue
+            if first is None:
+                first = {}
+                for own, number in self.early.keys():
+                    first[own] = min(number, first.get(own, number))
+            out.append((job, lines + 1, bytes(tail).decode("utf-8", errors="ignore"), True))
+            chunk, lines, tail, waiting = self.advance(job, first[job], lines + 1, b"", waiting, {}, out)
+            self.keep(job, chunk, lines, tail, waiting, heard, heard, due)
+        self.set_timers(due)
         yield self.frame(key, out)
 
-    def advance(self, chunk: int, lines: int, tail: bytes, fresh: dict, out: list[tuple]) -> tuple[int, int, bytes]:
-        """Takes the chunks from ``chunk`` on as far as they follow each other."""
+    def advance(self, job: int, chunk: int, lines: int, tail: bytes, waiting: int, fresh: dict, out: list[tuple]) -> tuple[int, int, bytes, int]:
+        """Takes the chunks of a job from ``chunk`` on as far as they follow each other."""
         while True:
-            if chunk in fresh:
-                data = fresh.pop(chunk)
-            elif self.early.containsKey((chunk,)):
-                data = self.early.getValue((chunk,))[0]
-                self.early.removeKey((chunk,))
-            else:
-                return chunk, lines, tail
+            data = fresh.pop(chunk, None)
+            if waiting and (kept := self.early.getValue((job, chunk))):
+                self.early.removeKey((job, chunk))
+                data, waiting = kept[0] if data is None else data, waiting - 1
+            if data is None:
+                return chunk, lines, tail, waiting
             *done, tail = (tail + bytes(data)).split(b"\n")
             for line in done:
                 lines += 1
-                out.append((lines, line.decode("utf-8", errors="ignore"), False))
+                out.append((job, lines, line.decode("utf-8", errors="ignore"), False))
             chunk += 1
 
-    def keep(self, chunk: int, lines: int, tail: bytes, heard: int, since: int) -> None:
-        blocked = any(True for _ in self.early.keys())
-        self.progress.update((chunk, lines, tail, heard, since if blocked else 0))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(since + self.gap if blocked else heard + self.idle)
+    def when(self, waiting: int, heard: int, since: int) -> int:
+        """The whole second when a job is due, in milliseconds."""
+        return -(-(since + self.gap if waiting else heard + self.idle) // 1000) * 1000
+
+    def keep(self, job: int, chunk: int, lines: int, tail: bytes, waiting: int, heard: int, since: int, due: dict[int, list[int]]) -> None:
+        since = since if waiting else 0
+        self.progress.updateValue((job,), (chunk, lines, tail, waiting, heard, since))
+        due.setdefault(self.when(waiting, heard, since), []).append(job)
+
+    def set_timers(self, due: dict[int, list[int]]) -> None:
+        for at, jobs in due.items():
+            listed = self.due.getValue((at,)) or (b"",)
+            known = np.frombuffer(bytes(listed[0]), np.int64)
+            self.due.updateValue((at,), (np.union1d(known, np.array(jobs, np.int64)).tobytes(),))
+            self.handle.registerTimer(at)
 
     @staticmethod
     def frame(key, out: list[tuple]) -> pd.DataFrame:
-        numbers, texts, gaps = zip(*out) if out else ((), (), ())
-        made = pd.DataFrame({"job_id": [key[0]] * len(out), "line_no": numbers, "line": texts, "gap": gaps})
-        return made.astype({"job_id": "int64", "line_no": "int64", "line": "object", "gap": "bool"})
+        jobs, numbers, texts, gaps = zip(*out) if out else ((), (), (), ())
+        made = pd.DataFrame({"bucket": [key[0]] * len(out), "job_id": jobs, "line_no": numbers, "line": texts, "gap": gaps})
+        return made.astype({"bucket": "int32", "job_id": "int64", "line_no": "int64", "line": "object", "gap": "bool"})
 
     def close(self) -> None:
         pass
@@ -102,8 +124,9 @@ def line_stream(chunks: DataFrame, gap_seconds: int = GAP_SECONDS, idle_seconds:
     and counted by Spark."""
     S.use_rocksdb(chunks.sparkSession)
     timed = chunks.select("job_id", "chunk_no", "bytes", F.col("at").cast("timestamp").alias("time")).withWatermark("time", delay)
-    grouped = timed.withColumn("at", F.unix_millis("time")).groupBy("job_id")
-    return grouped.transformWithStateInPandas(LineAssembly(gap_seconds, idle_seconds), LINES, "append", "eventTime")
+    grouped = S.in_buckets(timed.withColumn("at", F.unix_millis("time")), "job_id")
+    lines = grouped.transformWithStateInPandas(LineAssembly(gap_seconds, idle_seconds), f"bucket int, {LINES}", "append", "eventTime")
+    return S.out_of_buckets(lines, "job_id")
 
 
 STATE = "job_id bigint, field string, value string, seq bigint"

@@ -18,8 +18,6 @@ from tallyloom.streaming.statetable import StateTable, follow
 DELAY = "1 minute"
 #: Seconds of a window in which lookups wait.
 WINDOW = 60
-#: Buckets of users, whatever their number: a value of the state holds 16 bytes for each user of a bucket.
-BUCKETS = 1024
 
 
 def tick_counts(events: DataFrame, seconds: int = R.TICK_SECONDS, delay: str = DELAY) -> DataFrame:
@@ -36,7 +34,7 @@ def dirty_from_counts(counts: DataFrame, every: int = R.CHECKPOINT_EVERY) -> Dat
 
 
 class Users:
-    """A number for each user of a bucket, kept as one value of the state."""
+    """A number for each user of a bucket, kept as one value of the state, of 16 bytes a user."""
 
     SCHEMA = StructType([StructField("users", BinaryType()), StructField("numbers", BinaryType())])
 
@@ -67,18 +65,6 @@ class Users:
         self.state.clear()
 
 
-def in_buckets(rows: DataFrame):
-    """Rows grouped by bucket of their user, so that a batch calls Python once a bucket and not once a user. Rows without a
-    user have a bucket of their own."""
-    bucket = F.when(F.col("user_id").isNull(), -1).otherwise(F.pmod(F.xxhash64("user_id"), F.lit(BUCKETS)))
-    return rows.withColumn("bucket", bucket.cast("int")).withColumn("user_id", F.coalesce("user_id", F.lit(0)).cast("long")).groupBy("bucket")
-
-
-def per_user(rows: DataFrame, *columns: str) -> DataFrame:
-    """The way back from ``in_buckets``."""
-    return rows.withColumn("user_id", F.when(F.col("bucket") >= 0, F.col("user_id"))).select(*columns)
-
-
 class TickNumbers(StatefulProcessor):
     """Closed ticks of a bucket's users -> for each user, in order, the running number of the last request in each tick."""
 
@@ -101,8 +87,8 @@ def dirty_stream(events: DataFrame, every: int = R.CHECKPOINT_EVERY, seconds: in
     raises the running number of its session. Ticks close in order, so the number needs no earlier rows."""
     S.use_rocksdb(events.sparkSession)
     counts = tick_counts(events, seconds, delay)
-    numbered = in_buckets(counts).transformWithStateInPandas(TickNumbers(), "bucket int, tick timestamp, user_id bigint, n bigint", "append", "None")
-    return per_user(numbered, "tick", "user_id", "n").where(F.col("n") % every != 0)
+    numbered = S.in_buckets(counts, "user_id").transformWithStateInPandas(TickNumbers(), "bucket int, tick timestamp, user_id bigint, n bigint", "append", "None")
+    return S.out_of_buckets(numbered, "user_id").where(F.col("n") % every != 0)
 
 
 class RequestCounter(StatefulProcessor):
@@ -128,8 +114,8 @@ class RequestCounter(StatefulProcessor):
 
 def request_checkpoints(events: DataFrame) -> DataFrame:
     S.use_rocksdb(events.sparkSession)
-    counted = in_buckets(events.select("user_id")).transformWithStateInPandas(RequestCounter(), "bucket int, user_id bigint, n bigint", "append", "None")
-    return per_user(counted, "user_id", "n")
+    counted = S.in_buckets(events.select("user_id"), "user_id").transformWithStateInPandas(RequestCounter(), "bucket int, user_id bigint, n bigint", "append", "None")
+    return S.out_of_buckets(counted, "user_id")
 
 
 class CacheLookups(StatefulProcessor):
@@ -183,9 +169,9 @@ def cache_stream(events: DataFrame, seconds: int = R.CACHE_SECONDS, delay: str =
     S.use_rocksdb(events.sparkSession)
     timed = events.select("user_id", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", delay)
     closed = timed.groupBy(F.window("ts", f"{WINDOW} seconds"), "user_id").agg(F.collect_set(N.epoch_micros(F.col("ts"))).alias("times"))
-    asked = in_buckets(closed.select("user_id", F.explode("times").alias("position")))
+    asked = S.in_buckets(closed.select("user_id", F.explode("times").alias("position")), "user_id")
     found = asked.transformWithStateInPandas(CacheLookups(seconds * 1_000_000), "bucket int, user_id bigint, position bigint, hit boolean", "append", "eventtime")
-    return per_user(found, "user_id", "position", "hit")
+    return S.out_of_buckets(found, "user_id")
 
 
 REGISTRY = "user_id bigint, event_id bigint, event_type string, value double"
