@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyloom.functions import text as X
 from tallyloom.operators import ordered
+from tallyloom.session import stash
 
 # Artifact kinds and the page size of a log.
 KINDS = ["apk", "aab", "mapping", "test-report"]
@@ -113,13 +119,32 @@ def log_page(requests: DataFrame, logs: DataFrame) -> DataFrame:
     return paged.select("job_id", X.decode_utf8_ignore(F.col("page")).alias("text"), (F.col("from_byte") + F.octet_length("page")).alias("nextOffset"))
 
 
+def _side_by_side(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks (job, number, bytes) of a batch that follow each other become one under the number of the first. The bytes of a
+    column are one buffer, so only the places where chunks end are dropped."""
+    for batch in batches:
+        n, (job, number, data) = batch.num_rows, batch.columns
+        if not n:
+            continue
+        same = pc.equal(job.slice(1), job.slice(0, n - 1)).fill_null(False)
+        after = pc.equal(pc.subtract(number.slice(1), number.slice(0, n - 1)), 1).fill_null(False)
+        first = np.flatnonzero(np.r_[True, ~pc.and_(same, after).to_numpy(zero_copy_only=False)])
+        _, ends, content = data.buffers()
+        ends = np.frombuffer(ends, np.int32)[data.offset : data.offset + n + 1][np.r_[first, n]]
+        runs = pa.Array.from_buffers(data.type, len(first), [None, pa.py_buffer(np.ascontiguousarray(ends)), content])
+        yield pa.RecordBatch.from_arrays([job.take(pa.array(first)), number.take(pa.array(first)), runs], names=batch.schema.names)
+
+
 def assemble_lines(chunks: DataFrame) -> DataFrame:
     """Byte chunks (job_id, chunk_no, bytes) -> complete lines (job_id, line_no, line); an unended last line is left out.
 
-    The number of line ends before a chunk gives the number of its first line. Lines inside one chunk go straight out;
-    only pieces at chunk borders are grouped, by job and line, so no job is gathered in one place.
+    Chunks that lie side by side become one where they are, before anything moves. The number of line ends before a chunk
+    gives the number of its first line. Lines inside one chunk go straight out; only pieces at chunk borders are grouped, by
+    job and line, so no job is gathered in one place.
     Bytes are handled as Latin-1 characters, one per byte, so that text functions can cut them.
     """
+    chunks = chunks.select("job_id", "chunk_no", "bytes")
+    chunks = stash(chunks.mapInArrow(_side_by_side, chunks.schema), "chunks")  # which ones met must not change below
     counted = chunks.select("job_id", "chunk_no", line_ends(F.col("bytes")).alias("breaks"))
     numbered = ordered.running_total(counted, ["job_id"], ["chunk_no"], F.col("breaks"), "base", inclusive=False)  # no bytes are moved
     totals = counted.groupBy("job_id").agg(F.sum("breaks").alias("ended"))
