@@ -167,7 +167,7 @@ def build(docs: DataFrame, asked: np.ndarray | None = None, run_words: int = RUN
 
 class Shard:
     """The lists of one shard, ready for queries. ``read`` and ``asked`` count the postings that queries read and those that
-    their lists have. Rows are (run, n, words, terms, sizes, places, counts) as ``build`` makes them."""
+    their lists have. Rows are (run, n, words, terms, sizes, places, counts) as ``build`` makes them; ``lists`` is used up."""
 
     def __init__(self, heads: list[tuple], lists: list[tuple], average: float):
         heads = sorted(heads, key=lambda h: h[0])
@@ -183,7 +183,9 @@ class Shard:
         key, done = np.empty(sum(x[1] for x in lists), np.int64), 0
         counts, lists_done = np.empty(len(key), np.uint32), 0
         many = max(1, len(self.terms))
-        for run, postings, size, _, sizes, places, own in lists:
+        lists.reverse()
+        while lists:  # what was read is let go of, so that it is not held beside what is sorted
+            run, postings, size, _, sizes, places, own = lists.pop()
             term = np.repeat(at[lists_done : lists_done + size], _read(sizes, size))
             key[done : done + postings] = (rank[_read_steps(places, postings).astype(np.int64) + before[run]]) * np.int64(many) + term
             counts[done : done + postings] = _read(own, postings)

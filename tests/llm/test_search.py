@@ -107,3 +107,12 @@ def test_steps_are_read_back_and_compress():
     assert (search._read_steps(search._steps(hashes.view(np.uint64)), 1000).astype(np.uint64).view(np.int64) == hashes).all()
     size = lambda data: pa.compress(data, "lz4", asbytes=True).__len__()
     assert size(search._steps(stretches)) < 0.65 * size(search._short(stretches))
+
+
+def test_shard_lets_go_of_what_it_has_read():
+    ids = np.arange(3, dtype=np.int64)
+    heads = [(run, 3, 6, (ids + 3 * run).tobytes(), search._short(np.full(3, 2)), None, None) for run in range(2)]
+    own = (3, 1, search._steps(np.array([7], np.uint64)), search._short(np.array([3])), search._steps(np.arange(3)), search._short(np.ones(3, np.int64)))
+    lists = [(run, *own) for run in range(2)]
+    shard = search.Shard(heads, lists, 2.0)
+    assert lists == [] and sorted(shard.search(np.array([7]), np.ones(1), 9)[0].tolist()) == [0, 1, 2, 3, 4, 5]
