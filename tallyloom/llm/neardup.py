@@ -139,20 +139,25 @@ def compare_across(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
 
 def with_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
     """``members`` (id, fp, ...) and ``shingles``, the full set of the text, made again from ``docs`` for these alone."""
+    schema = pa.schema([("id", pa.int64()), ("fp", pa.binary()), ("shingles", pa.binary())])
 
-    @F.pandas_udf("binary")
-    def full_set(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        """The set of a text, null if it isn't the wanted one: rows that share a doc_id may differ. As it takes columns of
-        both sides, it is run after the join, not for all texts before it."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The set of each text that is the wanted one: rows that share a doc_id may differ. One step makes and compares it; a
+        condition on what a Python column gives would have every set made twice, by two workers in each task."""
         shingler = Shingler()
-        for texts, wants in batches:
-            sets = [shingler.of(t).tobytes() for t in texts]
-            yield pd.Series([s if xxhash.xxh3_128_digest(s) == w else None for s, w in zip(sets, wants)], dtype=object)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                ids, wants, texts = (c.to_pylist() for c in batch.slice(at, 200).columns)
+                sets = [shingler.of(t).tobytes() for t in texts]
+                kept = [row for row in zip(ids, wants, sets) if xxhash.xxh3_128_digest(row[2]) == row[1]]
+                if kept:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*kept), schema.types)], schema=schema)
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     wanted = members.select("id", "fp")
-    sets = texts.join(wanted, F.col("doc_id") == F.col("id")).select("id", "fp", full_set("text", "fp").alias("shingles"))
-    return members.join(sets.where("shingles is not null").dropDuplicates(["id", "fp"]), ["id", "fp"])
+    found = texts.join(wanted, F.col("doc_id") == F.col("id")).select("id", "fp", "text")
+    sets = found.mapInArrow(run, "id long, fp binary, shingles binary")
+    return members.join(sets.dropDuplicates(["id", "fp"]), ["id", "fp"])
 
 
 def links_in_blocks(docs: DataFrame, classes: DataFrame, unit: int = UNIT, unit_shingles: int = UNIT_SHINGLES, percent: int = PERCENT) -> DataFrame:

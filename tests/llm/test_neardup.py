@@ -118,3 +118,16 @@ def test_band_width():
     for percent in (50, 60, 70, 80, 85, 90, 95):
         width = neardup.band_width(percent)
         assert (1 - (percent / 100) ** width) ** (sketches.M // width) <= neardup.MISSED
+
+
+def test_sets_are_made_once(spark):
+    """One Python step makes the full sets: each more is another worker beside it in every task, and the sets made again. Rows
+    that share a doc_id may differ, and only the wanted text gives the set."""
+    text = " ".join(f"w{k}" for k in range(30))
+    docs = spark.createDataFrame([(1, text), (1, "another text"), (1, text), (2, None), (3, "a b"), (4, "not wanted")], "doc_id long, text string")
+    wanted = neardup.sketch(docs).where("n_shingles > 1 or doc_id = 3").dropDuplicates(["fp"]).withColumnRenamed("doc_id", "id")
+    found = neardup.with_sets(docs, neardup.stash(wanted, "wanted"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") + plan.count("MapInArrow") == 1
+    assert {r.id: r.shingles for r in found.collect()} == {1: Shingler().of(text).tobytes(), 3: Shingler().of("a b").tobytes()}
+    assert found.columns == ["id", "fp", "n_shingles", "registers", "bands", "shingles"]
