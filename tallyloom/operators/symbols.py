@@ -45,7 +45,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for files in batches:
         rows = []
         for path, language, content in zip(*(files.column(c).to_pylist() for c in ("path", "language", "content"))):
-            rows += [(path, language, n, scanner.text_of(h), scanner.opening_of(h), h.around, h.level, h.docs, h.first, h.first_row, h.end, h.end_row,
+            rows += [(path, language, n, h.text, h.opening.decode("utf-8", "replace"), h.around, h.level, h.docs, h.first, h.first_row, h.end, h.end_row,
                       h.stop, h.stop_end, h.stop_row, h.close, h.close_row) for n, h in enumerate(scanner.heads((content or "").encode(), language))]
             if len(rows) >= TOGETHER:  # small files share a batch, heads of a large one are cut into several
                 for at in range(0, len(rows), TOGETHER):
@@ -125,10 +125,9 @@ def brace_symbols(files: DataFrame) -> DataFrame:
         is_it = F.col("language") == language
         c, m, x = _declared(language, F.col("text"), F.col("around"), F.col("stop"))
         names, methods, beyond = names.when(is_it, c), methods.when(is_it, m), beyond.when(is_it, x)
-    # held in one struct, so that the patterns are not repeated for every use of a name
+    # given out by a generator, so that the patterns are repeated neither for every use of a name nor for a condition
     declared = F.array(F.struct(names.alias("class_name"), methods.alias("method_name"), beyond.alias("is_extension")))
-    kept = F.get(F.filter(declared, lambda d: (d["class_name"] != "") | (d["method_name"] != "")), F.lit(0))
-    df = df.withColumn("d", kept).where("d IS NOT NULL").select("*", "d.*")
+    df = df.select("*", F.inline(F.filter(declared, lambda d: (d["class_name"] != "") | (d["method_name"] != ""))))
     is_class = F.col("class_name") != ""
     makes = (F.col("method_name") == "constructor") | F.regexp_extract("around", r"(?:^|\s)(?:class|struct|enum|record)\s+(?:\w+\s+)*?(\w+)", 1).eqNullSafe(F.col("method_name"))
     inside = F.col("around").rlike(r"(?:^|\s)(?:class|interface|object|struct|enum|record|trait|impl)\s|\bnew\s")

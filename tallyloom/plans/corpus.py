@@ -138,10 +138,11 @@ CTE = f"""f AS (SELECT p_partkey AS pk, {G} AS g, {K} AS k, {SZ} AS s, {PATH} AS
 
 
 def files(t: Tables):
-    """The corpus. Parts are dealt into tasks before their texts are made, so that files are parsed by all tasks at once."""
+    """The corpus. Parts are dealt into tasks before their paths and texts are made, so that all tasks choose and parse files.
+    Paths are given out by a generator: a condition on them would otherwise move to the few tasks that read the table."""
     parts = dealt(t.part.select("p_partkey", "p_size"), "p_partkey")
-    paths = parts.select(F.expr(PATH).alias("path"), F.expr(CONTENT).alias("content"))
-    return CF.code_files(paths, ROOT).select("path", "language", "content")
+    paths = parts.select("*", F.inline(F.array(F.struct(F.expr(PATH).alias("path")))))
+    return CF.code_files(paths, ROOT).select("path", "language", F.expr(CONTENT).alias("content"))
 
 
 def symbols(t: Tables):

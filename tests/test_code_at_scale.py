@@ -3,7 +3,7 @@
 import pyarrow as pa
 
 from tallyloom import session
-from tallyloom.operators import symbols as S
+from tallyloom.operators import scanner, symbols as S
 from tallyloom.plans import corpus
 from tallyloom.plans.base import Tables
 
@@ -64,3 +64,26 @@ def test_files_are_written_by_several_tasks(spark, monkeypatch):
     monkeypatch.setattr(corpus.CF, "scan_code_files", lambda spark, root: spark.createDataFrame([("a", "java", b"")], "path string, language string, content binary"))
     corpus.s2(Tables(spark, FOLDER))
     assert dealt[0] > 1
+
+
+def optimized(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_files_are_chosen_by_all_tasks(spark):
+    """Neither paths nor conditions on them move to the few tasks that read the table of parts."""
+    reading = plan(corpus.files(Tables(spark, FOLDER))).split("Exchange", 1)[1]
+    assert "FileScan" in reading and "arrays_overlap" not in reading and "/repo/" not in reading
+
+
+def test_patterns_are_looked_for_once(spark):
+    made = optimized(S.extract(corpus.files(Tables(spark, FOLDER)))[0])
+    assert made.count("companion") == 1
+
+
+def test_heads_of_files_cut_short():
+    """Blocks, parentheses and strings that never end, and ends that nothing opened."""
+    cut = [(h.text, h.around, h.stop, h.close) for h in scanner.heads(b"class A {\n  void m(int a) { if (a", "java")]
+    assert cut == [("class A", None, "{", None), ("void m(int a)", "class A", "{", None), ("if (a", "void m(int a)", "", None)]
+    assert [(h.text, h.level, h.end, h.end_row) for h in scanner.heads(b"} )\n]; int x\n= 1;", "cpp")] == [(") ]", 0, 5, 2), ("int x = 1", 0, 16, 3)]
+    assert [h.opening for h in scanner.heads(b'fn f() { let s = "a\nb', "rust")][1] == b'let s = "a\nb'
