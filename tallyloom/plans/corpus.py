@@ -227,7 +227,8 @@ def p6(t: Tables):
 
 @query("p7_equality_mask", f"WITH {CTE} SELECT name, path FROM y WHERE kind = 'class' AND language = 'rust'")
 def p7(t: Tables):
-    return C.in_languages(symbols(t), ["Rust"]).where("kind = 'class'").select("name", "path")
+    """Only files of the language are parsed."""
+    return S.extract(C.in_languages(files(t), ["Rust"]))[0].where("kind = 'class'").select("name", "path")
 
 
 @query("a1_count_by_language", f"WITH {CTE} SELECT language, CAST(count(*) AS BIGINT) AS n FROM f GROUP BY language")

@@ -81,6 +81,11 @@ def test_patterns_are_looked_for_once(spark):
     assert made.count("companion") == 1
 
 
+def test_only_files_of_the_language_are_parsed(spark):
+    above, below = plan(corpus.p7(Tables(spark, FOLDER))).split("MapInArrow", 1)
+    assert "lower(" not in above and "lower(" in below
+
+
 def test_heads_of_files_cut_short():
     """Blocks, parentheses and strings that never end, and ends that nothing opened."""
     cut = [(h.text, h.around, h.stop, h.close) for h in scanner.heads(b"class A {\n  void m(int a) { if (a", "java")]
