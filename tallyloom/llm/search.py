@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import WordRows, stash
+from tallyloom.llm.common import mix, stash
 
 K1, B = 1.2, 0.75
 #: Words of a run, words of a shard, documents of a block whose maxima are kept.
@@ -40,21 +40,56 @@ LISTS_DENSE, CELLS = 1000, 32_000_000
 SLACK = 1e-4
 #: What a posting costs that is read by document, against one cell of a list.
 COST = 100
+#: Groups of alike documents in a shard, documents of a group at least on average, and most frequent terms by which alike is told.
+GROUPS, GROUP_DOCS, MARKS = 8, 2000, 128
+#: Bytes beyond which a word is hashed by itself.
+LONG = 64
+#: Blocks of a group that are added up together.
+TILE = 16
+#: Cells of sums, a query by a document, that are held at a time.
+ASKED = 16_000_000
+NEVER = np.iinfo(np.int64).max
 HEAD, LISTS, SEEN = 0, 1, 2
 
 
 class Words:
-    """Text -> a hash per word; words are what blanks and ASCII controls 9 to 13 separate, A-Z count as a-z."""
+    """Text -> a hash per word; words are what blanks and ASCII controls 9 to 13 separate, A-Z count as a-z. Many texts are
+    hashed together, all words by steps of eight bytes; the few long words one by one."""
 
-    def __init__(self):
-        self.table = WordRows(self._hashed, 1, kind=np.int64)
-
-    @staticmethod
-    def _hashed(words: list[bytes]) -> np.ndarray:
-        return np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), ">i8").astype(np.int64)[:, None]
+    SPACES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+    MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+    MORE = np.uint64(0x9E3779B97F4A7C15)
 
     def of(self, text: str | None) -> np.ndarray:
-        return self.table.of((text or "").encode("utf-8", "surrogatepass").lower().split())[:, 0]
+        return next(self.each([text]))
+
+    def each(self, texts: list[str | None], most: int = 1 << 20) -> Iterator[np.ndarray]:
+        """The hashes of each text; texts of about ``most`` bytes are hashed at a time."""
+        held, size = [], 0
+        for text in texts:
+            held.append((text or "").encode("utf-8", "surrogatepass"))
+            size += len(held[-1])
+            if size >= most:
+                yield from self._hashed(held)
+                held, size = [], 0
+        yield from self._hashed(held)
+
+    def _hashed(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+        data = b" ".join([b"", *texts, b"      "]).lower()  # eight bytes can be read from each
+        space = self.SPACES[np.frombuffer(data, np.uint8)]
+        edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+        starts, size = edges[::2], edges[1::2] - edges[::2]
+        eights, out = np.ndarray(len(data) - 7, "<u8", data, strides=(1,)), size.astype(np.uint64)
+        with np.errstate(over="ignore"):
+            own = np.arange(len(starts))
+            for k in range(0, LONG, 8):
+                own = own[size[own] > k]
+                out[own] = mix(out[own] * self.MORE ^ eights[starts[own] + k] & self.MASKS[np.minimum(size[own] - k, 8)])
+        for w in np.flatnonzero(size > LONG):
+            out[w] = xxhash.xxh3_64_intdigest(data[starts[w] : starts[w] + size[w]])
+        first = np.searchsorted(starts, np.cumsum([1, *(len(t) + 1 for t in texts)]))
+        out = out.view(np.int64)
+        return (out[a:b] for a, b in zip(first[:-1].tolist(), first[1:].tolist()))
 
 
 def _short(values: np.ndarray) -> bytes:
@@ -86,6 +121,16 @@ def _ranges(first: np.ndarray, stop: np.ndarray) -> np.ndarray:
     return np.arange(size.sum()) + np.repeat(first - (np.cumsum(size) - size), size)
 
 
+def _order(values: np.ndarray) -> np.ndarray:
+    """Places of the values, none negative, by value and place: a stable ``argsort``, made by the much faster sort of numbers."""
+    key = values.astype(np.int64)
+    key *= len(values)
+    key += np.arange(len(values))
+    key.sort()
+    key %= max(1, len(values))
+    return key
+
+
 def term_filter(terms: DataFrame) -> np.ndarray:
     """A bit for each hashed ``term``, combined per word on the executors."""
     place = F.pmod("term", F.lit(FILTER))
@@ -150,9 +195,9 @@ def build(docs: DataFrame, asked: np.ndarray | None = None, run_words: int = RUN
         words, seen, ids, hashes, total = Words(), Seen(), [], [], 0
         run = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for doc_id, own in zip(batch.column(0).to_pylist(), words.each(batch.column(1).to_pylist())):
                 ids.append(doc_id)
-                hashes.append(words.of(text))
+                hashes.append(own)
                 total += len(hashes[-1]) + 1
                 if total >= run_words:
                     yield from flush(run, ids, hashes, seen)
@@ -165,108 +210,245 @@ def build(docs: DataFrame, asked: np.ndarray | None = None, run_words: int = RUN
     return rows.mapInArrow(work, "kind int, run long, n long, words long, terms binary, sizes binary, places binary, counts binary, seen array<struct<term: long, df: long>>")
 
 
+def groups(marks: np.ndarray, many: int, rounds: int = 8) -> np.ndarray:
+    """Deals rows into at most ``many`` groups of alike rows: k-means of their directions from seeded starts far apart."""
+    rows = marks / np.maximum(np.sqrt((marks * marks).sum(1, keepdims=True)), 1)
+    rng, near = np.random.default_rng(0), np.zeros(len(rows), np.float32)
+    centres = np.zeros((0, rows.shape[1]), np.float32)
+    while len(centres) < many:
+        chance = np.cumsum(np.maximum(0, 1 - near, dtype=np.float64) ** 2 * rows.any(1))
+        if not len(chance) or chance[-1] < 1e-6:
+            break
+        centres = np.concatenate([centres, rows[np.searchsorted(chance, rng.random() * chance[-1], "right")][None]])
+        near = np.maximum(near, rows @ centres[-1])
+    group = np.zeros(len(rows), np.int64)
+    for _ in range(rounds if len(centres) > 1 else 0):
+        group = (rows @ centres.T).argmax(1)
+        for g in range(len(centres)):
+            if (own := group == g).any():
+                centres[g] = rows[own].mean(0)
+                centres[g] /= max(1e-9, float(np.sqrt((centres[g] ** 2).sum())))
+    return group
+
+
 class Shard:
     """The lists of one shard, ready for queries. ``read`` and ``asked`` count the postings that queries read and those that
-    their lists have. Rows are (run, n, words, terms, sizes, places, counts) as ``build`` makes them; ``lists`` is used up."""
+    their lists have. Rows are (run, n, words, terms, sizes, places, counts) as ``build`` makes them; ``lists`` is used up.
 
-    def __init__(self, heads: list[tuple], lists: list[tuple], average: float):
+    Documents lie by group and length, each group from a new block on. Lists are common group by group: what is common in one
+    group only is a scarce list in the others."""
+
+    def __init__(self, heads: list[tuple], lists: list[tuple], average: float, group_docs: int = GROUP_DOCS):
         heads = sorted(heads, key=lambda h: h[0])
         before = dict(zip((h[0] for h in heads), np.cumsum([0, *(h[1] for h in heads)])))
         ids = np.concatenate([np.frombuffer(h[3], np.int64) for h in heads])
         lengths = np.concatenate([_read(h[4], h[1]).astype(np.int64) for h in heads])
-        order = np.lexsort((ids, lengths))  # alike lengths together make tight bounds
-        rank = np.empty(len(order), np.int32)
-        rank[order] = np.arange(len(order), dtype=np.int32)
-        self.ids, n = ids[order], len(ids)
-        norm = K1 * (1 - B + B * lengths[order] / average) if average else np.ones(n)
         self.terms, at = np.unique(np.concatenate([np.zeros(0, np.int64), *(_read_steps(x[3], x[2]).astype(np.uint64).view(np.int64) for x in lists)]), return_inverse=True)
-        key, done = np.empty(sum(x[1] for x in lists), np.int64), 0
-        counts, lists_done = np.empty(len(key), np.uint32), 0
-        many = max(1, len(self.terms))
+        n, postings = len(ids), sum(x[1] for x in lists)
+        place, term, counts = np.empty(postings, np.int32), np.empty(postings, np.int32), np.empty(postings, np.uint32)
+        done = lists_done = 0
         lists.reverse()
         while lists:  # what was read is let go of, so that it is not held beside what is sorted
             run, postings, size, _, sizes, places, own = lists.pop()
-            term = np.repeat(at[lists_done : lists_done + size], _read(sizes, size))
-            key[done : done + postings] = (rank[_read_steps(places, postings).astype(np.int64) + before[run]]) * np.int64(many) + term
+            term[done : done + postings] = np.repeat(at[lists_done : lists_done + size], _read(sizes, size))
+            place[done : done + postings] = _read_steps(places, postings).astype(np.int64) + before[run]
             counts[done : done + postings] = _read(own, postings)
             done, lists_done = done + postings, lists_done + size
-        order = np.argsort(key)
-        key, counts = key[order], counts[order]
-        # by document, for final scores: its terms, ascending, and their weights but for the idf
-        place, self.term = (key // many).astype(np.int32), (key % many).astype(np.int32)
-        del key, order
-        self.value = counts * (K1 + 1) / (counts + norm[place])
-        self.docs = np.searchsorted(place, np.arange(n + 1))
+        del at
+        # alike documents together make tight bounds
+        sizes = np.bincount(term, minlength=len(self.terms))
+        many = max(1, min(GROUPS, n // group_docs))
+        marked = np.argsort(-sizes, kind="stable")[: min(MARKS, int((sizes > COMMON * n).sum()), CELLS // max(1, 8 * n))] if many > 1 else np.zeros(0, np.int64)
+        mark = np.full(len(self.terms), -1, np.int32)
+        mark[marked] = np.arange(len(marked))
+        marks, own = np.zeros((n, len(marked)), np.float32), mark[term]
+        marks[place[own >= 0], own[own >= 0]] = 1
+        group = groups(marks, many) if len(marked) else np.zeros(n, np.int64)
+        order = np.lexsort((ids, lengths, group))
+        size = np.bincount(group)
+        size = size[size > 0]
+        self.edges = np.concatenate([[0], np.cumsum(-(-size // BLOCK) * BLOCK)])  # of the groups
+        slots = np.repeat(self.edges[:-1] - (np.cumsum(size) - size), size) + np.arange(n)
+        rank = np.empty(n, np.int32)
+        rank[order] = slots
+        self.n, self.blocks = int(self.edges[-1]), int(self.edges[-1]) // BLOCK
+        self.ids, self.norm = np.zeros(self.n, np.int64), np.ones(self.n)
+        self.ids[slots] = ids[order]
+        if average:
+            self.norm[slots] = K1 * (1 - B + B * lengths[order] / average)
+        del marks, own, mark
+        # by document, for final scores: its terms, ascending as in its run, and how often they are in it
+        place = rank[place]
+        order = _order(place)
+        place, term, counts = place[order], term[order], counts.astype(np.min_scalar_type(int(counts.max(initial=0))))[order]
+        del order
+        self.term, self.counts = term, counts
+        self.docs = np.searchsorted(place, np.arange(self.n + 1))
         self.sizes = np.diff(self.docs)
-        # by term, for bounds
-        order = np.argsort(self.term, kind="stable")
-        self.places, self.bounds = place[order], self.value[order].astype(np.float32)
-        self.starts = np.searchsorted(self.term, np.arange(len(self.terms) + 1), sorter=order)
+        self.lightest = np.full(self.n, np.iinfo(np.int64).max)  # how many terms the documents of a block have at least
+        self.lightest[slots] = self.sizes[slots]
+        self.lightest = self.lightest.reshape(-1, BLOCK).min(1)
+        # by term, for sums of whole lists: a posting's place and weight lie side by side, so that both are met at once
+        order = _order(term)
+        self.starts = np.append(0, np.cumsum(sizes))
+        self.lists = np.empty((len(order), 2), np.int32)
+        self.lists[:, 0] = place[order]
+        self.lists.view(np.float32)[:, 1] = (counts * (K1 + 1) / (counts + self.norm[place])).astype(np.float32)[order]
         del place, order
-        sizes = np.diff(self.starts)
-        common = np.flatnonzero(sizes > max(COMMON * n, BLOCK))
-        common = common[np.argsort(-sizes[common], kind="stable")][: min(LISTS_DENSE, CELLS // max(1, n))]
-        self.blocks = -(-n // BLOCK)
-        self.dense = np.zeros((len(common), self.blocks * BLOCK), np.float32)
-        for row, t in enumerate(common):
-            self.dense[row, self.places[self.starts[t] : self.starts[t + 1]]] = self.bounds[self.starts[t] : self.starts[t + 1]]
-        self.maxima = self.dense.reshape(len(common), self.blocks, BLOCK).max(2)
-        self.highest = self.maxima.max(1, initial=0)
-        self.row = np.full(len(self.terms), -1)
-        self.row[common] = np.arange(len(common))
-        self.weight, self.read, self.asked = np.zeros(len(self.terms)), 0, 0
+        # the lists that are common in each group, and where the groups' parts of them begin
+        common = []
+        for first, stop, size_own in zip(self.edges[:-1], self.edges[1:], size):
+            held = np.bincount(self.term[self.docs[first] : self.docs[stop]], minlength=len(self.terms))
+            own = np.flatnonzero(held > max(COMMON * size_own, BLOCK))
+            common.append(own[np.argsort(-held[own], kind="stable")][: min(LISTS_DENSE, CELLS // max(1, self.n))])
+        every = np.unique(np.concatenate(common))
+        self.row = np.full(len(self.terms), -1, np.int32)
+        self.row[every] = np.arange(len(every))
+        self.cuts = np.array([self.starts[t] + np.searchsorted(self.lists[self.starts[t] : self.starts[t + 1], 0], self.edges) for t in every], np.int64).reshape(len(every), len(self.edges))
+        # by group: those lists as a weight for each document, and their maxima for each block
+        self.rows, self.dense, self.maxima = [self.row[own] for own in common], [], []
+        loose = np.ones((len(every), len(common) + 2), bool)
+        loose[:, [0, -1]] = False
+        for g, (own, first, stop) in enumerate(zip(self.rows, self.edges[:-1], self.edges[1:])):
+            loose[own, g + 1] = False
+            begins, ends = self.cuts[own, g], self.cuts[own, g + 1]
+            at, dense = _ranges(begins, ends), np.zeros((len(own), stop - first), np.float32)
+            dense[np.repeat(np.arange(len(own)), ends - begins), self.lists[at, 0] - first] = self.lists.view(np.float32)[at, 1]
+            self.dense.append(dense)
+            self.maxima.append(dense.reshape(len(own), (stop - first) // BLOCK, BLOCK).max(2))
+        self.begins, self.ends = loose[:, 1:-1] & ~loose[:, :-2], loose[:, 1:-1] & ~loose[:, 2:]  # of stretches of other groups
+        # tiles: blocks of a group that are added up together
+        tiles = [(g, b) for g, (first, stop) in enumerate(zip(self.edges[:-1] // BLOCK, self.edges[1:] // BLOCK)) for b in range(first, stop, TILE)]
+        self.group, self.tiles = np.array(tiles, np.int64).reshape(-1, 2).T
+        self.tiles = np.append(self.tiles, self.blocks)
+        held = [(self.dense[g][:, first * BLOCK - self.edges[g] : stop * BLOCK - self.edges[g]] > 0).sum(1) for g, first, stop in zip(self.group, self.tiles[:-1], self.tiles[1:])]
+        self.held = held  # postings of a tile's lists
+        self.weight, self.met, self.read, self.asked = np.zeros(len(self.terms)), np.zeros(1 << 16, bool), 0, 0
 
     def _scores(self, docs: np.ndarray) -> np.ndarray:
         """Full scores, summed in the order of the terms, so that equal documents get equal sums."""
         first, stop = self.docs[docs], self.docs[docs + 1]
-        at = _ranges(first, stop)
-        self.read += len(at)
-        return np.bincount(np.repeat(np.arange(len(docs)), stop - first), self.value[at] * self.weight[self.term[at]], len(docs))
-
-    def _sums(self, at: np.ndarray, idf: np.ndarray) -> np.ndarray:
-        """Weights of whole lists, added up for each document."""
-        first, stop = self.starts[at], self.starts[at + 1]
-        rows = _ranges(first, stop)
+        parts = list(zip(first.tolist(), stop.tolist()))
+        terms, ends = np.concatenate([self.term[a:b] for a, b in parts]), np.cumsum(stop - first)
+        self.read += len(terms)
+        met = np.flatnonzero(self.met[terms.astype(np.uint16)])  # a small table, which stays near; what it lets through may weigh 0
+        own = np.searchsorted(ends, met, "right")
+        counts = self.counts[met + (stop - ends)[own]]
+        return np.bincount(own, counts * (K1 + 1) / (counts + self.norm[docs][own]) * self.weight[terms[met]], len(docs))
+
+    def _sums(self, first: np.ndarray, stop: np.ndarray, idf: np.ndarray) -> np.ndarray:
+        """Weights of lists, or of parts of them, added up for each document."""
+        rows = self.lists.view(np.int64)[_ranges(first, stop), 0].view(np.int32).reshape(-1, 2)
         self.read += len(rows)
-        return np.bincount(self.places[rows], self.bounds[rows] * np.repeat(idf, stop - first), len(self.ids))
+        return np.bincount(rows[:, 0], rows.view(np.float32)[:, 1] * np.repeat(idf.astype(np.float32), stop - first), self.n)
 
     def search(self, terms: np.ndarray, idf: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the best k documents; ``terms`` ascending. Documents without any of them are no result."""
+        return next(self.search_all([(terms, idf)], k))
+
+    def search_all(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """``search`` for many queries, so many at a time that their sums take ASKED cells; those that need the common lists of a
+        group are added up by one product of matrices."""
+        step = max(1, ASKED // max(1, self.n))
+        for j in range(0, len(queries), step):
+            yield from self._together(queries[j : j + step], k)
+
+    def _together(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        known = self._known(queries)
+        sums = np.zeros((len(queries), self.blocks, BLOCK), np.float32)
+        weight = np.zeros((len(queries), len(self.cuts)), np.float32)
+        for q, (at, idf) in enumerate(known):
+            row = self.row[at]
+            usual, scarce = row[row >= 0], at[row < 0]
+            weight[q, usual] = idf[row >= 0]
+            begins, cuts = self.begins[usual], self.cuts[usual]
+            first, stop = np.concatenate([self.starts[scarce], cuts[:, :-1][begins]]), np.concatenate([self.starts[scarce + 1], cuts[:, 1:][self.ends[usual]]])
+            self.asked += int((self.starts[at + 1] - self.starts[at]).sum())
+            if len(first):
+                sums[q].reshape(-1)[:] = self._sums(first, stop, np.concatenate([idf[row < 0], np.repeat(idf[row >= 0], begins.sum(1))]))
+        # what common lists that are not added yet can add to a document of a block, and what they cost
+        more = np.zeros(sums.shape[:2], np.float32)
+        own = [weight[:, r] for r in self.rows]
+        for g, (first, stop) in enumerate(zip(self.edges[:-1] // BLOCK, self.edges[1:] // BLOCK)):
+            more[:, first:stop] = own[g] @ self.maxima[g]
+        cells = np.stack([(w > 0).sum(1) for w in own], 1)[:, self.group] * (np.diff(self.tiles) * BLOCK)
+        cells[cells == 0] = NEVER  # nothing to add
+        tops, lowest = self._tops(sums), np.zeros(len(queries))
+        out, first = [(self.ids[:0], np.zeros(0))] * len(queries), True
+        live = np.array([q for q, (at, _) in enumerate(known) if len(at)], np.int64)
+        while len(live):
+            lowest[live] = np.maximum(lowest[live], self._least(sums, tops[live], live, k) * (1 - SLACK))
+            bound = tops[live] + more[live]
+            open_ = (bound >= lowest[live, None] * (1 - SLACK)) & (bound > 0)
+            needs = COST * np.add.reduceat(open_ * self.lightest, self.tiles[:-1], axis=1) > cells[live]  # a document of each open block is open
+            if first:  # the tile of the highest bound makes the limit that others must reach
+                highest = np.where(needs, np.maximum.reduceat(bound, self.tiles[:-1], axis=1), -1)
+                needs &= np.arange(len(self.group)) == highest.argmax(1)[:, None]
+                first = False
+            for j in np.flatnonzero(~needs.any(1)):
+                q = live[j]
+                docs, high = self._open(sums[q], np.flatnonzero(open_[j]), more[q], lowest[q] * (1 - SLACK))
+                cost = np.diff(np.concatenate([[0], np.cumsum(self.sizes[docs])])[np.searchsorted(docs, self.tiles * BLOCK)])
+                needs[j] = COST * cost > cells[q]
+                if not needs[j].any():
+                    out[q] = self._best(docs, high, *known[q], lowest[q], k)
+            for t in np.flatnonzero(needs.any(0)):
+                asking, g, part = live[needs[:, t]], self.group[t], slice(self.tiles[t], self.tiles[t + 1])
+                weights = own[g][asking]
+                added = sums[asking, part] + (weights @ self.dense[g][:, part.start * BLOCK - self.edges[g] : part.stop * BLOCK - self.edges[g]]).reshape(len(asking), -1, BLOCK)
+                sums[asking, part], tops[asking, part] = added, self._tops(added)
+                more[asking, part], cells[asking, t] = 0, NEVER
+                self.read += int((weights > 0).sum(0) @ self.held[t])
+            live = live[needs.any(1)]
+        return out
+
+    def _known(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Those of each query's terms that the shard has, as numbers, and their weights; looked up once for all queries."""
+        terms, back = np.unique(np.concatenate([t for t, _ in queries]), return_inverse=True)
         at = np.searchsorted(self.terms, terms)
-        known = (at < len(self.terms)) & (self.terms[np.minimum(at, len(self.terms) - 1)] == terms) if len(self.terms) else at < 0
-        at, idf = at[known], idf[known]
-        if not len(at):
-            return self.ids[:0], np.zeros(0)
-        self.weight[at] = idf
-        n, rows, sizes = len(self.ids), self.row[at], self.starts[at + 1] - self.starts[at]
-        self.asked += int(sizes.sum())
-        usual = np.flatnonzero(rows >= 0)
-        usual = usual[np.argsort(-idf[usual] * self.highest[rows[usual]], kind="stable")]  # the weightiest first
-        rows_usual, weight = rows[usual], idf[usual].astype(np.float32)
-        sums = self._sums(at[rows < 0], idf[rows < 0])
-        done, lowest = 0, 0.0
-        while True:  # lists of less and less weight are added, until scoring the documents that are open costs less
-            bound = sums if done == len(usual) else sums + np.repeat(weight[done:] @ self.maxima[rows_usual[done:]], BLOCK)[:n]
-            lowest = max(lowest, self._kth(sums, k) * (1 - SLACK))
-            open_ = np.flatnonzero((bound >= lowest * (1 - SLACK)) & (bound > 0))
-            if done == len(usual) or COST * int(self.sizes[open_].sum()) <= (len(usual) - done) * n:
-                break
-            step = slice(done, len(usual) if done else max(8, len(usual) // 2))
-            self.read += int(sizes[usual[step]].sum())
-            sums = sums + (weight[step] @ self.dense[rows_usual[step]])[:n]
-            done = min(len(usual), step.stop)
-        open_ = open_[np.argsort(-bound[open_], kind="stable")]
-        docs, score, done, wave = open_[:0], np.zeros(0), 0, 4 * k
-        while done < len(open_) and bound[open_[done]] >= lowest * (1 - SLACK):  # by falling bounds; each wave may raise the limit
+        at[(self.terms[np.minimum(at, len(self.terms) - 1)] != terms) if len(self.terms) else at >= 0] = -1
+        back = np.split(at[back], np.cumsum([len(t) for t, _ in queries])[:-1])
+        return [(own[own >= 0], idf[own >= 0]) for own, (_, idf) in zip(back, queries)]
+
+    @staticmethod
+    def _tops(sums: np.ndarray) -> np.ndarray:
+        """The highest of each block."""
+        rows = sums.reshape(len(sums), -1)
+        return np.maximum.reduceat(rows, np.arange(0, rows.shape[1], BLOCK), axis=1) if rows.size else np.zeros(sums.shape[:2], np.float32)
+
+    @staticmethod
+    def _open(sums: np.ndarray, open_: np.ndarray, more: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
+        """Documents of open blocks whose bound reaches the limit, ascending, and their bounds."""
+        bound = (sums[open_] + more[open_, None]).reshape(-1)
+        reach = np.flatnonzero((bound >= limit) & (bound > 0))
+        return open_[reach // BLOCK] * BLOCK + reach % BLOCK, bound[reach]
+
+    def _best(self, open_: np.ndarray, bound: np.ndarray, at: np.ndarray, idf: np.ndarray, lowest: float, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The best k of the open documents: scored by falling bounds, and each wave may raise the limit."""
+        self.weight[at], self.met[at.astype(np.uint16)] = idf, True
+        order = np.argsort(-bound, kind="stable")
+        open_, bound = open_[order], bound[order]
+        docs, score, done, wave = open_[:0], np.zeros(0), 0, 2 * k
+        while done < len(open_) and bound[done] >= lowest * (1 - SLACK):
             own = open_[done : done + wave]
             docs, score = np.concatenate([docs, own]), np.concatenate([score, self._scores(own)])
             lowest, done, wave = max(lowest, self._kth(score, k)), done + wave, 2 * wave
-        self.weight[at] = 0
+        self.weight[at], self.met[at.astype(np.uint16)] = 0, False
         good = np.flatnonzero((score >= lowest * (1 - SLACK)) & (score > 0))
         ids, score = self.ids[docs[good]], score[good]
         take = np.lexsort((ids, -score))[:k]
         return ids[take], score[take]
 
+    @staticmethod
+    def _least(sums: np.ndarray, tops: np.ndarray, asked: np.ndarray, k: int) -> np.ndarray:
+        """The k-th of the sums of each query asked; the best k are in the k blocks of the highest ``tops``."""
+        if tops.shape[1] > k:
+            best = np.argpartition(tops, tops.shape[1] - k, axis=1)[:, tops.shape[1] - k :]
+            values = sums[asked[:, None], best].reshape(len(asked), -1)
+        else:
+            values = sums[asked].reshape(len(asked), -1)
+        return np.partition(values, values.shape[1] - k, axis=1)[:, values.shape[1] - k] if values.shape[1] >= k else np.zeros(len(asked))
+
     @staticmethod
     def _kth(values: np.ndarray, k: int) -> float:
         return float(np.partition(values, len(values) - k)[len(values) - k]) if len(values) >= k else 0.0
@@ -278,7 +460,7 @@ def query_terms(queries: DataFrame) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in batches:
-            terms = [np.unique(words.of(t)) for t in batch.column(1).to_pylist()]
+            terms = [np.unique(own) for own in words.each(batch.column(1).to_pylist())]
             ids = np.repeat(np.array(batch.column(0).to_pylist(), np.int64), [len(t) for t in terms])
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(terms))], names=["query_id", "term"])
 
@@ -333,8 +515,9 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, shards: int = SHARD
                     shard, rows = Shard(rows[HEAD], rows[LISTS], average), {HEAD: [], LISTS: []}
                 if shard is not None:
                     df = _read(other[2], n).astype(np.float64)
-                    found.append((run, *shard.search(np.frombuffer(other[1], np.int64), np.log(1 + (n_docs - df + 0.5) / (df + 0.5)), k)))
+                    found.append((run, np.frombuffer(other[1], np.int64), np.log(1 + (n_docs - df + 0.5) / (df + 0.5))))
             if found:
+                found = [(f[0], *best) for f, best in zip(found, shard.search_all([f[1:] for f in found], k))]
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat([f[0] for f in found], [len(f[1]) for f in found]), pa.int64()),
                                                   pa.array(np.concatenate([f[1] for f in found])), pa.array(np.concatenate([f[2] for f in found]))], names=["query_id", "doc_id", "score"])
 

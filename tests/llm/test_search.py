@@ -1,5 +1,6 @@
 import math
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -116,3 +117,67 @@ def test_shard_lets_go_of_what_it_has_read():
     lists = [(run, *own) for run in range(2)]
     shard = search.Shard(heads, lists, 2.0)
     assert lists == [] and sorted(shard.search(np.array([7]), np.ones(1), 9)[0].tolist()) == [0, 1, 2, 3, 4, 5]
+
+
+def test_queries_asked_together():
+    """A shard of groups of alike documents: many queries are answered in much less time than one after the other, each as by brute
+    force, and what lies in groups that cannot reach a query's limit is not read."""
+    rng = random.Random(9)
+    texts = []
+    for k in range(4000):
+        tongue = "abcd"[k % 4]
+        usual, scarce = [f"{tongue}{j}" for j in range(90)], [f"s{rng.randrange(4000)}" for _ in range(4)]
+        texts.append(" ".join(rng.choices(usual, k=rng.randrange(40, 120)) + scarce + ["a1", "both"][: k % 3]))
+    docs = [*enumerate(texts), (4000, ""), (4001, texts[8]), (4002, texts[8])]
+    words = search.Words()
+    hashes = [words.of(t) for _, t in docs]
+    lengths = np.array([len(h) for h in hashes])
+    pairs = sorted({(t, p) for p, h in enumerate(hashes) for t in h.tolist()})
+    terms, sizes = np.unique([t for t, _ in pairs], return_counts=True)
+    counts = np.array([np.count_nonzero(hashes[p] == t) for t, p in pairs])
+    head = (0, len(docs), int(lengths.sum()), np.arange(len(docs)).tobytes(), search._short(lengths), None, None)
+    own = (0, len(pairs), len(terms), search._steps(terms.view(np.uint64)), search._short(sizes), search._steps(np.array([p for _, p in pairs])), search._short(counts))
+    make = lambda size: search.Shard([head], [own], lengths.sum() / len(docs), size)
+    shard, alone = make(500), make(10**6)
+    asked = [*range(0, 4000, 10), 4000]
+    queries = [np.unique(hashes[q]) for q in asked]
+    queries = [(t, np.log(1 + (len(docs) - (df := sizes[np.searchsorted(terms, t)]) + 0.5) / (df + 0.5))) for t in queries]
+    best = list(shard.search_all(queries, 5))
+    for q in [0, 1, 2, 3, 77, 400]:
+        want = brute(docs, [(0, docs[asked[q]][1])], 5)[0]
+        assert best[q][0].tolist() == [d for _, d in want] and all(abs(a + b) < 1e-6 for a, (b, _) in zip(best[q][1].tolist(), want))
+    start = time.process_time()
+    together = list(shard.search_all(queries, 5))
+    spent = time.process_time() - start
+    start = time.process_time()
+    single = [shard.search(*q, 5) for q in queries]
+    assert spent < 0.6 * (time.process_time() - start)
+    for other in (together, single, list(alone.search_all(queries, 5))):
+        assert all((a[0] == b[0]).all() and (a[1] == b[1]).all() for a, b in zip(best, other))
+    assert len(shard.dense) == 8 and len(alone.dense) == 1
+    assert sum(d.size for d in shard.dense) < 0.5 * alone.dense[0].size
+    shard.read = 0
+    shard.search(*queries[1], 5)
+    native = sum(int(sizes[np.searchsorted(terms, t)]) for t in queries[1][0])
+    assert shard.read < 1.2 * native
+
+
+def test_hashes_of_words():
+    texts = [None, "", " \t\n ", "a", "A b\x0bC", "x" * 64, "x" * 65, "y" * 500 + " z", "  lead trail  ", "é b \x1c c", "12345678 123456789 1234567 a\0 a", " "]
+    words, seen = search.Words(), {}
+    hashes = list(words.each(texts, most=20))
+    assert len(hashes) == len(texts) and list(words.each([])) == []
+    for text, own in zip(texts, hashes):
+        split = (text or "").encode().lower().split()
+        assert own.tolist() == words.of(text).tolist() and len(own) == len(split)
+        for word, value in zip(split, own.tolist()):
+            assert seen.setdefault(word, value) == value
+    assert len(set(seen.values())) == len(seen) == 15
+    rng = np.random.default_rng(3)
+    many = " ".join(f"{a}x{b}" for a, b in rng.integers(0, 10**9, (50_000, 2)).tolist())
+    assert len(np.unique(words.of(many))) == len(set(many.split()))
+
+
+def test_order_is_a_stable_sort():
+    values = np.random.default_rng(1).integers(0, 50, 3000).astype(np.int32)
+    assert (search._order(values) == np.argsort(values, kind="stable")).all() and len(search._order(values[:0])) == 0
