@@ -42,12 +42,14 @@ SLACK = 1e-4
 COST = 100
 #: Groups of alike documents in a shard, documents of a group at least on average, and most frequent terms by which alike is told.
 GROUPS, GROUP_DOCS, MARKS = 8, 2000, 128
+#: Postings that are worked on at a time where more would take much memory.
+PIECE = 1 << 20
 #: Bytes beyond which a word is hashed by itself.
 LONG = 64
 #: Blocks of a group that are added up together.
 TILE = 16
 #: Cells of sums, a query by a document, that are held at a time.
-ASKED = 16_000_000
+ASKED = 12_000_000
 NEVER = np.iinfo(np.int64).max
 HEAD, LISTS, SEEN = 0, 1, 2
 
@@ -123,9 +125,9 @@ def _ranges(first: np.ndarray, stop: np.ndarray) -> np.ndarray:
 
 def _order(values: np.ndarray) -> np.ndarray:
     """Places of the values, none negative, by value and place: a stable ``argsort``, made by the much faster sort of numbers."""
-    key = values.astype(np.int64)
-    key *= len(values)
-    key += np.arange(len(values))
+    key = np.arange(len(values))
+    for k in range(0, len(values), PIECE):
+        key[k : k + PIECE] += values[k : k + PIECE].astype(np.int64) * len(values)
     key.sort()
     key %= max(1, len(values))
     return key
@@ -245,7 +247,8 @@ class Shard:
         lengths = np.concatenate([_read(h[4], h[1]).astype(np.int64) for h in heads])
         self.terms, at = np.unique(np.concatenate([np.zeros(0, np.int64), *(_read_steps(x[3], x[2]).astype(np.uint64).view(np.int64) for x in lists)]), return_inverse=True)
         n, postings = len(ids), sum(x[1] for x in lists)
-        place, term, counts = np.empty(postings, np.int32), np.empty(postings, np.int32), np.empty(postings, np.uint32)
+        place, term = np.empty(postings, np.int32), np.empty(postings, np.int32)
+        counts = np.empty(postings, f"<u{max((len(x[6]) // x[1] for x in lists), default=1)}")
         done = lists_done = 0
         lists.reverse()
         while lists:  # what was read is let go of, so that it is not held beside what is sorted
@@ -280,9 +283,10 @@ class Shard:
         # by document, for final scores: its terms, ascending as in its run, and how often they are in it
         place = rank[place]
         order = _order(place)
-        place, term, counts = place[order], term[order], counts.astype(np.min_scalar_type(int(counts.max(initial=0))))[order]
+        place = place[order]  # one after the other, so that few are held twice
+        self.term = term = term[order]
+        self.counts = counts = counts[order]
         del order
-        self.term, self.counts = term, counts
         self.docs = np.searchsorted(place, np.arange(self.n + 1))
         self.sizes = np.diff(self.docs)
         self.lightest = np.full(self.n, np.iinfo(np.int64).max)  # how many terms the documents of a block have at least
@@ -291,9 +295,12 @@ class Shard:
         # by term, for sums of whole lists: a posting's place and weight lie side by side, so that both are met at once
         order = _order(term)
         self.starts = np.append(0, np.cumsum(sizes))
-        self.lists = np.empty((len(order), 2), np.int32)
-        self.lists[:, 0] = place[order]
-        self.lists.view(np.float32)[:, 1] = (counts * (K1 + 1) / (counts + self.norm[place])).astype(np.float32)[order]
+        self.lists = order.view(np.int32).reshape(-1, 2)  # where the order was, which is used up
+        for k in range(0, len(order), PIECE):
+            at = order[k : k + PIECE].copy()
+            own, often = place[at], counts[at]
+            self.lists[k : k + PIECE, 0] = own
+            self.lists.view(np.float32)[k : k + PIECE, 1] = often * (K1 + 1) / (often + self.norm[own])
         del place, order
         # the lists that are common in each group, and where the groups' parts of them begin
         common = []
