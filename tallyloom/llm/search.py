@@ -1,11 +1,12 @@
 """Exact top-k search by BM25 over an inverted index, with block-max pruning.
 
 ``build`` makes inverted lists of runs of documents without moving text, a row for all lists of a run. Runs are dealt to
-shards; each shard's lists are shipped once, and all queries stream through its task. There, a query's scarce lists are summed.
-What its common lists, most of all postings, can still add to a document is bounded by their maxima per block of documents; they
-are added by falling weight, in two steps, and skipped where the bounds leave so few documents open that scoring those in full
-costs less. Open documents are scored by falling bounds until a bound stays below the k-th score. All shards use the same
-statistics of the whole corpus, so their results merge exactly.
+shards; each shard's lists are shipped once, and all queries stream through its task, some hundreds at a time. A shard deals its
+documents into groups of alike ones. There, a query's scarce lists are summed. What the common lists of a group, most of all
+postings, can still add to a document is bounded by their maxima per block of documents. They are added tile by tile, first where
+the bound is highest, for all queries that need a tile by one product of matrices, and skipped where the bounds leave so few
+documents open that scoring those in full costs less. Open documents are scored by falling bounds until a bound stays below the
+k-th score. All shards use the same statistics of the whole corpus, so their results merge exactly.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from tallyloom.llm.common import mix, stash
 K1, B = 1.2, 0.75
 #: Words of a run, words of a shard, documents of a block whose maxima are kept.
 RUN_WORDS, SHARD_WORDS, BLOCK = 1_000_000, 16_000_000, 64
-#: Terms in more than this share of a shard's documents are bounded by block maxima.
+#: Terms in more than this share of a group's documents are bounded by block maxima.
 COMMON = 0.02
 #: Shards of a small corpus. Queries are copied once a shard, so copies grow only where shards are full.
 SHARDS = 12
